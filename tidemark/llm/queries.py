@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, jaccard, linededup, mixing, packing, quality, urlfilter
+from tidemark.llm import fingerprint, jaccard, linededup, mixing, packing, quality, urlfilter, wavelet
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.op6(table(spark, sf_dir, "pages"))
 
 
+def op7_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_url_filters": op6_url_filters,
+        "op7_token_wavelet": op7_token_wavelet,
         "op8_source_mixing": op8_source_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
     }

@@ -122,7 +122,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", min_
     rows = keyed(rows, text, id)
     edits = written(deletions(rows.select("id", "th", text), text, min_words=min_words, paths=paths), paths)
     gone = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["line"], r["last"]))))
-    out = rows.join(edits, KEY, "left").withColumn("_gone", gone)
+    # edits grow with the corpus, so the plan is the same shuffle join at any size
+    out = rows.join(edits.hint("merge"), KEY, "left").withColumn("_gone", gone)
     out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")

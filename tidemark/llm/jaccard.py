@@ -156,7 +156,7 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     first = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = written(sets.select("doc_id", "n", "key").join(first, "key", "left").select("doc_id", "n", "rep"), paths)
     reps = members.where("doc_id = rep").select("doc_id").distinct()
-    rows = sets.where("n > 0").select("doc_id", "prefix").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("h"))
+    rows = sets.where("n > 0").select("doc_id", "prefix").join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("h"))
     groups = rows.groupBy("h").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     stars = written(rows.join(groups, "h").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct(), paths)
     blocks = written(components(stars, paths), paths)
@@ -168,7 +168,7 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
         for batch in batches:
             yield batch.drop(columns="text").assign(items=[_ordered(t, rank).view(np.int64) for t in batch["text"]])
 
-    full = docs.join(routed, "doc_id").mapInPandas(arrays, "doc_id long, component long, parts int, part int, items array<long>")
+    full = docs.join(routed.hint("merge"), "doc_id").mapInPandas(arrays, "doc_id long, component long, parts int, part int, items array<long>")
     meets = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = meets.withColumn("block", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
     # a pair of different chunks compares across only; a chunk with itself compares inside
@@ -195,7 +195,7 @@ def one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", path
     """docs with one row of each group of linked documents, that of the smallest id; rows without an id all stay."""
     found = similar(docs, text=text, id=id, paths=paths)
     stay = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), paths)
-    kept = docs.join(stay, docs[id].cast("long") == stay["_id"], "left_semi").dropDuplicates([id])
+    kept = docs.join(stay.hint("merge"), docs[id].cast("long") == stay["_id"], "left_semi").dropDuplicates([id])
     return kept.unionByName(docs.where(F.col(id).isNull()))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, jaccard, linededup, mixing, packing, quality, urlfilter, wavelet
+from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, urlfilter, wavelet
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_line_dedup": op2_line_dedup,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_url_filters": op6_url_filters,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, urlfilter, wavelet
+from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, toxicity, urlfilter, wavelet
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.op9(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op7_token_wavelet": op7_token_wavelet,
         "op8_source_mixing": op8_source_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
+        "op10_toxicity": op10_toxicity,
     }
 
 

@@ -1,10 +1,12 @@
 """N-gram Jaccard join: all links of a Jaccard similarity between shingle sets, by T-occurrence search (DivideSkip).
 
 1. Documents with equal sets are one class; only its smallest id goes on.
-2. A sketch of how often shingles occur (2^16 counters, summed over every document) fixes one order of all shingles,
-   common ones last. Any order gives the same links; this one keeps passages that many documents share out of prefixes.
-3. Two linked sets share a shingle among the first n - ceil(t n) + 1 of either. The smallest id of each prefix shingle's
-   group (a partial aggregate, joined back) stars the group; connected stars are the blocks inside which links can lie.
+2. Two linked sets share a shingle among the first n - ceil(t n) + 1 of either, in any one order of all shingles. The order
+   here puts first the shingles that only one document has. Counting a fixed quarter of the hash space (of every document)
+   is enough to fill the prefix of a document that shares little: it has no link and leaves. A Bloom filter of bounded size
+   carries the others' ids to a second read; what it lets through by chance is only compared in vain.
+3. Among those left, counts are taken again, and prefixes start with the rarest shared shingles. The smallest id of each
+   prefix shingle's group (a partial aggregate, joined back) stars the group; connected stars are the blocks of possible links.
 4. Each block is searched by DivideSkip: a record's short inverted lists are merged by count, its long ones are probed
    by binary search, and records that reach the overlap are linked. A block of more than `chunk` sets is dealt out as pairs
    of chunks, so that a task holds two chunks at most and every pair of sets still meets.
@@ -24,37 +26,38 @@ from tidemark.llm.common import runs, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
 
-BINS = 16
-
+#: A shingle whose two lowest bits are zero belongs to the counted quarter.
+QUARTER = np.uint64(3)
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _counters(docs: DataFrame) -> np.ndarray:
-    """Rank of each of the 2^16 shingle bins by how many (document, shingle) pairs fall into it: a bounded 512 KB."""
+def _prefix(n: int, percent: int) -> int:
+    return n - _needed(n, percent) + 1 if n else 0
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BINS, np.int64)
-        for batch in filter(len, batches):
-            found = [shingle_set(text) >> np.uint64(64 - BINS) for text in batch["text"]]
-            total += np.bincount(np.concatenate(found).astype(np.int64), minlength=1 << BINS)
-        yield pd.DataFrame({"bin": np.flatnonzero(total), "n": total[total > 0]})
 
-    rows = docs.select("text").mapInPandas(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(1 << BINS, np.int64)
-    for bin_, n in rows:
-        total[bin_] = n
-    rank = np.empty(1 << BINS, np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(1 << BINS, dtype=np.uint64)
-    return rank
+def _bloom(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
+    """A Bloom filter over xxhash64 of the ids: 16 bits and two probes for each, 64 MB at most."""
+    n = ids.count()
+    bits = 1 << 16
+    while bits < min(16 * n, most):
+        bits *= 2
+    h = F.xxhash64("doc_id")
+    places = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))).alias("at")
+    words = ids.select(places).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+    rows = words.toPandas()  # bits / 32 rows at most
+    out = np.zeros(bits // 32, np.uint32)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
 
 
-def _ordered(text: str | None, rank: np.ndarray) -> np.ndarray:
-    """The set in the common order: the top bits of each hash are replaced by its bin's rank, which is one to one."""
-    s = shingle_set(text)
-    rest = np.uint64(64 - BINS)
-    return np.sort((rank[(s >> rest).astype(np.int64)] << rest) | (s & np.uint64((1 << (64 - BINS)) - 1)))
+def _passes(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bits = np.int64(len(bloom) * 32)
+    out = np.ones(len(h), bool)
+    for at in (h % bits, (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % bits):
+        out &= (bloom[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1
+    return out
 
 
 class Block:
@@ -139,36 +142,61 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     share an id are one document for links, and each keeps its row. A row without an id has a null component_id. Ties
     and order do not matter; extra columns are not read; an empty table gives an empty table.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rank = _counters(docs)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [_ordered(t, rank) for t in batch["text"]]
+            sets = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
+                "doc_id": batch["doc_id"].astype("Int64"),
                 "n": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "prefix": [s[: len(s) - _needed(len(s), percent) + 1].view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
+                "counted": [s[s & QUARTER == 0].view(np.int64) for s in sets],
             })
 
-    sets = written(docs.mapInPandas(prefixes, "doc_id long, n long, key binary, prefix array<long>"), paths)
+    sets = written(docs.mapInPandas(read, "doc_id long, n long, key binary, counted array<long>"), paths)
     first = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = written(sets.select("doc_id", "n", "key").join(first, "key", "left").select("doc_id", "n", "rep"), paths)
-    reps = members.where("doc_id = rep").select("doc_id").distinct()
-    rows = sets.where("n > 0").select("doc_id", "prefix").join(reps.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("h"))
+    members = written(sets.select("doc_id", "n", "key").join(first, "key", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), paths)
+    alone = sets.where("doc_id is not null").select("doc_id", F.explode("counted").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1")
+    alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    reps = members.where("doc_id = rep").select("doc_id", prefix.alias("p"))
+    bloom = _bloom(written(reps.join(alone.hint("merge"), "doc_id", "left").where("p > coalesce(alone, 0)").select("doc_id").distinct(), paths))
+    sent = spark.sparkContext.broadcast(bloom)
+
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[_passes(sent.value, batch["h"].to_numpy())]
+            sets = [s for s in (shingle_set(t) for t in batch["text"])]
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"],
+                "p": [_prefix(len(s), percent) for s in sets],
+                "items": [s.view(np.int64) for s in sets],
+                "counted": [s[s & QUARTER == 0].view(np.int64) for s in sets],
+                "others": [s[s & QUARTER != 0][: _prefix(len(s), percent)].view(np.int64) for s in sets],
+            })
+
+    known = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    left = written(known.mapInPandas(candidates, "doc_id long, p int, items array<long>, counted array<long>, others array<long>"), paths)
+    rows = left.select("doc_id", F.explode("counted").alias("h"))
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = rows.join(shared.hint("merge"), "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    start = left.select("doc_id", "p", F.size("counted").alias("k"), "others").join(ranked.hint("merge"), "doc_id", "left")
+    held = F.coalesce(F.size("shared"), F.lit(0))
+    open_ = F.greatest(F.col("p") - (F.col("k") - held), F.lit(0))  # places that lone shingles do not fill
+    start = start.withColumn("open", open_).where("open > 0")
+    own = F.coalesce(F.slice(F.transform("shared", lambda x: x["h"]), 1, F.col("open")), F.array().cast("array<bigint>"))
+    rest = F.slice("others", 1, F.greatest(F.col("open") - held, F.lit(0)))
+    rows = start.select("doc_id", F.explode(F.concat(own, rest)).alias("h"))
     groups = rows.groupBy("h").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    stars = written(rows.join(groups, "h").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct(), paths)
+    stars = written(rows.join(groups.hint("merge"), "h").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct(), paths)
     blocks = written(components(stars, paths), paths)
     large = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
     routed = blocks.join(large.withColumn("parts", parts), "component").select(F.col("id").alias("doc_id"), "component", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
 
-    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns="text").assign(items=[_ordered(t, rank).view(np.int64) for t in batch["text"]])
-
-    full = docs.join(routed.hint("merge"), "doc_id").mapInPandas(arrays, "doc_id long, component long, parts int, part int, items array<long>")
+    full = left.select("doc_id", "items").join(routed.hint("merge"), "doc_id")
     meets = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     meets = meets.withColumn("block", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
     # a pair of different chunks compares across only; a chunk with itself compares inside

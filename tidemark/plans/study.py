@@ -1 +1,232 @@
-"""Queries."""
+"""Queries over verdicts, first articles and lift."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables, cte
+from tidemark.operators import events as ev
+from tidemark.operators import tape as op
+from tidemark.plans.tape import names_of, r6, sr6, tape_of
+from tidemark.registry import query
+
+cte("largest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(z) DESC NULLS LAST, d) AS k FROM tape WHERE z IS NOT NULL) WHERE k = 1")
+cte("peak", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(z) DESC, d) AS k, bool_or(closed_before) OVER (PARTITION BY id) AS any_before FROM tape WHERE unusual) WHERE k = 1")
+cte("verdict", """SELECT a.id, a.cod, a.phase, a.pub_local, p.d AS peak_d, p.timing AS peak_timing, p.z AS peak_z, p.ret AS peak_ret, p.retained AS peak_retained, l.d AS largest_d, l.z AS largest_z, l.ret AS largest_ret,
+  CASE WHEN p.id IS NULL THEN 'NO_REACTION' WHEN p.closed_before THEN 'ALREADY_IN_PRICE' WHEN p.any_before THEN 'PARTLY_IN_PRICE'
+    WHEN p.is_reaction AND p.phase = 'in_session' AND p.open_share > 0.5 THEN 'MOSTLY_AT_OPEN' WHEN p.is_reaction THEN 'REACTED' ELSE 'DELAYED' END AS status
+  FROM (SELECT DISTINCT id, cod, phase, pub_local FROM tape) a LEFT JOIN peak p USING (id) LEFT JOIN largest l USING (id)""")
+cte("rates", """SELECT count(*) FILTER (na = 20 AND abs(ret / nullif(sa, 0)) >= 2) / count(*) FILTER (na = 20) AS share_a, count(*) FILTER (nb = 20 AND abs(ret / nullif(sb, 0)) >= 2) / count(*) FILTER (nb = 20) AS share_b
+  FROM (SELECT ret, count(ret) OVER a AS na, stddev_samp(ret) OVER a AS sa, count(ret) OVER b AS nb, stddev_samp(ret) OVER b AS sb FROM sessions
+    WHERE d >= date '1996-01-01' AND ret IS NOT NULL
+    WINDOW a AS (PARTITION BY cod ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (PARTITION BY cod ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))""")
+cte("firsts", """SELECT * FROM (SELECT a.id, o.cod, a.title, a.pub_utc, lag(a.pub_utc) OVER (PARTITION BY o.cod ORDER BY a.pub_utc, a.id) AS before FROM published a JOIN one o USING (id))
+  WHERE before IS NULL OR pub_utc >= before + INTERVAL 7 DAY""")
+STATUS_SQL = ", ".join(f"'{s}'" for s in ev.STATUSES)
+
+
+def verdicts_of(t: Tables):
+    return ev.verdicts(tape_of(t))
+
+
+def matched(t: Tables):
+    p = op.publication(t.articles)
+    return p.join(op.one_company(op.match_names(p, names_of(t))), "id")
+
+
+@query("verdict_status", "verdict", "SELECT status, count(*) AS n FROM verdict GROUP BY status")
+def _(t):
+    return verdicts_of(t).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("verdicts", "verdict", f"SELECT id, cod, status, peak_d, peak_timing, {sr6('peak_z')}, largest_d, {sr6('largest_z')} FROM verdict")
+def _(t):
+    v = verdicts_of(t)
+    return v.select("id", "cod", "status", F.col("peak.d").alias("peak_d"), F.col("peak.timing").alias("peak_timing"), F.round("peak.z", 6).alias("peak_z"), F.col("largest.d").alias("largest_d"), F.round("largest.z", 6).alias("largest_z"))
+
+
+@query("verdict_sessions", "tape", "SELECT id, string_agg(strftime(d, '%Y-%m-%d') || ':' || timing, ',' ORDER BY d) AS sessions FROM tape WHERE unusual GROUP BY id")
+def _(t):
+    v = verdicts_of(t).where(F.size("sessions") > 0)
+    return v.select("id", F.array_join(F.transform("sessions", lambda s: F.concat(F.date_format(s["d"], "yyyy-MM-dd"), F.lit(":"), s["timing"])), ",").alias("sessions"))
+
+
+@query("verdict_at_open", "tape", f"SELECT id, {sr6('gap', 'open_share')} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM tape WHERE is_reaction) WHERE k = 1 AND phase = 'in_session' AND open_px IS NOT NULL")
+def _(t):
+    v = verdicts_of(t).where("at_open is not null").select("id", "at_open.*")
+    return v.select("id", *r6("gap", "open_share"))
+
+
+@query("status_by_news_type", "verdict", "SELECT phase, " + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + " FROM verdict GROUP BY phase")
+def _(t):
+    return ev.status_table(verdicts_of(t), "phase")
+
+
+@query("status_shares", "verdict", "SELECT phase, status, count(*) AS n, round(count(*) / greatest(1, sum(count(*)) OVER (PARTITION BY phase)), 6) AS share FROM verdict GROUP BY phase, status")
+def _(t):
+    n = verdicts_of(t).groupBy("phase", "status").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy("phase"))), 6))
+
+
+@query("lead_shares", "verdict", """SELECT *, round(n_already / n_unusual, 6) AS share_already, round(n_before / n_unusual, 6) AS share_before, round(n_day_before / n_unusual, 6) AS share_day_before FROM (
+  SELECT count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, count(*) FILTER (status IN ('ALREADY_IN_PRICE', 'MOSTLY_AT_OPEN')) AS n_already,
+    count(*) FILTER (status IN ('ALREADY_IN_PRICE', 'PARTLY_IN_PRICE', 'MOSTLY_AT_OPEN')) AS n_before, count(*) FILTER (status <> 'NO_REACTION' AND peak_timing = 'day_before') AS n_day_before FROM verdict)""")
+def _(t):
+    x = ev.lead_shares(verdicts_of(t))
+    return x.select("n_unusual", "n_already", "n_before", "n_day_before", *r6("share_already", "share_before", "share_day_before"))
+
+
+@query("slot_lift", "tape rates", """SELECT slot, n, n_unusual, round(n_unusual / n, 6) AS share, round(chance, 6) AS chance, round(n_unusual / n / chance, 6) AS ratio FROM (
+  SELECT slot, count(*) AS n, count(*) FILTER (unusual) AS n_unusual, CASE WHEN slot = 'day_before' THEN (SELECT share_a FROM rates) ELSE (SELECT share_b FROM rates) END AS chance FROM (
+    SELECT 'day_before' AS slot, unusual FROM tape WHERE timing = 'day_before' UNION ALL SELECT 'reaction', unusual FROM tape WHERE is_reaction
+    UNION ALL SELECT 'same_day_' || phase, unusual FROM tape WHERE timing = 'same_day' AND phase <> 'non_trading_day' UNION ALL SELECT 'later_' || later_rank, unusual FROM tape WHERE timing = 'later') GROUP BY slot)""")
+def _(t):
+    x = ev.slot_lift(tape_of(t), op.base_rate(op.sessions(t.quotes), start="1996-01-01"))
+    return x.select("slot", "n", "n_unusual", *r6("share", "chance", "ratio"))
+
+
+@query("unusual_by_timing", "tape", "SELECT timing, count(*) FILTER (unusual) AS n_unusual, round(count(*) FILTER (unusual) / sum(count(*) FILTER (unusual)) OVER (), 6) AS share FROM tape GROUP BY timing")
+def _(t):
+    n = tape_of(t).groupBy("timing").agg(F.count_if(F.coalesce("unusual", F.lit(False))).alias("n_unusual"))
+    total = n.agg(F.sum("n_unusual").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("timing", "n_unusual", F.round(F.col("n_unusual") / F.col("total"), 6).alias("share"))
+
+
+@query("first_article_7d", "firsts", "SELECT id, cod FROM firsts")
+def _(t):
+    return ev.first_articles(matched(t)).select("id", "cod")
+
+
+@query("first_article_lookback", "firsts published one", """SELECT id, cod FROM (SELECT a.id, o.cod, a.pub_utc, lag(a.pub_utc) OVER (PARTITION BY o.cod ORDER BY a.pub_utc, a.id) AS before FROM published a JOIN one o USING (id)
+  WHERE cast(a.pub_utc as date) BETWEEN date '1997-03-25' AND date '1997-09-30') WHERE (before IS NULL OR pub_utc >= before + INTERVAL 7 DAY) AND cast(pub_utc as date) BETWEEN date '1997-04-01' AND date '1997-09-30'""")
+def _(t):
+    return ev.first_articles_between(matched(t), "1997-04-01", "1997-09-30").select("id", "cod")
+
+
+@query("first_article_status", "verdict firsts", "SELECT status, count(*) AS n FROM verdict WHERE id IN (SELECT id FROM firsts) GROUP BY status")
+def _(t):
+    return verdicts_of(t).join(ev.first_articles(matched(t)).select("id"), "id", "left_semi").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+STORY = "id cod phase status".split()
+
+
+def stories_of(t: Tables):
+    """One flat row for each article: its peak session, else its largest."""
+    v = verdicts_of(t)
+    pick = lambda f: F.coalesce(F.col(f"peak.{f}"), F.col(f"largest.{f}")).alias(f"peak_{f}")
+    return v.select(*STORY, "pub_local", pick("d"), pick("timing"), pick("z"), pick("ret"), pick("retained"))
+
+
+cte("stories", """SELECT v.id, v.cod, v.phase, v.status, v.pub_local, coalesce(v.peak_d, l.d) AS peak_d, coalesce(v.peak_timing, l.timing) AS peak_timing, coalesce(v.peak_z, l.z) AS peak_z,
+  coalesce(v.peak_ret, l.ret) AS peak_ret, CASE WHEN v.peak_d IS NULL THEN l.retained ELSE coalesce(v.peak_retained, l.retained) END AS peak_retained FROM verdict v LEFT JOIN largest l USING (id)""")
+
+
+@query("story_rows", "stories", f"SELECT {', '.join(STORY)}, peak_d, peak_timing, {sr6('peak_z', 'peak_ret')} FROM stories")
+def _(t):
+    return stories_of(t).select(*STORY, "peak_d", "peak_timing", *r6("peak_z", "peak_ret"))
+
+
+@query("tape_block", "verdict tape", f"SELECT t.id, t.cod, t.d, {sr6('t.prev_ref').replace('AS t.', 'AS ')}, round(t.last, 6) AS last, round(t.sd, 6) AS sd, round(t.retained, 6) AS retained FROM verdict v JOIN tape t ON t.id = v.id AND t.d = coalesce(v.peak_d, v.largest_d)")
+def _(t):
+    tape = tape_of(t)
+    v = ev.verdicts(tape).select("id", F.coalesce("peak.d", "largest.d").alias("d"))
+    return tape.join(v, ["id", "d"]).select("id", "cod", "d", *r6("prev_ref", "last", "sd", "retained"))
+
+
+@query("percent_rounding", "stories", "SELECT id, round(peak_ret * 100, 4) AS move_pct, round(peak_z, 4) AS z FROM stories")
+def _(t):
+    return stories_of(t).select("id", F.round(F.col("peak_ret") * 100, 4).alias("move_pct"), F.round("peak_z", 4).alias("z"))
+
+
+@query("news_direction_strength", "stories", "SELECT id, CASE WHEN status = 'NO_REACTION' THEN 'flat' WHEN peak_ret > 0 THEN 'up' WHEN peak_ret < 0 THEN 'down' ELSE 'flat' END AS dir, round(CASE WHEN status = 'NO_REACTION' THEN 0.1 ELSE least(1.0, abs(peak_z) / 6) END, 5) AS strength FROM stories")
+def _(t):
+    none = F.col("status") == "NO_REACTION"
+    s = stories_of(t)
+    return s.select("id", F.when(none, "flat").when(F.col("peak_ret") > 0, "up").when(F.col("peak_ret") < 0, "down").otherwise("flat").alias("dir"), F.round(F.when(none, 0.1).otherwise(F.least(F.lit(1.0), F.abs("peak_z") / 6)), 5).alias("strength"))
+
+
+GROUPS = [("NO_REACTION", "none", "none"), ("ALREADY_IN_PRICE", "before", "already"), ("PARTLY_IN_PRICE", "before", "already"), ("MOSTLY_AT_OPEN", "before", "already"), ("REACTED", "after", "reaction"), ("DELAYED", "after", "reaction")]
+GROUP_SQL = ", ".join(str(g) for g in GROUPS)
+cte("status_groups", f"SELECT * FROM (VALUES {GROUP_SQL}) AS g(status, timing_group, reaction_group)")
+
+
+@query("status_group", "verdict status_groups", "SELECT timing_group, reaction_group, count(*) AS n FROM verdict JOIN status_groups USING (status) GROUP BY ALL")
+def _(t):
+    g = t.spark.createDataFrame(GROUPS, "status string, timing_group string, reaction_group string")
+    return verdicts_of(t).join(F.broadcast(g), "status").groupBy("timing_group", "reaction_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("recent_window", "stories", "SELECT id, status FROM stories WHERE strftime(pub_local, '%Y-%m-%d') >= '1999-01-01'")
+def _(t):
+    return stories_of(t).where(F.date_format("pub_local", "yyyy-MM-dd") >= "1999-01-01").select("id", "status")
+
+
+@query("reaction_vote", "stories", """SELECT cod, CASE WHEN up > down THEN 'up' WHEN down > up THEN 'down' ELSE 'neutral' END AS vote, up, down FROM (
+  SELECT cod, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret > 0) AS up, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret < 0) AS down FROM stories GROUP BY cod)""")
+def _(t):
+    moved = F.col("status").isin("REACTED", "DELAYED")
+    n = stories_of(t).groupBy("cod").agg(F.count_if(moved & (F.col("peak_ret") > 0)).alias("up"), F.count_if(moved & (F.col("peak_ret") < 0)).alias("down"))
+    return n.select("cod", F.when(F.col("up") > F.col("down"), "up").when(F.col("down") > F.col("up"), "down").otherwise("neutral").alias("vote"), "up", "down")
+
+
+cte("company", """SELECT cod, count(*) AS n_stories, count(*) FILTER (id IN (SELECT id FROM firsts)) AS n_first, count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, """
+    + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + """, strftime(min(pub_local), '%Y-%m-%d %H:%M:%S') AS first_pub, strftime(max(pub_local), '%Y-%m-%d %H:%M:%S') AS last_pub FROM stories GROUP BY cod""")
+
+
+def company_of(t: Tables):
+    s = stories_of(t).join(ev.first_articles(matched(t)).select("id", F.lit(True).alias("first")), "id", "left")
+    when = lambda f, name: F.date_format(f("pub_local"), "yyyy-MM-dd HH:mm:ss").alias(name)
+    return s.groupBy("cod").agg(
+        F.count(F.lit(1)).alias("n_stories"), F.count_if(F.coalesce("first", F.lit(False))).alias("n_first"), F.count_if(F.col("status") != "NO_REACTION").alias("n_unusual"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in ev.STATUSES], when(F.min, "first_pub"), when(F.max, "last_pub"))
+
+
+@query("company_summary", "company", "SELECT * FROM company")
+def _(t):
+    return company_of(t)
+
+
+@query("company_index_sorted", "company", "SELECT cod, n_stories, row_number() OVER (ORDER BY n_stories DESC, cod) AS place FROM company ORDER BY place LIMIT 50")
+def _(t):
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n_stories"), "cod")
+    return company_of(t).orderBy(F.desc("n_stories"), "cod").limit(50).select("cod", "n_stories", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("card_batch_summary", "verdict", "SELECT phase, status, count(*) AS n FROM verdict GROUP BY ALL")
+def _(t):
+    return verdicts_of(t).groupBy("phase", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cards_newest_limit", "stories", "SELECT id, cod, status FROM stories WHERE status <> 'NO_REACTION' ORDER BY pub_local DESC, id LIMIT 100")
+def _(t):
+    return stories_of(t).where("status <> 'NO_REACTION'").orderBy(F.desc("pub_local"), "id").limit(100).select("id", "cod", "status")
+
+
+@query("card_index", "stories", "SELECT id, cod, status, row_number() OVER (PARTITION BY cod ORDER BY pub_local DESC, id) AS place FROM stories")
+def _(t):
+    w = Window.partitionBy("cod").orderBy(F.desc("pub_local"), "id")
+    return stories_of(t).select("id", "cod", "status", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("series_markers", "series", f"""SELECT id, max(CASE WHEN rel = -1 THEN d END) AS session_before, min(d) FILTER (in_baseline) AS base_from, max(d) FILTER (in_baseline) AS base_to, max(d) AS last_session,
+  (SELECT d FROM (SELECT x.d, row_number() OVER (ORDER BY abs(x.z) DESC, x.d) AS k FROM series x WHERE x.id = s.id AND x.rel BETWEEN -1 AND 5 AND x.z IS NOT NULL) WHERE k = 1) AS peak FROM series s GROUP BY id""")
+def _(t):
+    from tidemark.plans.tape import series_of
+
+    near = F.col("rel").between(-1, 5)
+    return series_of(t).groupBy("id").agg(
+        F.max(F.when(F.col("rel") == -1, F.col("d"))).alias("session_before"), F.min(F.when(F.col("in_baseline"), F.col("d"))).alias("base_from"), F.max(F.when(F.col("in_baseline"), F.col("d"))).alias("base_to"),
+        F.max("d").alias("last_session"), ev.argmax(F.abs("z"), "d", when=near)["d"].alias("peak"))
+
+
+@query("series_card_reconcile", "series tape", """SELECT s.id, s.d, CASE WHEN t.id IS NULL THEN 'no_card' WHEN abs(s.z - t.z) < 1e-9 OR (s.z IS NULL AND t.z IS NULL) THEN 'OK' ELSE 'MISMATCH' END AS state
+  FROM series s LEFT JOIN tape t ON t.id = s.id AND t.d = s.d WHERE s.rel IN (-1, 0)""")
+def _(t):
+    from tidemark.plans.tape import series_of
+
+    s = series_of(t).where("rel in (-1, 0)").select("id", "d", F.col("z").alias("sz"))
+    j = s.join(tape_of(t).select("id", "d", F.col("z").alias("tz"), F.lit(True).alias("card")), ["id", "d"], "left")
+    same = (F.abs(F.col("sz") - F.col("tz")) < 1e-9) | (F.col("sz").isNull() & F.col("tz").isNull())
+    return j.select("id", "d", F.when(F.col("card").isNull(), "no_card").when(same, "OK").otherwise("MISMATCH").alias("state"))

@@ -2,7 +2,7 @@
 
 1. Documents with equal sets are one class; only its smallest id goes on.
 2. Two linked sets share a shingle among the first n - ceil(t n) + 1 of either, in any one order of all shingles. The order
-   here puts first the shingles that only one document has. Counting a fixed quarter of the hash space (of every document)
+   here puts first the shingles that only one document has. Counting three eighths of the hash space (of every document)
    is enough to fill the prefix of a document that shares little: it has no link and leaves. A Bloom filter of bounded size
    carries the others' ids to a second read; what it lets through by chance is only compared in vain.
 3. Among those left, counts are taken again, and prefixes start with the rarest shared shingles. The smallest id of each
@@ -26,8 +26,11 @@ from tidemark.llm.common import runs, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
 
-#: A shingle whose two lowest bits are zero belongs to the counted quarter.
-QUARTER = np.uint64(3)
+
+
+def _counted(s: np.ndarray) -> np.ndarray:
+    """The part of the hash space that is counted: three eighths, well over the fifth that a prefix takes."""
+    return s & np.uint64(7) < np.uint64(3)
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
@@ -152,7 +155,7 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
                 "doc_id": batch["doc_id"].astype("Int64"),
                 "n": [len(s) for s in sets],
                 "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                "counted": [s[s & QUARTER == 0].view(np.int64) for s in sets],
+                "counted": [s[_counted(s)].view(np.int64) for s in sets],
             })
 
     sets = written(docs.mapInPandas(read, "doc_id long, n long, key binary, counted array<long>"), paths)
@@ -168,13 +171,13 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[_passes(sent.value, batch["h"].to_numpy())]
-            sets = [s for s in (shingle_set(t) for t in batch["text"])]
+            sets = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
                 "p": [_prefix(len(s), percent) for s in sets],
                 "items": [s.view(np.int64) for s in sets],
-                "counted": [s[s & QUARTER == 0].view(np.int64) for s in sets],
-                "others": [s[s & QUARTER != 0][: _prefix(len(s), percent)].view(np.int64) for s in sets],
+                "counted": [s[_counted(s)].view(np.int64) for s in sets],
+                "others": [s[~_counted(s)][: _prefix(len(s), percent)].view(np.int64) for s in sets],
             })
 
     known = docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")

@@ -1 +1,255 @@
-"""Queries."""
+"""Queries over portfolio, feeds, exports and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables, cte
+from tidemark.operators import desk as op
+from tidemark.operators import tape as tp
+from tidemark.plans.evidence import storied
+from tidemark.plans.study import stories_of
+from tidemark.plans.tape import names_of, r6, sr6, tape_of
+from tidemark.registry import query
+
+cte("lastpx", "SELECT cod, d, last AS close, coalesce(ret, 0) AS move FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY idx DESC) AS k FROM sessions) WHERE k = 1")
+cte("book", "SELECT p.ticker, p.qty, l.close, l.move, p.qty * l.close AS value FROM positions p JOIN lastpx l ON l.cod = p.ticker")
+
+
+def last_of(t: Tables):
+    return op.last_close_and_move(tp.sessions(t.quotes))
+
+
+def book_of(t: Tables):
+    last = last_of(t)
+    return op.values(t.positions, last).join(last.select(F.col("cod").alias("ticker"), "move"), "ticker")
+
+
+@query("last_close_and_move", "lastpx", f"SELECT cod, d, {sr6('close', 'move')} FROM lastpx")
+def _(t):
+    return last_of(t).select("cod", "d", *r6("close", "move"))
+
+
+@query("holding_weights", "book", "SELECT ticker, round(value / sum(value) OVER () * 100, 4) AS weight FROM book")
+def _(t):
+    b = book_of(t)
+    return b.crossJoin(F.broadcast(b.agg(F.sum("value").alias("total")))).select("ticker", F.round(F.col("value") / F.col("total") * 100, 4).alias("weight"))
+
+
+@query("largest_remainder_weights", "book", """SELECT ticker, cast(f + CASE WHEN row_number() OVER (ORDER BY round(u - f, 9) DESC, ticker) <= 1000 - sum(f) OVER () THEN 1 ELSE 0 END as bigint) AS units FROM (SELECT *, floor(u) AS f FROM (SELECT ticker, value / sum(value) OVER () * 1000 AS u FROM book))""")
+def _(t):
+    return op.largest_remainder(book_of(t)).select("ticker", "units")
+
+
+@query("holding_allocation", "book", "SELECT label, round(sum(value), 4) AS value FROM (SELECT CASE WHEN row_number() OVER (ORDER BY value DESC, ticker) <= 6 THEN ticker ELSE 'other' END AS label, value FROM book) GROUP BY label")
+def _(t):
+    return op.bucketed(book_of(t), "ticker", 6).select(F.col("ticker").alias("label"), F.round("value", 4).alias("value"))
+
+
+@query("sector_allocation", "book members", """SELECT sector, round(sum(value), 4) AS value FROM (SELECT CASE WHEN k <= 4 OR n <= 5 THEN sector ELSE 'other' END AS sector, value FROM (
+  SELECT sector, value, row_number() OVER (ORDER BY value DESC, sector) AS k, count(*) OVER () AS n FROM (SELECT m.sector, sum(value) AS value FROM book b JOIN members m ON m.cod = b.ticker GROUP BY m.sector))) GROUP BY sector""")
+def _(t):
+    b = book_of(t).join(F.broadcast(t.members), F.col("ticker") == F.col("cod"))
+    return op.bucketed(b, "sector", 4, most=5).select("sector", F.round("value", 4).alias("value"))
+
+
+@query("day_change", "book", "SELECT round(sum(value) - sum(value / (1 + move)), 4) AS change, round((sum(value) / sum(value / (1 + move)) - 1) * 100, 6) AS pct FROM book")
+def _(t):
+    before = F.sum(F.col("value") / (1 + F.col("move")))
+    return book_of(t).agg(F.round(F.sum("value") - before, 4).alias("change"), F.round((F.sum("value") / before - 1) * 100, 6).alias("pct"))
+
+
+cte("calendar", "SELECT DISTINCT d FROM valid WHERE d >= date '2001-01-01'")
+cte("aligned", """SELECT g.cod, g.d, last_value(s.last IGNORE NULLS) OVER (PARTITION BY g.cod ORDER BY g.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close,
+  first_value(s.last IGNORE NULLS) OVER (PARTITION BY g.cod ORDER BY g.d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead
+  FROM (SELECT c.cod, k.d FROM (SELECT DISTINCT cod FROM sessions) c CROSS JOIN calendar k) g LEFT JOIN sessions s ON s.cod = g.cod AND s.d = g.d""")
+
+
+def aligned(t: Tables, lead: bool):
+    s = tp.sessions(t.quotes)
+    return op.align(s, s.where("d >= date '2001-01-01'").select("d").distinct(), lead=lead)
+
+
+@query("calendar_align", "aligned", "SELECT cod, d, round(coalesce(close, ahead), 6) AS close FROM aligned")
+def _(t):
+    return aligned(t, True).select("cod", "d", *r6("close"))
+
+
+@query("calendar_align_no_lead", "aligned", "SELECT cod, count(close) AS n, count(*) - count(close) AS missing FROM aligned GROUP BY cod")
+def _(t):
+    return aligned(t, False).groupBy("cod").agg(F.count("close").alias("n"), (F.count(F.lit(1)) - F.count("close")).alias("missing"))
+
+
+@query("portfolio_value_series", "aligned positions", "SELECT d, round(sum(p.qty * coalesce(a.close, a.ahead)), 4) AS value FROM aligned a JOIN positions p ON p.ticker = a.cod WHERE d IN (SELECT d FROM calendar ORDER BY d DESC LIMIT 63) GROUP BY d")
+def _(t):
+    a = aligned(t, True)
+    last = a.select("d").distinct().orderBy(F.desc("d")).limit(63)
+    x = a.join(F.broadcast(last), "d", "left_semi").join(t.positions, F.col("cod") == F.col("ticker"))  # 63 days
+    return x.groupBy("d").agg(F.round(F.sum(F.col("qty") * F.col("close")), 4).alias("value"))
+
+
+@query("feed_scope_counts", "stories positions watchlist", """SELECT count(*) FILTER (h) AS held, count(*) FILTER (w) AS watched, count(*) FILTER (h OR w) AS tracked, count(*) AS n FROM (
+  SELECT cod IN (SELECT ticker FROM positions) AS h, cod IN (SELECT ticker FROM watchlist) AS w FROM stories)""")
+def _(t):
+    h = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("h"))
+    w = t.watchlist.select(F.col("ticker").alias("cod"), F.lit(True).alias("w"))
+    x = stories_of(t).join(h, "cod", "left").join(w, "cod", "left").select(F.coalesce("h", F.lit(False)).alias("h"), F.coalesce("w", F.lit(False)).alias("w"))
+    return x.agg(F.count_if("h").alias("held"), F.count_if("w").alias("watched"), F.count_if(F.col("h") | F.col("w")).alias("tracked"), F.count(F.lit(1)).alias("n"))
+
+
+@query("sector_news_top3", "stories members", "SELECT sector, id FROM (SELECT m.sector, s.id, row_number() OVER (PARTITION BY m.sector ORDER BY s.pub_local DESC, s.id) AS k FROM stories s JOIN members m USING (cod)) WHERE k <= 3")
+def _(t):
+    w = Window.partitionBy("sector").orderBy(F.desc("pub_local"), "id")
+    return stories_of(t).join(F.broadcast(t.members), "cod").withColumn("k", F.row_number().over(w)).where("k <= 3").select("sector", "id")
+
+
+@query("since_last_results", "storied sessions", """SELECT cod, round(l.last / nullif(b.last, 0) - 1, 6) AS change FROM (SELECT s.cod, max(s.idx) AS ib, (SELECT max(idx) FROM sessions x WHERE x.cod = s.cod) AS il FROM sessions s JOIN
+  (SELECT cod, max(cast(pub_local as date)) AS r FROM storied WHERE contains(title, 'HIGH') GROUP BY cod) r USING (cod) WHERE s.d < r.r GROUP BY s.cod) k JOIN sessions b USING (cod) JOIN sessions l USING (cod) WHERE b.idx = k.ib AND l.idx = k.il""")
+def _(t):
+    s = tp.sessions(t.quotes)
+    r = storied(t).where(F.col("title").contains("HIGH")).groupBy("cod").agg(F.max(F.to_date("pub_local")).alias("pub_date"))
+    a = tp.anchor(r, s).join(s.select("cod", F.col("idx").alias("idx_before"), F.col("last").alias("b")), ["cod", "idx_before"])
+    last = op.last_close_and_move(s).select("cod", "close")
+    return a.join(last, "cod").select("cod", F.round(F.try_divide("close", "b") - 1, 6).alias("change"))
+
+
+@query("signal_board", "stories", """SELECT ticker, round(signal, 6) AS signal FROM (SELECT cod AS ticker, avg(sign(peak_ret) * least(1.0, abs(peak_z) / 6) * sim) AS signal FROM (SELECT *, 0.5 + (cast(id as bigint) % 50) / 100 AS sim FROM stories) WHERE sim >= 0.6 GROUP BY cod) ORDER BY round(abs(signal), 9) DESC, ticker LIMIT 10""")
+def _(t):
+    x = stories_of(t).select(F.col("cod").alias("ticker"), F.signum("peak_ret").alias("sign"), F.least(F.lit(1.0), F.abs("peak_z") / 6).alias("strength"), (0.5 + (F.col("id").cast("long") % 50) / 100).alias("sim"))
+    return op.signal(x).select("ticker", *r6("signal"))
+
+
+@query("holding_context", "names positions", "SELECT cod, CASE WHEN cod IN (SELECT ticker FROM positions) THEN 'portfolio' ELSE 'watchlist' END AS context FROM names")
+def _(t):
+    h = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("h"))
+    return t.names.join(h, "cod", "left").select("cod", F.when(F.col("h"), "portfolio").otherwise("watchlist").alias("context"))
+
+
+@query("ticker_alias", "names", "SELECT cod, CASE cod WHEN 'S1' THEN 'ONE' WHEN 'S2' THEN 'TWO' ELSE cod END AS desk FROM names")
+def _(t):
+    a = t.spark.createDataFrame([("S1", "ONE"), ("S2", "TWO")], "cod string, alias string")
+    return t.names.join(F.broadcast(a), "cod", "left").select("cod", F.coalesce("alias", "cod").alias("desk"))
+
+
+@query("card_overlay", "", """SELECT coalesce(a.id, b.id, c.id) AS id, coalesce(a.text, b.text, c.text) AS text FROM (SELECT l_orderkey AS id, 'en' AS text FROM lineitem WHERE l_linenumber = 5) a
+  FULL JOIN (SELECT l_orderkey AS id, 'it' AS text FROM lineitem WHERE l_linenumber = 3) b ON a.id = b.id FULL JOIN (SELECT DISTINCT o_orderkey AS id, 'plain' AS text FROM orders WHERE o_orderkey % 3 = 0) c ON coalesce(a.id, b.id) = c.id""")
+def _(t):
+    li = t.base("lineitem")
+    layer = lambda n, s: li.where(F.col("l_linenumber") == n).select(F.col("l_orderkey").alias("id"), F.lit(s).alias("text"))
+    return op.overlay(layer(5, "en"), layer(3, "it"), t.base("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.lit("plain").alias("text")).distinct())
+
+
+@query("detail_precedence", "stories", "SELECT id, CASE WHEN status = 'REACTED' THEN 'detail' ELSE 'history' END AS origin FROM stories")
+def _(t):
+    s = stories_of(t)
+    return op.first_of(s.where("status = 'REACTED'").select("id", F.lit("detail").alias("origin")), s.select("id", F.lit("history").alias("origin")), "id")
+
+
+def feed(t: Tables):
+    s = stories_of(t)
+    tracked = t.positions.select(F.col("ticker").alias("cod"))
+    main = s.join(tracked, "cod", "left_semi").select("id", F.lit("tracked").alias("origin"))
+    return op.first_of(main, s.where("status <> 'NO_REACTION'").select("id", F.lit("detail").alias("origin")), "id")
+
+
+FEED = "SELECT id, CASE WHEN cod IN (SELECT ticker FROM positions) THEN 'tracked' ELSE 'detail' END AS origin FROM stories WHERE cod IN (SELECT ticker FROM positions) OR status <> 'NO_REACTION'"
+
+
+@query("feed_union", "stories positions", FEED)
+def _(t):
+    return feed(t)
+
+
+@query("feed_disjoint_union", "stories positions", f"SELECT origin, count(*) AS n FROM ({FEED}) GROUP BY origin")
+def _(t):
+    return feed(t).groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("codes_union", "one names", "SELECT cod FROM one UNION SELECT cod FROM names WHERE kind = 'ETF'")
+def _(t):
+    return tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
+
+
+@query("price_extract_codes", "one names quotes", "SELECT cod, count(*) AS n FROM quotes WHERE cod IN (SELECT cod FROM one UNION SELECT cod FROM names WHERE kind = 'ETF') GROUP BY cod")
+def _(t):
+    codes = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
+    return t.quotes.join(codes, "cod", "left_semi").groupBy("cod").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("story_ids_union", "stories one anchored", "SELECT id FROM stories UNION SELECT id FROM anchored UNION SELECT id FROM one")
+def _(t):
+    p = tp.publication(t.articles)
+    one = tp.one_company(tp.match_names(p, names_of(t)))
+    return stories_of(t).select("id").union(tp.anchor(p.join(one, "id"), tp.sessions(t.quotes, codes=one)).select("id")).union(one.select("id")).distinct()
+
+
+@query("last_quote_flag_exists", "names sessions", "SELECT cod, cod IN (SELECT cod FROM sessions) AS has_prices FROM names")
+def _(t):
+    s = tp.valid_quotes(t.quotes).select("cod").distinct().withColumn("p", F.lit(True))
+    return t.names.join(s, "cod", "left").select("cod", F.coalesce("p", F.lit(False)).alias("has_prices"))
+
+
+@query("integrity_checks", "stories names tape", """SELECT 'story_without_company' AS rule, count(*) AS n FROM stories WHERE cod NOT IN (SELECT cod FROM names) UNION ALL SELECT 'unknown_status', count(*) FROM stories WHERE status NOT IN ('NO_REACTION', 'ALREADY_IN_PRICE', 'PARTLY_IN_PRICE', 'MOSTLY_AT_OPEN', 'REACTED', 'DELAYED')
+  UNION ALL SELECT 'not_finite', count(*) FROM tape WHERE isnan(z) OR isinf(z)""")
+def _(t):
+    s = stories_of(t)
+    known = s.status.isin("NO_REACTION", "ALREADY_IN_PRICE", "PARTLY_IN_PRICE", "MOSTLY_AT_OPEN", "REACTED", "DELAYED")
+    bad = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+    z = F.col("z")
+    return bad(s.join(t.names, "cod", "left_anti"), "story_without_company").union(bad(s.where(~known), "unknown_status")).union(bad(tape_of(t).where(F.isnan(z) | (F.abs(z) == float("inf"))), "not_finite"))
+
+
+@query("write_company_columns", "sessions", "SELECT cod, count(*) AS n, string_agg(cast(d as varchar), ',' ORDER BY d) AS days FROM sessions GROUP BY cod")
+def _(t):
+    x = tp.sessions(t.quotes).groupBy("cod").agg(F.sort_array(F.collect_list(F.struct("d", "last", "qty", "ret"))).alias("x"))
+    return x.select("cod", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda r: r["d"].cast("string")), ",").alias("days"))
+
+
+@query("manifest_counts", "stories", "SELECT count(*) AS n_stories, count(DISTINCT cod) AS n_companies, count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, count(peak_d) AS n_peak, strftime(min(pub_local), '%Y-%m-%d') AS first_day, strftime(max(pub_local), '%Y-%m-%d') AS last_day FROM stories")
+def _(t):
+    day = lambda f: F.date_format(f("pub_local"), "yyyy-MM-dd")
+    return stories_of(t).agg(F.count(F.lit(1)).alias("n_stories"), F.count_distinct("cod").alias("n_companies"), F.count_if(F.col("status") != "NO_REACTION").alias("n_unusual"), F.count("peak_d").alias("n_peak"), day(F.min).alias("first_day"), day(F.max).alias("last_day"))
+
+
+@query("upsert_news_block", "stories", "SELECT id, CASE WHEN status = 'DELAYED' THEN 'new' ELSE 'old' END AS block FROM stories")
+def _(t):
+    s = stories_of(t)
+    new = s.where("status = 'DELAYED'").select("id", F.lit("new").alias("fresh"))
+    return s.select("id", F.lit("old").alias("old")).join(new, "id", "left").select("id", F.coalesce("fresh", "old").alias("block"))
+
+
+@query("fetch_bodies", "stories", "SELECT id, o_totalprice AS body FROM stories JOIN orders ON cast(o_orderkey as varchar) = id")
+def _(t):
+    o = t.base("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("body"))
+    return stories_of(t).select("id").join(o, "id")
+
+
+@query("csv_tape_roundtrip", "valid", f"SELECT cod, d, {sr6('last')} FROM valid")
+def _(t):
+    from tidemark.sources.files import roundtrip_csv
+
+    return roundtrip_csv(tp.valid_quotes(t.quotes).select("cod", "d", "last")).select("cod", "d", *r6("last"))
+
+
+@query("json_card_scan", "stories", "SELECT id, cod, status FROM stories")
+def _(t):
+    from tidemark.sources.files import roundtrip_json
+
+    return roundtrip_json(stories_of(t).select("id", F.struct("cod", "status").alias("card"))).select("id", "card.cod", "card.status")
+
+
+@query("write_story_bundle", "stories", "SELECT status, count(*) AS n FROM stories GROUP BY status")
+def _(t):
+    from tidemark.sources.files import roundtrip_json
+
+    return roundtrip_json(stories_of(t).select("id", "cod", "status"), "status").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("document_ingest", "", "SELECT conv_id, turn, length(text) AS n FROM conversations")
+def _(t):
+    from tidemark.sources.files import parse_document
+
+    c = t.base("conversations")
+    raw = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.col("text").alias("content")))).otherwise(F.col("text"))
+    return parse_document(c.withColumn("raw", raw), "raw").select("conv_id", "turn", F.length("body").cast("long").alias("n"))

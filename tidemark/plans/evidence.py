@@ -1 +1,243 @@
-"""Queries."""
+"""Queries over thesis evidence."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables, cte
+from tidemark.operators import evidence as op
+from tidemark.operators.tape import publication, sessions
+from tidemark.plans.study import matched, stories_of
+from tidemark.plans.tape import r6
+from tidemark.registry import query
+
+cte("matched", "SELECT a.*, o.cod FROM published a JOIN one o USING (id)")
+cte("quartered", "SELECT m.id, m.cod, m.title, m.pub_utc, m.pub_date, q.no, q.quarter FROM matched m JOIN quarters q ON m.pub_date BETWEEN q.from_d AND q.to_d")
+cte("storied", "SELECT s.*, a.title FROM stories s JOIN published a USING (id)")
+cte("thesis_words", "SELECT ticker, i AS indicator, lower(i) AS word FROM theses, unnest(indicators) AS u(i)")
+cte("thesis_hits", "SELECT t.ticker, s.id, t.indicator, 1 AS hits FROM storied s JOIN thesis_words t ON t.ticker = s.cod AND list_contains(regexp_extract_all(lower(s.title), '[0-9a-z]{3,}'), t.word)")
+
+
+def quartered(t: Tables):
+    return op.assign_quarters(matched(t), t.quarters, date="pub_date")
+
+
+def storied(t: Tables):
+    return stories_of(t).join(publication(t.articles).select("id", "title"), "id")
+
+
+def tags_of(t: Tables):
+    """The indicator with most word hits for each story; the first by name on ties."""
+    return op.top(op.thesis_hits(storied(t), t.theses), 1, ["id"], F.desc("hits"), "indicator").select("id", "indicator")
+
+
+def indicators_of(t: Tables):
+    return t.theses.select(F.col("ticker").alias("cod"), F.explode("indicators").alias("indicator"))
+
+
+@query("quarter_assign", "quartered", "SELECT id, quarter FROM quartered")
+def _(t):
+    return quartered(t).select("id", "quarter")
+
+
+@query("results_articles_top2", "quartered", """SELECT id, cod, quarter, place FROM (SELECT *, row_number() OVER (PARTITION BY cod, quarter ORDER BY score DESC, pub_utc, length(title) DESC, id) AS place FROM (
+  SELECT *, NOT contains(title, 'LOW') AS real, bool_or(NOT contains(title, 'LOW')) OVER (PARTITION BY cod, quarter) AS any_real, CASE WHEN contains(title, 'HIGH') THEN 2 WHEN contains(title, 'URGENT') THEN 1 ELSE 0 END AS score FROM quartered) WHERE real OR NOT any_real) WHERE place <= 2""")
+def _(t):
+    title = F.col("title")
+    score = F.when(title.contains("HIGH"), 2).when(title.contains("URGENT"), 1).otherwise(0)
+    x = quartered(t).withColumn("size", F.length("title"))
+    return op.results_candidates(x, keys=["cod", "quarter"], preview=title.contains("LOW"), score=score, at="pub_utc", size="size").select("id", "cod", "quarter", "place")
+
+
+@query("longest_bodies_top2", "quartered", "SELECT id, cod, quarter, place FROM (SELECT *, row_number() OVER (PARTITION BY cod, quarter ORDER BY length(title) DESC, pub_utc, id) AS place FROM quartered) WHERE place <= 2")
+def _(t):
+    return op.top(quartered(t), 2, ["cod", "quarter"], F.desc(F.length("title")), "pub_utc", "id").select("id", "cod", "quarter", "place")
+
+
+@query("headlines_top40", "matched", "SELECT id, cod, place FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY pub_utc DESC, id) AS place FROM matched) WHERE place <= 40")
+def _(t):
+    return op.top(matched(t), 40, ["cod"], F.desc("pub_utc"), "id").select("id", "cod", "place")
+
+
+@query("results_reaction", "quartered sessions anchored", """SELECT id, cod, round(CASE WHEN early AND n_d = pub_date THEN n_px / nullif(b_px, 0) - 1 WHEN early THEN b_px / nullif(b_px, 0) - 1 WHEN n_d = pub_date THEN m_px / nullif(n_px, 0) - 1 ELSE n_px / nullif(b_px, 0) - 1 END, 6) AS move FROM (
+  SELECT a.id, a.cod, a.pub_date, strftime(a.pub_local, '%H:%M:%S') < '17:30:00' AS early, b.last AS b_px, n.d AS n_d, n.last AS n_px, m.last AS m_px FROM (SELECT * FROM anchored WHERE id IN (SELECT id FROM quartered)) a
+  JOIN sessions b ON b.cod = a.cod AND b.idx = a.idx_before LEFT JOIN sessions n ON n.cod = a.cod AND n.idx = a.idx_before + 1 LEFT JOIN sessions m ON m.cod = a.cod AND m.idx = a.idx_before + 2)""")
+def _(t):
+    x = op.results_reaction(quartered(t), sessions(t.quotes))
+    return x.select("id", "cod", *r6("move"))
+
+
+@query("thesis_title_match", "thesis_hits", "SELECT ticker, id, indicator, hits FROM thesis_hits")
+def _(t):
+    return op.thesis_hits(storied(t), t.theses)
+
+
+@query("best_indicator_tag", "thesis_hits", "SELECT id, min(indicator) AS indicator FROM thesis_hits GROUP BY id")
+def _(t):
+    return tags_of(t)
+
+
+@query("apply_indicator_tags", "thesis_hits theses", "SELECT id, indicator FROM (SELECT id, min(indicator) AS indicator FROM thesis_hits GROUP BY id) WHERE indicator IN ('URGENT', 'MEDIUM')")
+def _(t):
+    allowed = t.spark.createDataFrame([("URGENT",), ("MEDIUM",)], "indicator string")
+    return tags_of(t).join(F.broadcast(allowed), "indicator", "left_semi").select("id", "indicator")
+
+
+cte("tagged", """SELECT s.*, CASE WHEN h.indicator IS NULL THEN 'outside' ELSE h.indicator END AS bucket FROM storied s LEFT JOIN (SELECT id, min(indicator) AS indicator FROM thesis_hits GROUP BY id) h USING (id)""")
+
+
+@query("news_rollup", "tagged", """SELECT cod, bucket, count(*) AS n, count(*) FILTER (status IN ('REACTED', 'DELAYED')) AS n_reaction, count(*) FILTER (status IN ('ALREADY_IN_PRICE', 'PARTLY_IN_PRICE', 'MOSTLY_AT_OPEN')) AS n_already,
+  count(*) FILTER (status = 'NO_REACTION') AS n_none, string_agg(id, ',' ORDER BY k) FILTER (k <= 5) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY cod, bucket ORDER BY pub_local DESC, id) AS k FROM tagged) GROUP BY cod, bucket""")
+def _(t):
+    return op.news_rollup(storied(t), tags_of(t), indicators_of(t))
+
+
+@query("news_by_indicator", "tagged", "SELECT bucket, status, count(*) AS n FROM tagged GROUP BY ALL")
+def _(t):
+    x = storied(t).join(tags_of(t), "id", "left").withColumn("bucket", F.coalesce("indicator", F.lit("outside")))
+    return x.groupBy("bucket", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+cte("votes", """SELECT cod, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret > 0) AS pros, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret < 0) AS cons FROM stories WHERE strftime(pub_local, '%Y-%m') = '1997-03' GROUP BY cod""")
+VOTE = "CASE WHEN pros > 0 AND cons = 0 THEN 'strengthened' WHEN cons > 0 AND pros = 0 THEN 'weakened' WHEN pros = 0 AND cons = 0 THEN 'insufficient' ELSE 'unchanged' END"
+
+
+def votes_of(t: Tables):
+    moved = F.col("status").isin("REACTED", "DELAYED")
+    s = stories_of(t).where(F.date_format("pub_local", "yyyy-MM") == "1997-03")
+    return s.groupBy("cod").agg(F.count_if(moved & (F.col("peak_ret") > 0)).alias("pros"), F.count_if(moved & (F.col("peak_ret") < 0)).alias("cons"))
+
+
+def overall():
+    return F.expr("CASE WHEN pros > 0 AND cons = 0 THEN 'strengthened' WHEN cons > 0 AND pros = 0 THEN 'weakened' WHEN pros = 0 AND cons = 0 THEN 'insufficient' ELSE 'unchanged' END")
+
+
+@query("overall_vote", "votes", f"SELECT cod, pros, cons, {VOTE} AS vote FROM votes")
+def _(t):
+    return votes_of(t).withColumn("vote", overall())
+
+
+ACTIONS = [("portfolio", "strengthened", "add"), ("portfolio", "weakened", "reduce"), ("portfolio", "unchanged", "hold"), ("portfolio", "insufficient", "review"), ("watchlist", "strengthened", "open"), ("watchlist", "weakened", "drop"), ("watchlist", "unchanged", "watch"), ("watchlist", "insufficient", "watch")]
+
+
+@query("action_mapping", "votes positions", f"""SELECT v.cod, a.action FROM (SELECT cod, {VOTE} AS vote, CASE WHEN cod IN (SELECT ticker FROM positions) THEN 'portfolio' ELSE 'watchlist' END AS context FROM votes) v
+  JOIN (VALUES {', '.join(str(a) for a in ACTIONS)}) AS a(context, vote, action) USING (context, vote)""")
+def _(t):
+    held = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("held"))
+    v = votes_of(t).withColumn("vote", overall()).join(held, "cod", "left").withColumn("context", F.when(F.col("held"), "portfolio").otherwise("watchlist"))
+    a = t.spark.createDataFrame(ACTIONS, "context string, vote string, action string")
+    return v.join(F.broadcast(a), ["context", "vote"]).select("cod", "action")
+
+
+cte("assessed", "SELECT cod, quarter, no, count(*) >= 2 AS verified, count(*) FILTER (contains(title, 'URGENT')) > 0 AS cited, CASE WHEN count(*) FILTER (contains(title, 'HIGH')) > 0 THEN 'better' ELSE 'worse' END AS state FROM quartered GROUP BY cod, quarter, no")
+
+
+def assessed(t: Tables):
+    has = lambda w: F.count_if(F.col("title").contains(w)) > 0
+    return quartered(t).groupBy("cod", "quarter", "no").agg((F.count(F.lit(1)) >= 2).alias("verified"), has("URGENT").alias("cited"), F.when(has("HIGH"), "better").otherwise("worse").alias("state"))
+
+
+@query("indicator_latest_cited", "assessed", """SELECT cod, CASE WHEN o < 0 THEN 'not_cited' ELSE state END AS state FROM (SELECT cod, state, o, row_number() OVER (PARTITION BY cod ORDER BY o DESC, state DESC) AS k FROM (
+  SELECT *, CASE WHEN verified AND cited THEN no + 1000 WHEN cited THEN no ELSE -1 END AS o FROM assessed)) WHERE k = 1""")
+def _(t):
+    return op.latest_cited(assessed(t))
+
+
+@query("coverage_sufficiency", "assessed", "SELECT cod, count(*) FILTER (verified) AS n, CASE WHEN count(*) FILTER (verified) < 2 OR max(no) FILTER (verified) < 3 THEN 'insufficient' ELSE 'ok' END AS coverage, 4 - count(*) FILTER (verified) AS missing FROM assessed GROUP BY cod")
+def _(t):
+    x = assessed(t).groupBy("cod").agg(F.count_if("verified").alias("n"), F.max(F.when(F.col("verified"), F.col("no"))).alias("last"))
+    return x.select("cod", "n", F.when((F.col("n") < 2) | (F.col("last") < 3), "insufficient").otherwise("ok").alias("coverage"), (4 - F.col("n")).alias("missing"))
+
+
+@query("quarter_entry_join", "assessed quarters one", "SELECT c.cod, q.quarter, coalesce(a.state, 'missing') AS state FROM (SELECT DISTINCT cod FROM one) c CROSS JOIN quarters q LEFT JOIN assessed a ON a.cod = c.cod AND a.quarter = q.quarter")
+def _(t):
+    grid = matched(t).select("cod").distinct().crossJoin(F.broadcast(t.quarters.select("quarter")))  # four rows
+    return grid.join(assessed(t), ["cod", "quarter"], "left").select("cod", "quarter", F.coalesce("state", F.lit("missing")).alias("state"))
+
+
+@query("quarter_metric_pivot", "quartered", "SELECT cod, " + ", ".join(f"count(*) FILTER (quarter = '1997Q{i}') AS \"1997Q{i}\"" for i in range(1, 5)) + " FROM quartered GROUP BY cod")
+def _(t):
+    return quartered(t).groupBy("cod").pivot("quarter", [f"1997Q{i}" for i in range(1, 5)]).count().fillna(0)
+
+
+@query("earliest_anchor", "quartered", "SELECT cod, quarter, id FROM (SELECT *, row_number() OVER (PARTITION BY cod, quarter ORDER BY pub_utc, id) AS k FROM quartered WHERE contains(title, 'HIGH')) WHERE k = 1")
+def _(t):
+    x = quartered(t).where(F.col("title").contains("HIGH")).groupBy("cod", "quarter").agg(F.min(F.struct("pub_utc", "id")).alias("x"))
+    return x.select("cod", "quarter", "x.id")
+
+
+@query("grounding_sources", "quartered", "SELECT cod, quarter, md5(string_agg(title, chr(10) ORDER BY pub_utc, id)) AS sources FROM quartered GROUP BY cod, quarter")
+def _(t):
+    x = quartered(t).groupBy("cod", "quarter").agg(F.sort_array(F.collect_list(F.struct("pub_utc", "id", "title"))).alias("x"))
+    return x.select("cod", "quarter", F.md5(F.array_join(F.transform("x", lambda r: r["title"]), "\n")).alias("sources"))
+
+
+@query("fact_verification", "", "SELECT item_id, count(*) AS n, count(*) FILTER (contains(d.text, substr(b.text, 1, 24))) AS verified FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 GROUP BY item_id")
+def _(t):
+    from tidemark.plans.text import pairs_of
+
+    return pairs_of(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("body").contains(F.substring("quote", 1, 24))).alias("verified"))
+
+
+@query("aggregate_verification", "assessed", "SELECT cod, bool_and(state IN ('better', 'same', 'worse')) AS ok, count(*) FILTER (NOT verified) AS failures FROM assessed GROUP BY cod")
+def _(t):
+    return assessed(t).groupBy("cod").agg(F.bool_and(F.col("state").isin("better", "same", "worse")).alias("ok"), F.count_if(~F.col("verified")).alias("failures"))
+
+
+@query("decision_verification", "votes positions", f"""SELECT cod, CASE WHEN list_contains(CASE WHEN held THEN ['add', 'reduce', 'hold'] ELSE ['open', 'watch'] END, proposed) THEN proposed WHEN held THEN 'add' ELSE 'open' END AS action FROM (
+  SELECT cod, cod IN (SELECT ticker FROM positions) AS held, CASE WHEN {VOTE} = 'strengthened' THEN 'add' WHEN {VOTE} = 'weakened' THEN 'reduce' ELSE 'watch' END AS proposed FROM votes)""")
+def _(t):
+    held = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("held"))
+    v = votes_of(t).withColumn("vote", overall()).join(held, "cod", "left")
+    proposed = F.when(F.col("vote") == "strengthened", "add").when(F.col("vote") == "weakened", "reduce").otherwise("watch")
+    v = v.withColumn("proposed", proposed).withColumn("allowed", F.when(F.col("held"), F.array(*map(F.lit, ("add", "reduce", "hold")))).otherwise(F.array(*map(F.lit, ("open", "watch")))))
+    return v.select("cod", F.when(F.array_contains("allowed", F.col("proposed")), F.col("proposed")).otherwise(F.get("allowed", F.lit(0))).alias("action"))
+
+
+@query("best_attempt", "", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn DESC) AS k FROM conversations WHERE role = 'assistant') WHERE k = 1")
+def _(t):
+    return op.top(t.base("conversations").where("role = 'assistant'"), 1, ["conv_id"], F.desc(F.length("text")), F.desc("turn")).select("conv_id", "turn")
+
+
+@query("facts_top4", "storied thesis_hits", """SELECT cod, id, place FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY pub_local DESC, id) AS place FROM (
+  SELECT *, id IN (SELECT id FROM thesis_hits) AS hit, bool_or(id IN (SELECT id FROM thesis_hits)) OVER (PARTITION BY cod) AS any_real FROM storied) WHERE hit OR NOT any_real) WHERE place <= 4""")
+def _(t):
+    s = storied(t)
+    x = s.join(op.thesis_hits(s, t.theses).select("id", F.lit(True).alias("hit")).distinct(), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    x = x.withColumn("some", F.max("hit").over(Window.partitionBy("cod"))).where("hit or not some")
+    return op.top(x, 4, ["cod"], F.desc("pub_local"), "id").select("cod", "id", "place")
+
+
+@query("incremental_skip", "theses", "SELECT ticker FROM theses WHERE target_weight <> 5")
+def _(t):
+    now = t.theses.withColumn("fp", F.substring(F.sha2(F.to_json(F.struct("motive", "indicators", "horizon", "target_weight")), 256), 1, 16))
+    built = now.where("target_weight = 5").select("ticker", "fp")
+    return op.changed_only(now, built, key="ticker", fingerprint="fp").select("ticker")
+
+
+@query("thesis_staleness", "theses", "SELECT ticker, target_weight > 6 AS stale FROM theses")
+def _(t):
+    used = t.theses.withColumn("target_weight", F.when(F.col("target_weight") > 6, F.lit(None)).otherwise(F.col("target_weight")))
+    s = lambda p: F.struct(*[F.col(f"{p}.{c}") for c in ("motive", "indicators", "horizon", "target_weight")])
+    return t.theses.alias("n").join(used.alias("u"), "ticker").select("ticker", (~s("n").eqNullSafe(s("u"))).alias("stale"))
+
+
+@query("override_theses", "theses", "SELECT ticker, CASE WHEN ticker = 'S3' THEN 'changed' ELSE motive END AS motive, horizon FROM theses")
+def _(t):
+    new = t.spark.createDataFrame([("S3", "changed", None)], "ticker string, new_motive string, new_horizon string")
+    return t.theses.join(F.broadcast(new), "ticker", "left").select("ticker", F.coalesce("new_motive", "motive").alias("motive"), F.coalesce("new_horizon", "horizon").alias("horizon"))
+
+
+@query("recalc_diff", "votes", f"SELECT cod, {VOTE} AS vote, pros > 1 AS changed FROM votes")
+def _(t):
+    after = votes_of(t).withColumn("vote", overall())
+    before = after.select("cod", F.when(F.col("pros") > 1, F.lit(None)).otherwise(F.col("vote")).alias("old"))
+    return after.join(before, "cod", "left").select("cod", "vote", (~F.col("vote").eqNullSafe(F.col("old"))).alias("changed"))
+
+
+@query("price_vs_thesis", "votes stories", f"""SELECT cod, {VOTE} AS vote, CASE WHEN m > 0.005 THEN 'up' WHEN m < -0.005 THEN 'down' ELSE 'flat' END AS price FROM (SELECT v.*, (SELECT avg(peak_ret) FROM stories s WHERE s.cod = v.cod) AS m FROM votes v)""")
+def _(t):
+    m = stories_of(t).groupBy("cod").agg(F.avg("peak_ret").alias("m"))
+    x = votes_of(t).withColumn("vote", overall()).join(m, "cod", "left")
+    return x.select("cod", "vote", F.when(F.col("m") > 0.005, "up").when(F.col("m") < -0.005, "down").otherwise("flat").alias("price"))

@@ -1 +1,27 @@
-"""Queries."""
+"""Streaming queries against their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables
+from tidemark.registry import query
+from tidemark.streaming import jobs
+
+
+def events(t: Tables):
+    schema = t.base("events").schema
+    s = t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", True).parquet(t.sf_dir)
+    return s.withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("stream_first_article", "", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 7 DAY THEN 1 ELSE 0 END AS s FROM events)) GROUP BY user_id, run""")
+def _(t):
+    x = jobs.run_available(jobs.first_article_sessions(events(t), key="user_id", at="at", late="60 days"), mode="complete")
+    return x.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
+
+
+@query("stream_daily_shock_counts", "", "SELECT event_type, cast(ts as date) AS d, count(*) AS n, count(*) FILTER (abs(value) >= 50) AS large FROM events GROUP BY ALL")
+def _(t):
+    return jobs.run_available(jobs.daily_counts(events(t), key="event_type", at="at", value="value", cut=50.0, late="60 days"), mode="complete")

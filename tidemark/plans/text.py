@@ -1 +1,193 @@
-"""Queries."""
+"""Queries over classification and grounding."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.fixtures import Tables, cte
+from tidemark.operators import text as op
+from tidemark.operators.tape import publication
+from tidemark.plans.tape import names_of
+from tidemark.registry import query
+
+WORDS = ["idiot", "moron", "clown", "password", "license"]
+cte("hits", "SELECT a.id, r.type, r.rule_no, r.soft, r.hard FROM published a JOIN rules r ON regexp_matches(a.title, r.pattern)")
+cte("kept_types", """SELECT * FROM (SELECT *, coalesce(max(CASE WHEN type = 'capital' THEN CASE WHEN any_hard THEN 1 ELSE 0 END END) OVER (PARTITION BY id), 0) AS cap FROM (
+  SELECT id, type, bool_and(soft) AS all_soft, bool_or(hard) AS any_hard FROM hits GROUP BY id, type)) WHERE NOT (type = 'earnings' AND all_soft AND cap = 1)""")
+cte("classified", """SELECT a.id, coalesce((SELECT k.type FROM kept_types k JOIN priority p USING (type) WHERE k.id = a.id ORDER BY p.priority LIMIT 1), 'other') AS news_type,
+  coalesce((SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT cast(rule_no as varchar) AS n FROM hits h WHERE h.id = a.id)), '') AS rules FROM published a""")
+NORM = r"""trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ‘’“”', 'aaaaaaceeeeiiiinooooouuuuyy''''""'), '\s+', ' ', 'g'))"""
+cte("pairs", """SELECT b.item_id, d.doc_id, b.text AS quote, d.text AS body FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40""")
+cte("turns", """SELECT a.conv_id, a.turn, a.text AS sentence, u.text AS source FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'""")
+
+
+def classified(t: Tables):
+    return op.classify(publication(t.articles), t.rules, t.priority)
+
+
+def turns_of(t: Tables):
+    c = t.base("conversations")
+    user = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    return c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("sentence")).join(user, ["conv_id", "turn"])
+
+
+def pairs_of(t: Tables):
+    b = t.base("benchmark").select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).cast("long").alias("k"))
+    d = t.base("documents").select("doc_id", F.col("text").alias("body"), (F.col("doc_id") % 40).cast("long").alias("k"))
+    return d.join(b, "k").drop("k")
+
+
+@query("rule_title_join", "hits", "SELECT id, type, rule_no FROM hits")
+def _(t):
+    return op.rule_hits(publication(t.articles), t.rules).select("id", "type", F.col("rule_no"))
+
+
+@query("rule_hits", "hits", "SELECT type, rule_no, count(*) AS n FROM hits GROUP BY ALL")
+def _(t):
+    return op.rule_hits(publication(t.articles), t.rules).groupBy("type", "rule_no").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("news_type_priority", "classified", "SELECT id, news_type FROM classified")
+def _(t):
+    return classified(t).select("id", "news_type")
+
+
+@query("matched_rules", "classified", "SELECT id, rules FROM classified")
+def _(t):
+    return classified(t).select("id", "rules")
+
+
+@query("soft_hit_demotion", "kept_types", "SELECT id, type FROM kept_types WHERE cap = 1")
+def _(t):
+    hits = op.rule_hits(publication(t.articles), t.rules)
+    by = hits.groupBy("id", "type").agg(F.bool_and("soft").alias("all_soft"), F.bool_or("hard").alias("any_hard"))
+    capital = hits.where("type = 'capital' and hard").select("id").distinct()
+    return by.join(capital, "id", "left_semi").where("not (type = 'earnings' and all_soft)").select("id", "type")
+
+
+@query("classifier_distribution", "classified", "SELECT news_type, count(*) AS n FROM classified GROUP BY news_type")
+def _(t):
+    return classified(t).groupBy("news_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scheduled_flag", "classified", "SELECT id, CASE WHEN news_type = 'earnings' THEN true WHEN news_type IN ('capital', 'rating') THEN false END AS scheduled FROM classified")
+def _(t):
+    n = F.col("news_type")
+    return classified(t).select("id", F.when(n == "earnings", True).when(n.isin("capital", "rating"), False).alias("scheduled"))
+
+
+@query("body_fallback", "classified", "SELECT id, CASE WHEN news_type IN ('other', 'market_report') THEN 'from_body' ELSE news_type END AS final_type FROM classified")
+def _(t):
+    n = F.col("news_type")
+    return classified(t).select("id", F.when(n.isin("other", "market_report"), "from_body").otherwise(n).alias("final_type"))
+
+
+@query("normalise_text", "", f"SELECT doc_id, md5({NORM.format('text')}) AS h FROM documents")
+def _(t):
+    return t.base("documents").select("doc_id", F.md5(op.normalise("text")).alias("h"))
+
+
+@query("slugify", "names", "SELECT cod, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM names")
+def _(t):
+    return t.names.select("cod", op.slug("name").alias("slug"))
+
+
+@query("slug_collisions", "names", "SELECT substr(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 17) AS slug, count(*) AS n FROM names GROUP BY 1 HAVING count(*) > 1")
+def _(t):
+    return t.names.select(F.substring(op.slug("name"), 1, 17).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("verbatim_quote_check", "pairs", f"SELECT item_id, doc_id, contains({NORM.format('body')}, {NORM.format('quote')}) AS ok FROM pairs")
+def _(t):
+    return pairs_of(t).select("item_id", "doc_id", op.verbatim("body", "quote").alias("ok"))
+
+
+@query("evidence_supports", "pairs", "SELECT item_id, count(*) AS n, count(*) FILTER (contains(lower(body), substr(lower(quote), 1, 20))) AS supported FROM pairs GROUP BY item_id")
+def _(t):
+    on = F.lower("body").contains(F.substring(F.lower("quote"), 1, 20))
+    return pairs_of(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(on).alias("supported"))
+
+
+@query("recommendation_grounding", "turns", "SELECT conv_id, turn, count(*) AS missing FROM (SELECT t.conv_id, t.turn, w FROM turns t, unnest(['idiot', 'moron', 'clown', 'password', 'license']) AS v(w) WHERE regexp_matches(lower(sentence), '\\b' || w || '\\b') AND NOT contains(lower(source), w)) GROUP BY ALL")
+def _(t):
+    x = turns_of(t).withColumn("m", F.size(op.ungrounded_words("sentence", "source", WORDS)))
+    return x.where("m > 0").select("conv_id", "turn", F.col("m").cast("long").alias("missing"))
+
+
+@query("extract_numbers")
+def _(t):
+    return t.base("documents").select("doc_id", op.numbers("text").alias("numbers"))
+
+
+@query("number_grounding")
+def _(t):
+    return turns_of(t).select("conv_id", "turn", op.ungrounded_numbers("sentence", "source").alias("missing"))
+
+
+@query("ungrounded_numbers")
+def _(t):
+    return pairs_of(t).select("item_id", "doc_id", op.ungrounded_numbers("body", "quote").alias("missing"))
+
+
+@query("model_output_checks")
+def _(t):
+    x = turns_of(t)
+    checks = {"numbers_ok": F.size(op.ungrounded_numbers("sentence", "source")) == 0, "words_ok": F.size(op.ungrounded_words("sentence", "source", WORDS)) == 0, "quote_ok": op.verbatim("source", F.substring("sentence", 1, 12))}
+    return x.withColumns(checks).withColumn("all_ok", F.expr("numbers_ok and words_ok and quote_ok")).select("conv_id", "turn", *checks, "all_ok")
+
+
+@query("headline_reports_move")
+def _(t):
+    return op.reports_move(t.base("documents").select("doc_id", "text"), text="text").select("doc_id", "reports_move")
+
+
+@query("instrument_candidates")
+def _(t):
+    a = publication(t.articles).withColumn("body", F.concat_ws(" ", "title", "title")).select("id", "title", "body")
+    return op.candidates(a, names_of(t))
+
+
+@query("candidate_top30", "matches published universe", """SELECT id, cod, place FROM (SELECT m.id, m.cod, row_number() OVER (PARTITION BY m.id ORDER BY length(n.name) DESC, m.cod) AS place FROM matches m JOIN universe n USING (cod)) WHERE place <= 30""")
+def _(t):
+    a = publication(t.articles).withColumn("body", F.col("title")).select("id", "title", "body")
+    return op.candidates(a, names_of(t)).select("id", "cod", F.col("place").cast("long").alias("place"))
+
+
+@query("examples_per_type")
+def _(t):
+    w = Window.partitionBy("news_type").orderBy(F.xxhash64("id", F.lit(7)), "id")
+    return classified(t).withColumn("k", F.row_number().over(w)).where("k <= 12").select("news_type", "id")
+
+
+@query("name_search_with_exclusion", "published", r"SELECT id FROM published WHERE regexp_matches(title, '\bSupplier#0+1\b') AND NOT regexp_matches(title, 'and Supplier')")
+def _(t):
+    return publication(t.articles).where(F.col("title").rlike(r"(?<![0-9A-Za-z_])Supplier#0+1(?![0-9A-Za-z_])") & ~F.col("title").rlike("and Supplier")).select("id")
+
+
+@query("tokens_stopwords", "", r"SELECT item_id, count(DISTINCT w) AS n FROM benchmark, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS u(w) WHERE w NOT IN ('the', 'and', 'for') GROUP BY item_id")
+def _(t):
+    w = F.array_except(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0), F.array(*[F.lit(x) for x in ("the", "and", "for")]))
+    return t.base("benchmark").select("item_id", F.size(F.array_distinct(w)).cast("long").alias("n")).where("n > 0")
+
+
+@query("classification_validation", "turns", """SELECT conv_id, turn, trim(concat(CASE WHEN length(sentence) < 40 THEN 'short ' ELSE '' END, CASE WHEN NOT contains(sentence, '.') THEN 'no_stop ' ELSE '' END, CASE WHEN sentence = source THEN 'echo' ELSE '' END)) AS errors FROM turns""")
+def _(t):
+    e = F.array_compact(F.array(F.when(F.length("sentence") < 40, F.lit("short")), F.when(~F.col("sentence").contains("."), F.lit("no_stop")), F.when(F.col("sentence") == F.col("source"), F.lit("echo"))))
+    return turns_of(t).select("conv_id", "turn", F.array_join(e, " ").alias("errors"))
+
+
+@query("review_rates", "", "SELECT quality, toxic, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS rate FROM labels GROUP BY ALL")
+def _(t):
+    x = t.base("labels")
+    total = x.agg(F.count(F.lit(1)).alias("all"))
+    n = x.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(total)).select("quality", "toxic", "n", F.round(F.col("n") / F.col("all"), 6).alias("rate"))
+
+
+@query("choose_type", "classified hits", """SELECT c.id, CASE WHEN c.news_type <> 'other' THEN c.news_type ELSE 'other' END AS final_type, CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.id = c.id AND h.type = c.news_type) THEN 'supported' ELSE 'fallback' END AS reason FROM classified c""")
+def _(t):
+    p = publication(t.articles)
+    c = op.classify(p, t.rules, t.priority)
+    h = op.rule_hits(p, t.rules).select("id", F.col("type").alias("news_type"), F.lit(True).alias("hit")).distinct()
+    return c.join(h, ["id", "news_type"], "left").select("id", F.col("news_type").alias("final_type"), F.when(F.col("hit"), "supported").otherwise("fallback").alias("reason"))

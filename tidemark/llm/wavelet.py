@@ -9,7 +9,10 @@ store that Spark reaches will do, and a lost executor's shards are written again
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,33 +140,80 @@ class WaveletMatrix:
         return cls(n, bits, planes), ids, lengths
 
 
+#: Marks that never join a letter before them in one piece.
+TAIL = b".,;:!?%&$*"
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word: white space always ends a token here, so each distinct word is encoded once."""
+    """Ids of whole texts, word by word: white space always ends a token here, so each distinct word is encoded once.
+
+    A word of letters and a tail of marks are two pieces to the tokenizer; letters are cached without their tails.
+    """
 
-    def __init__(self, path: str | None, size: int = 400_000):
+    def __init__(self, path: str | None, size: int = 1_000_000):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.model, self.size = self.full.model, size
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
         self.bits = max(1, int(self.full.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.dtype = np.uint16 if self.bits <= 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if self.bits <= 16 else (np.uint32, "I")
+
+    @classmethod
+    def here(cls, path: str | None) -> WordEncoder:
+        """One encoder for each worker process, so that the next task finds the words of the last."""
+        home = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders")).__dict__
+        if path not in home:
+            home[path] = cls(path)
+        return home[path]
+
+    def _letters(self, word: bytes) -> bytes | None:
+        """Ids of a word that is one run of letters after normalising, None for others."""
+        found = self.letters.get(word)
+        if found is None:
+            if word.isalpha():
+                text = word.decode()
+            else:
+                text = word.decode("utf-8", "replace")
+                if not text.isalpha():
+                    return None
+                text = self.full.normalizer.normalize_str(text)
+                if not text.isalpha():
+                    return None
+                text = self.bytes_of(text)[0][0]
+            found = self.letters[word] = array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+        return found
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.asarray(self.full.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _ids(self, word: bytes) -> bytes:
-        # plain ASCII letters are one token piece before BPE, whatever the splitting rules say of the rest
-        low = word.lower()
-        ids = [t.id for t in self.model.tokenize(low.decode())] if word.isalpha() else self.full.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(ids, self.dtype).tobytes()
+        stem = word.rstrip(TAIL)
+        head = self._letters(stem) if stem else None
+        if head is None:
+            return self._whole(word)
+        return head if stem == word else head + self._ids_of_tail(word[len(stem) :])
+
+    def _ids_of_tail(self, tail: bytes) -> bytes:
+        found = self.letters.get(tail)
+        if found is None:
+            found = self.letters[tail] = self._whole(tail)
+        return found
 
     def encode(self, text: str | None) -> bytes:
-        words = text.encode("utf-8", "replace").split() if text else []
+        data = text.encode("utf-8", "replace") if text else b""
+        # ASCII letters are lower-cased by the tokenizer anyway; its special strings are told apart by case
+        words = (data if b"<|" in data else data.lower()).split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > self.size:  # a cache: emptied when full, never a limit on what is encoded
+            if len(known) > self.size:  # caches: emptied when full, never a limit on what is encoded
                 known.clear()
+                self.letters.clear()
             for w in set(words):
                 if w not in known:
                     known[w] = self._ids(w)
@@ -183,7 +233,7 @@ def write_shards(docs: DataFrame, *, text: str = "text", id: str = "doc_id", pat
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part, seq = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = WordEncoder.here(path), TaskContext.get().partitionId(), 0
         end = np.asarray([END], encoder.dtype).tobytes()
         held: list[bytes] = []
         ids: list[int] = []

@@ -171,6 +171,8 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[_passes(sent.value, batch["h"].to_numpy())]
+            if not len(batch):
+                continue
             sets = [shingle_set(t) for t in batch["text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],

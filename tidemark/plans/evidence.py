@@ -241,3 +241,22 @@ def _(t):
     m = stories_of(t).groupBy("cod").agg(F.avg("peak_ret").alias("m"))
     x = votes_of(t).withColumn("vote", overall()).join(m, "cod", "left")
     return x.select("cod", "vote", F.when(F.col("m") > 0.005, "up").when(F.col("m") < -0.005, "down").otherwise("flat").alias("price"))
+
+
+@query("preview_title", "quartered", "SELECT id, contains(title, 'LOW') AS preview FROM quartered")
+def _(t):
+    return quartered(t).select("id", F.col("title").contains("LOW").alias("preview"))
+
+
+@query("results_score", "quartered", "SELECT id, len(regexp_extract_all(title, 'HIGH|URGENT|MEDIUM')) + CASE WHEN starts_with(title, 'Supplier') THEN 2 ELSE 0 END AS score FROM quartered")
+def _(t):
+    lead = F.when(F.col("title").startswith("Supplier"), 2).otherwise(0)
+    return quartered(t).select("id", (F.regexp_count("title", F.lit("HIGH|URGENT|MEDIUM")) + lead).cast("long").alias("score"))
+
+
+@query("metric_key", "quartered", "SELECT key, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(title, 'URGENT') THEN 'revenue' WHEN regexp_matches(title, 'HIGH') THEN 'margin' WHEN regexp_matches(title, 'LOW') AND NOT regexp_matches(title, 'and Supplier') THEN 'debt' ELSE 'other' END AS key FROM quartered) GROUP BY key")
+def _(t):
+    rules = t.spark.createDataFrame([(1, "revenue", "URGENT", "^$"), (2, "margin", "HIGH", "^$"), (3, "debt", "LOW", "and Supplier")], "no int, key string, pattern string, except string")
+    x = quartered(t).select("id", "title")
+    hit = x.join(F.broadcast(rules), F.expr("title rlike pattern and not title rlike except")).groupBy("id").agg(F.min_by("key", "no").alias("key"))
+    return x.join(hit, "id", "left").groupBy(F.coalesce("key", F.lit("other")).alias("key")).agg(F.count(F.lit(1)).alias("n"))

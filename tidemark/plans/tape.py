@@ -267,3 +267,23 @@ def _(t):
 @query("relative_session", "series", "SELECT rel, in_baseline, count(*) AS n FROM series GROUP BY ALL")
 def _(t):
     return series_of(t).groupBy(F.col("rel").cast("long").alias("rel"), "in_baseline").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_articles_by_range_or_ids", "published", "SELECT id, title, pub_date FROM published WHERE id IN ('1', '2', '3', '33', '100')")
+def _(t):
+    return op.articles_in(op.publication(t.articles), ids=["1", "2", "3", "33", "100"], start="1997-01-01", end="1997-06-30").select("id", "title", "pub_date")
+
+
+@query("session_index", "sessions", "SELECT cod, max(idx) AS sessions, min(d) AS first_d FROM sessions GROUP BY cod")
+def _(t):
+    return op.sessions(t.quotes).groupBy("cod").agg(F.max("idx").cast("long").alias("sessions"), F.min("d").alias("first_d"))
+
+
+@query("gap_intraday_openshare", "tape", f"SELECT id, cod, d, {sr6('gap', 'intraday', 'open_share')} FROM tape WHERE open_px IS NOT NULL")
+def _(t):
+    return tape_of(t).where("open_px is not null").select("id", "cod", "d", *r6("gap", "intraday", "open_share"))
+
+
+@query("volume_multiple", "tape", f"SELECT id, cod, d, {sr6('vol_x')} FROM tape")
+def _(t):
+    return tape_of(t).select("id", "cod", "d", *r6("vol_x"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, toxicity, urlfilter, wavelet
+from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, sql, toxicity, urlfilter, wavelet
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urlfilter.ORACLE}
+    return {"op1_quality_rules": sql.OP1, "op2_line_dedup": sql.OP2, "op5_ngram_jaccard": sql.OP5, "op6_url_filters": urlfilter.ORACLE}

@@ -346,6 +346,24 @@ def test_period_keeps_every_lag_under_one(spark):
         assert len(s) == q and all(abs(sum(x < t for x in s) - t * q / 64) < 1 for t in range(65))
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.14, **{f"s{i}": 0.86 / 19 for i in range(19)}}, {"a": 7.3, "b": 2.9, "c": 0.011}])
+def test_lag_against_the_weights_stays_under_one_block(spark, weights):
+    w = {s: x / sum(weights.values()) for s, x in weights.items()}
+    rows = [(i, s) for i, s in enumerate(s for s, x in w.items() for _ in range(round(x * 3000) + 1))]
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string"), table, block=1).collect()
+    assert sorted((x.doc_id, x.source) for x in got) == rows and len({x.slot for x in got}) == len(rows)
+    for s, share in w.items():
+        slots = sorted(x.slot for x in got if x.source == s)
+        assert all(abs(k - share * t) < 1 and abs(k + 1 - share * (t + 1)) < 1 for k, t in enumerate(slots))
+
+
+def test_mixing_places_every_document_of_very_many_sources(spark):
+    rows = [(i, f"s{i % 1500}") for i in range(3000)] + [(9000 + i, "s0") for i in range(60)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert len(got) == len(rows) and all(x.slot is not None and x.release <= x.slot < x.deadline for x in got)
+
+
 def test_fingerprints(docs, empty, texts):
     got = fingerprint.op9(docs.where("doc_id is not null and doc_id <> 5").union(docs.where("doc_id = 5").limit(1))).collect()
     rows = [(i, t or "") for i, t in enumerate(texts) if i != 4][::-1]

@@ -25,15 +25,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.one_of_each(docs).select(docs.columns)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; the files hold them in the order of the mix."""
-    mixed = mixing.schedule(docs)
-    return mixed.orderBy(F.col("slot").asc_nulls_last(), "place").select(docs.columns)
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """Every document stays; the files hold them in the order of the mix, which packing reads."""
+    mixed = mixing.schedule(docs, weights)
+    return mixed.orderBy(F.col("slot").asc_nulls_last(), "place", "doc_id").select(docs.columns)
 
 
 def packing_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return packing.pack(docs)
+    """Where each piece of each document goes; shards are ranges of the mix, the order in the files of docs."""
+    return packing.pack(mixing.in_file_order(docs), position="position")
 
 
 STAGES = [
@@ -47,8 +47,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, weights: DataFrame | None = None) -> DataFrame:
+    """The last stage's rows. weights has (source, weight) for the mix; without it, square roots of the row counts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir, weights) if name == "mix_sources" else stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

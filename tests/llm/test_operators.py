@@ -436,3 +436,22 @@ def test_pipeline(spark, tmp_path):
     assert {x.doc_id for x in seen["mix_sources"].collect()} == set(range(90))
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, at.collect()))
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    rows = [(i, prose(12, r), "en", f"s{i % 2}", 0) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = {}
+    for k, (heavy, light) in enumerate([(0.8, 0.2), (0.2, 0.8)]):
+        weights = spark.createDataFrame([("s0", heavy), ("s1", light)], "source string, weight double")
+        corpus_pipeline.mix_sources(spark, docs, "", weights).write.parquet(f"{tmp_path}/{k}")
+        out = corpus_pipeline.packing_bins(spark, spark.read.parquet(f"{tmp_path}/{k}"), "").collect()
+        assert sorted(x.doc_id for x in out) == list(range(9000)) and collections.Counter(x.shard for x in out) == {0: 4096, 1: 4096, 2: 808}
+        mixed[k] = collections.Counter(x.source for x in out if x.shard == 0)
+        assert abs(mixed[k]["s0"] - heavy * 4096) <= 32
+    docs.where("doc_id < 6000").write.parquet(f"{tmp_path}/documents.parquet")
+    run = [sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path), spark.createDataFrame([("s0", a), ("s1", b)], "source string, weight double")).collect())) for a, b in [(3.0, 1.0), (1.0, 3.0)]]
+    assert run[0] != run[1] and len(run[0]) == len(run[1])

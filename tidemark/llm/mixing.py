@@ -118,6 +118,15 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, *, source: str =
     return out.select(*docs.columns, "block_no", "release", "deadline", "slot", "place")
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """docs as read from Parquet files plus position: a row's number, from 0, in the order of the files' names and rows."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    sizes = rows.groupBy("_f").agg(F.count(F.lit(1)).alias("n"))  # a row for each file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_f", before.alias("_before"))
+    return rows.join(F.broadcast(starts), "_f").select(*docs.columns, (F.col("_before") + F.col("_i")).alias("position"))
+
+
 def op8(docs: DataFrame) -> DataFrame:
     out = schedule(docs.select("doc_id", "source"))
     return out.select("doc_id", "source", "block_no", "release", "deadline", "slot", "place")

@@ -1,7 +1,7 @@
 """Best-fit packing under conflicts: residual-ordered bins carry source and duplicate-cluster bitmaps.
 
 Documents longer than a bin are cut into full bins and a rest. Pieces are dealt by hash into shards of bounded size, so
-hot sources and clusters spread evenly; inside a shard, pieces come longest first, and each goes to the open bin
+hot sources and clusters spread evenly, or by ranges of a given order of the documents, so that a mix holds; inside a shard, pieces come longest first, and each goes to the open bin
 with the smallest sufficient residual whose bitmaps hold neither its source (beyond `per_source` pieces) nor its cluster,
 found by successor search from its length upwards. No piece is dropped: one that fits nowhere opens a bin.
 """
@@ -45,22 +45,26 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return bins, offsets
 
 
-def pack(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = 2048, per_source: int = 4, shard: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = 2048, per_source: int = 4, shard: int = 4096, position: str | None = None) -> DataFrame:
     """(doc_id, piece, start, n_words, shard, bin, bin_start): where each piece of each document's words goes.
 
     Two pieces of one cluster never share a bin, nor do more than `per_source` pieces of one source. Without a `cluster`
     column the cluster is the hash of the words, so equal texts are kept apart. A null source or a null cluster conflicts
     with nothing; a null or wordless text has one piece of no words, which is packed like any other. Repeated rows are
     pieces of their own. Bins are numbered within a shard: a bin's name is (shard, bin). An empty table gives an empty table.
+    With `position`, a column of numbers from 0, shard i holds the documents from i `shard` on, and shards follow that order.
     """
     group = F.col(cluster).cast("string") if cluster else F.xxhash64(words(text)).cast("string")
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), group.alias("cluster"), n_words(text).alias("n"))
-    count = docs.count()
+    at = F.col(position).cast("long") if position else F.lit(None).cast("long")
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), group.alias("cluster"), n_words(text).alias("n"), at.alias("at"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece").cast("long") * capacity
     pieces = pieces.withColumn("start", start).withColumn("n_words", F.least(F.col("n") - start, F.lit(capacity)).cast("int"))
     # full bins stay full and are numbered by their own piece; only rests are packed
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(max(1, count // shard))))
+    if position:
+        pieces = pieces.withColumn("shard", F.floor(F.col("at") / shard))
+    else:
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(max(1, docs.count() // shard))))
     slim = pieces.select("shard", F.col("n_words"), "doc_id", "piece", "start", "source", "cluster")
     dealt = slim.repartition("shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "piece", "start")
 

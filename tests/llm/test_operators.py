@@ -384,6 +384,21 @@ def test_near_duplicate_classes(docs, empty):
     assert by[6] == by[7] == by[16] == 5 and by[11] == 11 and by[0] == 0 and fingerprint.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicate_classes_match_all_pairs_behind_unlike_leads(spark):
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(at):
+        return " ".join(f"x{r.random()}" if i in at else w for i, w in enumerate(base))
+
+    rows = [(i, changed({10 + r.randrange(8) + 25 * k for k in range(4)})) for i in range(60)]  # share bands, but no link, with those below
+    rows += [(100, changed(())), (101, changed({60})), (102, changed({61})), (103, changed(())), (104, None)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = groups(list(sets), sets)
+    got = {x.doc_id: x.class_id for x in fingerprint.op9(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[101] == 100 and want[103] == 100 and len(set(want.values())) > 50
+
+
 def test_restoring():
     words = "idiot moron pathetic stupid clown the and thing of people worthless reading".split()
     counts = np.zeros((64, 64, 64), np.int64)

@@ -99,39 +99,76 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", bands: int = 16, percent: int = 80, paths: list[str] | None = None) -> DataFrame:
-    """(doc_id, class_id): documents that share a signature band with a class's lead and pass an exact Jaccard check.
+    """(doc_id, class_id): classes of documents linked by a shared signature band and an exact Jaccard check.
 
-    Each band bucket is a star around its smallest id (a partial aggregate joined back, never all pairs); each star link is
-    verified on whole shingle sets, and verified links make classes. Null ids are left out; wordless texts stay alone.
+    Every two documents of a bucket are compared or already in one class. Equal shingle sets are linked first and stand in
+    the buckets once. While buckets hold many pairs across classes, each is a star around one of its documents, a new one
+    each round, which joins large groups without comparing all their pairs; then the pairs left across classes are compared.
+    Each comparison is on whole shingle sets. Null ids are left out; wordless texts stay alone.
     """
     width = PERMUTATIONS // bands
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            sigs = [signature(t) for t in x["text"]]
-            on = [len(shingle_set(t)) > 0 for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "bands": [[int.from_bytes(hashlib.blake2b(bytes([b]) + s[b * width : (b + 1) * width].tobytes(), digest_size=8).digest(), "big", signed=True) for b in range(bands)] if o else [] for s, o in zip(sigs, on, strict=True)]})
+        def band(b: int, s: np.ndarray) -> int:
+            return int.from_bytes(hashlib.blake2b(bytes([b]) + s[b * width : (b + 1) * width].tobytes(), digest_size=8).digest(), "big", signed=True)
 
-    banded = rows.mapInPandas(sign, "doc_id long, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
-    leads = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = written(banded.join(leads, "band").where("doc_id <> lead").select("doc_id", "lead").distinct(), paths)
-    pairs = stars.join(rows, "doc_id").join(rows.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
+        for x in batches:
+            out = []
+            for doc_id, t in zip(x["doc_id"], x["text"], strict=True):
+                n = len(own := shingle_set(t))
+                if n:
+                    s = signature(t)
+                    out.append((doc_id, n, hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).hexdigest(), [band(b, s) for b in range(bands)]))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "whole", "bands"])
+
+    signed = written(rows.mapInPandas(sign, "doc_id long, n long, whole string, bands array<long>"), paths)
+    firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first"))
+    copies = signed.select("doc_id", "whole").join(firsts, "whole").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    banded = signed.join(firsts.withColumnRenamed("first", "doc_id"), ["whole", "doc_id"]).select("doc_id", "n", F.explode("bands").alias("band")).distinct()
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    banded = written(banded.join(shared, "band"), paths)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             on = []
-            for a, b in zip(x["text"], x["lead_text"], strict=True):
+            for a, b in zip(x["text"], x["other"], strict=True):
                 s, t = shingle_set(a), shingle_set(b)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 on.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield x.loc[on, ["doc_id", "lead"]].rename(columns={"doc_id": "u", "lead": "v"})
-
-    links = pairs.select("doc_id", "lead", "text", "lead_text").mapInPandas(verify, "u long, v long")
-    classes = components(links, paths)
+            yield x.loc[on, ["u", "v"]]
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # sets too unlike in size cannot pass
+        near = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v").distinct()
+        near = written(near, paths)
+        texts = near.join(rows.select(F.col("doc_id").alias("u"), "text"), "u").join(rows.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
+        return written(texts.select("u", "v", "text", "other").mapInPandas(verify, "u long, v long"), paths)
+
+    links, found, turn = written(copies, paths), True, 0
+    while True:
+        classes = written(components(links, paths), paths)
+        at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
+        mixed = parts.groupBy("band").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same")).where("size * size > same")
+        pairs, members = mixed.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
+        if not pairs:
+            break
+        some = at.join(mixed.select("band"), "band")
+        star = found and pairs > 8 * members
+        mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("band", "doc_id", F.lit(turn))).alias("x")).select("band", "x.*") if star else some
+        mates = mates.select("band", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
+        across = some.withColumnRenamed("doc_id", "u").join(mates, "band").where("c <> d" if star else "c <> d and u < v")
+        new = linked(across)
+        found, turn = bool(new.take(1)), turn + 1
+        links = links.unionByName(new)
+        if not star:
+            classes = components(links, paths)
+            break
     ids = rows.select("doc_id").distinct()
     return ids.join(classes, ids["doc_id"] == classes["id"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    return fingerprints(docs)
+    """Fingerprints of each row and the class of near duplicates of its id; a null id has no class."""
+    return fingerprints(docs).join(near_duplicates(docs), "doc_id", "left")

@@ -429,6 +429,17 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.op10(empty, marks).count() == 0
 
 
+def test_lexicon_keeps_every_feature_that_passes(spark):
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    bad = [[name(i) for i in range(6000) if (i + k) % 60 == j] for k in range(5) for j in range(60)]  # each word in five rows
+    rows = [(" ".join(w), 1) for w in bad] + [("zzzz clean words", 0)] * 600
+    labelled = spark.createDataFrame(rows, "text string, label int")
+    _, weights, _ = toxicity.learn(labelled, labelled)
+    assert {name(i) for i in range(6000)} <= set(weights) and "clean" not in weights
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -143,36 +143,23 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return total
 
 
-def learn(docs: DataFrame, labelled: DataFrame, *, support: int = 5, weight: float = 2.5, candidates: int = 50_000, lexicon: int = 5_000, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labelled: DataFrame, *, support: int = 5, weight: float = 2.5, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
     """Character counts, lexicon weights and logistic coefficients. labelled has text and label 0/1.
 
-    The lexicon comes from document counts over all labelled rows: features of at least `support` toxic rows (the
-    `candidates` most frequent of them), weighed against all clean rows; the logistic curve is fitted on at most `sample` rows.
+    The lexicon comes from document counts over all labelled rows: every feature of at least `support` toxic rows
+    that weighs enough against all clean rows, joined by feature in Spark; the logistic curve is fitted on at most `sample` rows.
     """
     counts = char_counts(docs)
 
     def counted(total: Counter) -> pd.DataFrame:
         return pd.DataFrame({"feature": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
-    def document_counts(label: int, among: set[str] | None) -> DataFrame:
+    def document_counts(label: int) -> DataFrame:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model, total = CharModel(counts), Counter()
-            memo: dict[str, list[str]] = {}
             for x in batches:
                 for t in x["text"]:
-                    if among is None:
-                        total.update(features(tokens(t, model)))
-                    else:
-                        found: set[str] = set()
-                        for w in tokens(t, model):
-                            held = memo.get(w)
-                            if held is None:
-                                if len(memo) > 300_000:  # a cache
-                                    memo.clear()
-                                held = memo[w] = [f for f in features({w}) if f in among]
-                            if held:
-                                found.update(held)
-                        total.update(found)
+                    total.update(features(tokens(t, model)))
                     if len(total) > 300_000:
                         yield counted(total)
                         total = Counter()
@@ -183,17 +170,11 @@ def learn(docs: DataFrame, labelled: DataFrame, *, support: int = 5, weight: flo
 
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    hits = document_counts(1, None).where(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(candidates).collect()
-    among = {r["feature"] for r in hits}
-    against = {r["feature"]: r["n"] for r in document_counts(0, among).collect()} if among else {}
-    weights = {}
-    for feature, n in hits:
-        c = against.get(feature, 0)
-        w = np.log((n + 0.5) / (toxic - n + 0.5)) - np.log((c + 0.5) / (clean - c + 0.5))
-        # as strong as the rarest evidence allows: precision of the feature among labelled rows
-        if w >= weight and n >= 3 * c:
-            weights[feature] = float(w)
-    weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:lexicon])
+    n, c = F.col("n"), F.col("c")
+    both = document_counts(1).where(n >= support).join(document_counts(0).withColumnRenamed("n", "c"), "feature", "left").withColumn("c", F.coalesce(c, F.lit(0)))
+    both = both.withColumn("w", F.log((n + 0.5) / (toxic - n + 0.5)) - F.log((c + 0.5) / (clean - c + 0.5)))
+    # as strong as the rarest evidence allows: precision of the feature among labelled rows
+    weights = {r["feature"]: r["w"] for r in both.where((F.col("w") >= weight) & (n >= 3 * c)).select("feature", "w").collect()}
 
     def inputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = CharModel(counts)

@@ -45,6 +45,15 @@ def test_blocked_match_equals_nested_loop(spark):
     assert {("a", "1"), ("c", "2"), ("c", "3"), ("f", "5"), ("g", "1")} <= blocked and ("b", "1") not in blocked and ("e", "1") not in blocked
 
 
+def test_names_that_share_a_word_meet_only_their_own_titles(spark):
+    names = spark.range(1000).selectExpr("concat('C', id) AS cod", "concat('Banca ', id, ' SpA') AS name")
+    titles = spark.range(3000).selectExpr("cast(id as string) AS id", "concat('La Banca ', id % 1500, '  SpA e Banca ', (id + 1) % 1500, ' SpA oggi') AS title")
+    got = tape.match_names(titles, names)
+    assert {(r.id, r.cod) for r in got.collect()} == {(str(i), f"C{(i + 1) % 1500}") for i in range(3000) if (i + 1) % 1500 < 1000}
+    # every title meets one or two names, of which two spaces fail one
+    assert tape.name_candidates(titles, names).count() <= 2 * 3000
+
+
 def test_exact_seven_day_gap_is_a_first_article(spark):
     at = datetime(2024, 1, 1, 10)
     rows = [("1", "A", at), ("2", "A", at + timedelta(days=3)), ("3", "A", at + timedelta(days=10)), ("4", "A", at + timedelta(days=16))]

@@ -11,10 +11,11 @@ def valid_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.where((F.col("last") > 0) & (F.col("ref") > 0))
 
 
-def latest_of_day(quotes: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row for each (cod, day): the latest timestamp."""
-    w = Window.partitionBy("cod", F.to_date(ts)).orderBy(F.desc(ts))
-    return quotes.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+def latest_of_day(quotes: DataFrame, ts: str = "ts", *, key: str = "cod", tie: str = "id") -> DataFrame:
+    """One row for each (key, day): the latest timestamp, the largest `tie` on equal ones."""
+    rest = [c for c in quotes.columns if c not in (key, ts, tie)]
+    last = quotes.groupBy(key, F.to_date(ts).alias("d")).agg(F.max(F.struct(ts, tie, *rest)).alias("_x"))
+    return last.select(key, "d", "_x.*")
 
 
 def sessions(quotes: DataFrame, *, codes: DataFrame | None = None) -> DataFrame:
@@ -75,21 +76,35 @@ def name_pattern(name: str | Column) -> Column:
     return F.concat(F.lit("(?<![0-9A-Za-z_])"), head, F.lit("(?i:"), escaped(rest), F.lit(")(?![0-9A-Za-z_])"))
 
 
+#: A token of a text or a name: a run of word characters, or one other character that is no white space.
+TOKEN = r"[0-9A-Za-z_]+|[^0-9A-Za-z_\s]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def tokens(text: str | Column) -> Column:
+    """The tokens of a text in order, A-Z lower-cased."""
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0))
+
+
+def name_candidates(articles: DataFrame, names: DataFrame, *, text: str = "title") -> DataFrame:
+    """(id, cod, pattern) where all tokens of a name follow each other in a text: an equi-join on token runs of the lengths that names have."""
+    named = names.select("cod", name_pattern("name").alias("pattern"), tokens("name").alias("_t")).where(F.size("_t") > 0)
+    named = named.select("cod", "pattern", F.size("_t").alias("_n"), F.array_join("_t", " ").alias("run"))
+    lengths = named.agg(F.collect_set("_n").alias("lengths"))
+    texts = articles.select("id", tokens(text).alias("_t")).crossJoin(F.broadcast(lengths))  # one row
+    starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))), lambda i: i + n <= F.size("_t") + 1)
+    runs = F.flatten(F.transform("lengths", lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("_t", i, n), " "))))
+    return texts.select("id", F.explode(F.array_distinct(runs)).alias("run")).join(named.drop("_n"), "run").select("id", "cod", "pattern")
+
+
 def match_names(articles: DataFrame, names: DataFrame, *, text: str = "title") -> DataFrame:
     """(id, cod) for each name found in each text.
 
-    A name that starts with a word character has its first run of word characters as a whole word of the text, so names
-    and texts meet in an equi-join on that word, and only such pairs are tested by the pattern. Other names go through
-    a nested loop over names alone.
+    Names and texts meet on whole token runs, however many names share a word, so that the pairs that meet are hardly more
+    than the matches themselves; case and spacing are tested by the pattern on those pairs.
     """
-    names = names.select("cod", F.col("name"), name_pattern("name").alias("pattern"))
-    head = F.lower(F.regexp_extract(F.trim("name"), r"^[0-9A-Za-z_]+", 0))
-    keyed = names.withColumn("word", head)
-    words = articles.select("id", F.col(text).alias("t"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[0-9a-z_]+"), 0))).alias("word"))
-    hit = words.join(keyed.where("word <> ''"), "word").where("t rlike pattern").select("id", "cod")
-    odd = keyed.where("word = ''")
-    loop = articles.select("id", F.col(text).alias("t")).join(odd, F.expr("t rlike pattern")).select("id", "cod")
-    return hit.unionByName(loop).distinct()
+    met = name_candidates(articles, names, text=text)
+    return met.join(articles.select("id", F.col(text).alias("t")), "id").where("t rlike pattern").select("id", "cod").distinct()
 
 
 def one_company(matches: DataFrame) -> DataFrame:

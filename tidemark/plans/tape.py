@@ -102,9 +102,8 @@ def _(t):
 @query("dedup_session", "", """SELECT user_id, d, event_id, round(value, 6) AS value FROM (SELECT user_id, cast(ts as date) AS d, event_id, value,
   row_number() OVER (PARTITION BY user_id, cast(ts as date) ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1""")
 def _(t):
-    e = t.base("events").select(F.col("user_id").alias("cod"), F.struct("ts", "event_id").alias("order"), "ts", "event_id", "value")
-    w = op.Window.partitionBy("cod", F.to_date("ts")).orderBy(F.desc("order"))
-    return e.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("cod").alias("user_id"), F.to_date("ts").alias("d"), "event_id", *r6("value"))
+    e = t.base("events").select("user_id", "ts", "event_id", "value")
+    return op.latest_of_day(e, key="user_id", tie="event_id").select("user_id", "d", "event_id", *r6("value"))
 
 
 @query("daily_move", "sessions", f"SELECT cod, d, idx, {sr6('ret')} FROM sessions")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -399,16 +400,48 @@ def test_near_duplicate_classes_match_all_pairs_behind_unlike_leads(spark):
     assert got == want and want[101] == 100 and want[103] == 100 and len(set(want.values())) > 50
 
 
-def test_restoring():
-    words = "idiot moron pathetic stupid clown the and thing of people worthless reading".split()
+@pytest.fixture(scope="module")
+def char_model():
+    words = "idiot moron pathetic stupid clown the and thing of people worthless reading you are an".split()
     counts = np.zeros((64, 64, 64), np.int64)
     for w in words * 200:
         codes = [0, 0, *map(toxicity.letter, w), 0]
         for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
             counts[a, b, c] += 1
-    m = toxicity.CharModel(counts.ravel())
-    assert [m.restore(w) for w in ("1d10t", "id!ot", "i.d.i.o.t", "idiooooot", "m0ron", "p@th3tic", "the")] == ["idiot", "idiot", "idiot", "idiot", "moron", "pathetic", "the"]
+    return toxicity.CharModel(counts.ravel())
+
+
+def test_restoring(char_model):
+    m = char_model
+    for w, plain in zip(("1d10t", "id!ot", "i.d.i.o.t", "idiooooot", "m0ron", "p@th3tic", "the"), ("idiot", "idiot", "idiot", "idiot", "moron", "pathetic", "the"), strict=True):
+        assert plain in m.restore(w)
     assert "idiot" in toxicity.tokens("you i d i o t !", m)
+    assert m.decode("you.are.an.1d10t")[1] == ["you", "are", "an", "idiot"]
+    assert {"you", "are", "an", "idiot"} <= toxicity.tokens("y o u a r e a n i d i o t", m)
+    long = ("y o u a r e a n i d i o t " * 40).strip()
+    assert m.decode(long.replace(" ", ""), 0.0)[1] == ["you", "are", "an", "idiot"] * 40
+    assert m.decode("x." * 300 + "1d10t")[1][-1].endswith("idiot") and m.decode("")[1] == []
+
+
+@pytest.mark.parametrize("token, gap", [("1d!ot", None), ("a.n.1", None), ("yoouare", 0.5), ("an||x", 0.0), ("é1.1é", 2.0), ("__!!a", None)])
+def test_viterbi_finds_the_cheapest_path(char_model, token, gap):
+    steps, i = [], 0
+    while i < len(token):
+        run = len(token[i:]) - len(token[i:].lstrip(token[i]))
+        i += run
+        steps.append([(p + e, n + (gap if e else 0.0)) for p, n in toxicity.channel(token[i - 1], run) for e in (["", " "] if gap is not None and i < len(token) else [""])])
+    best = math.inf
+    for path in itertools.product(*steps):
+        a = b = 0
+        total = sum(n for _, n in path)
+        for x in "".join(p for p, _ in path):
+            if x == " " and not b:
+                total = math.inf  # a word ends once
+            r = 0 if x == " " else toxicity.letter(x)
+            total += char_model.cost[a << 12 | b << 6 | r]
+            a, b = (b, r) if r else (0, 0)
+        best = min(best, total + (char_model.cost[a << 12 | b << 6] if b else 0.0))
+    assert abs(char_model.decode(token, gap)[0] - best) < 1e-9
 
 
 def test_toxicity_held_out(spark, empty):
@@ -436,8 +469,25 @@ def test_lexicon_keeps_every_feature_that_passes(spark):
     bad = [[name(i) for i in range(6000) if (i + k) % 60 == j] for k in range(5) for j in range(60)]  # each word in five rows
     rows = [(" ".join(w), 1) for w in bad] + [("zzzz clean words", 0)] * 600
     labelled = spark.createDataFrame(rows, "text string, label int")
-    _, weights, _ = toxicity.learn(labelled, labelled)
-    assert {name(i) for i in range(6000)} <= set(weights) and "clean" not in weights
+    counts = toxicity.char_counts(labelled)
+    got = {r.feature for r in toxicity.lexicon(labelled, counts, support=5, weight=2.5).collect()}
+    code = lambda w: int(np.uint64(toxicity.features(w)[0]).view(np.int64))
+    assert {code(name(i)) for i in range(6000)} <= got and code("clean") not in got
+
+
+def test_toxicity_edges_and_a_joined_lexicon(spark):
+    r = random.Random(12)
+    rows = [(i, prose(20, r) + (" idiot" if i % 3 == 0 else ""), "n", i) for i in range(90)]
+    rows += [(None, "an idiot", "n", 0), (7, rows[7][1], "n", 0), (500, "idi" + "o" * 30000 + "t " + "x." * 20000, "n", 0), (501, None, "n", 0), (502, "", "n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, a long")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    sent, joined = (toxicity.score_toxicity(docs, marks, most=m).collect() for m in (1 << 20, 0))
+    key = lambda x: (x.doc_id is None, x.doc_id or 0, round(x.score, 9))
+    assert sorted(map(key, sent)) == sorted(map(key, joined)) and len(sent) == len(rows)
+    by = {x.doc_id: x for x in sent}
+    assert by[None].predicted == by[500].predicted == 1 and by[501].score == by[502].score and by[502].predicted == 0
+    none = toxicity.score_toxicity(docs, marks.where("toxic = 2")).collect()
+    assert {x.score for x in none} == {0.5} and all(x.held_out == (zlib.crc32(str(x.doc_id).encode() if x.doc_id is not None else b"") % 5 == 0) for x in none)
 
 
 def test_pipeline(spark, tmp_path):

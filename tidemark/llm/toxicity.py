@@ -12,6 +12,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,8 @@ LOOKALIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 SEPARATORS = "._-*~^'`,·/\\"
 EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$|([%&$*!#?])\1+$")
 ODD = re.compile(r"(.)\1\1|[^\W\d_][\d@$!|+(€£._*~^-]|[\d@$!|+(€£._*~^-][^\W\d_]|(?<![^\W\d_])[^\W\d_]['`,·/\\][^\W\d_]['`,·/\\]")
-PARTS = re.compile(r"[,/\;:]+")
+TRIPLE = re.compile(r"(.)\1\1")
+PARTS = re.compile(r"[,/;:\\]+")
 BEGINNINGS = (3, 4, 5, 6)
 SAMPLE = 20_000
 #: Lexicon entries that go out to every task: 16 MB.
@@ -148,61 +151,75 @@ def tokens(text: str, model: CharModel | None) -> set[str]:
 
 def features(word: str) -> list[int]:
     """Hashes of a word and of its beginnings, which a star marks."""
-    return [xxhash.xxh3_64_intdigest(word), *(xxhash.xxh3_64_intdigest(word[:n] + "*") for n in BEGINNINGS if len(word) > n)]
+    out, n = [xxhash.xxh3_64_intdigest(word)], len(word)
+    for k in BEGINNINGS:
+        if n <= k:
+            break
+        out.append(xxhash.xxh3_64_intdigest(word[:k] + "*"))
+    return out
 
 
 class Reader:
-    """What texts show, with one bounded cache of tokens for each task."""
+    """What texts show. Each task caches tokens in two generations of `size`: the older goes when the younger is full."""
 
-    def __init__(self, counts: np.ndarray, keys: np.ndarray | None = None, weights: np.ndarray | None = None, size: int = 100_000):
+    def __init__(self, counts: np.ndarray, keys: np.ndarray | None = None, weights: np.ndarray | None = None, size: int = 150_000):
         self.model, self.keys, self.weights, self.size = CharModel(counts), keys, weights, size
-        self.known: dict[str, bytes | tuple] = {}
-
-    def _seen(self, words: set[str], look) -> list:
-        if len(self.known) + len(words) > self.size:  # a cache
-            self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = look(spellings(w, self.model))
-        return [known[w] for w in words]
-
-    def _runs(self, words: list[str]) -> set[str]:
-        out: set[str] = set()
-        for run in spelt_out(words):
-            out.update(self.model.restore(run, gap=0.0))
-            out.add("".join(self.model.decode(run)[1]))
-        out.discard("")
-        return out
-
-    def _hashes(self, forms: set[str]) -> bytes:
-        return np.array([h for f in forms for h in features(f)], np.uint64).tobytes()
+        self.young: dict[str, bytes | tuple] = {}
+        self.old: dict[str, bytes | tuple] = {}
+
+    def _seen(self, words: list[str], look) -> list:
+        """look(forms) of each distinct token and of each spelt-out run."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, model, out, new, fresh = self.young, self.old, self.model, [], [], []
+        for w in set(words):
+            found = young.get(w)
+            if found is None:
+                found = old.get(w)
+                if found is None:
+                    new.append(w)
+                    fresh.append((w,) if w.isalpha() and not TRIPLE.search(w) else spellings(w, model))
+                    continue
+                young[w] = found
+            out.append(found)
+        runs = {f for run in spelt_out(words) for f in (*model.restore(run, gap=0.0), "".join(model.decode(run)[1])) if f}
+        values = look([*fresh, runs])
+        young.update(zip(new, values, strict=False))
+        return out + values
+
+    @staticmethod
+    def _hashes(batch: list) -> list[bytes]:
+        return [array("Q", [h for f in forms for h in features(f)]).tobytes() for forms in batch]
 
     def features(self, text: str) -> np.ndarray:
         """Distinct features of a text."""
-        words = text.lower().split()
-        parts = self._seen(set(words), self._hashes)
-        parts.append(self._hashes(self._runs(words)))
-        return np.unique(np.frombuffer(b"".join(parts), np.uint64))
-
-    def weight(self, form: str) -> float:
-        """The largest weight among a word's features, 0 if none is in the lexicon."""
-        h = np.array(features(form), np.uint64)
+        return np.unique(np.frombuffer(b"".join(self._seen(text.lower().split(), self._hashes)), np.uint64))
+
+    def _weighted(self, batch: list) -> list[tuple]:
+        """For each set of forms the (form, weight) of those with a feature in the lexicon, its largest weight."""
+        hashes, spans = array("Q"), []
+        for i, forms in enumerate(batch):
+            for f in forms:
+                spans.append((i, f, len(hashes)))
+                hashes.extend(features(f))
+        h = np.frombuffer(hashes, np.uint64) if spans else np.empty(0, np.uint64)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return float(self.weights[at[hit]].max()) if hit.any() else 0.0
-
-    def _weighted(self, forms: set[str]) -> tuple:
-        return tuple((f, w) for f in sorted(forms) if (w := self.weight(f)))
+        w = np.where(self.keys[at] == h, self.weights[at], 0.0)
+        out: list[tuple] = [()] * len(batch)
+        starts = [s for _, _, s in spans]
+        best: dict[int, float] = {}
+        for k in np.flatnonzero(w):
+            j = bisect_right(starts, k) - 1
+            best[j] = max(best.get(j, 0.0), float(w[k]))
+        for j, x in best.items():
+            out[spans[j][0]] += ((spans[j][1], x),)
+        return out
 
     def evidence(self, text: str) -> tuple[float, float, float]:
         """Largest weight found, logarithm of the summed weights, and of the number of words with weight."""
         if not len(self.keys):
             return 0.0, 0.0, 0.0
-        words = text.lower().split()
-        found = {f: w for part in self._seen(set(words), self._weighted) for f, w in part}
-        found |= dict(self._weighted(self._runs(words)))
-        return summary(list(found.values()))
+        return summary(list({f: w for part in self._seen(text.lower().split(), self._weighted) for f, w in part}.values()))
 
 
 def summary(found: list[float]) -> tuple[float, float, float]:

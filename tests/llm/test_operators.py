@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty texts, ties, repeated rows, extra columns and empty tables."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -190,38 +191,75 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(31), 0), 50: 50, 55: 50, 60: 50}
 
 
-def test_tree_is_a_distribution_and_matches_its_definition():
-    data = [b"abracadabra abra", b"cadabra", b"abba"]
-    cells, n = lm.grams(data, 2)
-    out = []
-    for d in range(3):
-        part = cells & ((1 << (8 * (d + 1))) - 1)
-        u, at = np.unique(part, return_inverse=True)
-        out.append((u >> 8, u % 256, np.bincount(at, n)))
-    tree = lm.ByteTree(out)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
-    assert n.sum() == sum(map(len, data)) + len(data)
-    # the first decision of a byte after context 'ab' by the recursion itself
-    bits = collections.defaultdict(lambda: [0, 0])
-    for t in data:
-        s = b"\0\0" + t + bytes([lm.STOP])
-        for i in range(2, len(s)):
-            for d in range(3):
-                bits[s[i - d : i]][s[i] >> 7] += 1
-    kt = lambda c: float(lm.kt(np.array([float(c[0])]), np.array([float(c[1])]))[0])
-
-    def weighted(ctx):
-        kids = [c for c in bits if len(c) == len(ctx) + 1 and c[1:] == ctx]
-        return kt(bits[ctx]) if not kids else np.logaddexp(kt(bits[ctx]), sum(map(weighted, kids))) - math.log(2)
-
-    p, have, left = 0.0, 0.0, 1.0
-    for ctx in (b"", b"b", b"ab"):
-        own, kids = kt(bits[ctx]), [c for c in bits if len(c) == len(ctx) + 1 and c[1:] == ctx]
-        beta = 1.0 if not kids else math.exp(own - np.logaddexp(own, sum(map(weighted, kids))))
-        a, b = bits[ctx]
-        have, left, p = have + left * beta * (b + 0.5) / (a + b + 1), left * (1 - beta), (b + 0.5) / (a + b + 1)
-    row = tree.extend[tree.extend[0, ord("b")], ord("a")]
-    assert abs((10.0 ** tree.table[row, 128:].astype(float)).sum() - have) < 1e-4
+def plain_tree(train, texts, depth=lm.DEPTH):
+    """log10 probabilities of texts by the recursive definition, on dictionaries."""
+    def events(t):
+        s = bytes(depth) + t + bytes([lm.STOP])
+        for i in range(depth, len(s)):
+            yield s[i - depth : i], s[i]
+
+    bits, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    for t in train:
+        for ctx, byte in events(t):
+            for d in range(depth + 1):
+                for level in range(8):
+                    node = (1 << level) - 1 + (byte >> (8 - level))
+                    bits[ctx[depth - d :], node][byte >> (7 - level) & 1] += 1
+                    if d:
+                        kids[ctx[depth - d + 1 :], node].add(ctx[depth - d :])
+
+    def own(c):
+        return float(lm.kt(np.array([float(c[0])]), np.array([float(c[1])]))[0])
+
+    @functools.cache
+    def weighted(ctx, node):
+        if len(ctx) == depth:
+            return own(bits[ctx, node])
+        return float(np.logaddexp(own(bits[ctx, node]), below(ctx, node))) - math.log(2)
+
+    def below(ctx, node):
+        return sum(weighted(c, node) for c in kids[ctx, node])
+
+    def one(ctx, node, d=0):
+        here = ctx[depth - d :]
+        if (here, node) not in bits:
+            return None
+        a, b = bits[here, node]
+        p = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return p
+        stay = math.exp(own((a, b)) - np.logaddexp(own((a, b)), below(here, node)))
+        longer = one(ctx, node, d + 1)
+        return stay * p + (1 - stay) * (p if longer is None else longer)
+
+    def price(ctx, byte):
+        total = 0.0
+        for level in range(8):
+            p = one(ctx, (1 << level) - 1 + (byte >> (8 - level)))
+            p = 0.5 if p is None else p
+            total += math.log10(p if byte >> (7 - level) & 1 else 1 - p)
+        return total
+
+    return [sum(price(*e) for e in events(t)) for t in texts]
+
+
+@pytest.mark.parametrize("limits", [{}, {"PIECE": 7, "BLOCK_BYTES": 60, "PART_BYTES": 40}])
+def test_scores_match_the_recursive_tree(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(lm, k, v)
+    texts = ["abracadabra abra", "cadabra", "abba", None, "zebra abracadabra é x", "", "abra abra abra cadabra dabra ab", "bra"]
+    want = plain_tree([lm.normal(t) for t in texts[:5]], [lm.normal(t) for t in texts])
+    got = lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), F.col("doc_id") < 5).collect()
+    assert [x.score for x in sorted(got)] == pytest.approx(want, abs=1e-4)
+    none = lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(False)).collect()
+    assert [x.score for x in sorted(none)] == pytest.approx([8 * (len(lm.normal(t)) + 1) * math.log10(0.5) for t in texts], abs=1e-4)
+
+
+def test_lookup_finds_every_key():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 60, 5000))
+    table = lm.Lookup(keys, np.arange(len(keys), dtype=np.float32))
+    at = np.random.default_rng(3).integers(0, len(keys), 20000)
+    assert (table.get(keys[at]) == at).all()
 
 
 def test_lm_scores(docs, empty, texts, spark):

@@ -3,18 +3,21 @@
 A text is scored as its words with A-Z lower-cased, one space between them, and an end, the same events as the base's.
 
 Each byte is eight binary decisions, one for each prefix of its bits; every decision has a context tree over the previous
-DEPTH bytes, whose nodes mix their Krichevsky-Trofimov estimate with their children's. Counts of all contexts of all
-training texts are summed in Spark; the CONTEXTS most frequent ones of any depth get a node of their own, the others
-share their parent's leaf, so the weighted tree has one proven size at any size of corpus and goes out to score every text.
-
-The base needs the corpus count of each word of each document, and words are without bound: each block of documents keeps
-its own distinct words, Spark sums those by word over blocks, and the sums return to the block by a shuffle.
+DEPTH bytes, whose nodes mix their Krichevsky-Trofimov estimate with their children's, so all depths are weighed together.
+A context without data predicts as the longest shorter context that has some. Every context of every training text counts:
+
+1. Blocks of documents (of bounded bytes) list their distinct (context, byte) cells with counts, and their distinct words.
+2. Cells are dealt to parts by the last three bytes of their context, so a part holds whole subtrees below them; words by
+   hash. There are as many parts as the corpus has times 16 MB, so a part's size stays the same at any size of corpus.
+3. Each part weighs its subtrees bottom-up; what they say of the two last bytes is summed in Spark. That top of the tree
+   has at most 2^24 decisions whatever the corpus, and goes out to all parts, which weigh top-down and price the cells
+   that blocks asked for. Words get their corpus counts the same way.
+4. Prices return to their blocks by a shuffle, and each block scores its documents.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,17 +25,22 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_words, written
+from tidemark.llm.shingles import mix
 
 DEPTH = 6
-#: Contexts with a row of their own: two tables of 24 MB.
-CONTEXTS = 3 << 13
-CHUNK = 2048
+#: Depth of the contexts that deal cells to parts; shorter ones are the top of the tree.
+TOP = 3
 #: No byte of UTF-8 text: it closes a text.
 STOP = 255
+BLOCK_BYTES = 24_000_000
+BLOCK_WORDS = 1_000_000
+BLOCK_ROWS = 65_536
+PART_BYTES = 16_000_000
+PIECE = 1_000_000
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -46,260 +54,353 @@ def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
-def _splits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of the 255 bit decisions, in heap order, from counts [..., 256] of bytes."""
-    zero, one = [], []
-    for level in range(8):
-        x = counts.reshape(*counts.shape[:-1], 1 << level, 2, 1 << (7 - level)).sum(-1)
-        zero.append(x[..., 0])
-        one.append(x[..., 1])
-    return np.concatenate(zero, -1).astype(float), np.concatenate(one, -1).astype(float)
+def normal(text: str | None) -> bytes:
+    return b" ".join(text_words(text))
 
 
-def _bytes_log10(p_one: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the probability of a one at each of its decisions."""
-    out = np.zeros((*p_one.shape[:-1], 256))
-    byte = np.arange(256)
+def positions(texts: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells (context of `depth` bytes, byte) of every position of texts and their ends, a piece at a time, and each position's text.
+
+    Zero bytes stand before a text. Pieces hold about PIECE bytes; a longer text goes in several.
+    """
+    pad = bytes(depth)
+    held: list[bytes] = []
+    owner: list[tuple[int, int]] = []
+    size = 0
+
+    def cells() -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(held), np.uint8).astype(np.int64)
+        cell = np.zeros(max(len(data) - depth, 0), np.int64)
+        for k in range(depth + 1):
+            cell |= data[k : len(cell) + k] << (8 * (depth - k))
+        real = np.ones(len(data), bool)  # the first bytes of a piece are context only
+        starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+        real[(starts[:, None] + np.arange(depth)).ravel()] = False
+        return cell[real[depth:]], np.repeat([o for o, _ in owner], [n for _, n in owner])
+
+    for i, text in enumerate(texts):
+        whole = pad + text + bytes([STOP])
+        for at in range(0, len(text) + 1, PIECE):
+            held.append(whole[at : at + PIECE + depth])
+            owner.append((i, len(held[-1]) - depth))
+            size += owner[-1][1]
+            if size >= PIECE:
+                yield cells()
+                held.clear()
+                owner.clear()
+                size = 0
+    if held:
+        yield cells()
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their summed counts."""
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+class Decisions:
+    """The bit decisions of the contexts of one depth: sorted keys context << 8 | node, zeros and ones."""
+
+    def __init__(self, key: np.ndarray, zero: np.ndarray, one: np.ndarray):
+        self.key, self.zero, self.one = key, zero, one
+        self.own = kt(zero, one)
+        self.p = (one + 0.5) / (zero + one + 1)
+
+    @classmethod
+    def of(cls, cells: np.ndarray, n: np.ndarray) -> Decisions:
+        """From sorted cells (context << 8 | byte) and their counts."""
+        keys, zeros, ones = [], [], []
+        byte = cells & 255
+        for level in range(8):
+            key = (cells >> 8 << 8) | ((1 << level) - 1 + (byte >> (8 - level)))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[: len(key)]
+            one = n * (byte >> (7 - level) & 1)
+            keys.append(key[start])
+            ones.append(np.add.reduceat(one, start) if len(start) else one)
+            zeros.append((np.add.reduceat(n, start) if len(start) else n) - ones[-1])
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return cls(key[order], np.concatenate(zeros)[order].astype(float), np.concatenate(ones)[order].astype(float))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 where there is none."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        """Sets `total`, the weighted log probability, and `stay`, the weight of the own estimate; below: the children's sum, none at the last depth."""
+        if below is None:
+            self.total, self.stay = self.own, np.ones(len(self.own))
+        else:
+            both = np.logaddexp(self.own, below)
+            self.total, self.stay = both - np.log(2), np.exp(self.own - both)
+
+    def settle(self, above: Decisions | None, up: np.ndarray | None) -> None:
+        """Sets `settled`, what this and shorter contexts say, `left`, the weight that they leave to longer ones, and `one_here`, the chance of a one if none is longer."""
+        have, weight = (0.0, 1.0) if above is None else (above.settled[up], above.left[up])
+        self.settled, self.left = have + weight * self.stay * self.p, weight * (1 - self.stay)
+        self.one_here = self.settled + self.left * self.p
+
+
+def parent_keys(key: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions after contexts of `depth` bytes without their oldest."""
+    return (key >> 8 & ((1 << (8 * (depth - 1))) - 1)) << 8 | key & 255
+
+
+def subtrees(cells: np.ndarray, n: np.ndarray) -> dict[int, Decisions]:
+    """Weighted decisions of depths TOP to DEPTH from the sorted cells of full depth."""
+    levels: dict[int, Decisions] = {}
+    for d in range(DEPTH, TOP - 1, -1):
+        if d < DEPTH:
+            cells, n = merged([cells & ((1 << (8 * (d + 1))) - 1)], [n])
+        levels[d] = Decisions.of(cells, n)
+        below = None
+        if d < DEPTH:
+            child = levels[d + 1]
+            below = np.bincount(levels[d].find(parent_keys(child.key, d + 1)), child.total, len(levels[d].key))
+        levels[d].weigh(below)
+    return levels
+
+
+def top_of_tree(key: np.ndarray, zero: np.ndarray, one: np.ndarray, below: np.ndarray) -> list[Decisions]:
+    """Settled decisions of depths 0 to TOP - 1 from those of depth TOP - 1 and their children's sums."""
+    order = np.argsort(key)
+    at = Decisions(key[order], zero[order], one[order])
+    at.weigh(below[order])
+    levels = [at]
+    for d in range(TOP - 1, 0, -1):
+        up, place = np.unique(parent_keys(at.key, d), return_inverse=True)
+        above = Decisions(up, np.bincount(place, at.zero, len(up)), np.bincount(place, at.one, len(up)))
+        above.weigh(np.bincount(place, at.total, len(up)))
+        at = above
+        levels.insert(0, at)
+    for d, x in enumerate(levels):
+        x.settle(levels[d - 1] if d else None, levels[d - 1].find(parent_keys(x.key, d)) if d else None)
+    return levels
+
+
+def prices(asked: np.ndarray, levels: dict[int, Decisions], top: list[Decisions]) -> np.ndarray:
+    """log10 probability of each asked cell: at every decision, the longest context with data decides."""
+    for d in range(TOP, DEPTH + 1):
+        above = top[-1] if d == TOP else levels[d - 1]
+        levels[d].settle(above, above.find(parent_keys(levels[d].key, d)))
+    out = np.zeros(len(asked))
+    byte = asked & 255
     for level in range(8):
-        node = (1 << level) - 1 + (byte >> (8 - level))
-        one = (byte >> (7 - level)) & 1
-        p = p_one[..., node]
-        out += np.log10(np.where(one, p, 1 - p))
+        node, bit = (1 << level) - 1 + (byte >> (8 - level)), byte >> (7 - level) & 1
+        one, open_ = np.full(len(asked), 0.5), np.arange(len(asked))
+        for d in range(DEPTH, -1, -1):
+            x = levels[d] if d >= TOP else top[d]
+            at = x.find((asked[open_] >> 8 & ((1 << (8 * d)) - 1)) << 8 | node[open_])
+            hit = at >= 0
+            one[open_[hit]] = x.one_here[at[hit]]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        one = np.clip(one, 1e-9, 1 - 1e-9)
+        out += np.log10(np.where(bit == 1, one, 1 - one))
     return out
 
 
-class ByteTree:
-    """The weighted trees as tables of one row for each kept context: log10 probabilities by byte, and the row of each extension.
+class Lookup:
+    """Values by 64-bit key, by open addressing in numpy: two or three reads for each of millions of positions."""
 
-    A context's children are its extensions by one older byte. Kept children have subtrees of their own; the occurrences
-    of all others form one leaf, so the tree always covers every context and its weights are those of a full tree.
-    """
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
+        at, rest = mix(keys.view(np.uint64)) & self.mask, np.arange(len(keys))
+        while len(rest):
+            free = self.keys[at[rest]] == -1
+            self.keys[at[rest[free]]] = keys[rest[free]]  # of several, the last stays
+            won = self.keys[at[rest]] == keys[rest]
+            self.values[at[rest[won]]] = values[rest[won]]
+            rest = rest[~won]
+            at[rest] = (at[rest] + np.uint64(1)) & self.mask
 
-    def __init__(self, cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """cells[d]: context of d bytes (older bytes higher), byte and count of what follows kept contexts of depth d."""
-        keys = [np.unique(c[0]) if d else np.zeros(1, np.int64) for d, c in enumerate(cells)]
-        start = np.r_[0, np.cumsum([len(k) for k in keys])]
-        n = int(start[-1])
-        counts = np.zeros((n, 256), np.float32 if n > 4096 else np.float64)
-        self.extend = np.zeros((n, 256), np.int32)
-        parent = np.zeros(n, np.int64)
-        for d, (ctx, byte, c) in enumerate(cells):
-            counts[start[d] + np.searchsorted(keys[d], ctx), byte] += c
-            if d:
-                older, rest = keys[d] >> (8 * (d - 1)), keys[d] & ((1 << (8 * (d - 1))) - 1)
-                up = start[d - 1] + np.searchsorted(keys[d - 1], rest)
-                parent[start[d] : start[d + 1]] = up
-                self.extend[up, older] = np.arange(start[d], start[d + 1])
-        other = counts.copy()
-        for d in range(1, len(cells)):
-            np.subtract.at(other, parent[start[d] : start[d + 1]], counts[start[d] : start[d + 1]])
-        np.maximum(other, 0, out=other)
-        stay = np.zeros((n, 255), np.float32)  # weight of a node's own estimate against its children's
-        mixed = np.zeros((n, 255), np.float64)
-        for d in range(len(cells) - 1, -1, -1):
-            for a in range(start[d], start[d + 1], CHUNK):
-                at = slice(a, min(a + CHUNK, start[d + 1]))
-                own, below = kt(*_splits(counts[at])), mixed[at] + kt(*_splits(other[at]))
-                total = np.logaddexp(own, below)
-                stay[at], mixed[at] = np.exp(own - total), total - np.log(2)
-            if d:
-                np.add.at(mixed, parent[start[d] : start[d + 1]], mixed[start[d] : start[d + 1]])
-        del mixed
-        # from the root down: what shorter contexts have settled, and the weight that they leave to longer ones
-        settled, left = np.zeros((n, 255), np.float32), np.ones((n, 255), np.float32)
-        self.table = np.zeros((n, 256), np.float32)
-        stops = np.zeros((n, 255), np.float32)
-        for d in range(len(cells)):
-            for a in range(start[d], start[d + 1], CHUNK):
-                at = slice(a, min(a + CHUNK, start[d + 1]))
-                zero, one = _splits(counts[at])
-                up = parent[at]
-                before = stops[up] if d else np.full(zero.shape, 0.5, np.float32)
-                p = np.where(zero + one > 0, (one + 0.5) / (zero + one + 1), before)
-                zero, one = _splits(other[at])
-                rest = np.where(zero + one > 0, (one + 0.5) / (zero + one + 1), p)
-                have, weight = (settled[up], left[up]) if d else (0.0, 1.0)
-                settled[at], left[at] = have + weight * stay[at] * p, weight * (1 - stay[at])
-                stops[at] = np.clip(settled[at] + left[at] * rest, 1e-7, 1 - 1e-7)
-                self.table[at] = _bytes_log10(stops[at].astype(float))
-        self.depth = len(cells) - 1
-
-    def score(self, text: bytes) -> float:
-        """log10 probability of the text and its end."""
-        data = np.frombuffer(text + bytes([STOP]), np.uint8)
-        padded = np.concatenate([np.zeros(self.depth, np.uint8), data])
-        row = np.zeros(len(data), np.int32)
-        live = None
-        for k in range(1, self.depth + 1):
-            older = padded[self.depth - k : self.depth - k + len(data)]
-            if live is None:
-                found = self.extend[row, older]
-                row = np.where(found > 0, found, row)
-                live = np.flatnonzero(found)
-            else:
-                found = self.extend[row[live], older[live]]
-                live, found = live[found > 0], found[found > 0]
-                row[live] = found
-        return float(self.table[row, data].sum(dtype=np.float64))
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = mix(keys.view(np.uint64)) & self.mask
+        out, found = self.values[at], self.keys[at]
+        rest = np.flatnonzero(found != keys)
+        while len(rest):
+            at[rest] = (at[rest] + np.uint64(1)) & self.mask
+            out[rest] = self.values[at[rest]]
+            rest = rest[self.keys[at[rest]] != keys[rest]]
+        return out
 
 
-def normal(text: str | None) -> bytes:
-    return b" ".join(text_words(text))
+def pack(x: np.ndarray, step: bool = False) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress((np.diff(x, prepend=x.dtype.type(0)) if step else x).tobytes())
 
 
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context of `depth` bytes, byte) of texts as integers, and their counts; zero bytes stand before a text."""
-    pad = bytes(depth)
-    data = np.frombuffer(b"".join(pad + t + bytes([STOP]) for t in texts), np.uint8).astype(np.int64)
-    cell = np.zeros(len(data) - depth, np.int64)
-    for k in range(depth + 1):
-        cell |= data[k : len(cell) + k] << (8 * (depth - k))
-    # a window that holds a text's end before its last byte spans two texts
-    ends = np.flatnonzero(data == STOP)
-    real = np.ones(len(data) + depth, bool)
-    for k in range(1, depth + 1):
-        real[ends + k] = False
-    return np.unique(cell[real[depth : len(data)]], return_counts=True)
-
-
-def train(texts: DataFrame, *, depth: int = DEPTH, contexts: int = CONTEXTS, paths: list[str] | None = None) -> ByteTree:
-    """The tree over every text of the column `text`.
-
-    Counts of all contexts and bytes are summed in Spark. The `contexts` most frequent contexts are kept (contexts tied with
-    the first one beyond are not), and with a context all its shorter ends, which are no rarer.
-    """
+def unpack(blob: bytes, kind: type, step: bool = False) -> np.ndarray:
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    return np.cumsum(x) if step else x
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            cells, at = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-            return cells, np.bincount(at, np.concatenate([k[1] for k in kept])).astype(np.int64)
+def unpack_all(blobs, kind: type, step: bool = False) -> np.ndarray:
+    return np.concatenate([unpack(b, kind, step) for b in blobs]) if len(blobs) else np.empty(0, kind)
 
-        held, size, entries, limit = [], 0, 0, 2_000_000
-        for x in batches:
-            for text in x["text"]:
-                held.append(normal(text))
-                size += len(held[-1])
-                if size > 1_000_000:  # slices of about a megabyte, so that memory stays small
-                    kept.append(grams(held, depth))
-                    held, size, entries = [], 0, entries + len(kept[-1][0])
-                    if entries > limit:
-                        kept[:] = [merged()]
-                        entries = len(kept[0][0])
-                        limit = max(limit, 2 * entries)
-        if held:
-            kept.append(grams(held, depth))
-        if kept:
-            cells, n = merged()
-            yield pd.DataFrame({"cell": cells, "n": n})
-
-    sums = texts.select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = written(sums, paths)
-    # counts of each depth come from those of the next, the sizes of contexts from their counts
-    levels, sizes = [written(cells.select(F.shiftright("cell", 8).alias("ctx"), (F.col("cell") % 256).cast("int").alias("b"), "n"), paths)], []
-    for d in range(depth, -1, -1):
-        sizes.append(written(levels[-1].groupBy("ctx").agg(F.sum("n").alias("all")), paths))
-        if d:
-            mask = F.lit((1 << (8 * (d - 1))) - 1)
-            levels.append(written(levels[-1].groupBy(F.col("ctx").bitwiseAND(mask).alias("ctx"), "b").agg(F.sum("n").alias("n")), paths))
-    every = sizes[0].select("all")
-    for x in sizes[1:-1]:
-        every = every.unionByName(x.select("all"))
-    top = every.orderBy(F.desc("all")).limit(contexts + 1).agg(F.count(F.lit(1)).alias("k"), F.min("all").alias("least")).first()
-    beyond = top["least"] if top["k"] > contexts else 0
-    out = []
-    for level, size in zip(levels[::-1], sizes[::-1], strict=True):
-        rows = level.join(F.broadcast(size.where(F.col("all") > beyond).select("ctx")), "ctx").toPandas()  # `contexts` rows at most, 256 bytes each
-        out.append((rows["ctx"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)))
-    return ByteTree(out)
-
-
-def score_documents(docs: DataFrame, training, *, text: str = "text", id: str = "doc_id", block: int = 8192, paths: list[str] | None = None) -> DataFrame:
+
+def word_hashes(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def part_of_cells(cells: np.ndarray, parts: int) -> np.ndarray:
+    return (mix((cells >> 8 & ((1 << (8 * TOP)) - 1)).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def part_of_words(words: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(words.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def asked_rows(block: int, kind: str, keys: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[tuple]:
+    """(block, kind, part, keys, counts) for each part that a block's sorted keys fall in."""
+    order = np.argsort(part, kind="stable")
+    keys, counts, part = keys[order], counts[order], part[order]
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])[: len(part)]
+    for a, b in zip(start, np.r_[start[1:], len(part)], strict=True):
+        yield block, kind, int(part[a]), pack(keys[a:b], step=True), pack(counts[a:b].astype(np.int64))
+
+
+def score_documents(docs: DataFrame, training, *, text: str = "text", id: str = "doc_id", paths: list[str] | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte) for each row of docs.
 
     `training` is a boolean column over docs; every row is scored, learning from the true ones. A null text is empty and
     has its end alone. Null ids and repeated rows are rows like any other; extra columns are not read; an empty table
-    gives an empty table; without training rows every probability is that of no data.
+    gives an empty table; without training rows every decision has probability 1/2. A text may be of any length.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    tree = train(rows.where("train"), paths=paths)
-    shared = rows.sparkSession.sparkContext.broadcast((tree.depth, tree.extend, tree.table))
+    parts = 8 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
     kind = dict(rows.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = ByteTree.__new__(ByteTree)
-        tree.depth, tree.extend, tree.table = shared.value
-        part, number, packer = TaskContext.get().partitionId(), itertools.count(), zstandard.ZstdCompressor(level=1)
-        held: list[tuple] = []
+        number, first = itertools.count(), TaskContext.get().partitionId() << 24
+        held: list[tuple] = []  # id, training, normal text
         code: dict[bytes, int] = {}
-        trained: Counter = Counter()
-
-        def flush() -> pd.DataFrame:
-            n = np.zeros(len(code), np.int64)
-            n[list(trained)] = list(trained.values())
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in code), np.uint64, len(code)).view(np.int64)
-            return pd.DataFrame({
-                "block": [(part << 24) + next(number)],
-                "hash": [hashes], "trained": [n],
-                "doc_id": [[h[0] for h in held]], "train": [[h[1] for h in held]], "score": [[h[2] for h in held]], "n_bytes": [[h[3] for h in held]],
-                "items": [[h[4] for h in held]],
-            })
-
+        trained: list[tuple[np.ndarray, np.ndarray]] = []
+        others: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def cells(of: bool, into: list) -> None:
+            # merged as they come, so that a block never holds all its positions
+            for c, _ in positions([t for _, train, t in held if train == of]):
+                k, n = np.unique(c, return_counts=True)
+                into.append((k, n if of else np.zeros(len(k), np.int64)))
+                if len(into) > 8:
+                    into[:] = [merged(*map(list, zip(*into, strict=True)))]
+
+        def flush() -> Iterator[pd.DataFrame]:
+            block = first + next(number)
+            cells(True, trained)
+            cells(False, others)
+            keys, counts = merged(*map(list, zip(*trained, *others, strict=True)))
+            found = [*asked_rows(block, "cell", keys, counts, part_of_cells(keys, parts))]
+            # words of a block that differ keep different hashes but for a chance in 2^64
+            hashes = word_hashes(code)
+            order = np.argsort(hashes)
+            n = np.bincount(np.concatenate(seen) if seen else np.empty(0, np.int64), minlength=len(code))
+            found += asked_rows(block, "word", hashes[order], n[order], part_of_words(hashes[order], parts))
+            texts = [t for _, _, t in held]
+            body = zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))  # a normal text has no line break
+            blank = {"doc_id": None, "train": None, "texts": None}
+            yield pd.DataFrame([{"block": b, "kind": k, "part": p, "keys": x, "counts": c, **blank} for b, k, p, x, c in found])
+            yield pd.DataFrame([{"block": block, "kind": "text", "part": -1, "keys": None, "counts": None, "doc_id": [d for d, _, _ in held], "train": [t for _, t, _ in held], "texts": body}])
+
+        seen: list[np.ndarray] = []
         for x in batches:
-            for doc, text, train_ in zip(x["doc_id"], x["text"], x["train"], strict=True):
-                data = text_words(text)
-                words = Counter(data)
-                words[b""] = 1  # the end
+            for doc, t, train in zip(x["doc_id"], x["text"], x["train"], strict=True):
+                words = [*text_words(t), b""]  # and the end
                 at = [code.setdefault(w, len(code)) for w in words]
-                if train_:
-                    for i, c in zip(at, words.values(), strict=True):
-                        trained[i] += c
-                data = b" ".join(data)
-                order = np.argsort(at)
-                item = np.array([np.diff(np.asarray(at)[order], prepend=0), np.asarray(list(words.values()))[order]], np.int32)
-                held.append((None if doc is None or doc != doc else doc, bool(train_), tree.score(data), len(data), packer.compress(item.tobytes())))
-                if len(held) >= block or len(code) > 1_000_000:
-                    yield flush()
-                    held, code, trained = [], {}, Counter()
+                if train:
+                    seen.append(np.asarray(at, np.int64))
+                held.append((None if doc is None or doc != doc else doc, bool(train), b" ".join(words[:-1])))
+                size += len(held[-1][2]) + 1
+                if size > BLOCK_BYTES or len(code) > BLOCK_WORDS or len(held) >= BLOCK_ROWS:
+                    yield from flush()
+                    held, code, trained, others, seen, size = [], {}, [], [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
-    schema = f"block long, hash array<long>, trained array<long>, doc_id array<{kind}>, train array<boolean>, score array<double>, n_bytes array<long>, items array<binary>"
+    schema = f"block long, kind string, part long, keys binary, counts binary, doc_id array<{kind}>, train array<boolean>, texts binary"
     blocks = written(rows.mapInPandas(scan, schema), paths)
-    words = blocks.select("block", F.posexplode(F.arrays_zip("hash", "trained")).alias("i", "w")).select("block", "i", "w.hash", F.col("w.trained").alias("trained"))
-    by = Window.partitionBy("hash")  # a row for each block that has the word
-    c = F.sum("trained").over(by)
-    first = (F.row_number().over(by.orderBy("block")) == 1) & (c > 0)
-    counts = words.select("block", "i", c.alias("c"), first.alias("first")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "c"))).alias("c"), F.count_if("first").alias("v"))
-    counts = counts.select("block", F.transform("c", lambda x: x["c"]).alias("c"), "v")
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = zstandard.ZstdDecompressor()
-        for x in batches:
-            for r in x.itertuples():
-                c = np.asarray(r.c, np.int64)
-                logs = np.log10(c + 1.0)
-                out = []
-                for item in r.items:
-                    at, n = np.frombuffer(reader.decompress(item), np.int32).reshape(2, -1)
-                    at = np.cumsum(at)
-                    out.append((int(n.sum()), int(n[c[at] > 0].sum()), float((logs[at] * n).sum())))
-                frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs"])
-                ids = pd.Series(list(r.doc_id), dtype="Int64" if kind in ("bigint", "int") else object)
-                # the block's share of the vocabulary stands on its first row
-                yield frame.assign(doc_id=ids, train=list(r.train), score=list(r.score), n_bytes=list(r.n_bytes), v=[int(r.v)] + [0] * (len(out) - 1))[["doc_id", "train", "n_tokens", "n_known", "logs", "score", "n_bytes", "v"]]
-
-    both = blocks.select("block", "doc_id", "train", "score", "n_bytes", "items").join(counts.hint("merge"), "block").drop("block")
-    scored = both.select("doc_id", "train", "score", "n_bytes", "items", "c", "v").mapInPandas(add, f"doc_id {kind}, train boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, v long")
+    asked = blocks.where("part >= 0").select("block", "kind", "part", "keys", "counts")
+
+    def gathered(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return merged([unpack(k, np.int64, step=True) for k in x["keys"]], [unpack(c, np.int64) for c in x["counts"]])
+
+    def upwards(x: pd.DataFrame) -> pd.DataFrame:
+        keys, n = gathered(x)
+        keys, n = keys[n > 0], n[n > 0]
+        if x["kind"].iloc[0] == "word":
+            return pd.DataFrame({"key": [-1], "zero": [float(len(keys))], "one": [0.0], "below": [0.0]})
+        least = subtrees(keys, n)[TOP]
+        up, place = np.unique(parent_keys(least.key, TOP), return_inverse=True)
+        return pd.DataFrame({"key": up, "zero": np.bincount(place, least.zero, len(up)), "one": np.bincount(place, least.one, len(up)), "below": np.bincount(place, least.total, len(up))})
+
+    sums = asked.groupBy("kind", "part").applyInPandas(upwards, "key long, zero double, one double, below double")
+    sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "below")]).toPandas()  # at most 2^24 decisions after two bytes
+    vocabulary = float(sums.loc[sums["key"] < 0, "zero"].sum())
+    sums = sums[sums["key"] >= 0]
+    top = top_of_tree(*(sums[c].to_numpy(t) for c, t in zip(("key", "zero", "one", "below"), (np.int64, float, float, float), strict=True)))
+    sent = rows.sparkSession.sparkContext.broadcast([(x.key, x.settled, x.left, x.one_here) for x in top])
+
+    def answer(x: pd.DataFrame) -> pd.DataFrame:
+        keys, n = gathered(x)
+        if x["kind"].iloc[0] == "word":
+            values = n.astype(np.float32 if n.max(initial=0) < 1 << 24 else np.float64)
+        else:
+            above = []
+            for key, settled, left, one_here in sent.value:
+                level = Decisions.__new__(Decisions)
+                level.key, level.settled, level.left, level.one_here = key, settled, left, one_here
+                above.append(level)
+            values = prices(keys, subtrees(keys[n > 0], n[n > 0]), above).astype(np.float32)
+        out = [pack(values[np.searchsorted(keys, unpack(k, np.int64, step=True))].astype(np.float64 if values.dtype == np.float64 else np.float32)) for k in x["keys"]]
+        return pd.DataFrame({"block": x["block"], "kind": x["kind"], "wide": values.dtype == np.float64, "keys": x["keys"], "values": out})
+
+    answers = asked.groupBy("kind", "part").applyInPandas(answer, "block long, kind string, wide boolean, keys binary, values binary")
+    held_docs = blocks.where("part = -1").select("block", "doc_id", "train", "texts")
+
+    def finish(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        def both(what: str) -> Lookup:
+            x = found[found["kind"] == what]
+            values = [unpack(v, np.float64 if w else np.float32) for v, w in zip(x["values"], x["wide"], strict=True)]
+            return Lookup(unpack_all(x["keys"].tolist(), np.int64, step=True), np.concatenate(values))
+
+        cells, words = both("cell"), both("word")
+        parts_ = []
+        for r in block.itertuples():
+            texts = zstandard.ZstdDecompressor().decompress(r.texts).split(b"\n")
+            score = np.zeros(len(texts))
+            for c, owner in positions(texts):
+                score += np.bincount(owner, cells.get(c), len(texts))
+            code: dict[bytes, int] = {}
+            at = [np.fromiter((code.setdefault(w, len(code)) for w in [*t.split(), b""]), np.int64) for t in texts]
+            count = words.get(word_hashes(code)).astype(float)
+            logs = np.log10(count + 1)
+            parts_.append(pd.DataFrame({
+                "doc_id": pd.Series(list(r.doc_id), dtype="Int64" if kind in ("bigint", "int") else object), "train": list(r.train),
+                "n_tokens": [len(a) for a in at], "n_known": [int((count[a] > 0).sum()) for a in at], "logs": [float(logs[a].sum()) for a in at], "score": score, "n_bytes": [len(t) for t in texts],
+            }))
+        return pd.concat(parts_) if parts_ else pd.DataFrame(columns=["doc_id", "train", "n_tokens", "n_known", "logs", "score", "n_bytes"])
+
+    # a group is one block, whose size is bounded
+    scored = held_docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, f"doc_id {kind}, train boolean, n_tokens long, n_known long, logs double, score double, n_bytes long")
     scored = written(scored, paths)
-    totals = scored.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("v"), F.lit(0)).alias("vocabulary"))
+    totals = scored.agg(F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("train_tokens"))
     out = scored.crossJoin(F.broadcast(totals))  # one row
-    base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("vocabulary") + 1).cast("double"))
+    base = F.col("logs") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.lit(vocabulary) + 1).cast("double"))
     bits = -F.col("score") * F.lit(float(np.log2(10))) / (F.col("n_bytes") + 1)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", bits.alias("code_bits_per_byte"))
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """The query's table: `score_documents`, whose docstring states the edge cases, learning from rows whose crc32 of the id modulo 7 is not 2."""
     bucket = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
     return score_documents(docs, bucket != 2)

@@ -342,7 +342,8 @@ def score_toxicity(
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    labelled = written(rows.where(~held).join(marks, "doc_id").select("text", "label"))
+    # labels grow with the corpus, so the plan is the same shuffle join at any size
+    labelled = written(rows.where(~held).join(marks.hint("merge"), "doc_id").select("text", "label"))
     counts = char_counts(rows)
     words = written(lexicon(labelled, counts, support=support, weight=weight))
     share = min(1.0, sample / max(1, labelled.count()))

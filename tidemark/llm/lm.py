@@ -36,7 +36,7 @@ DEPTH = 6
 TOP = 3
 #: No byte of UTF-8 text: it closes a text.
 STOP = 255
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 32_000_000
 BLOCK_WORDS = 1_000_000
 BLOCK_ROWS = 65_536
 PART_BYTES = 16_000_000
@@ -235,11 +235,14 @@ class Lookup:
 
 
 def pack(x: np.ndarray, step: bool = False) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress((np.diff(x, prepend=x.dtype.type(0)) if step else x).tobytes())
+    """An array compressed by byte planes, as steps from one value to the next if it is sorted."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if step else np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unpack(blob: bytes, kind: type, step: bool = False) -> np.ndarray:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
     return np.cumsum(x) if step else x
 
 

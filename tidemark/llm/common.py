@@ -15,10 +15,16 @@ SPACES = " \t\n\x0b\f\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
 
 
+#: Folders of intermediate tables that this process wrote, for `release`.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only for a local master without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,18 +34,29 @@ def written(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and gives Spark the true size."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if paths is not None:
-        paths.append(path)
+    (_WRITTEN if paths is None else paths).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written tables that no later read needs."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the given intermediate tables, or all that this process wrote; only once nothing lazy reads them any more."""
+    paths = _WRITTEN if paths is None else paths
     while paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows as one struct `row`, so that no column of theirs clashes with a working column, plus `more`."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unboxed(out: DataFrame, columns: list[str], *added: str, **replaced: Column) -> DataFrame:
+    """The struct's columns again (`replaced` ones anew), then the added columns, which take the place of any of their name."""
+    kept = [replaced.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns if c not in added]
+    return out.select(*kept, *added)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, n_words, written
+from tidemark.llm.common import SPACES, boxed, n_words, unboxed, written
 
 KEY = ["id", "th"]
 
@@ -114,25 +114,24 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", min_
 
     Runs are compared as whole lines; positions are ordered by document id (null first), text hash and line. Blank
     lines between two deleted lines go with them. Null texts stay null, documents without a copy stay as they are, rows
-    repeated with the same id and text are one document, extra columns pass through, an empty table stays empty. A
+    repeated with the same id and text are one document, extra columns pass through (one named n_lines_removed gives way to
+    the count), an empty table stays empty. A
     document that consists of copies alone ends up with an empty text.
     """
-    taken = {c: f"_in_{c}" for c in ("id", "th", "ranges", "n_lines_removed") if c in docs.columns and c != id}
-    rows = docs.withColumnsRenamed(taken)
-    rows = keyed(rows, text, id)
-    edits = written(deletions(rows.select("id", "th", text), text, min_words=min_words, paths=paths), paths)
+    rows = boxed(docs, F.col(text).alias("t"), F.col(id).alias("i"))
+    rows = keyed(rows, "t", "i")
+    edits = written(deletions(rows.select("id", "th", "t"), "t", min_words=min_words, paths=paths), paths)
     gone = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["line"], r["last"]))))
     # edits grow with the corpus, so the plan is the same shuffle join at any size
-    out = rows.join(edits.hint("merge"), KEY, "left").withColumn("_gone", gone)
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cut))
-    out = out.withColumn("n_lines_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.drop("_gone", "_lines", "ranges", "id", "th") if id != "id" else out.drop("_gone", "_lines", "ranges", "th")
-    return out.withColumnsRenamed({v: k for k, v in taken.items() if k != "n_lines_removed"})
+    out = rows.join(edits.hint("merge"), KEY, "left").withColumn("gone", gone)
+    out = out.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("t", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    cut = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    out = out.withColumn("n_lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return unboxed(out, docs.columns, "n_lines_removed", **{text: F.when(F.col("gone").isNull(), F.col("t")).otherwise(cut)})
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """The query's digest of `dedup_lines`, whose docstring states the edge cases; a null text counts as empty here."""
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", n_words("text").alias("n_words_left"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_left"), "n_lines_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import boxed, unboxed, written
 
 #: Quanta that the weights of all sources sum to.
 RESOLUTION = 1 << 36
@@ -87,6 +87,9 @@ def default_weights(counts: DataFrame) -> DataFrame:
     return counts.select("source", F.sqrt(F.col("rows").cast("double")).alias("weight"))
 
 
+ADDED = ["block_no", "release", "deadline", "slot", "place"]
+
+
 def schedule(docs: DataFrame, weights: DataFrame | None = None, *, source: str = "source", id: str = "doc_id", block: int = 16, period: int = 1024, paths: list[str] | None = None) -> DataFrame:
     """docs plus block_no, release, deadline, slot and place: row (slot, place) is where a document stands in the mix.
 
@@ -94,39 +97,39 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None, *, source: str =
     slot in the endless schedule; once a source has no more blocks its slots stay empty and the others go on in their
     proportions, so every row is kept. weights has (source, weight); without it, square roots of the row counts. A null
     source is a source of its own ('' in the weights), a source without a weight comes last (null slot). Repeated rows and
-    ties keep their rows; an empty table gives an empty table. `period` blocks are folded in one stretch; it changes no slot.
+    ties keep their rows; an empty table gives an empty table; an extra column named like an added one gives way to it. `period` blocks are folded in one stretch; it changes no slot.
 
     Numbering inside a source never brings a source together: rows are numbered within hash buckets of a few thousand
     rows, and bucket totals give each bucket its offset.
     """
-    taken = [c for c in ("_s", "_b", "_n") if c in docs.columns]
-    if taken:
-        raise ValueError(f"columns {taken} are reserved")
-    rows = docs.withColumn("_s", F.coalesce(F.col(source).cast("string"), F.lit(""))).withColumn("_h", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit(""))))
+    # rows without an id are told apart by their place in the input, so that they do not share one bucket
+    spread = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
+    rows = boxed(docs, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_s"), F.col(id).alias("_id"), F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), spread).alias("_h"))
     n = docs.count()
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(max(1, n // 4096))))
     totals = written(rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n")), paths)
     offsets = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     sizes = totals.groupBy(F.col("_s").alias("source")).agg(F.sum("n").alias("rows"))
-    weights = weights if weights is not None else default_weights(sizes)
+    weights = weights.select(F.coalesce("source", F.lit("")).alias("source"), "weight") if weights is not None else default_weights(sizes)
     shares = quanta(weights, RESOLUTION).join(sizes.withColumn("n_blocks", F.ceil(F.col("rows") / block)), "source")
     plan = written(block_slots(shares, RESOLUTION, period), paths)
-    number = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", id))
+    number = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id"))
     out = rows.withColumn("_n", number).join(written(offsets, paths), ["_s", "_b"]).withColumn("_n", F.col("_n") + F.col("before") - 1)
     out = out.withColumns({"block_no": F.floor(F.col("_n") / block), "place": (F.col("_n") % block).cast("int")})
     out = out.join(plan.withColumnRenamed("source", "_s"), ["_s", "block_no"], "left")
-    return out.select(*docs.columns, "block_no", "release", "deadline", "slot", "place")
+    return unboxed(out, docs.columns, *ADDED)
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
     """docs as read from Parquet files plus position: a row's number, from 0, in the order of the files' names and rows."""
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
+    rows = boxed(docs, F.col("_metadata.file_name").alias("_f"), F.col("_metadata.row_index").alias("_i"))
     sizes = rows.groupBy("_f").agg(F.count(F.lit(1)).alias("n"))  # a row for each file
     before = F.coalesce(F.sum("n").over(Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_f", before.alias("_before"))
-    return rows.join(F.broadcast(starts), "_f").select(*docs.columns, (F.col("_before") + F.col("_i")).alias("position"))
+    return unboxed(rows.join(F.broadcast(starts), "_f").withColumn("position", F.col("_before") + F.col("_i")), docs.columns, "position")
 
 
 def op8(docs: DataFrame) -> DataFrame:
+    """The query's table: the places of `schedule` with its default weights; edge cases as stated there."""
     out = schedule(docs.select("doc_id", "source"))
     return out.select("doc_id", "source", "block_no", "release", "deadline", "slot", "place")

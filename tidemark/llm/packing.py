@@ -60,11 +60,12 @@ def pack(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)).cast("int"))))
     start = F.col("piece").cast("long") * capacity
     pieces = pieces.withColumn("start", start).withColumn("n_words", F.least(F.col("n") - start, F.lit(capacity)).cast("int"))
-    # full bins stay full and are numbered by their own piece; only rests are packed
     if position:
         pieces = pieces.withColumn("shard", F.floor(F.col("at") / shard))
     else:
-        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(max(1, docs.count() // shard))))
+        # rows without an id are told apart by their place in the input, so that equal ones do not share one shard
+        spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+        pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", spread), F.lit(max(1, docs.count() // shard))))
     slim = pieces.select("shard", F.col("n_words"), "doc_id", "piece", "start", "source", "cluster")
     dealt = slim.repartition("shard").sortWithinPartitions("shard", F.desc("n_words"), "doc_id", "piece", "start")
 
@@ -77,4 +78,5 @@ def pack(docs: DataFrame, *, text: str = "text", id: str = "doc_id", source: str
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """The query's table: `pack` with its defaults, whose docstring states the edge cases."""
     return pack(docs)

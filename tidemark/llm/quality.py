@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, words, written
+from tidemark.llm.common import SPACES, boxed, unboxed, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -89,30 +89,36 @@ def host_verdicts(judged: DataFrame, host: str, limit: float) -> DataFrame:
     return hosts.crossJoin(F.broadcast(prior)).select(host, "host_docs", "host_failed", rate.alias("host_rate"), (rate <= limit).alias("host_ok"))
 
 
+def verdict(rows: DataFrame, limit: float, soft: int, paths: list[str] | None = None) -> DataFrame:
+    """Add host_docs, host_failed, host_rate, host_ok and kept to written rows of counts and `_host`."""
+    rows = rows.withColumn("soft_failed", soft_failures())
+    failed = F.col("base_failed") | (F.col("soft_failed") > 0)
+    hosts = written(host_verdicts(rows.select("_host", failed.alias("failed")), "_host", limit), paths)
+    kept = ~F.col("base_failed") & (F.col("soft_failed") < soft) & ((F.col("soft_failed") == 0) | F.col("host_ok"))
+    return rows.join(hosts, "_host").withColumn("kept", kept)
+
+
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "soft_failed", "host_docs", "host_failed", "host_rate", "host_ok", "kept"]
+
+
 def judge(docs: DataFrame, *, text: str = "text", host: str = "source", limit: float = 0.5, soft: int = 2, paths: list[str] | None = None) -> DataFrame:
     """Every row of docs with its counts, its host's shrunk failure rate and `kept`.
 
     A document fails by the base rule or by breaking a soft rule. kept is false if the base rule fails, if the document
     breaks `soft` soft rules, or if it breaks one and its host's shrunk failure rate is over `limit`; a document that
     breaks no rule is kept whatever its host. A null host counts as one host of its own. Rows stay as they are:
-    repeated rows are judged alike, extra columns pass through, an empty table gives an empty table.
+    repeated rows are judged alike, extra columns pass through (one named like an added column gives way to it), an empty
+    table gives an empty table. Rows and counts are written once and read twice.
     """
-    key = "_host"
-    rows = features(docs.withColumn(key, F.coalesce(F.col(host).cast("string"), F.lit("\x00null"))), text)
-    rows = rows.withColumn("soft_failed", soft_failures())
-    failed = F.col("base_failed") | (F.col("soft_failed") > 0)
-    hosts = written(host_verdicts(rows.select(key, failed.alias("failed")), key, limit), paths)
-    kept = ~F.col("base_failed") & (F.col("soft_failed") < soft) & ((F.col("soft_failed") == 0) | F.col("host_ok"))
-    return rows.join(hosts, key).withColumn("kept", kept).drop(key)
+    rows = boxed(docs, F.col(text).alias("_text"), F.coalesce(F.col(host).cast("string"), F.lit("\x00null")).alias("_host"))
+    rows = written(features(rows, "_text").drop("_text"), paths)
+    return unboxed(verdict(rows, limit, soft, paths), docs.columns, *ADDED)
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    slim = docs.select("doc_id", "text", "source")
-    # counts are kept without the texts, so that the second pass reads a narrow table
-    rows = written(features(slim.withColumn("_host", F.coalesce("source", F.lit("\x00null")))).drop("text", "source"))
-    rows = rows.withColumn("soft_failed", soft_failures())
-    hosts = written(host_verdicts(rows.select("_host", (F.col("base_failed") | (F.col("soft_failed") > 0)).alias("failed")), "_host", 0.5))
-    kept = ~F.col("base_failed") & (F.col("soft_failed") < 2) & ((F.col("soft_failed") == 0) | F.col("host_ok"))
-    return rows.join(hosts, "_host").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "soft_failed", F.round("host_rate", 9).alias("host_rate")
+    """The query's table: counts and verdicts of `judge`, with texts left behind; edge cases as stated there."""
+    slim = docs.select("doc_id", "text", F.coalesce("source", F.lit("\x00null")).alias("_host"))
+    rows = written(features(slim).drop("text"))
+    return verdict(rows, 0.5, 2).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", F.round("host_rate", 9).alias("host_rate")
     )

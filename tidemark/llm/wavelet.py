@@ -228,7 +228,7 @@ def write_shards(docs: DataFrame, *, text: str = "text", id: str = "doc_id", pat
     """
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias("text"))
-    dealt = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(ranges, "k").sortWithinPartitions("k", "th").select("k", "text")
+    dealt = rows.withColumn("th", F.xxhash64("text")).repartitionByRange(ranges, "k", "th").sortWithinPartitions("k", "th").select("k", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -282,4 +282,5 @@ def read_documents(shards: DataFrame, paths: list[str] | None = None) -> DataFra
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """The query's table: documents read back from the shards of `write_shards`, whose docstring states the edge cases."""
     return read_documents(write_shards(docs))

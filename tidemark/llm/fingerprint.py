@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import bloom_filter, passes
 from tidemark.llm.common import written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_set
@@ -20,17 +21,19 @@ _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
 
-def signature(text: str | None) -> np.ndarray:
-    """64 minima of 32 bits over the text's five-word shingles; all ones for a text without words."""
-    s = shingle_set(text)
-    if not len(s):
-        return np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+def minima(s: np.ndarray) -> np.ndarray:
+    """64 minima of 32 bits over a set of hashes; all ones for an empty one."""
     low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
     for i in range(0, len(s), 4096):  # bounded memory for very long texts
         low = np.minimum(low, ((_A[:, None] * s[None, i : i + 4096] + _B[:, None]) >> np.uint64(32)).min(axis=1))
     return low.astype(np.uint32)
 
 
+def signature(text: str | None) -> np.ndarray:
+    """The minima over the text's five-word shingles."""
+    return minima(shingle_set(text))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
@@ -44,33 +47,36 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ranges: int | None = None, paths: list[str] | None = None) -> DataFrame:
     """Fingerprints of each row's text and of its edited text (see `edited`), with likenesses.
 
-    The following document is the next in descending id, after the last comes the first; null ids come last, rows that
-    share an id follow each other by text hash. A null text is empty. Two texts without words are alike (1.0), as equal
+    The following document is the next in descending id, after the last comes the first; null ids come last in falling order of
+    a hash of their text, rows that share an id follow each other by that hash. A null text is empty. Two texts without words are alike (1.0), as equal
     texts have equal fingerprints. One row in, one row out; extra columns are not read; an empty table gives an empty table.
 
     Texts are dealt once, to ranges of ids cut at sampled quantiles. Each range also gets the first document of the
     next range (one row for each range), so that a sweep in order meets every neighbour.
     """
     spark = docs.sparkSession
-    lowest = -(1 << 63)
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(lowest)))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    # rows without an id stand below all ids, spread by the hash of their text
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned("th", 3)))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({int(c) for c in rows.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    # a binary search over the cuts, as nested comparisons of depth log2(ranges)
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("k") < cuts[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    rows = rows.withColumn("part", place(0, len(cuts)))
+    # a binary search over the cuts, which are one row
+    one_row = spark.createDataFrame([(cuts,)], "cuts array<long>")
+    low, high = F.lit(0), F.lit(len(cuts))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.col("k") >= F.get("cuts", mid)
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(cuts).bit_length()))
+    rows = rows.crossJoin(F.broadcast(one_row)).withColumn("part", F.aggregate(steps, F.struct(low.alias("lo"), high.alias("hi")), halve)["lo"]).drop("cuts")
     top = {r["part"]: r["k"] for r in rows.groupBy("part").agg(F.max("k").alias("k")).collect()}  # a row for each range
     order = sorted(top, reverse=True)
     # the highest id of a range follows the lowest of the range above; the highest of all follows the lowest of all
     feeds = [(top[b], a) for a, b in zip(order, [*order[1:], *order[:1]], strict=True)] if order else []
     feeds_df = spark.createDataFrame(feeds, "k long, into int") if feeds else spark.createDataFrame([], "k long, into int")
-    rows = rows.withColumn("th", F.xxhash64("text"))
     # of rows that share that id, the first in order is the neighbour
     extra = rows.join(F.broadcast(feeds_df), "k")
     first = extra.groupBy("into").agg(F.min_by(F.struct("doc_id", "text", "k", "th"), "th").alias("x"))
@@ -98,13 +104,18 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
     return dealt.mapInPandas(sweep, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+#: Of 64 low bytes of minima, how many two texts must share to be compared: five deviations below what a Jaccard of 0.8 gives.
+ALIKE = 36
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", bands: int = 16, percent: int = 80, paths: list[str] | None = None) -> DataFrame:
     """(doc_id, class_id): classes of documents linked by a shared signature band and an exact Jaccard check.
 
     Every two documents of a bucket are compared or already in one class. Equal shingle sets are linked first and stand in
-    the buckets once. While buckets hold many pairs across classes, each is a star around one of its documents, a new one
-    each round, which joins large groups without comparing all their pairs; then the pairs left across classes are compared.
-    Each comparison is on whole shingle sets. Null ids are left out; wordless texts stay alone.
+    the buckets once. In the first rounds each bucket is a star around one of its documents, a new one each round, which
+    joins large groups without comparing all their pairs; then the pairs left across classes are compared. A comparison
+    looks at the low bytes of the signatures first and, if these allow the similarity, at whole shingle sets; only documents
+    that come so far have their texts read again. Null ids are left out; wordless texts stay alone.
     """
     width = PERMUTATIONS // bands
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -116,19 +127,24 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         for x in batches:
             out = []
             for doc_id, t in zip(x["doc_id"], x["text"], strict=True):
-                n = len(own := shingle_set(t))
-                if n:
-                    s = signature(t)
-                    out.append((doc_id, n, hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).hexdigest(), [band(b, s) for b in range(bands)]))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "whole", "bands"])
+                own = shingle_set(t)
+                if len(own):
+                    s = minima(own)
+                    out.append((doc_id, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), [band(b, s) for b in range(bands)], s.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "whole", "bands", "low"])
 
-    signed = written(rows.mapInPandas(sign, "doc_id long, n long, whole string, bands array<long>"), paths)
+    signed = written(rows.mapInPandas(sign, "doc_id long, n long, whole binary, bands array<long>, low binary"), paths)
     firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first"))
     copies = signed.select("doc_id", "whole").join(firsts, "whole").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     banded = signed.join(firsts.withColumnRenamed("first", "doc_id"), ["whole", "doc_id"]).select("doc_id", "n", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     banded = written(banded.join(shared, "band"), paths)
 
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("low_u", "low_v"))
+            yield x.loc[(a == b).sum(axis=1) >= ALIKE, ["u", "v"]]
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             on = []
@@ -140,14 +156,23 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     def linked(pairs: DataFrame) -> DataFrame:
         # sets too unlike in size cannot pass
-        near = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v").distinct()
-        near = written(near, paths)
-        texts = near.join(rows.select(F.col("doc_id").alias("u"), "text"), "u").join(rows.select(F.col("doc_id").alias("v"), F.col("text").alias("other")), "v")
+        near = written(pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v").distinct(), paths)
+        low = lambda c: signed.select(F.col("doc_id").alias(c), F.col("low").alias(f"low_{c}")).dropDuplicates([c])
+        near = written(near.join(low("u"), "u").join(low("v"), "v").select("u", "v", "low_u", "low_v").mapInPandas(alike, "u long, v long"), paths)
+        bloom = rows.sparkSession.sparkContext.broadcast(bloom_filter(written(near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), paths)))
+
+        def called(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                yield x.loc[passes(bloom.value, x["h"].to_numpy()), ["doc_id", "text"]]
+
+        some = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(called, "doc_id long, text string")
+        side = lambda c, t: some.select(F.col("doc_id").alias(c), F.col("text").alias(t))
+        texts = near.join(side("u", "text").hint("merge"), "u").join(side("v", "other").hint("merge"), "v")
         return written(texts.select("u", "v", "text", "other").mapInPandas(verify, "u long, v long"), paths)
 
-    links, found, turn = written(copies, paths), True, 0
+    links, turn, gained = written(copies, paths), 0, float("inf")
+    classes = written(components(links, paths), paths)
     while True:
-        classes = written(components(links, paths), paths)
         at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
         mixed = parts.groupBy("band").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same")).where("size * size > same")
@@ -155,20 +180,22 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         if not pairs:
             break
         some = at.join(mixed.select("band"), "band")
-        star = found and pairs > 8 * members
+        # stars while they gain much, or gain at all in place of very many pairs
+        star = pairs > members and (gained * 10 > members or gained and pairs > 64 * members)
         mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("band", "doc_id", F.lit(turn))).alias("x")).select("band", "x.*") if star else some
         mates = mates.select("band", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
         across = some.withColumnRenamed("doc_id", "u").join(mates, "band").where("c <> d" if star else "c <> d and u < v")
         new = linked(across)
-        found, turn = bool(new.take(1)), turn + 1
-        links = links.unionByName(new)
+        gained, turn = new.count(), turn + 1
+        if gained:
+            links = links.unionByName(new)
+            classes = written(components(links, paths), paths)
         if not star:
-            classes = components(links, paths)
             break
     ids = rows.select("doc_id").distinct()
     return ids.join(classes, ids["doc_id"] == classes["id"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each row and the class of near duplicates of its id; a null id has no class."""
+    """Fingerprints of each row and the class of near duplicates of its id; a null id has no class. Edge cases as `fingerprints` states them."""
     return fingerprints(docs).join(near_duplicates(docs), "doc_id", "left")

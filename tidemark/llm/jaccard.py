@@ -22,16 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import bloom_filter, passes
 from tidemark.llm.common import runs, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
 
 
-
 def _counted(s: np.ndarray) -> np.ndarray:
     """The part of the hash space that is counted: three eighths, well over the fifth that a prefix takes."""
     return s & np.uint64(7) < np.uint64(3)
 
+
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -40,29 +41,6 @@ def _prefix(n: int, percent: int) -> int:
     return n - _needed(n, percent) + 1 if n else 0
 
 
-def _bloom(ids: DataFrame, most: int = 1 << 29) -> np.ndarray:
-    """A Bloom filter over xxhash64 of the ids: 16 bits and two probes for each, 64 MB at most."""
-    n = ids.count()
-    bits = 1 << 16
-    while bits < min(16 * n, most):
-        bits *= 2
-    h = F.xxhash64("doc_id")
-    places = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(bits)))).alias("at")
-    words = ids.select(places).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-    rows = words.toPandas()  # bits / 32 rows at most
-    out = np.zeros(bits // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out
-
-
-def _passes(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bits = np.int64(len(bloom) * 32)
-    out = np.ones(len(h), bool)
-    for at in (h % bits, (h.view(np.uint64) >> np.uint64(32)).astype(np.int64) % bits):
-        out &= (bloom[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1
-    return out
-
-
 class Block:
     """DivideSkip over the sets of one block, with the classes of linked records."""
 
@@ -165,12 +143,12 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     alone = alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
     reps = members.where("doc_id = rep").select("doc_id", prefix.alias("p"))
-    bloom = _bloom(written(reps.join(alone.hint("merge"), "doc_id", "left").where("p > coalesce(alone, 0)").select("doc_id").distinct(), paths))
+    bloom = bloom_filter(written(reps.join(alone.hint("merge"), "doc_id", "left").where("p > coalesce(alone, 0)").select("doc_id").distinct(), paths))
     sent = spark.sparkContext.broadcast(bloom)
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch[_passes(sent.value, batch["h"].to_numpy())]
+            batch = batch[passes(sent.value, batch["h"].to_numpy())]
             if not len(batch):
                 continue
             sets = [shingle_set(t) for t in batch["text"]]

@@ -135,7 +135,6 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     signed = written(rows.mapInPandas(sign, "doc_id long, n long, whole binary, bands array<long>, low binary"), paths)
     firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    copies = signed.select("doc_id", "whole").join(firsts, "whole").where("doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     banded = signed.join(firsts.withColumnRenamed("first", "doc_id"), ["whole", "doc_id"]).select("doc_id", "n", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
     banded = written(banded.join(shared, "band"), paths)
@@ -170,8 +169,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         texts = near.join(side("u", "text").hint("merge"), "u").join(side("v", "other").hint("merge"), "v")
         return written(texts.select("u", "v", "text", "other").mapInPandas(verify, "u long, v long"), paths)
 
-    links, turn, gained = written(copies, paths), 0, float("inf")
-    classes = written(components(links, paths), paths)
+    # buckets hold one document of each set, so links and classes are theirs until the copies follow at the end
+    # rows that share an id link the sets that they have
+    sets = signed.join(firsts, "whole").select("doc_id", "first")
+    least = sets.groupBy("doc_id").agg(F.min("first").alias("v"))
+    links = written(sets.join(least, "doc_id").where("first <> v").select(F.col("first").alias("u"), "v"), paths)
+    turn, gained = 0, float("inf")
+    classes = written(components(links, paths), paths) if links.take(1) else rows.sparkSession.createDataFrame([], "id long, component long")
     while True:
         at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
         parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
@@ -192,8 +196,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
             classes = written(components(links, paths), paths)
         if not star:
             break
-    ids = rows.select("doc_id").distinct()
-    return ids.join(classes, ids["doc_id"] == classes["id"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    ids = rows.select("doc_id").distinct().join(least.withColumnRenamed("v", "first"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+    return ids.join(classes, ids["first"] == classes["id"], "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import desk, events, sentiment, tape, text
+from tidemark.operators import desk, events, evidence, sentiment, tape, text
 from tidemark.registry import oracle_sql, queries
 
 DAY = date(2024, 1, 1)
@@ -101,9 +101,80 @@ def test_band_edges_start_the_next_band(spark):
 
 
 def test_numbers_and_grounding(spark):
-    row = spark.createDataFrame([("up 1.234,5 and 1,234.5 on 2024-01-02, +3,2%", "1234.5 or 3.2")], "a string, b string")
+    row = spark.createDataFrame([("up 1.234,5 and 1,234.5 on 2024-01-02T09:30, +3,2% on 3 March 2024, −7 or 8–9 and 1.2.3", "1234.5 or 3.2")], "a string, b string")
     r = row.select(text.numbers("a").alias("n"), text.ungrounded_numbers("a", "b").alias("u")).first()
-    assert r.n == [1234.5, 3.2] and r.u == []
+    assert r.n == [1234.5, 3.2, -7.0, 8.0, 9.0] and r.u == [-7.0, 8.0, 9.0]
+
+
+RULES = [("capital", 1, "dividend", False, True), ("earnings", 2, "quarter", True, False), ("earnings", 3, "profit", False, False), ("market_report", 4, "rally", False, False)]
+
+
+@pytest.fixture
+def rules(spark):
+    return spark.createDataFrame(RULES, "type string, rule_no int, pattern string, soft boolean, hard boolean")
+
+
+@pytest.fixture
+def priority(spark):
+    return spark.createDataFrame([("earnings", 1), ("capital", 2), ("market_report", 3)], "type string, priority int")
+
+
+def test_types_by_title_and_body(spark, rules, priority):
+    rows = [("a", "Dividend after the QUARTER", ""), ("b", "Profit and dividend", ""), ("c", "Shares rally", "the rally came with a Dividend"), ("d", "nothing", "rally only"), ("e", "nothing", "x " * 400 + "profit"), ("f", None, None)]
+    t = spark.createDataFrame(rows, "id string, title string, body string")
+    titled = text.classify(t, rules, priority)
+    assert {r.id: r.news_type for r in titled.collect()} == {"a": "capital", "b": "earnings", "c": "market_report", "d": "other", "e": "other", "f": "other"}
+    final = text.with_body(titled, t.select("id", "body"), rules, priority)
+    assert {r.id: r.news_type for r in final.collect()} == {"a": "capital", "b": "earnings", "c": "capital", "d": "other", "e": "other", "f": "other"}
+
+
+def test_choice_of_type(spark, rules):
+    titled = spark.createDataFrame([("a", "Profit", "earnings"), ("b", "Profit", "earnings"), ("c", "x", "earnings"), ("d", "chart talk", "market_report")], "id string, title string, news_type string")
+    said = spark.createDataFrame([("a", 1, "capital", "no such word"), ("a", 2, "capital", "a Dividend"), ("b", 1, "other", "profit"), ("c", 1, "capital", "")], "id string, pos int, topic string, evidence string")
+    got = {r.id: (r.final_type, r.reason) for r in text.choose_type(titled, said, rules, chart="chart talk").collect()}
+    assert got == {"a": ("capital", "model_quote"), "b": ("earnings", "keyword_title"), "c": ("other", "unsupported"), "d": ("market_report", "keyword_title")}
+
+
+def test_facts_are_kept_in_order_up_to_the_limit(spark):
+    rows = [("g", i, q, "The profit was 12 and the debt 7.", k, s) for i, (q, k, s) in enumerate([("profit was 12", True, "12"), ("profit was 13", True, "12"), ("debt 7", False, "7"), ("debt 7", True, "8"), ("the debt 7", True, "buy at 7"), ("debt 7", True, "7"), ("12 and", True, "12"), ("nonsense", True, "1")])]
+    x = text.verify_facts(spark.createDataFrame(rows, "g string, pos int, quote string, body string, known boolean, s string"), keys=["g"], known=F.col("known"), quote="quote", body="body", sentence="s", sources="body", vocabulary=["buy"])
+    got = [(r.failure, r.kept) for r in x.orderBy("pos").collect()]
+    assert got == [("", True), ("quote", False), ("unknown_id", False), ("numbers", False), ("words", False), ("", True), ("", True), (None, False)]
+
+
+def test_headline_moves(spark):
+    titles = {"Up (3,2%)": True, "margin up +3%": False, "shares −4%": True, "12% of the market": False, "It gains 3": True, "gains a stake": False}
+    t = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    got = text.reports_move(t, moves=(r"gains [0-9a]",), deal="stake", deal_verb="gains", cue="share price").orderBy("id").collect()
+    assert [r.reports_move for r in got] == list(titles.values())
+
+
+def test_passages_meet_documents_on_runs_of_words(spark):
+    q = spark.createDataFrame([(1, "a b c d e f"), (2, "too short")], "item_id int, quote string")
+    d = spark.createDataFrame([(10, "x B  c D e f y"), (11, "a b c d"), (12, None)], "doc_id int, body string")
+    assert [tuple(r) for r in text.shingle_pairs(q, d).collect()] == [(1, 10)]
+
+
+@pytest.mark.parametrize("at, move", [("2024-01-03 10:00:00", 12 / 11 - 1), ("2024-01-03 18:00:00", 15 / 12 - 1), ("2024-01-05 10:00:00", 12 / 11 - 1), ("2024-01-05 18:00:00", 15 / 12 - 1), ("2024-01-01 10:00:00", None), ("2024-01-06 18:00:00", None)])
+def test_reaction_to_results_on_any_day(spark, at, move):
+    s = tape.sessions(quotes(spark, [10, 11, 12, 0, 0, 15]))  # no session on the fourth and fifth
+    p = spark.createDataFrame([("x", "A", datetime.fromisoformat(at), datetime.fromisoformat(at).date())], "id string, cod string, pub_local timestamp_ntz, pub_date date")
+    got = evidence.results_reaction(p, s).first().move
+    assert got == (move if move is None else pytest.approx(move))
+
+
+def test_top_k_forms_of_allocation(spark):
+    rows = spark.createDataFrame([("a", 5.0), ("b", 4.0), ("c", 3.0), ("c", 0.5)], "ticker string, value double")
+    assert {(r.ticker, r.value) for r in desk.bucketed(rows, "ticker", 1).collect()} == {("a", 5.0), ("other", 7.5)}
+    assert {(r.ticker, r.value) for r in desk.bucketed(rows, "ticker", 1, most=3).collect()} == {("a", 5.0), ("b", 4.0), ("c", 3.5)}
+    many = spark.range(3000).selectExpr("cast(id as string) ticker", "1.0D value")
+    assert desk.largest_remainder(many).agg(F.sum("units")).first()[0] == 1000
+
+
+def test_lists_differ_by_members_and_places(spark):
+    lists = lambda codes: spark.createDataFrame([("s", c, i) for i, c in enumerate(codes)], "sector string, cod string, pos int")
+    got = {(r.cod, r.change) for r in sentiment.membership_diff(lists("abd"), lists("bac")).collect()}
+    assert got == {("a", "moved"), ("b", "moved"), ("c", "removed"), ("d", "added")}
 
 
 def test_every_twin_has_a_query():

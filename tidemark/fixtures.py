@@ -36,8 +36,8 @@ MEMBERS = """
 SELECT r_name AS sector, concat('S', cast(s_suppkey as string)) AS cod
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
-POSITIONS = "SELECT concat('S', cast(s_suppkey as string)) AS ticker, cast(s_suppkey * 10 + 5 as double) AS qty FROM supplier WHERE s_suppkey < 12"
-WATCHLIST = "SELECT concat('S', cast(s_suppkey as string)) AS ticker FROM supplier WHERE s_suppkey BETWEEN 12 AND 19"
+POSITIONS = "SELECT concat('S', cast(s_suppkey as string)) AS ticker, cast(s_suppkey * 10 + 5 as double) AS qty FROM supplier WHERE s_acctbal >= 5000"
+WATCHLIST = "SELECT concat('S', cast(s_suppkey as string)) AS ticker FROM supplier WHERE s_acctbal < 5000"
 
 QUARTERS = """
 SELECT * FROM (VALUES (1, '1997Q1', date '1997-01-01', date '1997-03-31'), (2, '1997Q2', date '1997-04-01', date '1997-06-30'),
@@ -47,15 +47,21 @@ THESES = """
 SELECT concat('S', cast(s_suppkey as string)) AS ticker, concat('growth case ', s_name) AS motive,
   CASE WHEN s_suppkey % 2 = 0 THEN array('URGENT', 'HIGH') ELSE array('MEDIUM', 'LOW') END AS indicators,
   CASE WHEN s_suppkey % 3 = 0 THEN 'long' ELSE 'short' END AS horizon, cast(5 + s_suppkey % 4 as double) AS target_weight
-FROM supplier WHERE s_suppkey < 20"""
+FROM supplier"""
 
-#: Rules over the words of the order priorities in titles: type, number, pattern, soft, hard.
+#: Rules over the normalised words of titles and bodies: type, number, pattern, soft, hard.
 RULES = """
-SELECT * FROM (VALUES ('capital', 1, '1-URGENT', false, true), ('earnings', 2, 'URGENT|HIGH', true, false), ('earnings', 3, '2-HIGH', false, false),
-  ('guidance', 4, '3-MEDIUM', false, false), ('market_report', 5, '[0-9]-', false, false), ('rating', 6, '4-NOT', false, false)) AS r(type, rule_no, pattern, soft, hard)"""
-PRIORITY = "SELECT * FROM (VALUES ('capital', 1), ('earnings', 2), ('guidance', 3), ('rating', 4), ('market_report', 5)) AS p(type, priority)"
+SELECT * FROM (VALUES ('capital', 1, '1-urgent', false, true), ('earnings', 2, 'urgent|high', true, false), ('earnings', 3, '2-high', false, false),
+  ('guidance', 4, '3-medium', false, false), ('market_report', 5, '[0-9]-', false, false), ('legal', 6, 'licen[sc]e|copyright', false, false), ('deal', 7, 'token|password', false, false), ('rating', 8, '4-not.{0,20}specified', false, false)) AS r(type, rule_no, pattern, soft, hard)"""
+PRIORITY = "SELECT * FROM (VALUES ('capital', 1), ('earnings', 2), ('guidance', 3), ('legal', 4), ('rating', 5), ('deal', 6), ('market_report', 7)) AS p(type, priority)"
+#: Each article's body is a document; three proposals a model might make for every article, each with a quote.
+BODIES = "SELECT cast(o_orderkey as string) AS id, d.text AS body FROM orders JOIN documents d ON d.doc_id = o_orderkey % (SELECT count(*) FROM documents)"
+PROPOSALS = """
+SELECT cast(o_orderkey as string) AS id, 1 AS pos, CASE o_orderkey % 4 WHEN 0 THEN 'deal' WHEN 1 THEN 'legal' WHEN 2 THEN 'other' ELSE 'guidance' END AS topic, concat('Says ', o_orderpriority) AS evidence, (o_orderkey % 13) / 10.0 AS confidence FROM orders
+UNION ALL SELECT cast(o_orderkey as string), 2, CASE o_orderkey % 3 WHEN 0 THEN 'earnings' WHEN 1 THEN 'market_report' ELSE 'rating' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Closed in LOW spirits' ELSE o_orderpriority END, 0.5 FROM orders
+UNION ALL SELECT cast(o_orderkey as string), 3, 'capital', concat('Order ', o_orderpriority), 0.9 FROM orders WHERE o_orderkey % 2 = 0"""
 
-VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY}
+VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "bodies": BODIES, "proposals": PROPOSALS}
 
 
 class Tables:
@@ -111,6 +117,18 @@ class Tables:
     def rules(self) -> DataFrame:
         return self.spark.sql(RULES)
 
+    @cached_property
+    def bodies(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        d = self.base("documents").select("doc_id", F.col("text").alias("body"))
+        o = self.base("orders").select("o_orderkey").crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))  # one row
+        return o.withColumn("doc_id", F.col("o_orderkey") % F.col("n")).join(d, "doc_id").select(F.col("o_orderkey").cast("string").alias("id"), "body")
+
+    @cached_property
+    def proposals(self) -> DataFrame:
+        return self._with(PROPOSALS, ("orders",))
+
     @cached_property
     def priority(self) -> DataFrame:
         return self.spark.sql(PRIORITY)

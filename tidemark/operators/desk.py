@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,26 +18,33 @@ def values(positions: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def largest_remainder(rows: DataFrame, *, value: str = "value", key: str = "ticker", units: int = 1000) -> DataFrame:
-    """Weights in whole units of the total that sum to it exactly: floors, and one more to the largest remainders."""
-    every = Window.partitionBy(F.lit(1))  # a row for each position of one book
-    x = rows.withColumn("_u", F.col(value) / F.sum(value).over(every) * units).withColumn("_f", F.floor("_u"))
-    rest = F.lit(units) - F.sum("_f").over(every)
-    x = x.withColumn("_rest", rest).withColumn("_p", F.row_number().over(every.orderBy((F.round(F.col("_u") - F.col("_f"), 9)).desc(), key)))
-    return x.withColumn("units", (F.col("_f") + (F.col("_p") <= F.col("_rest")).cast("long")).cast("long")).drop("_u", "_f", "_rest", "_p")
+    """Weights in whole units of the total that sum to it exactly: floors, and one more to the largest remainders.
+
+    No more than `units` rows can get one more, so only the top `units` remainders are numbered, after a distributed top-k.
+    """
+    total = rows.agg(F.sum(value).alias("_total"))  # one row
+    x = rows.crossJoin(F.broadcast(total)).withColumn("_u", F.col(value) / F.col("_total") * units).withColumn("_f", F.floor("_u"))
+    rest = x.agg((F.lit(units) - F.sum("_f")).alias("_rest"))  # one row
+    best = x.select(key, F.round(F.col("_u") - F.col("_f"), 9).alias("_r")).orderBy(F.desc("_r"), key).limit(units)
+    best = best.withColumn("_p", F.row_number().over(Window.orderBy(F.desc("_r"), key))).crossJoin(F.broadcast(rest)).where(F.col("_p") <= F.col("_rest"))
+    more = best.select(key, F.lit(1).alias("_more"))
+    return x.join(more, key, "left").withColumn("units", (F.col("_f") + F.coalesce("_more", F.lit(0))).cast("long")).select(*rows.columns, "units")
 
 
 def bucketed(rows: DataFrame, label: str, keep: int, *, most: int | None = None, value: str = "value", other: str = "other") -> DataFrame:
     """Sums by label, the largest `keep` labels by name and the rest as one; all of them if there are no more than `most`."""
     sums = rows.groupBy(label).agg(F.sum(value).alias(value))
-    every = Window.partitionBy(F.lit(1))  # a row for each label
-    x = sums.withColumn("_k", F.row_number().over(every.orderBy(F.desc(value), label))).withColumn("_n", F.count(F.lit(1)).over(every))
-    name = F.when((F.col("_k") <= keep) | (F.col("_n") <= (most if most is not None else keep)), F.col(label)).otherwise(other)
-    return x.groupBy(name.alias(label)).agg(F.sum(value).alias(value))
+    most = most if most is not None else keep
+    first = sums.orderBy(F.desc(value), label).limit(max(keep, most) + 1)  # a distributed top-k
+    first = first.withColumn("_k", F.row_number().over(Window.orderBy(F.desc(value), label))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+    named = first.where((F.col("_k") <= keep) | (F.col("_n") <= most)).select(label, F.lit(True).alias("_named"))
+    out = sums.join(F.broadcast(named), label, "left")  # at most `most` labels
+    return out.groupBy(F.when(F.col("_named"), F.col(label)).otherwise(other).alias(label)).agg(F.sum(value).alias(value))
 
 
 def align(sessions: DataFrame, calendar: DataFrame, *, lead: bool) -> DataFrame:
     """Closes on every calendar day, carried forward; days before the first close take it if `lead`, else stay null."""
-    grid = sessions.select("cod").distinct().crossJoin(F.broadcast(calendar.select("d")))  # the calendar is a short list of days
+    grid = sessions.select("cod").distinct().crossJoin(F.broadcast(calendar.select("d")))  # the calendar is one row for each trading day: some 250 a year
     x = grid.join(sessions.select("cod", "d", F.col("last").alias("close")), ["cod", "d"], "left")
     w = Window.partitionBy("cod").orderBy("d")
     out = F.last("close", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -64,7 +71,3 @@ def signal(rows: DataFrame, *, least: float = 0.60, n: int = 10) -> DataFrame:
     """Mean of sign x strength x similarity by ticker over similar stories; the n largest by size."""
     x = rows.where(F.col("sim") >= least).groupBy("ticker").agg(F.avg(F.col("sign") * F.col("strength") * F.col("sim")).alias("signal"))
     return x.orderBy(F.desc(F.round(F.abs("signal"), 9)), "ticker").limit(n)
-
-
-def share(c: str, total: Column) -> Column:
-    return F.try_divide(c, total)

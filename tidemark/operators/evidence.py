@@ -27,18 +27,30 @@ def results_candidates(rows: DataFrame, *, keys: list[str], preview: Column, sco
 
 
 def results_reaction(publications: DataFrame, sessions: DataFrame, *, close: str = "17:30:00") -> DataFrame:
-    """Move that answers a publication: before the close, previous close to the day's close, or to the session before a non-trading day; after it, the day's close to the next."""
+    """Move that answers a publication, by whole sessions.
+
+    Before the close: from the session before to the last session on or before the day, which on a non-trading day is the
+    one before it. After the close: from the last session on or before the day to the next. Without either the move is null.
+    """
     from tidemark.operators.tape import anchor
 
-    p = anchor(publications, sessions)
-    by_idx = sessions.select("cod", "idx", "d", "last")
-    at = lambda off, name: by_idx.select("cod", (F.col("idx") - off).alias("idx_before"), F.col("d").alias(f"{name}_d"), F.col("last").alias(f"{name}_px"))
-    p = p.join(at(0, "b"), ["cod", "idx_before"]).join(at(1, "n"), ["cod", "idx_before"], "left").join(at(2, "m"), ["cod", "idx_before"], "left")
+    # anchored one day on, idx_before is the last session on or before the publication day
+    p = anchor(publications.withColumn("_next", F.date_add("pub_date", 1)), sessions, date="_next").drop("_next")
+    by_idx = sessions.select("cod", "idx", "last")
+    at = lambda off, name: by_idx.select("cod", (F.col("idx") - off).alias("idx_before"), F.col("last").alias(name))
+    p = p.join(at(0, "on_px"), ["cod", "idx_before"]).join(at(-1, "before_px"), ["cod", "idx_before"], "left").join(at(1, "after_px"), ["cod", "idx_before"], "left")
     early = F.date_format("pub_local", "HH:mm:ss") < close
-    trades = F.col("n_d") == F.col("pub_date")
-    start = F.when(early, F.col("b_px")).when(trades, F.col("n_px")).otherwise(F.col("b_px"))
-    end = F.when(early & trades, F.col("n_px")).when(early, F.col("b_px")).when(trades, F.col("m_px")).otherwise(F.col("n_px"))
-    return p.withColumn("move", F.try_divide(end, start) - 1)
+    move = F.when(early, F.try_divide("on_px", "before_px")).otherwise(F.try_divide("after_px", "on_px")) - 1
+    return p.withColumn("move", move)
+
+
+def since(dates: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(cod, change): last close against the close of the last session before each company's pub_date."""
+    from tidemark.operators.tape import anchor
+
+    a = anchor(dates, sessions).join(sessions.select("cod", F.col("idx").alias("idx_before"), F.col("last").alias("_b")), ["cod", "idx_before"])
+    last = sessions.groupBy("cod").agg(F.max_by("last", "idx").alias("_close"))
+    return a.join(last, "cod").select("cod", (F.try_divide("_close", "_b") - 1).alias("change"))
 
 
 def news_rollup(stories: DataFrame, tags: DataFrame, indicators: DataFrame, *, newest: int = 5) -> DataFrame:

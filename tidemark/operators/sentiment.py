@@ -15,8 +15,8 @@ def name_days(quotes: DataFrame, members: DataFrame) -> DataFrame:
     """Sessions of members with the trailing deviation and the year's high and low."""
     from tidemark.operators.tape import rolling, sessions
 
-    rows = sessions(quotes.join(F.broadcast(members.select("cod").distinct()), "cod", "left_semi"))
-    rows = rolling(rows, -20, -1, "b").join(F.broadcast(members), "cod")
+    rows = sessions(quotes.join(members.select("cod").distinct(), "cod", "left_semi"))
+    rows = rolling(rows, -20, -1, "b").join(members, "cod")
     year = Window.partitionBy("cod").orderBy("idx").rowsBetween(-251, 0)
     return rows.withColumns({"high_52": F.max("high").over(year), "low_52": F.min("low").over(year), "n_52": F.count("high").over(year)})
 
@@ -121,3 +121,10 @@ def composite(index: DataFrame) -> DataFrame:
     out = index.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"), *[F.avg(x).alias(x) for x in LEGS], *[e.alias(x) for x, e in sums.items()])
     out = out.crossJoin(F.broadcast(sectors)).where("n = n_sectors").drop("n", "n_sectors")
     return out.withColumn("label", label(F.col("score")))
+
+
+def membership_diff(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(sector, cod, change) between two ordered lists (sector, cod, pos): added, removed, or moved to another place."""
+    n, b = now.withColumnRenamed("pos", "_now"), before.withColumnRenamed("pos", "_before")
+    change = F.when(F.col("_before").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_now") != F.col("_before"), "moved")
+    return n.join(b, ["sector", "cod"], "full").withColumn("change", change).where("change is not null").select("sector", "cod", "change")

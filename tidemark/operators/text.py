@@ -25,37 +25,76 @@ def slug(c: Column | str) -> Column:
 
 
 def rule_hits(texts: DataFrame, rules: DataFrame, *, text: str = "title") -> DataFrame:
-    """(id, type, rule_no, soft, hard) for each rule that fires. rules is the caller's small table of patterns."""
-    return texts.join(F.broadcast(rules), F.expr(f"{text} rlike pattern")).select("id", "type", "rule_no", "soft", "hard")
+    """(id, type, rule_no, soft, hard) for each rule that fires on the normalised text. rules is the caller's table of patterns, some hundreds at most."""
+    normal = texts.select("id", normalise(text).alias("_n"))
+    return normal.join(F.broadcast(rules), F.expr("_n rlike pattern")).select("id", "type", "rule_no", "soft", "hard")
 
 
-def classify(texts: DataFrame, rules: DataFrame, priority: DataFrame, *, text: str = "title") -> DataFrame:
-    """(id, news_type, rules): first type by priority among the hits, with earnings dropped when all its hits are soft and a hard capital rule fires."""
-    hits = rule_hits(texts, rules, text=text)
+def kept_types(hits: DataFrame) -> DataFrame:
+    """(id, type) without earnings whose hits are all soft where a hard capital rule fires."""
     by_type = hits.groupBy("id", "type").agg(F.bool_and("soft").alias("all_soft"), F.bool_or("hard").alias("any_hard"))
     hard = F.coalesce(F.max(F.when(F.col("type") == "capital", F.col("any_hard"))).over(Window.partitionBy("id")), F.lit(False))
-    kept = by_type.withColumn("hard", hard).where(~((F.col("type") == "earnings") & F.col("all_soft") & F.col("hard")))
-    best = kept.join(F.broadcast(priority), "type").groupBy("id").agg(F.min(F.struct("priority", "type")).alias("b"))
+    return by_type.withColumn("hard", hard).where(~((F.col("type") == "earnings") & F.col("all_soft") & F.col("hard"))).select("id", "type", "hard")
+
+
+def picked(texts: DataFrame, hits: DataFrame, priority: DataFrame) -> DataFrame:
+    """(id, news_type, rules): the first kept type by priority and the numbers of all rules that fired; other without any."""
+    best = kept_types(hits).join(F.broadcast(priority), "type").groupBy("id").agg(F.min(F.struct("priority", "type")).alias("b"))
     listed = hits.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("rule_no")), lambda x: x.cast("string")), ",").alias("rules"))
     out = texts.select("id").join(best.select("id", F.col("b.type").alias("news_type")), "id", "left").join(listed, "id", "left")
     return out.select("id", F.coalesce("news_type", F.lit("other")).alias("news_type"), F.coalesce("rules", F.lit("")).alias("rules"))
 
 
-NUMBER = r"(?<![\w.,])[+-]?\d+(?:[.,]\d+)*"
+def classify(texts: DataFrame, rules: DataFrame, priority: DataFrame, *, text: str = "title") -> DataFrame:
+    """`picked` of the hits on a text."""
+    return picked(texts, rule_hits(texts, rules, text=text), priority)
+
+
+def with_body(titled: DataFrame, bodies: DataFrame, rules: DataFrame, priority: DataFrame, *, weak: tuple[str, ...] = ("other", "market_report"), reach: int = 600) -> DataFrame:
+    """(id, news_type): a weak type gives way to what the first `reach` normalised characters of the body say, tape talk aside."""
+    open_ = bodies.join(titled.where(F.col("news_type").isin(*weak)).select("id"), "id", "left_semi").select("id", F.substring(normalise("body"), 1, reach).alias("body"))
+    hits = rule_hits(open_, rules, text="body").where("type <> 'market_report'")
+    body = picked(open_, hits, priority).select("id", F.col("news_type").alias("_body")).where("_body <> 'other'")
+    return titled.join(body, "id", "left").select("id", F.coalesce("_body", "news_type").alias("news_type"))
+
+
+def supported(rows: DataFrame, rules: DataFrame, *, label: str, text: str, chart: str) -> DataFrame:
+    """rows plus supports: whether a rule of the label fires on the text, or it is chart talk under market_report; never for other."""
+    by_type = rules.groupBy(F.col("type").alias("_type")).agg(F.concat_ws("|", F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")")))).alias("_any"))
+    out = rows.withColumn("_n", normalise(text)).join(F.broadcast(by_type), F.col(label) == F.col("_type"), "left")  # a row for each type
+    on = F.expr("_n rlike _any") | ((F.col(label) == "market_report") & F.col("_n").rlike(chart))
+    return out.withColumn("supports", F.coalesce((F.col(label) != "other") & (F.col("_n") != "") & on, F.lit(False))).drop("_n", "_type", "_any")
+
+
+def choose_type(titled: DataFrame, proposals: DataFrame, rules: DataFrame, *, chart: str) -> DataFrame:
+    """(id, final_type, reason): the first proposal that its quote supports, else the type of the title if the title supports it, else other. titled has id, title, news_type."""
+    quoted = supported(proposals, rules, label="topic", text="evidence", chart=chart).where("supports").groupBy("id").agg(F.min_by("topic", "pos").alias("_topic"))
+    own = supported(titled, rules, label="news_type", text="title", chart=chart).join(quoted, "id", "left")
+    reason = F.when(F.col("_topic").isNotNull(), "model_quote").when(F.col("supports"), "keyword_title").otherwise("unsupported")
+    return own.withColumn("reason", reason).select("id", F.when(F.col("reason") == "model_quote", F.col("_topic")).when(F.col("reason") == "keyword_title", F.col("news_type")).otherwise("other").alias("final_type"), "reason")
+
+
+#: A number with its sign unless a digit stands before that, dates to leave out, and month names of two languages.
+NUMBER = r"(?<![0-9])[+\-−–]?[0-9]+(?:[.,][0-9]+)*"
+ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?\b"
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?|gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre"
+LONG_DATE = rf"(?i)\b[0-9]{{1,2}}\s+(?:{MONTHS})\s+[0-9]{{4}}\b"
 
 
 def numbers(c: Column | str) -> Column:
-    """Numbers of a text without its dates, as doubles rounded to six places.
+    """Distinct numbers of a text without its dates, as doubles rounded to six places.
 
-    A comma with a point before it, or alone, is a decimal comma; several commas or points group digits.
+    Of a comma and a point the last is the decimal mark; commas alone are decimal marks; what is no number then is left out.
+    Minus signs and dashes of Unicode count as minus.
     """
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"\b\d{4}-\d{2}-\d{2}\b", " ")
-    found = F.regexp_extract_all(plain, F.lit(NUMBER), 0)
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), ISO_DATE, " "), LONG_DATE, " ")
+    found = F.regexp_extract_all(plain, F.lit(NUMBER), F.lit(0))
 
     def value(x: Column) -> Column:
+        x = F.ltrim(F.translate(x, "−–", "--"), F.lit("+"))
         both = x.contains(",") & x.contains(".")
-        european = F.instr(x, ",") > F.instr(x, ".")
+        european = F.length(F.substring_index(x, ",", -1)) < F.length(F.substring_index(x, ".", -1))
         y = F.when(both & european, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(both, F.replace(x, F.lit(","), F.lit(""))).otherwise(F.replace(x, F.lit(","), F.lit(".")))
         return F.round(y.try_cast("double"), 6)
 
@@ -66,6 +105,35 @@ def ungrounded_numbers(sentence: Column | str, source: Column | str) -> Column:
     return F.array_except(numbers(sentence), numbers(source))
 
 
+def shingle_pairs(quotes: DataFrame, bodies: DataFrame, *, width: int = 5) -> DataFrame:
+    """(item_id, doc_id) that share a run of `width` normalised words: an equi-join on runs, not on all pairs. quotes has item_id and quote, bodies doc_id and body."""
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " ")))
+
+    def all_runs(text: str) -> Column:
+        # the words are bound once, not split anew for every run
+        return F.array_distinct(F.get(F.transform(F.array(F.split(normalise(text), " ")), runs), F.lit(0)))
+
+    q = quotes.select("item_id", F.explode(all_runs("quote")).alias("run"))
+    d = bodies.select("doc_id", F.explode(all_runs("body")).alias("run"))
+    return d.join(q, "run").select("item_id", "doc_id").distinct()
+
+
+def verify_facts(facts: DataFrame, *, keys: list[str], known: Column, quote: str, body: str, sentence: str, sources: str, vocabulary: list[str], most: int = 3) -> DataFrame:
+    """facts plus failure ('' if none) and kept: by group and `pos`, the first `most` facts that pass.
+
+    A fact fails by an unknown source, a quote that is not verbatim in its source, numbers that no source of the group
+    holds, or words of `vocabulary` that none holds. Facts after the last kept one are not looked at (failure null).
+    """
+    bad_source = F.when(~known, "unknown_id").when(~verbatim(body, quote), "quote")
+    bad_numbers = F.when(F.size(ungrounded_numbers(sentence, sources)) > 0, "numbers")
+    bad_words = F.when(F.size(ungrounded_words(sentence, sources, vocabulary)) > 0, "words")
+    x = facts.withColumn("failure", F.concat_ws(" ", bad_source, bad_numbers, bad_words)).withColumn("_ok", F.col("failure") == "")
+    before = F.coalesce(F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = before < most
+    return x.withColumn("_seen", seen).withColumn("kept", F.col("_ok") & F.col("_seen")).withColumn("failure", F.when(F.col("_seen"), F.col("failure"))).drop("_ok", "_seen")
+
+
 def verbatim(body: Column | str, quote: Column | str) -> Column:
     """Whether the quote stands in the body, white space, accents, case and quote marks aside."""
     return F.coalesce((F.length(normalise(quote)) > 0) & normalise(body).contains(normalise(quote)), F.lit(False))
@@ -78,20 +146,31 @@ def ungrounded_words(sentence: Column | str, source: Column | str, vocabulary: l
     return F.filter(used, lambda w: ~F.lower(source).contains(w))
 
 
-def reports_move(texts: DataFrame, *, text: str = "title", near: str = r"\b(?:margin|revenue|ebitda)\b", reach: int = 60) -> DataFrame:
-    """texts plus reports_move: a signed percentage that no metric word precedes within `reach` characters.
+def reports_move(texts: DataFrame, *, text: str = "title", near: str = r"\b(?:margin|revenue|ebitda)\b", reach: int = 60, moves: tuple[str, ...] = (), deal: str = "(?!)", deal_verb: str = "(?!)", cue: str = "(?!)") -> DataFrame:
+    """texts plus reports_move: whether the normalised text tells of the price's own move.
 
-    The positions of both decide, so this is the one Arrow job: `mapInPandas` over the rows as they stand.
+    It does by a signed or bracketed percentage that no metric word precedes within `reach` characters, or by one of the
+    patterns `moves`; where the text speaks of a sale (`deal`) and has no price cue, a hit that holds `deal_verb` does not
+    count. Positions decide, so this is an Arrow job: `mapInPandas` over the rows as they stand.
     """
     import re
 
-    signed, metric = re.compile(r"[+-]\s?\d+(?:[.,]\d+)?\s?%"), re.compile(near, re.I)
+    percent = re.compile(r"[(\[]?\s*[+\-−–]?\s*[0-9]+(?:[.,][0-9]+)?\s*%\s*[)\]]?")
+    metric, sale, verb, price = (re.compile(x, re.I) for x in (near, deal, deal_verb, cue))
+    patterns = [re.compile(m, re.I) for m in moves]
+
+    def moved(s: str) -> bool:
+        for m in percent.finditer(s):
+            if re.search(r"[+\-−–(]", m.group()) and not metric.search(s[max(0, m.start() - reach) : m.start()]):
+                return True
+        excused = bool(sale.search(s)) and not price.search(s)
+        return any((hit := p.search(s)) and not (excused and verb.search(hit.group())) for p in patterns)
 
     def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            yield x.assign(reports_move=[any(not metric.search(s[max(0, m.start() - reach) : m.start()]) for m in signed.finditer(s)) if s else False for s in x[text]])
+            yield x.drop(columns="_n").assign(reports_move=[moved(s or "") for s in x["_n"]])
 
-    return texts.mapInPandas(flag, texts.schema.simpleString()[7:-1] + ",reports_move boolean")
+    return texts.withColumn("_n", normalise(text)).mapInPandas(flag, texts.schema.simpleString()[7:-1] + ",reports_move boolean")
 
 
 def candidates(articles: DataFrame, names: DataFrame, *, text: str = "body", limit: int = 30) -> DataFrame:

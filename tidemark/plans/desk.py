@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import Tables, cte
 from tidemark.operators import desk as op
 from tidemark.operators import tape as tp
+from tidemark.operators.evidence import since
 from tidemark.plans.evidence import storied
 from tidemark.plans.study import stories_of
 from tidemark.plans.tape import names_of, r6, sr6, tape_of
@@ -31,10 +32,10 @@ def _(t):
     return last_of(t).select("cod", "d", *r6("close", "move"))
 
 
-@query("holding_weights", "book", "SELECT ticker, round(value / sum(value) OVER () * 100, 4) AS weight FROM book")
+@query("holding_weights", "book", "SELECT ticker, round(value / sum(value) OVER () * 100, 6) AS weight FROM book")
 def _(t):
     b = book_of(t)
-    return b.crossJoin(F.broadcast(b.agg(F.sum("value").alias("total")))).select("ticker", F.round(F.col("value") / F.col("total") * 100, 4).alias("weight"))
+    return b.crossJoin(F.broadcast(b.agg(F.sum("value").alias("total")))).select("ticker", F.round(F.col("value") / F.col("total") * 100, 6).alias("weight"))
 
 
 @query("largest_remainder_weights", "book", """SELECT ticker, cast(f + CASE WHEN row_number() OVER (ORDER BY round(u - f, 9) DESC, ticker) <= 1000 - sum(f) OVER () THEN 1 ELSE 0 END as bigint) AS units FROM (SELECT *, floor(u) AS f FROM (SELECT ticker, value / sum(value) OVER () * 1000 AS u FROM book))""")
@@ -50,7 +51,7 @@ def _(t):
 @query("sector_allocation", "book members", """SELECT sector, round(sum(value), 4) AS value FROM (SELECT CASE WHEN k <= 4 OR n <= 5 THEN sector ELSE 'other' END AS sector, value FROM (
   SELECT sector, value, row_number() OVER (ORDER BY value DESC, sector) AS k, count(*) OVER () AS n FROM (SELECT m.sector, sum(value) AS value FROM book b JOIN members m ON m.cod = b.ticker GROUP BY m.sector))) GROUP BY sector""")
 def _(t):
-    b = book_of(t).join(F.broadcast(t.members), F.col("ticker") == F.col("cod"))
+    b = book_of(t).join(t.members, F.col("ticker") == F.col("cod"))
     return op.bucketed(b, "sector", 4, most=5).select("sector", F.round("value", 4).alias("value"))
 
 
@@ -60,7 +61,7 @@ def _(t):
     return book_of(t).agg(F.round(F.sum("value") - before, 4).alias("change"), F.round((F.sum("value") / before - 1) * 100, 6).alias("pct"))
 
 
-cte("calendar", "SELECT DISTINCT d FROM valid WHERE d >= date '2001-01-01'")
+cte("calendar", "SELECT DISTINCT d FROM valid")
 cte("aligned", """SELECT g.cod, g.d, last_value(s.last IGNORE NULLS) OVER (PARTITION BY g.cod ORDER BY g.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close,
   first_value(s.last IGNORE NULLS) OVER (PARTITION BY g.cod ORDER BY g.d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead
   FROM (SELECT c.cod, k.d FROM (SELECT DISTINCT cod FROM sessions) c CROSS JOIN calendar k) g LEFT JOIN sessions s ON s.cod = g.cod AND s.d = g.d""")
@@ -68,7 +69,7 @@ cte("aligned", """SELECT g.cod, g.d, last_value(s.last IGNORE NULLS) OVER (PARTI
 
 def aligned(t: Tables, lead: bool):
     s = tp.sessions(t.quotes)
-    return op.align(s, s.where("d >= date '2001-01-01'").select("d").distinct(), lead=lead)
+    return op.align(s, s.select("d").distinct(), lead=lead)
 
 
 @query("calendar_align", "aligned", "SELECT cod, d, round(coalesce(close, ahead), 6) AS close FROM aligned")
@@ -81,12 +82,12 @@ def _(t):
     return aligned(t, False).groupBy("cod").agg(F.count("close").alias("n"), (F.count(F.lit(1)) - F.count("close")).alias("missing"))
 
 
-@query("portfolio_value_series", "aligned positions", "SELECT d, round(sum(p.qty * coalesce(a.close, a.ahead)), 4) AS value FROM aligned a JOIN positions p ON p.ticker = a.cod WHERE d IN (SELECT d FROM calendar ORDER BY d DESC LIMIT 63) GROUP BY d")
+@query("portfolio_value_series", "aligned positions", "SELECT d, round(sum(p.qty * coalesce(a.close, a.ahead)), 2) AS value FROM aligned a JOIN positions p ON p.ticker = a.cod WHERE d IN (SELECT d FROM calendar ORDER BY d DESC LIMIT 63) GROUP BY d")
 def _(t):
     a = aligned(t, True)
     last = a.select("d").distinct().orderBy(F.desc("d")).limit(63)
     x = a.join(F.broadcast(last), "d", "left_semi").join(t.positions, F.col("cod") == F.col("ticker"))  # 63 days
-    return x.groupBy("d").agg(F.round(F.sum(F.col("qty") * F.col("close")), 4).alias("value"))
+    return x.groupBy("d").agg(F.round(F.sum(F.col("qty") * F.col("close")), 2).alias("value"))
 
 
 @query("feed_scope_counts", "stories positions watchlist", """SELECT count(*) FILTER (h) AS held, count(*) FILTER (w) AS watched, count(*) FILTER (h OR w) AS tracked, count(*) AS n FROM (
@@ -101,17 +102,15 @@ def _(t):
 @query("sector_news_top3", "stories members", "SELECT sector, id FROM (SELECT m.sector, s.id, row_number() OVER (PARTITION BY m.sector ORDER BY s.pub_local DESC, s.id) AS k FROM stories s JOIN members m USING (cod)) WHERE k <= 3")
 def _(t):
     w = Window.partitionBy("sector").orderBy(F.desc("pub_local"), "id")
-    return stories_of(t).join(F.broadcast(t.members), "cod").withColumn("k", F.row_number().over(w)).where("k <= 3").select("sector", "id")
+    return stories_of(t).join(t.members, "cod").withColumn("k", F.row_number().over(w)).where("k <= 3").select("sector", "id")
 
 
-@query("since_last_results", "storied sessions", """SELECT cod, round(l.last / nullif(b.last, 0) - 1, 6) AS change FROM (SELECT s.cod, max(s.idx) AS ib, (SELECT max(idx) FROM sessions x WHERE x.cod = s.cod) AS il FROM sessions s JOIN
-  (SELECT cod, max(cast(pub_local as date)) AS r FROM storied WHERE contains(title, 'HIGH') GROUP BY cod) r USING (cod) WHERE s.d < r.r GROUP BY s.cod) k JOIN sessions b USING (cod) JOIN sessions l USING (cod) WHERE b.idx = k.ib AND l.idx = k.il""")
+@query("since_last_results", "storied sessions lastpx", """SELECT r.cod, round(l.close / nullif(s.last, 0) - 1, 6) AS change FROM (SELECT cod, max(cast(pub_local as date)) AS day FROM storied WHERE contains(title, 'HIGH') GROUP BY cod) r
+  ASOF JOIN sessions s ON s.cod = r.cod AND s.d < r.day JOIN lastpx l ON l.cod = r.cod""")
 def _(t):
     s = tp.sessions(t.quotes)
     r = storied(t).where(F.col("title").contains("HIGH")).groupBy("cod").agg(F.max(F.to_date("pub_local")).alias("pub_date"))
-    a = tp.anchor(r, s).join(s.select("cod", F.col("idx").alias("idx_before"), F.col("last").alias("b")), ["cod", "idx_before"])
-    last = op.last_close_and_move(s).select("cod", "close")
-    return a.join(last, "cod").select("cod", F.round(F.try_divide("close", "b") - 1, 6).alias("change"))
+    return since(r, s).select("cod", *r6("change"))
 
 
 @query("signal_board", "stories", """SELECT ticker, round(signal, 6) AS signal FROM (SELECT cod AS ticker, avg(sign(peak_ret) * least(1.0, abs(peak_z) / 6) * sim) AS signal FROM (SELECT *, 0.5 + (cast(id as bigint) % 50) / 100 AS sim FROM stories) WHERE sim >= 0.6 GROUP BY cod) ORDER BY round(abs(signal), 9) DESC, ticker LIMIT 10""")

@@ -19,6 +19,12 @@ cte("thesis_words", "SELECT ticker, i AS indicator, lower(i) AS word FROM theses
 cte("thesis_hits", "SELECT t.ticker, s.id, t.indicator, 1 AS hits FROM storied s JOIN thesis_words t ON t.ticker = s.cod AND list_contains(regexp_extract_all(lower(s.title), '[0-9a-z]{3,}'), t.word)")
 
 
+def text_plans():
+    from tidemark.plans import text
+
+    return text
+
+
 def quartered(t: Tables):
     return op.assign_quarters(matched(t), t.quarters, date="pub_date")
 
@@ -60,9 +66,11 @@ def _(t):
     return op.top(matched(t), 40, ["cod"], F.desc("pub_utc"), "id").select("id", "cod", "place")
 
 
-@query("results_reaction", "quartered sessions anchored", """SELECT id, cod, round(CASE WHEN early AND n_d = pub_date THEN n_px / nullif(b_px, 0) - 1 WHEN early THEN b_px / nullif(b_px, 0) - 1 WHEN n_d = pub_date THEN m_px / nullif(n_px, 0) - 1 ELSE n_px / nullif(b_px, 0) - 1 END, 6) AS move FROM (
-  SELECT a.id, a.cod, a.pub_date, strftime(a.pub_local, '%H:%M:%S') < '17:30:00' AS early, b.last AS b_px, n.d AS n_d, n.last AS n_px, m.last AS m_px FROM (SELECT * FROM anchored WHERE id IN (SELECT id FROM quartered)) a
-  JOIN sessions b ON b.cod = a.cod AND b.idx = a.idx_before LEFT JOIN sessions n ON n.cod = a.cod AND n.idx = a.idx_before + 1 LEFT JOIN sessions m ON m.cod = a.cod AND m.idx = a.idx_before + 2)""")
+cte("on_or_before", "SELECT q.id, q.cod, p.pub_local, s.idx FROM quartered q JOIN published p USING (id) ASOF JOIN sessions s ON s.cod = q.cod AND s.d <= q.pub_date")
+
+
+@query("results_reaction", "on_or_before", """SELECT o.id, o.cod, round(CASE WHEN strftime(o.pub_local, '%H:%M:%S') < '17:30:00' THEN n.last / nullif(b.last, 0) ELSE a.last / nullif(n.last, 0) END - 1, 6) AS move FROM on_or_before o
+  JOIN sessions n ON n.cod = o.cod AND n.idx = o.idx LEFT JOIN sessions b ON b.cod = o.cod AND b.idx = o.idx - 1 LEFT JOIN sessions a ON a.cod = o.cod AND a.idx = o.idx + 1""")
 def _(t):
     x = op.results_reaction(quartered(t), sessions(t.quotes))
     return x.select("id", "cod", *r6("move"))
@@ -99,14 +107,13 @@ def _(t):
     return x.groupBy("bucket", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-cte("votes", """SELECT cod, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret > 0) AS pros, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret < 0) AS cons FROM stories WHERE strftime(pub_local, '%Y-%m') = '1997-03' GROUP BY cod""")
+cte("votes", """SELECT cod, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret > 0) AS pros, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret < 0) AS cons FROM stories GROUP BY cod""")
 VOTE = "CASE WHEN pros > 0 AND cons = 0 THEN 'strengthened' WHEN cons > 0 AND pros = 0 THEN 'weakened' WHEN pros = 0 AND cons = 0 THEN 'insufficient' ELSE 'unchanged' END"
 
 
 def votes_of(t: Tables):
     moved = F.col("status").isin("REACTED", "DELAYED")
-    s = stories_of(t).where(F.date_format("pub_local", "yyyy-MM") == "1997-03")
-    return s.groupBy("cod").agg(F.count_if(moved & (F.col("peak_ret") > 0)).alias("pros"), F.count_if(moved & (F.col("peak_ret") < 0)).alias("cons"))
+    return stories_of(t).groupBy("cod").agg(F.count_if(moved & (F.col("peak_ret") > 0)).alias("pros"), F.count_if(moved & (F.col("peak_ret") < 0)).alias("cons"))
 
 
 def overall():
@@ -173,11 +180,23 @@ def _(t):
     return x.select("cod", "quarter", F.md5(F.array_join(F.transform("x", lambda r: r["title"]), "\n")).alias("sources"))
 
 
-@query("fact_verification", "", "SELECT item_id, count(*) AS n, count(*) FILTER (contains(d.text, substr(b.text, 1, 24))) AS verified FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40 GROUP BY item_id")
-def _(t):
+def facts_of(t: Tables):
+    """For each document the passages that share words with it as claimed facts, in order; every seventh cites an unknown id."""
     from tidemark.plans.text import pairs_of
 
-    return pairs_of(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("body").contains(F.substring("quote", 1, 24))).alias("verified"))
+    return pairs_of(t).select("doc_id", F.col("item_id").alias("pos"), "quote", "body", (F.col("item_id") % 7 != 0).alias("known"))
+
+
+@query("fact_verification", "pairs", lambda: f"""SELECT doc_id, count(*) FILTER (ok AND before < 3) AS kept, count(*) FILTER (NOT ok AND before < 3) AS dropped, count(*) FILTER (before < 3 AND known AND NOT verbatim) AS bad_quotes FROM (
+  SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT doc_id, item_id, known, verbatim, known AND verbatim AND grounded AND {text_plans().NO_WORDS.replace('sentence', 'quote').replace('source', 'body')} AS ok FROM (
+      SELECT *, item_id % 7 <> 0 AS known, {text_plans().NORM.format('quote')} <> '' AND contains({text_plans().NORM.format('body')}, {text_plans().NORM.format('quote')}) AS verbatim, len({text_plans().missing('quote', 'body')}) = 0 AS grounded FROM pairs))) GROUP BY doc_id""")
+def _(t):
+    from tidemark.operators.text import verify_facts
+
+    x = verify_facts(facts_of(t), keys=["doc_id"], known=F.col("known"), quote="quote", body="body", sentence="quote", sources="body", vocabulary=text_plans().WORDS)
+    seen = F.col("failure").isNotNull()
+    return x.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count_if(seen & ~F.col("kept")).alias("dropped"), F.count_if(seen & F.col("failure").contains("quote")).alias("bad_quotes"))
 
 
 @query("aggregate_verification", "assessed", "SELECT cod, bool_and(state IN ('better', 'same', 'worse')) AS ok, count(*) FILTER (NOT verified) AS failures FROM assessed GROUP BY cod")
@@ -236,11 +255,27 @@ def _(t):
     return after.join(before, "cod", "left").select("cod", "vote", (~F.col("vote").eqNullSafe(F.col("old"))).alias("changed"))
 
 
-@query("price_vs_thesis", "votes stories", f"""SELECT cod, {VOTE} AS vote, CASE WHEN m > 0.005 THEN 'up' WHEN m < -0.005 THEN 'down' ELSE 'flat' END AS price FROM (SELECT v.*, (SELECT avg(peak_ret) FROM stories s WHERE s.cod = v.cod) AS m FROM votes v)""")
+#: How the price since the last results reads against the thesis: state, direction, reading.
+READINGS = [
+    ("strengthened", "up", "with_thesis"), ("strengthened", "down", "not_yet_reflected"), ("strengthened", "flat", "still_despite_stronger"),
+    ("weakened", "down", "confirms_weakening"), ("weakened", "up", "rises_despite_weaker"), ("weakened", "flat", "still_despite_weaker"),
+    ("unchanged", "up", "risen_thesis_unchanged"), ("unchanged", "down", "fallen_thesis_unchanged"), ("unchanged", "flat", "both_still"),
+]
+cte("readings", f"SELECT * FROM (VALUES {', '.join(map(str, READINGS))}) AS r(vote, dir, reading)")
+cte("since_results", """SELECT r.cod, (l.close / nullif(s.last, 0) - 1) * 100 AS pct FROM (SELECT cod, max(cast(pub_local as date)) AS day FROM storied WHERE contains(title, 'HIGH') GROUP BY cod) r
+  ASOF JOIN sessions s ON s.cod = r.cod AND s.d < r.day JOIN (SELECT cod, arg_max(last, idx) AS close FROM sessions GROUP BY cod) l ON l.cod = r.cod""")
+
+
+@query("price_vs_thesis", "votes since_results readings", f"""SELECT v.cod, coalesce(r.reading, 'insufficient') AS reading FROM (SELECT v.cod, {VOTE} AS vote, CASE WHEN pct > 0.5 THEN 'up' WHEN pct < -0.5 THEN 'down' WHEN pct IS NOT NULL THEN 'flat' END AS dir
+  FROM votes v LEFT JOIN since_results s USING (cod)) v LEFT JOIN readings r USING (vote, dir)""")
 def _(t):
-    m = stories_of(t).groupBy("cod").agg(F.avg("peak_ret").alias("m"))
-    x = votes_of(t).withColumn("vote", overall()).join(m, "cod", "left")
-    return x.select("cod", "vote", F.when(F.col("m") > 0.005, "up").when(F.col("m") < -0.005, "down").otherwise("flat").alias("price"))
+    s = sessions(t.quotes)
+    r = storied(t).where(F.col("title").contains("HIGH")).groupBy("cod").agg(F.max(F.to_date("pub_local")).alias("pub_date"))
+    since = op.since(r, s).select("cod", (F.col("change") * 100).alias("pct"))
+    grid = t.spark.createDataFrame(READINGS, "vote string, dir string, reading string")
+    d = F.when(F.col("pct") > 0.5, "up").when(F.col("pct") < -0.5, "down").when(F.col("pct").isNotNull(), "flat")
+    x = votes_of(t).withColumn("vote", overall()).join(since, "cod", "left").withColumn("dir", d)
+    return x.join(F.broadcast(grid), ["vote", "dir"], "left").select("cod", F.coalesce("reading", F.lit("insufficient")).alias("reading"))
 
 
 @query("preview_title", "quartered", "SELECT id, contains(title, 'LOW') AS preview FROM quartered")

@@ -115,7 +115,7 @@ def _(t):
 
 @query("sector_membership_join", "valid members", "SELECT sector, cod, count(*) AS n FROM valid JOIN members USING (cod) GROUP BY ALL")
 def _(t):
-    return valid_quotes(t.quotes).join(F.broadcast(t.members), "cod").groupBy("sector", "cod").agg(F.count(F.lit(1)).alias("n"))
+    return valid_quotes(t.quotes).join(t.members, "cod").groupBy("sector", "cod").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sector_day", "sector_days", f"SELECT sector, d, {sr6('sector_ret')}, names, shocks, shocks_down, shocks_up, n_high, n_low, n_strength, {sr6('up_qty', 'down_qty', 'total_qty')} FROM sector_days")
@@ -235,13 +235,17 @@ def _(t):
     return s.withColumn("share", F.round(F.coalesce(F.try_divide("shocks", "names"), F.lit(0.0)), 6))
 
 
-@query("membership_diff", "members names", "SELECT sector, cod FROM members WHERE cod NOT IN (SELECT cod FROM names WHERE kind = 'ORD')")
+cte("listed_now", "SELECT sector, cod, row_number() OVER (PARTITION BY sector ORDER BY cod) AS pos FROM members")
+cte("listed_before", "SELECT m.sector, m.cod, row_number() OVER (PARTITION BY m.sector ORDER BY m.cod) AS pos FROM members m JOIN names n USING (cod) WHERE n.kind = 'ORD'")
+
+
+@query("membership_diff", "listed_now listed_before", """SELECT coalesce(n.sector, b.sector) AS sector, coalesce(n.cod, b.cod) AS cod, CASE WHEN b.cod IS NULL THEN 'added' WHEN n.cod IS NULL THEN 'removed' ELSE 'moved' END AS change
+  FROM listed_now n FULL JOIN listed_before b ON n.sector = b.sector AND n.cod = b.cod WHERE b.cod IS NULL OR n.cod IS NULL OR n.pos <> b.pos""")
 def _(t):
-    other = t.names.where("kind = 'ORD'").select("cod", F.lit(1).alias("b"))
-    return t.members.withColumn("a", F.lit(1)).join(other, "cod", "full").where("a is not null and b is null").select("sector", "cod")
+    listed = lambda rows: rows.withColumn("pos", F.row_number().over(Window.partitionBy("sector").orderBy("cod")))
+    return op.membership_diff(listed(t.members), listed(t.members.join(t.names.where("kind = 'ORD'").select("cod"), "cod", "left_semi")))
 
 
 @query("sector_of_ticker", "members", "SELECT cod, sector FROM members")
 def _(t):
-    lists = t.members.groupBy("sector").agg(F.collect_set("cod").alias("codes"))
-    return lists.select("sector", F.explode("codes").alias("cod"))
+    return t.members.select("cod", "sector")

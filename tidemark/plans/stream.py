@@ -15,13 +15,17 @@ def events(t: Tables):
     return s.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("stream_first_article", "", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
-  SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 7 DAY THEN 1 ELSE 0 END AS s FROM events)) GROUP BY user_id, run""")
+#: Groups that the watermark, a day behind the latest event, has passed: the others are still open.
+PASSED = "<= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"
+
+
+@query("stream_first_article", "", f"""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, count(*) AS n FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (
+  SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 1 DAY THEN 1 ELSE 0 END AS s FROM events)) GROUP BY user_id, run HAVING max(ts) + INTERVAL 1 DAY {PASSED}""")
 def _(t):
-    x = jobs.run_available(jobs.first_article_sessions(events(t), key="user_id", at="at", late="60 days"), mode="complete")
+    x = jobs.run_available(jobs.first_article_sessions(events(t), key="user_id", at="at", days=1, late="1 day"))
     return x.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
 
 
-@query("stream_daily_shock_counts", "", "SELECT event_type, cast(ts as date) AS d, count(*) AS n, count(*) FILTER (abs(value) >= 50) AS large FROM events GROUP BY ALL")
+@query("stream_daily_shock_counts", "", f"SELECT event_type, cast(ts as date) AS d, count(*) AS n, count(*) FILTER (abs(value) >= 50) AS large FROM events GROUP BY event_type, cast(ts as date) HAVING cast(ts as date) + INTERVAL 1 DAY {PASSED}")
 def _(t):
-    return jobs.run_available(jobs.daily_counts(events(t), key="event_type", at="at", value="value", cut=50.0, late="60 days"), mode="complete")
+    return jobs.run_available(jobs.daily_counts(events(t), key="event_type", at="at", value="value", cut=50.0, late="1 day"))

@@ -58,15 +58,25 @@ def _(t):
     return v.select("id", *r6("gap", "open_share"))
 
 
-@query("status_by_news_type", "verdict", "SELECT phase, " + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + " FROM verdict GROUP BY phase")
+cte("typed", "SELECT v.*, c.news_type FROM verdict v JOIN classified c USING (id)")
+
+
+def typed(t: Tables):
+    """Verdicts with the type that the rules give their title."""
+    from tidemark.plans.text import classified
+
+    return verdicts_of(t).join(classified(t).select("id", "news_type"), "id")
+
+
+@query("status_by_news_type", "typed", "SELECT news_type, " + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + " FROM typed GROUP BY news_type")
 def _(t):
-    return ev.status_table(verdicts_of(t), "phase")
+    return ev.status_table(typed(t), "news_type")
 
 
-@query("status_shares", "verdict", "SELECT phase, status, count(*) AS n, round(count(*) / greatest(1, sum(count(*)) OVER (PARTITION BY phase)), 6) AS share FROM verdict GROUP BY phase, status")
+@query("status_shares", "typed", "SELECT news_type, status, count(*) AS n, round(count(*) / greatest(1, sum(count(*)) OVER (PARTITION BY news_type)), 6) AS share FROM typed GROUP BY news_type, status")
 def _(t):
-    n = verdicts_of(t).groupBy("phase", "status").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy("phase"))), 6))
+    n = typed(t).groupBy("news_type", "status").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy("news_type"))), 6))
 
 
 @query("lead_shares", "verdict", """SELECT *, round(n_already / n_unusual, 6) AS share_already, round(n_before / n_unusual, 6) AS share_before, round(n_day_before / n_unusual, 6) AS share_day_before FROM (
@@ -135,9 +145,10 @@ def _(t):
     return tape.join(v, ["id", "d"]).select("id", "cod", "d", *r6("prev_ref", "last", "sd", "retained"))
 
 
-@query("percent_rounding", "stories", "SELECT id, round(peak_ret * 100, 4) AS move_pct, round(peak_z, 4) AS z FROM stories")
+@query("percent_rounding", "stories", "SELECT id, round(peak_ret * 100, 2) AS move_pct, round(peak_z, 2) AS z, round(peak_retained * 100, 1) AS retained_pct FROM stories")
 def _(t):
-    return stories_of(t).select("id", F.round(F.col("peak_ret") * 100, 4).alias("move_pct"), F.round("peak_z", 4).alias("z"))
+    pct = lambda c, k, name: F.round(F.col(c) * 100, k).alias(name)
+    return stories_of(t).select("id", pct("peak_ret", 2, "move_pct"), F.round("peak_z", 2).alias("z"), pct("peak_retained", 1, "retained_pct"))
 
 
 @query("news_direction_strength", "stories", "SELECT id, CASE WHEN status = 'NO_REACTION' THEN 'flat' WHEN peak_ret > 0 THEN 'up' WHEN peak_ret < 0 THEN 'down' ELSE 'flat' END AS dir, round(CASE WHEN status = 'NO_REACTION' THEN 0.1 ELSE least(1.0, abs(peak_z) / 6) END, 5) AS strength FROM stories")
@@ -188,15 +199,14 @@ def _(t):
     return company_of(t)
 
 
-@query("company_index_sorted", "company", "SELECT cod, n_stories, row_number() OVER (ORDER BY n_stories DESC, cod) AS place FROM company ORDER BY place LIMIT 50")
+@query("company_index_sorted", "company", "SELECT cod, n_stories FROM company ORDER BY n_stories DESC, cod")
 def _(t):
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("n_stories"), "cod")
-    return company_of(t).orderBy(F.desc("n_stories"), "cod").limit(50).select("cod", "n_stories", F.row_number().over(w).cast("long").alias("place"))
+    return company_of(t).orderBy(F.desc("n_stories"), "cod").select("cod", "n_stories")
 
 
-@query("card_batch_summary", "verdict", "SELECT phase, status, count(*) AS n FROM verdict GROUP BY ALL")
+@query("card_batch_summary", "typed", "SELECT news_type, status, count(*) AS n FROM typed GROUP BY ALL")
 def _(t):
-    return verdicts_of(t).groupBy("phase", "status").agg(F.count(F.lit(1)).alias("n"))
+    return typed(t).groupBy("news_type", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("cards_newest_limit", "stories", "SELECT id, cod, status FROM stories WHERE status <> 'NO_REACTION' ORDER BY pub_local DESC, id LIMIT 100")

@@ -7,21 +7,47 @@ from pyspark.sql import functions as F
 
 from tidemark.fixtures import Tables, cte
 from tidemark.operators import text as op
-from tidemark.operators.tape import publication
+from tidemark.operators.tape import match_names, one_company, publication
 from tidemark.plans.tape import names_of
 from tidemark.registry import query
 
 WORDS = ["idiot", "moron", "clown", "password", "license"]
-cte("hits", "SELECT a.id, r.type, r.rule_no, r.soft, r.hard FROM published a JOIN rules r ON regexp_matches(a.title, r.pattern)")
-cte("kept_types", """SELECT * FROM (SELECT *, coalesce(max(CASE WHEN type = 'capital' THEN CASE WHEN any_hard THEN 1 ELSE 0 END END) OVER (PARTITION BY id), 0) AS cap FROM (
-  SELECT id, type, bool_and(soft) AS all_soft, bool_or(hard) AS any_hard FROM hits GROUP BY id, type)) WHERE NOT (type = 'earnings' AND all_soft AND cap = 1)""")
-cte("classified", """SELECT a.id, coalesce((SELECT k.type FROM kept_types k JOIN priority p USING (type) WHERE k.id = a.id ORDER BY p.priority LIMIT 1), 'other') AS news_type,
-  coalesce((SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT cast(rule_no as varchar) AS n FROM hits h WHERE h.id = a.id)), '') AS rules FROM published a""")
+CHART = "closed in (?:low|high)|the trend stays"
 NORM = r"""trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ‘’“”', 'aaaaaaceeeeiiiinooooouuuuyy''''""'), '\s+', ' ', 'g'))"""
-cte("pairs", """SELECT b.item_id, d.doc_id, b.text AS quote, d.text AS body FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40""")
+BY_TYPE = """SELECT *, coalesce(max(CASE WHEN type = 'capital' THEN CASE WHEN any_hard THEN 1 ELSE 0 END END) OVER (PARTITION BY id), 0) AS cap FROM (
+  SELECT id, type, bool_and(soft) AS all_soft, bool_or(hard) AS any_hard FROM {0} GROUP BY id, type)"""
+KEPT = f"SELECT * FROM ({BY_TYPE}) WHERE NOT (type = 'earnings' AND all_soft AND cap = 1)"
+cte("hits", f"SELECT a.id, r.type, r.rule_no, r.soft, r.hard FROM published a JOIN rules r ON regexp_matches({NORM.format('a.title')}, r.pattern)")
+cte("kept_types", KEPT.format("hits"))
+cte("classified", """SELECT a.id, coalesce(k.type, 'other') AS news_type, coalesce(h.rules, '') AS rules FROM published a LEFT JOIN (SELECT id, arg_min(type, priority) AS type FROM kept_types JOIN priority USING (type) GROUP BY id) k USING (id)
+  LEFT JOIN (SELECT id, string_agg(DISTINCT cast(rule_no as varchar), ',' ORDER BY cast(rule_no as varchar)) AS rules FROM hits GROUP BY id) h USING (id)""")
+cte("open_bodies", f"SELECT b.id, substr({NORM.format('b.body')}, 1, 600) AS body FROM bodies b JOIN classified c USING (id) WHERE c.news_type IN ('other', 'market_report')")
+cte("body_hits", "SELECT b.id, r.type, r.soft, r.hard FROM open_bodies b JOIN rules r ON regexp_matches(b.body, r.pattern) WHERE r.type <> 'market_report'")
+cte("body_kept", KEPT.format("body_hits"))
+cte("final_types", "SELECT c.id, coalesce(b.type, c.news_type) AS news_type FROM classified c LEFT JOIN (SELECT id, arg_min(type, priority) AS type FROM body_kept JOIN priority USING (type) GROUP BY id) b USING (id)")
+cte("quoted", f"SELECT DISTINCT p.id, p.pos, p.topic FROM proposals p LEFT JOIN rules r ON r.type = p.topic AND regexp_matches({NORM.format('p.evidence')}, r.pattern) WHERE p.topic <> 'other' AND (r.type IS NOT NULL OR (p.topic = 'market_report' AND regexp_matches({NORM.format('p.evidence')}, '{CHART}')))")
+WINDOWS = "SELECT {0}, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS run FROM (SELECT {0}, string_split({1}, ' ') AS w FROM {2}) WHERE len(w) >= 5"
+cte("quote_runs", WINDOWS.format("item_id", NORM.format("text"), "benchmark"))
+cte("body_runs", WINDOWS.format("doc_id", NORM.format("text"), "documents"))
+cte("met", "SELECT DISTINCT item_id, doc_id FROM quote_runs JOIN body_runs USING (run)")
+cte("pairs", "SELECT m.item_id, m.doc_id, b.text AS quote, d.text AS body FROM met m JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id)")
 cte("turns", """SELECT a.conv_id, a.turn, a.text AS sentence, u.text AS source FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user' WHERE a.role = 'assistant'""")
 
 
+def nums(text: str) -> str:
+    """DuckDB list of the numbers of a text; without look-behind, a sign after a digit is cut off beforehand, twice as cuts may touch."""
+    plain = f"regexp_replace(regexp_replace(coalesce({text}, ''), '{op.ISO_DATE}', ' ', 'g'), '{op.LONG_DATE}', ' ', 'g')"
+    for _ in range(2):
+        plain = f"regexp_replace({plain}, '([0-9])[+\\-−–]([0-9])', '\\1 \\2', 'g')"
+    y = "ltrim(translate(x, '−–', '--'), '+')"
+    marks = f"CASE WHEN contains({y}, ',') AND contains({y}, '.') THEN CASE WHEN strpos(reverse({y}), ',') < strpos(reverse({y}), '.') THEN replace(replace({y}, '.', ''), ',', '.') ELSE replace({y}, ',', '') END ELSE replace({y}, ',', '.') END"
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({plain}, '[+\\-−–]?[0-9]+(?:[.,][0-9]+)*'), lambda x: round(try_cast({marks} as double), 6)), lambda v: v IS NOT NULL))"
+
+
+def missing(sentence: str, source: str) -> str:
+    return f"list_filter({nums(sentence)}, lambda n: NOT list_contains({nums(source)}, n))"
+
+
 def classified(t: Tables):
     return op.classify(publication(t.articles), t.rules, t.priority)
 
@@ -33,9 +59,10 @@ def turns_of(t: Tables):
 
 
 def pairs_of(t: Tables):
-    b = t.base("benchmark").select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).cast("long").alias("k"))
-    d = t.base("documents").select("doc_id", F.col("text").alias("body"), (F.col("doc_id") % 40).cast("long").alias("k"))
-    return d.join(b, "k").drop("k")
+    """Benchmark passages and the documents that share a run of five words with them."""
+    quotes = t.base("benchmark").select("item_id", F.col("text").alias("quote"))
+    bodies = t.base("documents").select("doc_id", F.col("text").alias("body"))
+    return op.shingle_pairs(quotes, bodies).join(quotes, "item_id").join(bodies, "doc_id")
 
 
 @query("rule_title_join", "hits", "SELECT id, type, rule_no FROM hits")
@@ -60,10 +87,7 @@ def _(t):
 
 @query("soft_hit_demotion", "kept_types", "SELECT id, type FROM kept_types WHERE cap = 1")
 def _(t):
-    hits = op.rule_hits(publication(t.articles), t.rules)
-    by = hits.groupBy("id", "type").agg(F.bool_and("soft").alias("all_soft"), F.bool_or("hard").alias("any_hard"))
-    capital = hits.where("type = 'capital' and hard").select("id").distinct()
-    return by.join(capital, "id", "left_semi").where("not (type = 'earnings' and all_soft)").select("id", "type")
+    return op.kept_types(op.rule_hits(publication(t.articles), t.rules)).where("hard").select("id", "type")
 
 
 @query("classifier_distribution", "classified", "SELECT news_type, count(*) AS n FROM classified GROUP BY news_type")
@@ -77,10 +101,9 @@ def _(t):
     return classified(t).select("id", F.when(n == "earnings", True).when(n.isin("capital", "rating"), False).alias("scheduled"))
 
 
-@query("body_fallback", "classified", "SELECT id, CASE WHEN news_type IN ('other', 'market_report') THEN 'from_body' ELSE news_type END AS final_type FROM classified")
+@query("body_fallback", "final_types", "SELECT id, news_type AS final_type FROM final_types")
 def _(t):
-    n = F.col("news_type")
-    return classified(t).select("id", F.when(n.isin("other", "market_report"), "from_body").otherwise(n).alias("final_type"))
+    return op.with_body(classified(t), t.bodies, t.rules, t.priority).select("id", F.col("news_type").alias("final_type"))
 
 
 @query("normalise_text", "", f"SELECT doc_id, md5({NORM.format('text')}) AS h FROM documents")
@@ -93,9 +116,9 @@ def _(t):
     return t.names.select("cod", op.slug("name").alias("slug"))
 
 
-@query("slug_collisions", "names", "SELECT substr(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 17) AS slug, count(*) AS n FROM names GROUP BY 1 HAVING count(*) > 1")
+@query("slug_collisions", "", "SELECT slug, count(*) AS n FROM (SELECT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part) GROUP BY slug HAVING count(*) > 1")
 def _(t):
-    return t.names.select(F.substring(op.slug("name"), 1, 17).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return t.base("part").select(op.slug("p_type").alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("verbatim_quote_check", "pairs", f"SELECT item_id, doc_id, contains({NORM.format('body')}, {NORM.format('quote')}) AS ok FROM pairs")
@@ -103,10 +126,9 @@ def _(t):
     return pairs_of(t).select("item_id", "doc_id", op.verbatim("body", "quote").alias("ok"))
 
 
-@query("evidence_supports", "pairs", "SELECT item_id, count(*) AS n, count(*) FILTER (contains(lower(body), substr(lower(quote), 1, 20))) AS supported FROM pairs GROUP BY item_id")
+@query("evidence_supports", "quoted proposals", "SELECT p.id, p.pos, q.id IS NOT NULL AS supports FROM proposals p LEFT JOIN quoted q ON q.id = p.id AND q.pos = p.pos")
 def _(t):
-    on = F.lower("body").contains(F.substring(F.lower("quote"), 1, 20))
-    return pairs_of(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(on).alias("supported"))
+    return op.supported(t.proposals, t.rules, label="topic", text="evidence", chart=CHART).select("id", "pos", "supports")
 
 
 @query("recommendation_grounding", "turns", "SELECT conv_id, turn, count(*) AS missing FROM (SELECT t.conv_id, t.turn, w FROM turns t, unnest(['idiot', 'moron', 'clown', 'password', 'license']) AS v(w) WHERE regexp_matches(lower(sentence), '\\b' || w || '\\b') AND NOT contains(lower(source), w)) GROUP BY ALL")
@@ -115,48 +137,71 @@ def _(t):
     return x.where("m > 0").select("conv_id", "turn", F.col("m").cast("long").alias("missing"))
 
 
-@query("extract_numbers")
+def summed(c: str):
+    return [F.size(c).cast("long").alias("n"), F.array_min(c).alias("least"), F.array_max(c).alias("most")]
+
+
+SUMMED = "len(x) AS n, list_min(x) AS least, list_max(x) AS most"
+
+
+@query("extract_numbers", "", f"SELECT doc_id, {SUMMED} FROM (SELECT doc_id, {nums('text')} AS x FROM documents)")
 def _(t):
-    return t.base("documents").select("doc_id", op.numbers("text").alias("numbers"))
+    return t.base("documents").select("doc_id", op.numbers("text").alias("x")).select("doc_id", *summed("x"))
 
 
-@query("number_grounding")
+@query("number_grounding", "turns", f"SELECT conv_id, turn, {SUMMED} FROM (SELECT conv_id, turn, {missing('sentence', 'source')} AS x FROM turns)")
 def _(t):
-    return turns_of(t).select("conv_id", "turn", op.ungrounded_numbers("sentence", "source").alias("missing"))
+    return turns_of(t).select("conv_id", "turn", op.ungrounded_numbers("sentence", "source").alias("x")).select("conv_id", "turn", *summed("x"))
 
 
-@query("ungrounded_numbers")
+@query("ungrounded_numbers", "pairs", f"SELECT item_id, doc_id, {SUMMED} FROM (SELECT item_id, doc_id, {missing('body', 'quote')} AS x FROM pairs)")
 def _(t):
-    return pairs_of(t).select("item_id", "doc_id", op.ungrounded_numbers("body", "quote").alias("missing"))
+    return pairs_of(t).select("item_id", "doc_id", op.ungrounded_numbers("body", "quote").alias("x")).select("item_id", "doc_id", *summed("x"))
 
 
-@query("model_output_checks")
+WORD_LIST = ", ".join(f"'{w}'" for w in WORDS)
+NO_WORDS = f"len(list_filter([{WORD_LIST}], lambda w: regexp_matches(lower(sentence), '\\b' || w || '\\b') AND NOT contains(lower(source), w))) = 0"
+FIRST = "trim(regexp_extract(sentence, '^[^.!?]+'))"
+
+
+@query("model_output_checks", "turns", f"SELECT *, numbers_ok AND words_ok AND quote_ok AS all_ok FROM (SELECT conv_id, turn, len({missing('sentence', 'source')}) = 0 AS numbers_ok, {NO_WORDS} AS words_ok, {NORM.format(FIRST)} <> '' AND contains({NORM.format('source')}, {NORM.format(FIRST)}) AS quote_ok FROM turns)")
 def _(t):
+    # the quote of an answer is its first sentence
     x = turns_of(t)
-    checks = {"numbers_ok": F.size(op.ungrounded_numbers("sentence", "source")) == 0, "words_ok": F.size(op.ungrounded_words("sentence", "source", WORDS)) == 0, "quote_ok": op.verbatim("source", F.substring("sentence", 1, 12))}
+    quote = F.trim(F.regexp_extract("sentence", r"^[^.!?]+", 0))
+    checks = {"numbers_ok": F.size(op.ungrounded_numbers("sentence", "source")) == 0, "words_ok": F.size(op.ungrounded_words("sentence", "source", WORDS)) == 0, "quote_ok": op.verbatim("source", quote)}
     return x.withColumns(checks).withColumn("all_ok", F.expr("numbers_ok and words_ok and quote_ok")).select("conv_id", "turn", *checks, "all_ok")
 
 
 @query("headline_reports_move")
 def _(t):
-    return op.reports_move(t.base("documents").select("doc_id", "text"), text="text").select("doc_id", "reports_move")
+    moves = (r"(?:rises|falls|gains|loses) (?:by )?[0-9]+(?:[.,][0-9]+)?\s*%", r"closed? in (?:the )?(?:red|green)")
+    return op.reports_move(t.base("documents").select("doc_id", "text"), text="text", moves=moves).select("doc_id", "reports_move")
+
+
+def stories(t: Tables):
+    """Articles whose body names their companies once more than the title does if their id is even."""
+    twice = F.when(F.col("id").cast("long") % 2 == 0, F.concat_ws(" and ", "title", "title")).otherwise(F.lit("no name here"))
+    return publication(t.articles).withColumn("body", twice).select("id", "title", "body")
 
 
-@query("instrument_candidates")
+cte("candidate_hits", r"""SELECT m.id, m.cod, n.name, CASE WHEN cast(m.id as bigint) % 2 = 0 THEN 2 ELSE 0 END * ((length(p.title) - length(replace(p.title, n.name, ''))) // length(n.name)) AS hits FROM matches m JOIN universe n USING (cod) JOIN published p USING (id)""")
+
+
+@query("instrument_candidates", "candidate_hits", "SELECT id, cod, true AS in_title, cast(hits as bigint) AS hits FROM candidate_hits")
 def _(t):
-    a = publication(t.articles).withColumn("body", F.concat_ws(" ", "title", "title")).select("id", "title", "body")
-    return op.candidates(a, names_of(t))
+    return op.candidates(stories(t), names_of(t)).select("id", "cod", "in_title", "hits")
 
 
-@query("candidate_top30", "matches published universe", """SELECT id, cod, place FROM (SELECT m.id, m.cod, row_number() OVER (PARTITION BY m.id ORDER BY length(n.name) DESC, m.cod) AS place FROM matches m JOIN universe n USING (cod)) WHERE place <= 30""")
+@query("candidate_top30", "candidate_hits", "SELECT id, cod, place FROM (SELECT id, cod, row_number() OVER (PARTITION BY id ORDER BY hits DESC, length(name) DESC, cod) AS place FROM candidate_hits) WHERE place <= 30")
 def _(t):
-    a = publication(t.articles).withColumn("body", F.col("title")).select("id", "title", "body")
-    return op.candidates(a, names_of(t)).select("id", "cod", F.col("place").cast("long").alias("place"))
+    return op.candidates(stories(t), names_of(t)).select("id", "cod", F.col("place").cast("long").alias("place"))
 
 
-@query("examples_per_type")
+@query("examples_per_type", "classified", "SELECT news_type, id FROM (SELECT *, row_number() OVER (PARTITION BY news_type ORDER BY md5(id || ':7'), id) AS k FROM classified) WHERE k <= 12")
 def _(t):
-    w = Window.partitionBy("news_type").orderBy(F.xxhash64("id", F.lit(7)), "id")
+    # the seed is part of what is hashed
+    w = Window.partitionBy("news_type").orderBy(F.md5(F.concat("id", F.lit(":7"))), "id")
     return classified(t).withColumn("k", F.row_number().over(w)).where("k <= 12").select("news_type", "id")
 
 
@@ -171,10 +216,21 @@ def _(t):
     return t.base("benchmark").select("item_id", F.size(F.array_distinct(w)).cast("long").alias("n")).where("n > 0")
 
 
-@query("classification_validation", "turns", """SELECT conv_id, turn, trim(concat(CASE WHEN length(sentence) < 40 THEN 'short ' ELSE '' END, CASE WHEN NOT contains(sentence, '.') THEN 'no_stop ' ELSE '' END, CASE WHEN sentence = source THEN 'echo' ELSE '' END)) AS errors FROM turns""")
+CONTROLLED = ["capital", "earnings", "guidance", "legal", "rating", "deal", "market_report"]
+
+
+@query("classification_validation", "published proposals one", f"""SELECT a.id, trim(concat(CASE WHEN o.id IS NULL THEN 'company ' ELSE '' END, CASE WHEN p.n IS NULL OR p.n > 3 THEN 'topics ' ELSE '' END, CASE WHEN p.bad_topic THEN 'topic ' ELSE '' END,
+  CASE WHEN p.bad_confidence THEN 'confidence ' ELSE '' END, CASE WHEN p.bad_quote THEN 'evidence ' ELSE '' END, CASE WHEN p.n <> p.distinct_n THEN 'distinct' ELSE '' END)) AS errors
+  FROM published a LEFT JOIN one o USING (id) LEFT JOIN (SELECT p.id, count(*) AS n, count(DISTINCT p.topic) AS distinct_n, bool_or(p.topic NOT IN ({', '.join(f"'{c}'" for c in CONTROLLED)})) AS bad_topic, bool_or(NOT p.confidence BETWEEN 0 AND 1) AS bad_confidence,
+    bool_or(NOT contains({NORM.format('a.title')}, {NORM.format('p.evidence')})) AS bad_quote FROM proposals p JOIN published a USING (id) GROUP BY p.id) p USING (id)""")
 def _(t):
-    e = F.array_compact(F.array(F.when(F.length("sentence") < 40, F.lit("short")), F.when(~F.col("sentence").contains("."), F.lit("no_stop")), F.when(F.col("sentence") == F.col("source"), F.lit("echo"))))
-    return turns_of(t).select("conv_id", "turn", F.array_join(e, " ").alias("errors"))
+    p = publication(t.articles).select("id", "title")
+    topics = t.proposals.join(p, "id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("d"), F.bool_or(~F.col("topic").isin(CONTROLLED)).alias("bad_topic"), F.bool_or(~F.col("confidence").between(0, 1)).alias("bad_confidence"), F.bool_or(~op.verbatim("title", "evidence")).alias("bad_quote"))
+    one = one_company(match_names(p, names_of(t))).select("id", F.lit(True).alias("company"))
+    x = p.join(topics, "id", "left").join(one, "id", "left")
+    e = [F.when(F.col("company").isNull(), "company"), F.when(F.col("n").isNull() | (F.col("n") > 3), "topics"), F.when(F.col("bad_topic"), "topic"), F.when(F.col("bad_confidence"), "confidence"), F.when(F.col("bad_quote"), "evidence"), F.when(F.col("n") != F.col("d"), "distinct")]
+    return x.select("id", F.array_join(F.array_compact(F.array(*e)), " ").alias("errors"))
 
 
 @query("review_rates", "", "SELECT quality, toxic, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS rate FROM labels GROUP BY ALL")
@@ -185,9 +241,10 @@ def _(t):
     return n.crossJoin(F.broadcast(total)).select("quality", "toxic", "n", F.round(F.col("n") / F.col("all"), 6).alias("rate"))
 
 
-@query("choose_type", "classified hits", """SELECT c.id, CASE WHEN c.news_type <> 'other' THEN c.news_type ELSE 'other' END AS final_type, CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.id = c.id AND h.type = c.news_type) THEN 'supported' ELSE 'fallback' END AS reason FROM classified c""")
+@query("choose_type", "classified hits quoted published", f"""SELECT c.id, CASE WHEN q.topic IS NOT NULL THEN q.topic WHEN k.own THEN c.news_type ELSE 'other' END AS final_type, CASE WHEN q.topic IS NOT NULL THEN 'model_quote' WHEN k.own THEN 'keyword_title' ELSE 'unsupported' END AS reason
+  FROM classified c LEFT JOIN (SELECT id, arg_min(topic, pos) AS topic FROM quoted GROUP BY id) q USING (id)
+  LEFT JOIN (SELECT c.id, bool_or(h.type = c.news_type OR (c.news_type = 'market_report' AND regexp_matches({NORM.format('a.title')}, '{CHART}'))) AS own FROM classified c JOIN published a USING (id) LEFT JOIN hits h USING (id) GROUP BY c.id) k USING (id)""")
 def _(t):
     p = publication(t.articles)
-    c = op.classify(p, t.rules, t.priority)
-    h = op.rule_hits(p, t.rules).select("id", F.col("type").alias("news_type"), F.lit(True).alias("hit")).distinct()
-    return c.join(h, ["id", "news_type"], "left").select("id", F.col("news_type").alias("final_type"), F.when(F.col("hit"), "supported").otherwise("fallback").alias("reason"))
+    titled = op.classify(p, t.rules, t.priority).join(p.select("id", "title"), "id")
+    return op.choose_type(titled, t.proposals, t.rules, chart=CHART)

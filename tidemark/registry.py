@@ -11,17 +11,17 @@ from tidemark.fixtures import Tables, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+_SQL: dict[str, tuple[str, str | Callable[[], str]]] = {}
 MODULES = ("tape", "study", "sentiment", "text", "evidence", "desk", "stream")
 
 
-def query(name: str, needs: str = "", sql: str | None = None):
+def query(name: str, needs: str = "", sql: str | Callable[[], str] | None = None):
     """Register a function of Tables as a query; sql is its DuckDB twin over the fixtures in `needs`."""
 
     def put(f: Callable[[Tables], DataFrame]):
         _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            _SQL[name] = with_(needs, sql) if needs else sql
+            _SQL[name] = (needs, sql)
         return f
 
     return put
@@ -39,4 +39,5 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    texts = {name: (needs, sql() if callable(sql) else sql) for name, (needs, sql) in _SQL.items()}
+    return {name: with_(needs, sql) if needs else sql for name, (needs, sql) in texts.items()}

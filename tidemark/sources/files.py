@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(df: DataFrame) -> str:
-    """A new path in the folder that driver and executors share."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the folder that driver and executors share; a local folder only for a local master without the setting."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{shared.rstrip('/')}/files/{uuid.uuid4().hex}"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +18,15 @@ def daily_counts(stream: DataFrame, *, key: str, at: str, value: str, cut: float
     return stream.withWatermark(at, late).groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(value) >= cut).alias("large")).select(key, F.to_date("w.start").alias("d"), "n", "large")
 
 
-def run_available(out: DataFrame, *, mode: str = "update") -> DataFrame:
-    """Drain what the source holds now and return the rows that the last updates left, by name of a memory table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = out.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(out: DataFrame) -> DataFrame:
+    """Drain what the source holds now into Parquet files of the shared folder, in append mode, and read them back.
+
+    Append mode gives a group once the watermark has passed it, so state stays bounded and no row goes through the driver;
+    groups that the watermark has not passed yet stay in the checkpoint for the next run.
+    """
+    from tidemark.sources.files import scratch
+
+    path = scratch(out)
+    q = out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return out.sparkSession.table(name)
+    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/rows")

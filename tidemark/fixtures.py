@@ -49,6 +49,16 @@ SELECT concat('S', cast(s_suppkey as string)) AS ticker, concat('growth case ',
   CASE WHEN s_suppkey % 3 = 0 THEN 'long' ELSE 'short' END AS horizon, cast(5 + s_suppkey % 4 as double) AS target_weight
 FROM supplier"""
 
+#: An earlier state of the theses, by customers of the same number, and overrides of some fields, null ones among them.
+THESES_BEFORE = """
+SELECT concat('S', cast(c_custkey as string)) AS ticker, concat('growth case ', s_name) AS motive,
+  CASE WHEN c_custkey % 2 = 0 THEN array('URGENT', 'HIGH') ELSE array('MEDIUM', 'LOW') END AS indicators,
+  CASE WHEN c_custkey % 3 = 0 THEN 'long' ELSE 'short' END AS horizon, CASE WHEN c_acctbal < 0 THEN NULL ELSE cast(5 + c_nationkey % 4 as double) END AS target_weight
+FROM customer JOIN supplier ON c_custkey = s_suppkey"""
+OVERRIDES = """
+SELECT concat('S', cast(c_custkey as string)) AS ticker, CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS motive, c_nationkey % 2 = 0 AS has_motive,
+  cast(c_nationkey as double) AS target_weight, c_nationkey % 5 = 0 AS has_weight FROM customer WHERE c_acctbal > 2000"""
+
 #: Rules over the normalised words of titles and bodies: type, number, pattern, soft, hard.
 RULES = """
 SELECT * FROM (VALUES ('capital', 1, '1-urgent', false, true), ('earnings', 2, 'urgent|high', true, false), ('earnings', 3, '2-high', false, false),
@@ -61,7 +71,7 @@ SELECT cast(o_orderkey as string) AS id, 1 AS pos, CASE o_orderkey % 4 WHEN 0 TH
 UNION ALL SELECT cast(o_orderkey as string), 2, CASE o_orderkey % 3 WHEN 0 THEN 'earnings' WHEN 1 THEN 'market_report' ELSE 'rating' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Closed in LOW spirits' ELSE o_orderpriority END, 0.5 FROM orders
 UNION ALL SELECT cast(o_orderkey as string), 3, 'capital', concat('Order ', o_orderpriority), 0.9 FROM orders WHERE o_orderkey % 2 = 0"""
 
-VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "bodies": BODIES, "proposals": PROPOSALS}
+VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "theses_before": THESES_BEFORE, "overrides": OVERRIDES, "bodies": BODIES, "proposals": PROPOSALS}
 
 
 class Tables:
@@ -109,6 +119,14 @@ class Tables:
     def theses(self) -> DataFrame:
         return self._with(THESES, ("supplier",))
 
+    @cached_property
+    def theses_before(self) -> DataFrame:
+        return self._with(THESES_BEFORE, ("customer", "supplier"))
+
+    @cached_property
+    def overrides(self) -> DataFrame:
+        return self._with(OVERRIDES, ("customer",))
+
     @cached_property
     def quarters(self) -> DataFrame:
         return self.spark.sql(QUARTERS)
@@ -136,7 +154,7 @@ class Tables:
 
 #: Common table expressions for the SQL twins, in the order of their dependence.
 CTES: dict[str, str] = {**VIEWS, "articles": ARTICLES.format(at=AT_DUCK)}
-CTES["theses"] = THESES.replace("array(", "list_value(")
+CTES["theses"], CTES["theses_before"] = THESES.replace("array(", "list_value("), THESES_BEFORE.replace("array(", "list_value(")
 
 
 def cte(name: str, body: str) -> None:

@@ -83,3 +83,16 @@ def latest_cited(assessments: DataFrame) -> DataFrame:
 def changed_only(now: DataFrame, built: DataFrame, *, key: str, fingerprint: str) -> DataFrame:
     """Rows whose key and input fingerprint were not built before."""
     return now.join(built, [key, fingerprint], "left_anti")
+
+
+def fingerprinted(rows: DataFrame, fields: list[str], *, version: str) -> DataFrame:
+    """rows plus fp: 16 hexadecimal digits over the version of the job and the fields, so that a new version builds all anew."""
+    return rows.withColumn("fp", F.substring(F.sha2(F.concat_ws("\n", F.lit(version), F.to_json(F.struct(*fields))), 256), 1, 16))
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """rows with each field that an override names, with null too, taken from it. overrides has the key and a map `fields` of strings."""
+    kinds = dict(rows.dtypes)
+    out = rows.join(overrides.withColumnRenamed("fields", "_fields"), key, "left")
+    named = lambda f: F.coalesce(F.map_contains_key("_fields", f), F.lit(False))
+    return out.withColumns({f: F.when(named(f), F.col("_fields")[f].cast(kinds[f])).otherwise(F.col(f)) for f in fields}).drop("_fields")

@@ -228,24 +228,27 @@ def _(t):
     return op.top(x, 4, ["cod"], F.desc("pub_local"), "id").select("cod", "id", "place")
 
 
-@query("incremental_skip", "theses", "SELECT ticker FROM theses WHERE target_weight <> 5")
+FIELDS = ["motive", "indicators", "horizon", "target_weight"]
+cte("old_new", "SELECT n.ticker, b.ticker IS NOT NULL AS known, n.motive IS NOT DISTINCT FROM b.motive AND n.indicators IS NOT DISTINCT FROM b.indicators AND n.horizon IS NOT DISTINCT FROM b.horizon AND n.target_weight IS NOT DISTINCT FROM b.target_weight AS same FROM theses n LEFT JOIN theses_before b USING (ticker)")
+
+
+@query("incremental_skip", "old_new", "SELECT ticker FROM old_new WHERE NOT known OR NOT same")
 def _(t):
-    now = t.theses.withColumn("fp", F.substring(F.sha2(F.to_json(F.struct("motive", "indicators", "horizon", "target_weight")), 256), 1, 16))
-    built = now.where("target_weight = 5").select("ticker", "fp")
-    return op.changed_only(now, built, key="ticker", fingerprint="fp").select("ticker")
+    return op.changed_only(op.fingerprinted(t.theses, FIELDS, version="2"), op.fingerprinted(t.theses_before, FIELDS, version="2"), key="ticker", fingerprint="fp").select("ticker")
 
 
-@query("thesis_staleness", "theses", "SELECT ticker, target_weight > 6 AS stale FROM theses")
+@query("thesis_staleness", "old_new", "SELECT ticker, NOT same AS stale FROM old_new WHERE known")
 def _(t):
-    used = t.theses.withColumn("target_weight", F.when(F.col("target_weight") > 6, F.lit(None)).otherwise(F.col("target_weight")))
-    s = lambda p: F.struct(*[F.col(f"{p}.{c}") for c in ("motive", "indicators", "horizon", "target_weight")])
-    return t.theses.alias("n").join(used.alias("u"), "ticker").select("ticker", (~s("n").eqNullSafe(s("u"))).alias("stale"))
+    s = lambda p: F.struct(*[F.col(f"{p}.{c}") for c in FIELDS])
+    return t.theses.alias("n").join(t.theses_before.alias("u"), "ticker").select("ticker", (~s("n").eqNullSafe(s("u"))).alias("stale"))
 
 
-@query("override_theses", "theses", "SELECT ticker, CASE WHEN ticker = 'S3' THEN 'changed' ELSE motive END AS motive, horizon FROM theses")
+@query("override_theses", "theses overrides", "SELECT t.ticker, CASE WHEN o.has_motive THEN o.motive ELSE t.motive END AS motive, t.horizon, CASE WHEN o.has_weight THEN o.target_weight ELSE t.target_weight END AS target_weight FROM theses t LEFT JOIN overrides o USING (ticker)")
 def _(t):
-    new = t.spark.createDataFrame([("S3", "changed", None)], "ticker string, new_motive string, new_horizon string")
-    return t.theses.join(F.broadcast(new), "ticker", "left").select("ticker", F.coalesce("new_motive", "motive").alias("motive"), F.coalesce("new_horizon", "horizon").alias("horizon"))
+    # a map of the fields that an override names; a field named with null overrides too
+    pairs = F.filter(F.array(F.struct(F.lit("motive").alias("k"), F.col("motive").alias("v"), F.col("has_motive").alias("on")), F.struct(F.lit("target_weight").alias("k"), F.col("target_weight").cast("string").alias("v"), F.col("has_weight").alias("on"))), lambda x: x["on"])
+    named = t.overrides.select("ticker", F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["k"], x["v"]))).alias("fields"))
+    return op.overridden(t.theses, named, "ticker", ["motive", "horizon", "target_weight"]).select("ticker", "motive", "horizon", "target_weight")
 
 
 @query("recalc_diff", "votes", f"SELECT cod, {VOTE} AS vote, pros > 1 AS changed FROM votes")

@@ -211,7 +211,7 @@ class Lookup:
     """Values by 64-bit key, by open addressing in numpy: two or three reads for each of millions of positions."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        size = 1 << max(4, int(1.4 * len(keys)).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, values.dtype)
         at, rest = mix(keys.view(np.uint64)) & self.mask, np.arange(len(keys))
@@ -237,7 +237,7 @@ class Lookup:
 def pack(x: np.ndarray, step: bool = False) -> bytes:
     """An array compressed by byte planes, as steps from one value to the next if it is sorted."""
     x = np.diff(x, prepend=x.dtype.type(0)) if step else np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def unpack(blob: bytes, kind: type, step: bool = False) -> np.ndarray:
@@ -307,10 +307,10 @@ def score_documents(docs: DataFrame, training, *, text: str = "text", id: str =
             # words of a block that differ keep different hashes but for a chance in 2^64
             hashes = word_hashes(code)
             order = np.argsort(hashes)
-            n = np.bincount(np.concatenate(seen) if seen else np.empty(0, np.int64), minlength=len(code))
+            n = np.bincount(np.concatenate(seen) if seen else np.empty(0, np.int32), minlength=len(code))
             found += asked_rows(block, "word", hashes[order], n[order], part_of_words(hashes[order], parts))
             texts = [t for _, _, t in held]
-            body = zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))  # a normal text has no line break
+            body = zstandard.ZstdCompressor(level=9).compress(b"\n".join(texts))  # a normal text has no line break
             blank = {"doc_id": None, "train": None, "texts": None}
             yield pd.DataFrame([{"block": b, "kind": k, "part": p, "keys": x, "counts": c, **blank} for b, k, p, x, c in found])
             yield pd.DataFrame([{"block": block, "kind": "text", "part": -1, "keys": None, "counts": None, "doc_id": [d for d, _, _ in held], "train": [t for _, t, _ in held], "texts": body}])
@@ -321,7 +321,7 @@ def score_documents(docs: DataFrame, training, *, text: str = "text", id: str =
                 words = [*text_words(t), b""]  # and the end
                 at = [code.setdefault(w, len(code)) for w in words]
                 if train:
-                    seen.append(np.asarray(at, np.int64))
+                    seen.append(np.asarray(at, np.int32))
                 held.append((None if doc is None or doc != doc else doc, bool(train), b" ".join(words[:-1])))
                 size += len(held[-1][2]) + 1
                 if size > BLOCK_BYTES or len(code) > BLOCK_WORDS or len(held) >= BLOCK_ROWS:
@@ -384,7 +384,7 @@ def score_documents(docs: DataFrame, training, *, text: str = "text", id: str =
             for c, owner in positions(texts):
                 score += np.bincount(owner, cells.get(c), len(texts))
             code: dict[bytes, int] = {}
-            at = [np.fromiter((code.setdefault(w, len(code)) for w in [*t.split(), b""]), np.int64) for t in texts]
+            at = [np.fromiter((code.setdefault(w, len(code)) for w in [*t.split(), b""]), np.int32) for t in texts]
             count = words.get(word_hashes(code)).astype(float)
             logs = np.log10(count + 1)
             parts_.append(pd.DataFrame({

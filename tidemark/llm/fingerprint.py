@@ -118,7 +118,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     that come so far have their texts read again. Null ids are left out; wordless texts stay alone.
     """
     width = PERMUTATIONS // bands
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))  # which of the rows that share an id has the text
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def band(b: int, s: np.ndarray) -> int:
@@ -126,28 +127,30 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
         for x in batches:
             out = []
-            for doc_id, t in zip(x["doc_id"], x["text"], strict=True):
+            for doc_id, t, k in zip(x["doc_id"], x["text"], x["k"], strict=True):
                 own = shingle_set(t)
                 if len(own):
                     s = minima(own)
-                    out.append((doc_id, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), [band(b, s) for b in range(bands)], s.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "whole", "bands", "low"])
+                    out.append((doc_id, k, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), [band(b, s) for b in range(bands)], s.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "k", "n", "whole", "bands", "low"])
 
-    signed = written(rows.mapInPandas(sign, "doc_id long, n long, whole binary, bands array<long>, low binary"), paths)
-    firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    banded = signed.join(firsts.withColumnRenamed("first", "doc_id"), ["whole", "doc_id"]).select("doc_id", "n", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
-    banded = written(banded.join(shared, "band"), paths)
+    signed = written(rows.mapInPandas(sign, "doc_id long, k long, n long, whole binary, bands array<long>, low binary"), paths)
+    firsts = signed.groupBy("whole").agg(F.min(F.struct("doc_id", "k")).alias("first"))
+    banded = signed.join(firsts.select("whole", "first.*"), ["whole", "doc_id", "k"]).select("doc_id", "k", "n", F.explode("bands").alias("band")).distinct()
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    banded = banded.join(shared, "band")
+    # a text that many others were copied from has the fullest buckets, so it leads the first stars
+    banded = written(banded.join(banded.groupBy("k").agg(F.sum("size").alias("degree")), "k").drop("size"), paths)
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("low_u", "low_v"))
-            yield x.loc[(a == b).sum(axis=1) >= ALIKE, ["u", "v"]]
+            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("low_ku", "low_kv"))
+            yield x.loc[(a == b).sum(axis=1) >= ALIKE, ["u", "v", "ku", "kv"]]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             on = []
-            for a, b in zip(x["text"], x["other"], strict=True):
+            for a, b in zip(x["text_ku"], x["text_kv"], strict=True):
                 s, t = shingle_set(a), shingle_set(b)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 on.append(100 * both >= percent * (len(s) + len(t) - both))
@@ -155,40 +158,41 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     def linked(pairs: DataFrame) -> DataFrame:
         # sets too unlike in size cannot pass
-        near = written(pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v").distinct(), paths)
-        low = lambda c: signed.select(F.col("doc_id").alias(c), F.col("low").alias(f"low_{c}")).dropDuplicates([c])
-        near = written(near.join(low("u"), "u").join(low("v"), "v").select("u", "v", "low_u", "low_v").mapInPandas(alike, "u long, v long"), paths)
-        bloom = rows.sparkSession.sparkContext.broadcast(bloom_filter(written(near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), paths)))
+        near = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v", "ku", "kv").distinct()
+        low = lambda c: signed.select(F.col("k").alias(c), F.col("low").alias(f"low_{c}")).dropDuplicates([c])
+        near = written(near.join(low("ku"), "ku").join(low("kv"), "kv").mapInPandas(alike, "u long, v long, ku long, kv long"), paths)
+        bloom = rows.sparkSession.sparkContext.broadcast(bloom_filter(near.select(F.explode(F.array("ku", "kv")).alias("k")).distinct(), "k", 2 * near.count()))
 
         def called(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
-                yield x.loc[passes(bloom.value, x["h"].to_numpy()), ["doc_id", "text"]]
+                yield x.loc[passes(bloom.value, x["h"].to_numpy()), ["k", "text"]]
 
-        some = rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInPandas(called, "doc_id long, text string")
-        side = lambda c, t: some.select(F.col("doc_id").alias(c), F.col("text").alias(t))
-        texts = near.join(side("u", "text").hint("merge"), "u").join(side("v", "other").hint("merge"), "v")
-        return written(texts.select("u", "v", "text", "other").mapInPandas(verify, "u long, v long"), paths)
+        # equal rows share k and stand once
+        some = rows.select("k", "text", F.xxhash64("k").alias("h")).mapInPandas(called, "k long, text string").dropDuplicates(["k"])
+        side = lambda c: some.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+        return written(near.join(side("ku"), "ku").join(side("kv"), "kv").mapInPandas(verify, "u long, v long"), paths)
 
     # buckets hold one document of each set, so links and classes are theirs until the copies follow at the end
     # rows that share an id link the sets that they have
-    sets = signed.join(firsts, "whole").select("doc_id", "first")
+    sets = signed.join(firsts.select("whole", F.col("first.doc_id").alias("first")), "whole").select("doc_id", "first")
     least = sets.groupBy("doc_id").agg(F.min("first").alias("v"))
     links = written(sets.join(least, "doc_id").where("first <> v").select(F.col("first").alias("u"), "v"), paths)
     turn, gained = 0, float("inf")
     classes = written(components(links, paths), paths) if links.take(1) else rows.sparkSession.createDataFrame([], "id long, component long")
     while True:
-        at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("k"))
-        mixed = parts.groupBy("band").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("same")).where("size * size > same")
+        at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "k", "n", "degree", F.coalesce("component", "doc_id").alias("c"))
+        parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("many"))
+        mixed = parts.groupBy("band").agg(F.sum("many").alias("size"), F.sum(F.col("many") * F.col("many")).alias("same")).where("size * size > same")
         pairs, members = mixed.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
         if not pairs:
             break
         some = at.join(mixed.select("band"), "band")
         # stars while they gain much, or gain at all in place of very many pairs
         star = pairs > members and (gained * 10 > members or gained and pairs > 64 * members)
-        mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "n", "c"), F.xxhash64("band", "doc_id", F.lit(turn))).alias("x")).select("band", "x.*") if star else some
-        mates = mates.select("band", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-        across = some.withColumnRenamed("doc_id", "u").join(mates, "band").where("c <> d" if star else "c <> d and u < v")
+        lead = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("k", F.lit(turn)))
+        mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n", "c"), lead).alias("x")).select("band", "x.*") if star else some
+        mates = mates.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("c").alias("d"))
+        across = some.withColumnsRenamed({"doc_id": "u", "k": "ku"}).join(mates, "band").where("c <> d" if star else "c <> d and u < v")
         new = linked(across)
         gained, turn = new.count(), turn + 1
         if gained:

@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         if not pairs:
             break
         some = at.join(mixed.select("band"), "band")
-        # stars while they gain much, or gain at all in place of very many pairs
-        star = pairs > members and (gained * 10 > members or gained and pairs > 64 * members)
+        # stars while pairs far outnumber members and they gain much, or gain at all in place of very many pairs
+        star = pairs > 16 * members and (gained * 10 > members or gained and pairs > 64 * members)
         lead = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("k", F.lit(turn)))
         mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n", "c"), lead).alias("x")).select("band", "x.*") if star else some
         mates = mates.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("c").alias("d"))

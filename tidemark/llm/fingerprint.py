@@ -44,13 +44,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ranges: int | None = None, paths: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ranges: int | None = None, classes: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each row's text and of its edited text (see `edited`), with likenesses.
 
     The following document is the next in descending id, after the last comes the first; null ids come last in falling order of
     a hash of their text, rows that share an id follow each other by that hash. A null text is empty. Two texts without words are alike (1.0), as equal
     texts have equal fingerprints. One row in, one row out; extra columns are not read; an empty table gives an empty table.
 
+    `classes` (doc_id, class_id) are unique ids with another class than themselves; then a column class_id follows, the id itself for the
+    others, null for a null id. They travel to the ranges of their ids ahead of the texts.
+
     Texts are dealt once, to ranges of ids cut at sampled quantiles. Each range also gets the first document of the
     next range (one row for each range), so that a sweep in order meets every neighbour.
     """
@@ -71,7 +74,8 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
         return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.lit(len(cuts).bit_length()))
-    rows = rows.crossJoin(F.broadcast(one_row)).withColumn("part", F.aggregate(steps, F.struct(low.alias("lo"), high.alias("hi")), halve)["lo"]).drop("cuts")
+    place = lambda df: df.crossJoin(F.broadcast(one_row)).withColumn("part", F.aggregate(steps, F.struct(low.alias("lo"), high.alias("hi")), halve)["lo"]).drop("cuts")
+    rows = place(rows)
     top = {r["part"]: r["k"] for r in rows.groupBy("part").agg(F.max("k").alias("k")).collect()}  # a row for each range
     order = sorted(top, reverse=True)
     # the highest id of a range follows the lowest of the range above; the highest of all follows the lowest of all
@@ -82,29 +86,44 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
     first = extra.groupBy("into").agg(F.min_by(F.struct("doc_id", "text", "k", "th"), "th").alias("x"))
     extra = first.select("x.doc_id", "x.text", "x.k", F.col("into").alias("part"), "x.th", F.lit(1).alias("extra"))
     both = rows.select("doc_id", "text", "k", "part", "th", F.lit(0).alias("extra")).unionByName(extra)
-    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", "extra", F.desc("k"), "th")
+    if classes is not None:
+        moved = place(classes.select("doc_id", F.col("doc_id").alias("k"), F.col("class_id").alias("th"), F.lit(-1).alias("extra")))
+        both = both.unionByName(moved, allowMissingColumns=True)
+    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", F.col("extra") > 0, F.desc("k"), "extra", "th")
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", *(["class_id"] if classes is not None else [])]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema += ", class_id long" if classes is not None else ""
+
+    types = {"doc_id": "Int64", "class_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"}
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (part, doc_id, text, signature)
+        last = None  # (part, doc_id, text, signature, class_id)
+        moved = (None, None)  # the last id of `classes` and its class
 
-        def row(doc_id, text, own, after_text, after):
+        def row(doc_id, text, own, class_id, after_text, after):
             changed = edited(text, after_text)
             new = own if changed == text else signature(changed)
-            return (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(own, new), likeness(own, after))
+            out = (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(own, new), likeness(own, after), class_id)
+            return out[: len(columns)]
 
         for x in batches:
             out = []
-            for part, doc_id, text, more in zip(x["part"], x["doc_id"], x["text"], x["extra"], strict=True):
+            # k is the id where there is one; ids with nulls among them would arrive as floats
+            ids = [None if none else k for k, none in zip(x["k"].tolist(), x["doc_id"].isna(), strict=True)]
+            for part, doc_id, text, th, more in zip(x["part"], ids, x["text"], x["th"], x["extra"], strict=True):
+                if more < 0:
+                    moved = (doc_id, int(th))
+                    continue
                 own = last[3] if last and last[2] == text else signature(text)
                 if last and last[0] == part:
-                    out.append(row(last[1], last[2], last[3], text, own))
-                last = None if more else (part, doc_id, text, own)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                    out.append(row(*last[1:], text, own))
+                last = None if more else (part, doc_id, text, own, moved[1] if doc_id == moved[0] else doc_id)
+            yield pd.DataFrame(out, columns=columns, dtype=object).astype({c: t for c, t in types.items() if c in columns})
 
-    return dealt.mapInPandas(sweep, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInPandas(sweep, schema)
 
 
-#: Of 64 low bytes of minima, how many two texts must share to be compared: five deviations below what a Jaccard of 0.8 gives.
+#: Of 64 low halves of minima, how many two texts must share to be compared: five deviations below what a Jaccard of 0.8 gives.
 ALIKE = 36
 
 
@@ -113,38 +132,47 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
     Every two documents of a bucket are compared or already in one class. Equal shingle sets are linked first and stand in
     the buckets once. In the first rounds each bucket is a star around one of its documents, a new one each round, which
-    joins large groups without comparing all their pairs; then the pairs left across classes are compared. A comparison
-    looks at the low bytes of the signatures first and, if these allow the similarity, at whole shingle sets; only documents
+    joins large groups without comparing all their pairs; then the pairs left across classes are compared. After the first stars,
+    shingles that no other document of open buckets has are counted, and what cannot reach the similarity without them, a
+    document with any other or a pair, leaves before it is compared. A comparison
+    looks at the low halves of the minima first and, if these allow the similarity, at whole shingle sets; only documents
     that come so far have their texts read again. Null ids are left out; wordless texts stay alone.
     """
-    width = PERMUTATIONS // bands
+    spark = docs.sparkSession
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))  # which of the rows that share an id has the text
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def band(b: int, s: np.ndarray) -> int:
-            return int.from_bytes(hashlib.blake2b(bytes([b]) + s[b * width : (b + 1) * width].tobytes(), digest_size=8).digest(), "big", signed=True)
-
         for x in batches:
             out = []
             for doc_id, t, k in zip(x["doc_id"], x["text"], x["k"], strict=True):
                 own = shingle_set(t)
                 if len(own):
-                    s = minima(own)
-                    out.append((doc_id, k, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), [band(b, s) for b in range(bands)], s.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "k", "n", "whole", "bands", "low"])
-
-    signed = written(rows.mapInPandas(sign, "doc_id long, k long, n long, whole binary, bands array<long>, low binary"), paths)
-    firsts = signed.groupBy("whole").agg(F.min(F.struct("doc_id", "k")).alias("first"))
-    banded = signed.join(firsts.select("whole", "first.*"), ["whole", "doc_id", "k"]).select("doc_id", "k", "n", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    banded = banded.join(shared, "band")
+                    out.append((doc_id, k, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), minima(own).astype("<u2").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "k", "n", "whole", "low"])
+
+    signed = written(rows.mapInPandas(sign, "doc_id long, k long, n long, whole binary, low binary"), paths)
+    sets = signed.groupBy("whole").agg(F.min(F.struct("doc_id", "k", "n", "low")).alias("x")).select("x.*")
+    width = 2 * PERMUTATIONS // bands
+    keys = F.array(*[F.xxhash64(F.substring("low", 1 + b * width, width), F.lit(b)) for b in range(bands)])
+    banded = sets.select("k", F.explode(keys).alias("band"))
+    shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), paths)
+    full = spark.sparkContext.broadcast(bloom_filter(shared, "band"))
+
+    def crowded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x.loc[passes(full.value, x["h"].to_numpy()), ["k", "band"]]
+
+    some = banded.withColumn("h", F.xxhash64("band")).mapInPandas(crowded, "k long, band long")
+    banded = written(some.join(shared, "band"), paths)
     # a text that many others were copied from has the fullest buckets, so it leads the first stars
-    banded = written(banded.join(banded.groupBy("k").agg(F.sum("size").alias("degree")), "k").drop("size"), paths)
+    cards = written(sets.join(banded.groupBy("k").agg(F.sum("size").alias("degree")), "k"), paths)
+    crowd_of = cards.select("k", "doc_id", "n", "degree", F.col("n").alias("r"))  # r: shingles that others may share
+    low = cards.select("k", "low")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            a, b = (np.frombuffer(b"".join(x[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("low_ku", "low_kv"))
+            a, b = (np.frombuffer(b"".join(x[c]), "<u2").reshape(-1, PERMUTATIONS) for c in ("low_ku", "low_kv"))
             yield x.loc[(a == b).sum(axis=1) >= ALIKE, ["u", "v", "ku", "kv"]]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,54 +184,102 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
                 on.append(100 * both >= percent * (len(s) + len(t) - both))
             yield x.loc[on, ["u", "v"]]
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        # sets too unlike in size cannot pass
-        near = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("u", "v", "ku", "kv").distinct()
-        low = lambda c: signed.select(F.col("k").alias(c), F.col("low").alias(f"low_{c}")).dropDuplicates([c])
-        near = written(near.join(low("ku"), "ku").join(low("kv"), "kv").mapInPandas(alike, "u long, v long, ku long, kv long"), paths)
-        bloom = rows.sparkSession.sparkContext.broadcast(bloom_filter(near.select(F.explode(F.array("ku", "kv")).alias("k")).distinct(), "k", 2 * near.count()))
+    def texts_of(keys: DataFrame, n: int | None = None) -> DataFrame:
+        """(k, text) of the rows with these keys and of few others."""
+        bloom = spark.sparkContext.broadcast(bloom_filter(keys, "k", n))
 
         def called(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
                 yield x.loc[passes(bloom.value, x["h"].to_numpy()), ["k", "text"]]
 
+        return rows.select("k", "text", F.xxhash64("k").alias("h")).mapInPandas(called, "k long, text string")
+
+    def spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            ks, sets, total = [], [], 0
+            for k, t in zip(x["k"], x["text"], strict=True):
+                ks.append(k)
+                sets.append(shingle_set(t).view(np.int64))
+                total += len(sets[-1])
+                if total > 1 << 16:
+                    yield pd.DataFrame({"k": np.repeat(ks, [len(s) for s in sets]), "h": np.concatenate(sets)})
+                    ks, sets, total = [], [], 0
+            if total:
+                yield pd.DataFrame({"k": np.repeat(ks, [len(s) for s in sets]), "h": np.concatenate(sets)})
+
+    def alone_in(crowd: DataFrame) -> DataFrame:
+        """(k, alone): how many shingles of a document no other of the crowd has."""
+        ends = texts_of(crowd).mapInPandas(spelt, "k long, h long").groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+        return ends.where("k = last").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        # sets too unlike in size, or with too many shingles of their own, cannot pass
+        both = F.least("r", "s")
+        near = pairs.where(both * 100 >= (F.col("n") + F.col("m") - both) * percent).select("u", "v", "ku", "kv").distinct()
+        side = lambda df, name, c: df.select(F.col("k").alias(c), F.col(name).alias(f"{name}_{c}"))
+        near = near.join(side(low, "low", "ku"), "ku").join(side(low, "low", "kv"), "kv")
+        near = written(near.mapInPandas(alike, "u long, v long, ku long, kv long"), paths)
         # equal rows share k and stand once
-        some = rows.select("k", "text", F.xxhash64("k").alias("h")).mapInPandas(called, "k long, text string").dropDuplicates(["k"])
-        side = lambda c: some.select(F.col("k").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
-        return written(near.join(side("ku"), "ku").join(side("kv"), "kv").mapInPandas(verify, "u long, v long"), paths)
+        texts = texts_of(near.select(F.explode(F.array("ku", "kv")).alias("k")).distinct(), 2 * near.count()).dropDuplicates(["k"])
+        near = near.join(side(texts, "text", "ku").hint("merge"), "ku").join(side(texts, "text", "kv").hint("merge"), "kv")
+        return written(near.mapInPandas(verify, "u long, v long"), paths)
 
     # buckets hold one document of each set, so links and classes are theirs until the copies follow at the end
     # rows that share an id link the sets that they have
-    sets = signed.join(firsts.select("whole", F.col("first.doc_id").alias("first")), "whole").select("doc_id", "first")
-    least = sets.groupBy("doc_id").agg(F.min("first").alias("v"))
-    links = written(sets.join(least, "doc_id").where("first <> v").select(F.col("first").alias("u"), "v"), paths)
-    turn, gained = 0, float("inf")
-    classes = written(components(links, paths), paths) if links.take(1) else rows.sparkSession.createDataFrame([], "id long, component long")
+    firsts = signed.groupBy("whole").agg(F.min("doc_id").alias("first"))
+    owners = signed.select("doc_id", "whole").join(firsts, "whole").select("doc_id", "first")
+    least = owners.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("w"))
+    links = owners.join(least.where("v <> w"), "doc_id").where("first <> v").select(F.col("first").alias("u"), "v")
+    nobody = spark.createDataFrame([], "id long, component long")
+    turn, gained, classes, peeled = 0, float("inf"), nobody, False
     while True:
-        at = banded.join(classes, banded["doc_id"] == classes["id"], "left").select("band", "doc_id", "k", "n", "degree", F.coalesce("component", "doc_id").alias("c"))
-        parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).cast("double").alias("many"))
-        mixed = parts.groupBy("band").agg(F.sum("many").alias("size"), F.sum(F.col("many") * F.col("many")).alias("same")).where("size * size > same")
+        named = crowd_of.join(classes, F.col("doc_id") == F.col("id"), "left")
+        at = written(banded.select("band", "k").join(named.withColumn("c", F.coalesce("component", "doc_id")).drop("id", "component"), "k"), paths)
+        parts = written(at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("many")), paths)
+        mixed = parts.groupBy("band").agg(F.sum("many").cast("double").alias("size"), F.sum(F.col("many").cast("double") * F.col("many")).alias("same")).where("size * size > same")
         pairs, members = mixed.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
         if not pairs:
             break
-        some = at.join(mixed.select("band"), "band")
-        # stars while pairs far outnumber members and they gain much, or gain at all in place of very many pairs
-        star = pairs > 16 * members and (gained * 10 > members or gained and pairs > 64 * members)
-        lead = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("k", F.lit(turn)))
-        mates = some.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n", "c"), lead).alias("x")).select("band", "x.*") if star else some
-        mates = mates.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("c").alias("d"))
-        across = some.withColumnsRenamed({"doc_id": "u", "k": "ku"}).join(mates, "band").where("c <> d" if star else "c <> d and u < v")
+        if turn and not peeled:
+            crowd = written(at.join(mixed.select("band"), "band").select("k").distinct(), paths)
+            left = crowd_of.drop("r").join(alone_in(crowd), "k", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            crowd_of, peeled = written(left.where(F.col("r") * 100 >= F.col("n") * percent), paths), True
+            continue
+        # stars while pairs far outnumber members and they gain much, or gain at all in place of very many pairs;
+        # once r is known, most pairs fall in the join itself
+        many = 512 if peeled else 16
+        star = pairs > many * members and (gained * 10 > members or gained and pairs > 4 * many * members)
+        other = lambda df: df.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("c").alias("d"))
+        one = at.withColumnsRenamed({"doc_id": "u", "k": "ku"})
+        if star:
+            lead = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("k", F.lit(turn)))
+            mates = at.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n", "r", "c"), lead).alias("x")).select("band", "x.*")
+            across = one.join(other(mates), "band").where("c <> d")
+        else:
+            # classes of a bucket meet first, then their members, so that no pair within a class is made
+            met = parts.select("band", "c").join(parts.select("band", F.col("c").alias("d")), "band").where("c < d")
+            across = one.join(met, ["band", "c"]).join(other(at), ["band", "d"])
         new = linked(across)
         gained, turn = new.count(), turn + 1
-        if gained:
-            links = links.unionByName(new)
-            classes = written(components(links, paths), paths)
+        links = links.unionByName(new)
         if not star:
             break
-    ids = rows.select("doc_id").distinct().join(least.withColumnRenamed("v", "first"), "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+        if turn == 1:
+            # after the first stars each document goes with the fullest lead it is linked to, which is in its class
+            leads = cards.groupBy(F.col("doc_id").alias("v")).agg(F.max("degree").alias("degree"))
+            led = new.join(leads, "v").select("u", "v", "degree")
+            led = led.unionByName(led.select(F.col("v").alias("u"), "v", "degree"))
+            classes = written(led.groupBy(F.col("u").alias("id")).agg(F.max_by("v", F.struct("degree", "v")).alias("component")), paths)
+        elif gained:
+            classes = written(components(links, paths), paths)
+    links = written(links, paths)
+    classes = components(links, paths) if links.take(1) else nobody
+    least = least.select("doc_id", F.col("v").alias("first"))
+    ids = rows.select("doc_id").distinct().join(least, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
     return ids.join(classes, ids["first"] == classes["id"], "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     """Fingerprints of each row and the class of near duplicates of its id; a null id has no class. Edge cases as `fingerprints` states them."""
-    return fingerprints(docs).join(near_duplicates(docs), "doc_id", "left")
+    moved = written(near_duplicates(docs).where("class_id <> doc_id"))
+    return fingerprints(docs, classes=moved)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import fingerprint, jaccard, linededup, lm, mixing, packing, quality, sql, toxicity, urlfilter, wavelet
+from tidemark.llm import conversations, fingerprint, jaccard, linededup, lm, mixing, packing, quality, secrets, spelling, sql, toxicity, urlfilter, wavelet
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op11(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -64,8 +76,11 @@ def queries() -> dict[str, Query]:
         "op8_source_mixing": op8_source_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
         "op10_toxicity": op10_toxicity,
+        "op11_conversation_trie": op11_conversation_trie,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_secret_scan": op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op2_line_dedup": sql.OP2, "op5_ngram_jaccard": sql.OP5, "op6_url_filters": urlfilter.ORACLE}
+    return {"op1_quality_rules": sql.OP1, "op2_line_dedup": sql.OP2, "op5_ngram_jaccard": sql.OP5, "op6_url_filters": urlfilter.ORACLE, "op11_conversation_trie": conversations.ORACLE, "op12_spelling_variants": spelling.ORACLE}

@@ -42,18 +42,18 @@ def running(df: DataFrame, key: str, order: Sequence[str], *, count: str | None
                 x[c] = np.where(group == 0, op(v, np.int64(values[c] if goes_on else 0)), v)
                 values[c] = int(x[c].iloc[-1])
             last, held = k[-1], int(x[n].iloc[-1])
-            yield x.assign(_part=part)
+            yield x.assign(_range=part)
 
-    schema = f"{df.schema.simpleString()[7:-1]},{n} bigint,_part int"
+    schema = f"{df.schema.simpleString()[7:-1]},{n} bigint,_range int"
     local = written(df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).mapInPandas(run, schema), paths)
-    edges = local.groupBy("_part").agg(F.max(key).alias(key)).select(key).distinct()
-    totals = local.join(F.broadcast(edges), key).groupBy(key, "_part").agg(F.max(n).alias("_c"), *[F.max_by(c, n).alias(f"_c_{c}") for c, _ in columns])
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(key, "_part", F.sum("_c").over(before).alias("_c"), *[(F.sum if op is np.add else F.bit_xor)(f"_c_{c}").over(before).alias(f"_c_{c}") for c, op in columns]).where("_c is not null")
-    out = local.join(F.broadcast(carried), [key, "_part"], "left")
+    edges = local.groupBy("_range").agg(F.max(key).alias(key)).select(key).distinct()
+    totals = local.join(F.broadcast(edges), key).groupBy(key, "_range").agg(F.max(n).alias("_carried"), *[F.max_by(c, n).alias(f"_carried_{c}") for c, _ in columns])
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(key, "_range", F.sum("_carried").over(before).alias("_carried"), *[(F.sum if op is np.add else F.bit_xor)(f"_carried_{c}").over(before).alias(f"_carried_{c}") for c, op in columns]).where("_carried is not null")
+    out = local.join(F.broadcast(carried), [key, "_range"], "left")
     none = F.lit(0).cast("long")
-    moved = {c: F.col(c) + F.coalesce(f"_c_{c}", none) if op is np.add else F.col(c).bitwiseXOR(F.coalesce(f"_c_{c}", none)) for c, op in columns}
+    moved = {c: F.col(c) + F.coalesce(f"_carried_{c}", none) if op is np.add else F.col(c).bitwiseXOR(F.coalesce(f"_carried_{c}", none)) for c, op in columns}
     moved = {c: moved[c].alias(c) if c in moved else F.col(c) for c in df.columns}
     if count:
-        moved[count] = (F.col(n) + F.coalesce("_c", none)).alias(count)
+        moved[count] = (F.col(n) + F.coalesce("_carried", none)).alias(count)
     return out.select(*moved.values())

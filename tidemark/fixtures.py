@@ -39,9 +39,10 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 POSITIONS = "SELECT concat('S', cast(s_suppkey as string)) AS ticker, cast(s_suppkey * 10 + 5 as double) AS qty FROM supplier WHERE s_acctbal >= 5000"
 WATCHLIST = "SELECT concat('S', cast(s_suppkey as string)) AS ticker FROM supplier WHERE s_acctbal < 5000"
 
+#: Every quarter that has orders, numbered in order.
 QUARTERS = """
-SELECT * FROM (VALUES (1, '1997Q1', date '1997-01-01', date '1997-03-31'), (2, '1997Q2', date '1997-04-01', date '1997-06-30'),
-  (3, '1997Q3', date '1997-07-01', date '1997-09-30'), (4, '1997Q4', date '1997-10-01', date '1997-12-31')) AS q(no, quarter, from_d, to_d)"""
+SELECT cast(row_number() OVER (ORDER BY y, q) as int) AS no, concat(cast(y as string), 'Q', cast(q as string)) AS quarter, make_date(cast(y as int), cast(3 * q - 2 as int), 1) AS from_d, last_day(make_date(cast(y as int), cast(3 * q as int), 1)) AS to_d
+FROM (SELECT DISTINCT year(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders) AS d"""
 
 THESES = """
 SELECT concat('S', cast(s_suppkey as string)) AS ticker, concat('growth case ', s_name) AS motive,
@@ -71,7 +72,34 @@ SELECT cast(o_orderkey as string) AS id, 1 AS pos, CASE o_orderkey % 4 WHEN 0 TH
 UNION ALL SELECT cast(o_orderkey as string), 2, CASE o_orderkey % 3 WHEN 0 THEN 'earnings' WHEN 1 THEN 'market_report' ELSE 'rating' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Closed in LOW spirits' ELSE o_orderpriority END, 0.5 FROM orders
 UNION ALL SELECT cast(o_orderkey as string), 3, 'capital', concat('Order ', o_orderpriority), 0.9 FROM orders WHERE o_orderkey % 2 = 0"""
 
-VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "theses_before": THESES_BEFORE, "overrides": OVERRIDES, "bodies": BODIES, "proposals": PROPOSALS}
+#: The last four quarters, k from 0, and each company's articles in them: documents dealt to companies and quarters by their ids.
+RECENT = f"SELECT no, quarter, from_d, to_d, no - m + 3 AS k FROM ({QUARTERS}) AS q CROSS JOIN (SELECT max(no) AS m FROM ({QUARTERS}) AS q) AS x WHERE no > m - 4"
+PRESS = f"""
+SELECT concat('S', cast(doc_id % n as string)) AS cod, q.no, q.quarter, doc_id AS article_id, concat('Results ', substr(coalesce(text, ''), 1, 30)) AS title, coalesce(text, '') AS body,
+  q.from_d + cast(doc_id % 80 as int) AS pub_date, concat('https://', source, '/', cast(doc_id as string)) AS url
+FROM documents CROSS JOIN (SELECT count(*) AS n FROM supplier) AS s JOIN ({RECENT}) AS q ON q.k = cast(floor(doc_id / n) as bigint) % 4"""
+#: What a model claims of them in two attempts, right and wrong, by kind and position: facts with quotes, metrics, indicators and free texts.
+CLAIMS = f"""
+SELECT p.cod, p.quarter, p.no, attempt, 'fact' AS kind, 2 * article_id + i AS pos, '' AS name, concat('Reports: ', substr(body, 11, 30), CASE e WHEN 2 THEN ' 987654321.5' WHEN 3 THEN ' total idiot' ELSE '' END) AS text,
+  concat(substr(body, 5, 40), CASE e WHEN 1 THEN ' zz' ELSE '' END) AS quote, CASE e WHEN 0 THEN -1 - article_id ELSE article_id END AS article_id, '' AS value, '' AS comparison, '' AS base, '' AS state
+FROM (SELECT *, CASE WHEN attempt = 2 AND article_id % 2 = 0 THEN 8 ELSE (2 * article_id + i) % 9 END AS e FROM ({PRESS}) AS p CROSS JOIN (VALUES (1), (2)) AS a(attempt) CROSS JOIN (VALUES (0), (1)) AS f(i)) AS p
+UNION ALL SELECT cod, quarter, no, attempt, 'metric', article_id, CASE article_id % 8 WHEN 0 THEN 'Ricavi netti' WHEN 1 THEN 'EBITDA rettificato' WHEN 2 THEN 'EBITDA margin' WHEN 3 THEN 'Utile netto' WHEN 4 THEN 'EPS' WHEN 5 THEN 'Free cash flow' WHEN 6 THEN 'Fatturato' ELSE 'Debito/EBITDA' END,
+  '', '', article_id, CASE WHEN article_id % 5 = 0 THEN regexp_extract(body, '[0-9]+', 0) WHEN article_id % 5 = 2 THEN 'never said' WHEN article_id % 5 = 3 AND attempt = 1 THEN '123456.75' ELSE split_part(body, ' ', 1) END,
+  CASE WHEN article_id % 7 = 0 THEN '+77.7%' ELSE '' END, CASE article_id % 3 WHEN 0 THEN 'y/y' WHEN 1 THEN 'q/q' ELSE 'vs plan' END, '' FROM ({PRESS}) AS p CROSS JOIN (VALUES (1), (2)) AS a(attempt)
+UNION ALL SELECT cod, quarter, no, attempt, 'indicator', article_id, CASE WHEN article_id % 3 = 2 THEN 'STRANGER' WHEN cast(substr(cod, 2) as bigint) % 2 = 0 THEN CASE article_id % 3 WHEN 0 THEN 'URGENT' ELSE 'HIGH' END ELSE CASE article_id % 3 WHEN 0 THEN 'MEDIUM' ELSE 'LOW' END END,
+  concat('On ', substr(body, 1, 12), CASE article_id % 7 WHEN 1 THEN ' 987654321.5' WHEN 2 THEN ' clown' ELSE '' END), CASE article_id % 7 WHEN 3 THEN 'not said anywhere' WHEN 4 THEN '' ELSE substr(body, 3, 25) END, CASE article_id % 7 WHEN 5 THEN -1 ELSE article_id END,
+  '', '', '', CASE article_id % 5 WHEN 0 THEN 'for' WHEN 1 THEN 'neutral' WHEN 2 THEN 'against' WHEN 3 THEN 'odd' ELSE 'not_cited' END FROM ({PRESS}) AS p CROSS JOIN (VALUES (1), (2)) AS a(attempt)
+UNION ALL SELECT cod, quarter, no, attempt, kind, 0, '', CASE kind WHEN 'guidance' THEN CASE WHEN m % 3 = 0 THEN 'Sees 5500.5' WHEN m % 3 = 1 THEN 'null' ELSE ' Sees growth ' END WHEN 'changed' THEN CASE WHEN m % 4 = 0 THEN 'A moron would see it' ELSE 'Little' END
+    WHEN 'impact' THEN CASE WHEN m % 5 = 0 THEN 'Up 4400.4' ELSE 'Some' END ELSE CASE WHEN m % 10 = 9 THEN 'no' ELSE 'yes' END END, '', 0, '', '', '', CASE m % 4 WHEN 0 THEN 'stronger' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'weaker' ELSE 'wild' END
+FROM (SELECT cod, quarter, no, min(article_id) AS m FROM ({PRESS}) AS p GROUP BY cod, quarter, no) AS g CROSS JOIN (VALUES (1), (2)) AS a(attempt) CROSS JOIN (VALUES ('relevant'), ('guidance'), ('changed'), ('impact')) AS k(kind)"""
+#: What a model makes of all quarters of a company, and the action it proposes.
+OVERALL = """
+SELECT concat('S', cast(s_suppkey as string)) AS cod, CASE s_suppkey % 5 WHEN 0 THEN 'strengthened' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'weakened' WHEN 3 THEN 'splendid' ELSE NULL END AS state, concat('Thesis in ', cast(s_nationkey as string), ' parts') AS summary,
+  concat('Good. Weight 7% of all. Fine', CASE WHEN s_suppkey % 4 = 0 THEN ' 8800.8' ELSE '' END) AS view_1, CASE WHEN s_suppkey % 3 = 0 THEN 'A clown show' ELSE 'weight only' END AS view_2, 'Third 9900.9' AS view_3, concat('Since ', cast(cast(floor(s_acctbal) as bigint) as string)) AS evolution,
+  CASE s_suppkey % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'open' WHEN 2 THEN 'hold' WHEN 3 THEN 'watch' WHEN 4 THEN 'reduce' ELSE 'sell' END AS action
+FROM supplier"""
+
+VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "theses_before": THESES_BEFORE, "overrides": OVERRIDES, "bodies": BODIES, "proposals": PROPOSALS, "recent": RECENT, "press": PRESS, "claims": CLAIMS, "overall": OVERALL}
 
 
 class Tables:
@@ -129,7 +157,23 @@ class Tables:
 
     @cached_property
     def quarters(self) -> DataFrame:
-        return self.spark.sql(QUARTERS)
+        return self._with(QUARTERS, ("orders",))
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return self._with(RECENT, ("orders",))
+
+    @cached_property
+    def press(self) -> DataFrame:
+        return self._with(PRESS, ("documents", "supplier", "orders"))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return self._with(CLAIMS, ("documents", "supplier", "orders"))
+
+    @cached_property
+    def overall(self) -> DataFrame:
+        return self._with(OVERALL, ("supplier",))
 
     @cached_property
     def rules(self) -> DataFrame:

@@ -74,12 +74,6 @@ def thesis_hits(stories: DataFrame, theses: DataFrame, *, words: str = r"[0-9A-Z
     return s.join(t, ["ticker", "word"]).groupBy("ticker", "id", "indicator").agg(F.count_distinct("word").alias("hits"))
 
 
-def latest_cited(assessments: DataFrame) -> DataFrame:
-    """Per key the latest verified quarter's state if cited, else the latest cited one, else not_cited."""
-    order = F.when(F.col("verified") & F.col("cited"), F.col("no") + 1000).when(F.col("cited"), F.col("no")).otherwise(-1)
-    return assessments.groupBy("cod").agg(F.max(F.struct(order.alias("o"), "state")).alias("x")).select("cod", F.when(F.col("x.o") < 0, "not_cited").otherwise(F.col("x.state")).alias("state"))
-
-
 def changed_only(now: DataFrame, built: DataFrame, *, key: str, fingerprint: str) -> DataFrame:
     """Rows whose key and input fingerprint were not built before."""
     return now.join(built, [key, fingerprint], "left_anti")

@@ -119,21 +119,6 @@ def shingle_pairs(quotes: DataFrame, bodies: DataFrame, *, width: int = 5) -> Da
     return d.join(q, "run").select("item_id", "doc_id").distinct()
 
 
-def verify_facts(facts: DataFrame, *, keys: list[str], known: Column, quote: str, body: str, sentence: str, sources: str, vocabulary: list[str], most: int = 3) -> DataFrame:
-    """facts plus failure ('' if none) and kept: by group and `pos`, the first `most` facts that pass.
-
-    A fact fails by an unknown source, a quote that is not verbatim in its source, numbers that no source of the group
-    holds, or words of `vocabulary` that none holds. Facts after the last kept one are not looked at (failure null).
-    """
-    bad_source = F.when(~known, "unknown_id").when(~verbatim(body, quote), "quote")
-    bad_numbers = F.when(F.size(ungrounded_numbers(sentence, sources)) > 0, "numbers")
-    bad_words = F.when(F.size(ungrounded_words(sentence, sources, vocabulary)) > 0, "words")
-    x = facts.withColumn("failure", F.concat_ws(" ", bad_source, bad_numbers, bad_words)).withColumn("_ok", F.col("failure") == "")
-    before = F.coalesce(F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seen = before < most
-    return x.withColumn("_seen", seen).withColumn("kept", F.col("_ok") & F.col("_seen")).withColumn("failure", F.when(F.col("_seen"), F.col("failure"))).drop("_ok", "_seen")
-
-
 def verbatim(body: Column | str, quote: Column | str) -> Column:
     """Whether the quote stands in the body, white space, accents, case and quote marks aside."""
     return F.coalesce((F.length(normalise(quote)) > 0) & normalise(body).contains(normalise(quote)), F.lit(False))

@@ -119,12 +119,6 @@ def _(t):
     return op.signal(x).select("ticker", *r6("signal"))
 
 
-@query("holding_context", "names positions", "SELECT cod, CASE WHEN cod IN (SELECT ticker FROM positions) THEN 'portfolio' ELSE 'watchlist' END AS context FROM names")
-def _(t):
-    h = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("h"))
-    return t.names.join(h, "cod", "left").select("cod", F.when(F.col("h"), "portfolio").otherwise("watchlist").alias("context"))
-
-
 @query("ticker_alias", "names", "SELECT cod, CASE cod WHEN 'S1' THEN 'ONE' WHEN 'S2' THEN 'TWO' ELSE cod END AS desk FROM names")
 def _(t):
     a = t.spark.createDataFrame([("S1", "ONE"), ("S2", "TWO")], "cod string, alias string")

@@ -19,12 +19,6 @@ cte("thesis_words", "SELECT ticker, i AS indicator, lower(i) AS word FROM theses
 cte("thesis_hits", "SELECT t.ticker, s.id, t.indicator, 1 AS hits FROM storied s JOIN thesis_words t ON t.ticker = s.cod AND list_contains(regexp_extract_all(lower(s.title), '[0-9a-z]{3,}'), t.word)")
 
 
-def text_plans():
-    from tidemark.plans import text
-
-    return text
-
-
 def quartered(t: Tables):
     return op.assign_quarters(matched(t), t.quarters, date="pub_date")
 
@@ -56,11 +50,6 @@ def _(t):
     return op.results_candidates(x, keys=["cod", "quarter"], preview=title.contains("LOW"), score=score, at="pub_utc", size="size").select("id", "cod", "quarter", "place")
 
 
-@query("longest_bodies_top2", "quartered", "SELECT id, cod, quarter, place FROM (SELECT *, row_number() OVER (PARTITION BY cod, quarter ORDER BY length(title) DESC, pub_utc, id) AS place FROM quartered) WHERE place <= 2")
-def _(t):
-    return op.top(quartered(t), 2, ["cod", "quarter"], F.desc(F.length("title")), "pub_utc", "id").select("id", "cod", "quarter", "place")
-
-
 @query("headlines_top40", "matched", "SELECT id, cod, place FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY pub_utc DESC, id) AS place FROM matched) WHERE place <= 40")
 def _(t):
     return op.top(matched(t), 40, ["cod"], F.desc("pub_utc"), "id").select("id", "cod", "place")
@@ -137,88 +126,12 @@ def _(t):
     return v.join(F.broadcast(a), ["context", "vote"]).select("cod", "action")
 
 
-cte("assessed", "SELECT cod, quarter, no, count(*) >= 2 AS verified, count(*) FILTER (contains(title, 'URGENT')) > 0 AS cited, CASE WHEN count(*) FILTER (contains(title, 'HIGH')) > 0 THEN 'better' ELSE 'worse' END AS state FROM quartered GROUP BY cod, quarter, no")
-
-
-def assessed(t: Tables):
-    has = lambda w: F.count_if(F.col("title").contains(w)) > 0
-    return quartered(t).groupBy("cod", "quarter", "no").agg((F.count(F.lit(1)) >= 2).alias("verified"), has("URGENT").alias("cited"), F.when(has("HIGH"), "better").otherwise("worse").alias("state"))
-
-
-@query("indicator_latest_cited", "assessed", """SELECT cod, CASE WHEN o < 0 THEN 'not_cited' ELSE state END AS state FROM (SELECT cod, state, o, row_number() OVER (PARTITION BY cod ORDER BY o DESC, state DESC) AS k FROM (
-  SELECT *, CASE WHEN verified AND cited THEN no + 1000 WHEN cited THEN no ELSE -1 END AS o FROM assessed)) WHERE k = 1""")
-def _(t):
-    return op.latest_cited(assessed(t))
-
-
-@query("coverage_sufficiency", "assessed", "SELECT cod, count(*) FILTER (verified) AS n, CASE WHEN count(*) FILTER (verified) < 2 OR max(no) FILTER (verified) < 3 THEN 'insufficient' ELSE 'ok' END AS coverage, 4 - count(*) FILTER (verified) AS missing FROM assessed GROUP BY cod")
-def _(t):
-    x = assessed(t).groupBy("cod").agg(F.count_if("verified").alias("n"), F.max(F.when(F.col("verified"), F.col("no"))).alias("last"))
-    return x.select("cod", "n", F.when((F.col("n") < 2) | (F.col("last") < 3), "insufficient").otherwise("ok").alias("coverage"), (4 - F.col("n")).alias("missing"))
-
-
-@query("quarter_entry_join", "assessed quarters one", "SELECT c.cod, q.quarter, coalesce(a.state, 'missing') AS state FROM (SELECT DISTINCT cod FROM one) c CROSS JOIN quarters q LEFT JOIN assessed a ON a.cod = c.cod AND a.quarter = q.quarter")
-def _(t):
-    grid = matched(t).select("cod").distinct().crossJoin(F.broadcast(t.quarters.select("quarter")))  # four rows
-    return grid.join(assessed(t), ["cod", "quarter"], "left").select("cod", "quarter", F.coalesce("state", F.lit("missing")).alias("state"))
-
-
-@query("quarter_metric_pivot", "quartered", "SELECT cod, " + ", ".join(f"count(*) FILTER (quarter = '1997Q{i}') AS \"1997Q{i}\"" for i in range(1, 5)) + " FROM quartered GROUP BY cod")
-def _(t):
-    return quartered(t).groupBy("cod").pivot("quarter", [f"1997Q{i}" for i in range(1, 5)]).count().fillna(0)
-
-
 @query("earliest_anchor", "quartered", "SELECT cod, quarter, id FROM (SELECT *, row_number() OVER (PARTITION BY cod, quarter ORDER BY pub_utc, id) AS k FROM quartered WHERE contains(title, 'HIGH')) WHERE k = 1")
 def _(t):
     x = quartered(t).where(F.col("title").contains("HIGH")).groupBy("cod", "quarter").agg(F.min(F.struct("pub_utc", "id")).alias("x"))
     return x.select("cod", "quarter", "x.id")
 
 
-@query("grounding_sources", "quartered", "SELECT cod, quarter, md5(string_agg(title, chr(10) ORDER BY pub_utc, id)) AS sources FROM quartered GROUP BY cod, quarter")
-def _(t):
-    x = quartered(t).groupBy("cod", "quarter").agg(F.sort_array(F.collect_list(F.struct("pub_utc", "id", "title"))).alias("x"))
-    return x.select("cod", "quarter", F.md5(F.array_join(F.transform("x", lambda r: r["title"]), "\n")).alias("sources"))
-
-
-def facts_of(t: Tables):
-    """For each document the passages that share words with it as claimed facts, in order; every seventh cites an unknown id."""
-    from tidemark.plans.text import pairs_of
-
-    return pairs_of(t).select("doc_id", F.col("item_id").alias("pos"), "quote", "body", (F.col("item_id") % 7 != 0).alias("known"))
-
-
-@query("fact_verification", "pairs", lambda: f"""SELECT doc_id, count(*) FILTER (ok AND before < 3) AS kept, count(*) FILTER (NOT ok AND before < 3) AS dropped, count(*) FILTER (before < 3 AND known AND NOT verbatim) AS bad_quotes FROM (
-  SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
-    SELECT doc_id, item_id, known, verbatim, known AND verbatim AND grounded AND {text_plans().NO_WORDS.replace('sentence', 'quote').replace('source', 'body')} AS ok FROM (
-      SELECT *, item_id % 7 <> 0 AS known, {text_plans().NORM.format('quote')} <> '' AND contains({text_plans().NORM.format('body')}, {text_plans().NORM.format('quote')}) AS verbatim, len({text_plans().missing('quote', 'body')}) = 0 AS grounded FROM pairs))) GROUP BY doc_id""")
-def _(t):
-    from tidemark.operators.text import verify_facts
-
-    x = verify_facts(facts_of(t), keys=["doc_id"], known=F.col("known"), quote="quote", body="body", sentence="quote", sources="body", vocabulary=text_plans().WORDS)
-    seen = F.col("failure").isNotNull()
-    return x.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count_if(seen & ~F.col("kept")).alias("dropped"), F.count_if(seen & F.col("failure").contains("quote")).alias("bad_quotes"))
-
-
-@query("aggregate_verification", "assessed", "SELECT cod, bool_and(state IN ('better', 'same', 'worse')) AS ok, count(*) FILTER (NOT verified) AS failures FROM assessed GROUP BY cod")
-def _(t):
-    return assessed(t).groupBy("cod").agg(F.bool_and(F.col("state").isin("better", "same", "worse")).alias("ok"), F.count_if(~F.col("verified")).alias("failures"))
-
-
-@query("decision_verification", "votes positions", f"""SELECT cod, CASE WHEN list_contains(CASE WHEN held THEN ['add', 'reduce', 'hold'] ELSE ['open', 'watch'] END, proposed) THEN proposed WHEN held THEN 'add' ELSE 'open' END AS action FROM (
-  SELECT cod, cod IN (SELECT ticker FROM positions) AS held, CASE WHEN {VOTE} = 'strengthened' THEN 'add' WHEN {VOTE} = 'weakened' THEN 'reduce' ELSE 'watch' END AS proposed FROM votes)""")
-def _(t):
-    held = t.positions.select(F.col("ticker").alias("cod"), F.lit(True).alias("held"))
-    v = votes_of(t).withColumn("vote", overall()).join(held, "cod", "left")
-    proposed = F.when(F.col("vote") == "strengthened", "add").when(F.col("vote") == "weakened", "reduce").otherwise("watch")
-    v = v.withColumn("proposed", proposed).withColumn("allowed", F.when(F.col("held"), F.array(*map(F.lit, ("add", "reduce", "hold")))).otherwise(F.array(*map(F.lit, ("open", "watch")))))
-    return v.select("cod", F.when(F.array_contains("allowed", F.col("proposed")), F.col("proposed")).otherwise(F.get("allowed", F.lit(0))).alias("action"))
-
-
-@query("best_attempt", "", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn DESC) AS k FROM conversations WHERE role = 'assistant') WHERE k = 1")
-def _(t):
-    return op.top(t.base("conversations").where("role = 'assistant'"), 1, ["conv_id"], F.desc(F.length("text")), F.desc("turn")).select("conv_id", "turn")
-
-
 @query("facts_top4", "storied thesis_hits", """SELECT cod, id, place FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY pub_local DESC, id) AS place FROM (
   SELECT *, id IN (SELECT id FROM thesis_hits) AS hit, bool_or(id IN (SELECT id FROM thesis_hits)) OVER (PARTITION BY cod) AS any_real FROM storied) WHERE hit OR NOT any_real) WHERE place <= 4""")
 def _(t):
@@ -290,11 +203,3 @@ def _(t):
 def _(t):
     lead = F.when(F.col("title").startswith("Supplier"), 2).otherwise(0)
     return quartered(t).select("id", (F.regexp_count("title", F.lit("HIGH|URGENT|MEDIUM")) + lead).cast("long").alias("score"))
-
-
-@query("metric_key", "quartered", "SELECT key, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(title, 'URGENT') THEN 'revenue' WHEN regexp_matches(title, 'HIGH') THEN 'margin' WHEN regexp_matches(title, 'LOW') AND NOT regexp_matches(title, 'and Supplier') THEN 'debt' ELSE 'other' END AS key FROM quartered) GROUP BY key")
-def _(t):
-    rules = t.spark.createDataFrame([(1, "revenue", "URGENT", "^$"), (2, "margin", "HIGH", "^$"), (3, "debt", "LOW", "and Supplier")], "no int, key string, pattern string, except string")
-    x = quartered(t).select("id", "title")
-    hit = x.join(F.broadcast(rules), F.expr("title rlike pattern and not title rlike except")).groupBy("id").agg(F.min_by("key", "no").alias("key"))
-    return x.join(hit, "id", "left").groupBy(F.coalesce("key", F.lit("other")).alias("key")).agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,8 @@ cte("universe", f"""SELECT n.* FROM names n WHERE kind = 'ORD' AND isin LIKE 'IT
 cte("loose", "SELECT n.* FROM names n WHERE kind = 'ORD' AND isin LIKE 'IT%' AND length(trim(name)) >= 3 AND cod IN (SELECT cod FROM quotes)")
 cte("published", """SELECT *, cast(pub_local as date) AS pub_date FROM (
   SELECT *, timezone('Europe/Rome', timezone('UTC', pub_utc)) AS pub_local FROM articles WHERE NOT starts_with(title, 'Live blog'))""")
-cte("matches", r"""SELECT a.id, n.cod FROM published a JOIN universe n ON regexp_matches(a.title, '\b' || n.name || '\b')""")
+# names are single tokens of titles
+cte("matches", "SELECT DISTINCT a.id, n.cod FROM (SELECT id, unnest(regexp_extract_all(title, '[0-9A-Za-z_#]+')) AS token FROM published) a JOIN universe n ON n.name = a.token")
 cte("one", "SELECT id, min(cod) AS cod FROM matches GROUP BY id HAVING count(*) = 1")
 cte("anchored", """SELECT a.id, o.cod, a.title, a.pub_utc, a.pub_local, a.pub_date, max(s.idx) AS idx_before FROM published a JOIN one o USING (id)
   JOIN sessions s ON s.cod = o.cod AND s.d < a.pub_date GROUP BY ALL""")

@@ -12,7 +12,7 @@ from tidemark.fixtures import Tables, with_
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, tuple[str, str | Callable[[], str]]] = {}
-MODULES = ("tape", "study", "sentiment", "text", "evidence", "desk", "stream")
+MODULES = ("tape", "study", "sentiment", "text", "evidence", "theses", "desk", "stream")
 
 
 def query(name: str, needs: str = "", sql: str | Callable[[], str] | None = None):

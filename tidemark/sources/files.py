@@ -20,6 +20,13 @@ def scratch(df: DataFrame) -> str:
     return f"{shared.rstrip('/')}/files/{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: what several branches of a plan read is worked out once, and a lost executor costs a re-read."""
+    path = scratch(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def roundtrip_csv(df: DataFrame) -> DataFrame:
     """Write with a header and read back with the schema: blanks are nulls, text is typed again."""
     path = scratch(df)

@@ -42,15 +42,50 @@ def bucketed(rows: DataFrame, label: str, keep: int, *, most: int | None = None,
     return out.groupBy(F.when(F.col("_named"), F.col(label)).otherwise(other).alias(label)).agg(F.sum(value).alias(value))
 
 
+def numbered(calendar: DataFrame) -> DataFrame:
+    """(d, k): the days of a calendar from 1. One row for each trading day, some 250 a year, so one window over all of them is small."""
+    return calendar.select("d").distinct().withColumn("k", F.row_number().over(Window.orderBy("d")))
+
+
 def align(sessions: DataFrame, calendar: DataFrame, *, lead: bool) -> DataFrame:
-    """Closes on every calendar day, carried forward; days before the first close take it if `lead`, else stay null."""
-    grid = sessions.select("cod").distinct().crossJoin(F.broadcast(calendar.select("d")))  # the calendar is one row for each trading day: some 250 a year
-    x = grid.join(sessions.select("cod", "d", F.col("last").alias("close")), ["cod", "d"], "left")
+    """(cod, d, close) on every calendar day, carried forward; days before the first close take it if `lead`, else stay null.
+
+    Each session stands for the days up to the next one, so it is spread over its interval of day numbers: no grid of
+    codes and days is joined or sorted. Every session's day is in the calendar.
+    """
+    days = numbered(calendar)
+    n = days.agg(F.max("k").alias("n"))  # one row
+    w = Window.partitionBy("cod").orderBy("k")
+    x = sessions.select("cod", "d", F.col("last").alias("close")).join(F.broadcast(days), "d").crossJoin(F.broadcast(n))  # the calendar, as above
+    x = x.withColumns({"_to": F.coalesce(F.lead("k").over(w) - 1, F.col("n")), "_first": F.lag("k").over(w).isNull()})
+    upto = [F.struct(F.when(F.lit(lead), F.col("close")).alias("close"), F.lit(1).alias("a"), (F.col("k") - 1).alias("z")), F.struct("close", F.col("k").alias("a"), F.col("_to").alias("z"))]
+    parts = F.filter(F.when(F.col("_first"), F.array(*upto)).otherwise(F.array(upto[1])), lambda p: p["z"] >= p["a"])
+    x = x.select("cod", F.inline(parts)).select("cod", "close", F.explode(F.sequence("a", "z")).alias("k"))
+    return x.join(F.broadcast(days), "k").select("cod", "d", "close")
+
+
+def value_series(positions: DataFrame, sessions: DataFrame, ranges: dict[str, int | None]) -> DataFrame:
+    """(range, d, value, change, pct): the value of all positions on the last n days of each range (None: all of them), and its change over the range.
+
+    The value is a running sum of changes: a position counts at its first close from the start and moves by its quantity
+    times each change of close, so that days are summed before anything is carried forward and no grid of codes and
+    days arises. Positions meet sessions first. Values are decimals, so that the running sum is exact; positions without a session do not count.
+    sessions has cod, d, last of all instruments, whose days are the calendar.
+    """
+    held = sessions.select("cod", "d", "last").join(positions.select(F.col("ticker").alias("cod"), "qty"), "cod")
+    worth = (F.col("qty") * F.col("last")).cast("decimal(28,8)")
     w = Window.partitionBy("cod").orderBy("d")
-    out = F.last("close", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if lead:
-        out = F.coalesce(out, F.first("close", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return x.withColumn("close", out)
+    moved = held.select("cod", "d", worth.alias("v")).select("d", F.lag("v").over(w).alias("before"), "v")
+    start = moved.where("before is null").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("_start"))  # one row
+    by_day = moved.where("before is not null").groupBy("d").agg(F.sum(F.col("v") - F.col("before")).alias("delta"))
+    days = sessions.select("d").distinct().join(by_day, "d", "left").crossJoin(F.broadcast(start))
+    run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)  # one row for each trading day
+    values = days.select("d", (F.col("_start") + F.coalesce(F.sum("delta").over(run), F.lit(0))).alias("value"), F.row_number().over(Window.orderBy(F.desc("d"))).alias("_back"))
+    of = F.array(*[F.struct(F.lit(name).alias("range"), F.lit(n or 2**31 - 1).alias("n")) for name, n in ranges.items()])
+    x = values.select("*", F.explode(of).alias("r")).where("_back <= r.n").select("r.range", "d", "value")
+    ends = x.groupBy("range").agg((F.max_by("value", "d") - F.min_by("value", "d")).alias("change"), F.min_by("value", "d").alias("_first"), F.max_by("value", "d").alias("_last"))
+    ratio = F.try_divide(F.col("_last").cast("double"), F.col("_first").cast("double")) - 1
+    return x.join(F.broadcast(ends), "range").select("range", "d", "value", "change", F.coalesce(ratio * 100, F.lit(0.0)).alias("pct"))  # a row for each range
 
 
 def overlay(*layers: DataFrame, key: str = "id") -> DataFrame:
@@ -71,3 +106,14 @@ def signal(rows: DataFrame, *, least: float = 0.60, n: int = 10) -> DataFrame:
     """Mean of sign x strength x similarity by ticker over similar stories; the n largest by size."""
     x = rows.where(F.col("sim") >= least).groupBy("ticker").agg(F.avg(F.col("sign") * F.col("strength") * F.col("sim")).alias("signal"))
     return x.orderBy(F.desc(F.round(F.abs("signal"), 9)), "ticker").limit(n)
+
+
+def company_columns(days: DataFrame) -> DataFrame:
+    """One row for each company with parallel arrays by day: d, close (4 places), volume, move_pct and z (2 places).
+
+    Closes are rounded to eight places before, so that the last bits of a quotient never decide a tie. days has cod, d, last, qty, ret, z; a company has some 250 days a year.
+    """
+    x = days.groupBy("cod").agg(F.sort_array(F.collect_list(F.struct("d", "last", "qty", "ret", "z"))).alias("x"))
+    col = lambda f, name: F.transform("x", f).alias(name)
+    return x.select(
+        "cod", col(lambda r: F.date_format(r["d"], "yyyy-MM-dd"), "d"), col(lambda r: F.round(F.round(r["last"], 8), 4), "close"), col(lambda r: F.round(r["qty"], 0), "volume"), col(lambda r: F.round(r["ret"] * 100, 2), "move_pct"), col(lambda r: F.round(r["z"], 2), "z"))

@@ -11,7 +11,7 @@ from tidemark.operators import tape as tp
 from tidemark.operators.evidence import since
 from tidemark.plans.evidence import storied
 from tidemark.plans.study import stories_of
-from tidemark.plans.tape import names_of, r6, sr6, tape_of
+from tidemark.plans.tape import exact, names_of, r6, sr6, tape_of
 from tidemark.registry import query
 
 cte("lastpx", "SELECT cod, d, last AS close, coalesce(ret, 0) AS move FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY idx DESC) AS k FROM sessions) WHERE k = 1")
@@ -82,12 +82,16 @@ def _(t):
     return aligned(t, False).groupBy("cod").agg(F.count("close").alias("n"), (F.count(F.lit(1)) - F.count("close")).alias("missing"))
 
 
-@query("portfolio_value_series", "aligned positions", "SELECT d, round(sum(p.qty * coalesce(a.close, a.ahead)), 2) AS value FROM aligned a JOIN positions p ON p.ticker = a.cod WHERE d IN (SELECT d FROM calendar ORDER BY d DESC LIMIT 63) GROUP BY d")
+#: Ranges of the value series, in days; all of them for MAX.
+RANGES = {"1M": 21, "3M": 63, "1Y": 252, "MAX": None}
+cte("worth", "SELECT d, sum(p.qty * coalesce(a.close, a.ahead)) AS value, row_number() OVER (ORDER BY d DESC) AS back FROM aligned a JOIN positions p ON p.ticker = a.cod GROUP BY d")
+
+
+@query("portfolio_value_series", "worth", f"""SELECT range, d, {exact("value", 2)} AS value, {exact("z - a", 2)} AS change, round(coalesce((z / nullif(a, 0) - 1) * 100, 0), 6) AS pct FROM (
+  SELECT r.range, w.d, w.value, first_value(value) OVER (PARTITION BY r.range ORDER BY d) AS a, first_value(value) OVER (PARTITION BY r.range ORDER BY d DESC) AS z FROM worth w JOIN (VALUES {', '.join(f"('{k}', {n or 2**31 - 1})" for k, n in RANGES.items())}) AS r(range, n) ON w.back <= r.n)""")
 def _(t):
-    a = aligned(t, True)
-    last = a.select("d").distinct().orderBy(F.desc("d")).limit(63)
-    x = a.join(F.broadcast(last), "d", "left_semi").join(t.positions, F.col("cod") == F.col("ticker"))  # 63 days
-    return x.groupBy("d").agg(F.round(F.sum(F.col("qty") * F.col("close")), 2).alias("value"))
+    x = op.value_series(t.positions, tp.sessions(t.quotes), RANGES)
+    return x.select("range", "d", *[F.round(c, 2).cast("double").alias(c) for c in ("value", "change")], *r6("pct"))
 
 
 @query("feed_scope_counts", "stories positions watchlist", """SELECT count(*) FILTER (h) AS held, count(*) FILTER (w) AS watched, count(*) FILTER (h OR w) AS tracked, count(*) AS n FROM (
@@ -193,29 +197,59 @@ def _(t):
     return bad(s.join(t.names, "cod", "left_anti"), "story_without_company").union(bad(s.where(~known), "unknown_status")).union(bad(tape_of(t).where(F.isnan(z) | (F.abs(z) == float("inf"))), "not_finite"))
 
 
-@query("write_company_columns", "sessions", "SELECT cod, count(*) AS n, string_agg(cast(d as varchar), ',' ORDER BY d) AS days FROM sessions GROUP BY cod")
+@query("write_company_columns", "sessions", f"SELECT cod, list(strftime(d, '%Y-%m-%d') ORDER BY d) AS d, list({exact(exact('last', 8), 4)} ORDER BY d) AS close, list(round(qty, 0) ORDER BY d) AS volume, list({exact('ret * 100', 2)} ORDER BY d) AS move_pct, list({exact('z', 2)} ORDER BY d) AS z FROM (SELECT *, CASE WHEN n = 20 THEN ret / nullif(sd, 0) END AS z FROM (SELECT *, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd FROM sessions WINDOW w AS (PARTITION BY cod ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))) GROUP BY cod")
 def _(t):
-    x = tp.sessions(t.quotes).groupBy("cod").agg(F.sort_array(F.collect_list(F.struct("d", "last", "qty", "ret"))).alias("x"))
-    return x.select("cod", F.size("x").cast("long").alias("n"), F.array_join(F.transform("x", lambda r: r["d"].cast("string")), ",").alias("days"))
+    return op.company_columns(tp.trailing_z(tp.sessions(t.quotes), "1000-01-01", "9999-12-31"))
 
 
-@query("manifest_counts", "stories", "SELECT count(*) AS n_stories, count(DISTINCT cod) AS n_companies, count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, count(peak_d) AS n_peak, strftime(min(pub_local), '%Y-%m-%d') AS first_day, strftime(max(pub_local), '%Y-%m-%d') AS last_day FROM stories")
+@query("manifest_counts", "stories classified names lastpx", """SELECT count(*) AS n_stories, count(DISTINCT s.cod) AS n_companies, count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, count(peak_d) AS n_peak, count(*) FILTER (peak_d IS NOT NULL) AS with_series, count(*) FILTER (c.news_type <> 'other') AS with_type,
+  count(DISTINCT s.cod) FILTER (l.cod IS NOT NULL) AS with_prices, strftime(min(pub_local), '%Y-%m-%d') AS first_day, strftime(max(pub_local), '%Y-%m-%d') AS last_day, strftime(max(l.d), '%Y-%m-%d') AS last_price_day FROM stories s LEFT JOIN classified c USING (id) LEFT JOIN lastpx l ON l.cod = s.cod""")
 def _(t):
-    day = lambda f: F.date_format(f("pub_local"), "yyyy-MM-dd")
-    return stories_of(t).agg(F.count(F.lit(1)).alias("n_stories"), F.count_distinct("cod").alias("n_companies"), F.count_if(F.col("status") != "NO_REACTION").alias("n_unusual"), F.count("peak_d").alias("n_peak"), day(F.min).alias("first_day"), day(F.max).alias("last_day"))
+    from tidemark.plans.text import classified
 
+    day = lambda f, c: F.date_format(f(c), "yyyy-MM-dd")
+    s = stories_of(t).join(classified(t).select("id", "news_type"), "id", "left").join(last_of(t).select("cod", "d"), "cod", "left")
+    return s.agg(
+        F.count(F.lit(1)).alias("n_stories"), F.count_distinct("cod").alias("n_companies"), F.count_if(F.col("status") != "NO_REACTION").alias("n_unusual"), F.count("peak_d").alias("n_peak"), F.count_if(F.col("peak_d").isNotNull()).alias("with_series"),
+        F.count_if(F.col("news_type") != "other").alias("with_type"), F.count_distinct(F.when(F.col("d").isNotNull(), F.col("cod"))).alias("with_prices"), day(F.min, "pub_local").alias("first_day"), day(F.max, "pub_local").alias("last_day"), day(F.max, "d").alias("last_price_day"))
 
-@query("upsert_news_block", "stories", "SELECT id, CASE WHEN status = 'DELAYED' THEN 'new' ELSE 'old' END AS block FROM stories")
-def _(t):
-    s = stories_of(t)
-    new = s.where("status = 'DELAYED'").select("id", F.lit("new").alias("fresh"))
-    return s.select("id", F.lit("old").alias("old")).join(new, "id", "left").select("id", F.coalesce("fresh", "old").alias("block"))
 
+def cards_of(t: Tables):
+    """A card for each matched article with the block that the rules for titles give it."""
+    from tidemark.plans.text import classified
 
-@query("fetch_bodies", "stories", "SELECT id, o_totalprice AS body FROM stories JOIN orders ON cast(o_orderkey as varchar) = id")
+    one = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t)))
+    return classified(t).join(one, "id").select("id", "cod", F.struct("news_type", F.lit("keyword").alias("classifier"), F.lit(None).cast("double").alias("confidence")).alias("news"))
+
+
+@query("upsert_news_block", "classified one proposals", """SELECT folder, part, id, news_type, classifier, confidence, x.changed, 0 AS changed_again FROM (SELECT c.id, coalesce(p.topic, c.news_type) AS news_type, CASE WHEN p.id IS NULL THEN 'keyword' ELSE 'model' END AS classifier, p.confidence, count(p.id) OVER () AS changed
+  FROM classified c JOIN one USING (id) LEFT JOIN (SELECT * FROM proposals WHERE pos = 1 AND topic <> 'other') p ON p.id = c.id) x CROSS JOIN (VALUES ('demo'), ('public')) AS f(folder) CROSS JOIN (VALUES ('cards'), ('index')) AS g(part)""")
 def _(t):
-    o = t.base("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("body"))
-    return stories_of(t).select("id").join(o, "id")
+    from tidemark.sources import cards as cd
+    from tidemark.sources.files import scratch
+
+    cards = cards_of(t)
+    folders = {name: f"{scratch(cards)}/{name}" for name in ("demo", "public")}
+    for path in folders.values():
+        cd.write_bucketed(cards, f"{path}/cards")
+        cd.write_bucketed(cards.select("id", "cod", "news.*"), f"{path}/index")
+    updates = t.proposals.where("pos = 1 and topic <> 'other'").select("id", F.struct(F.col("topic").alias("news_type"), F.lit("model").alias("classifier"), F.col("confidence").cast("double").alias("confidence")).alias("news"))
+    run = lambda: cd.upsert_blocks(t.spark, list(folders.values()), updates, index_fields=["news_type", "classifier", "confidence"])
+    first, again = run(), run()
+    out = None
+    for name, path in folders.items():
+        for part in ("cards", "index"):
+            x = cd.read_bucketed(t.spark, f"{path}/{part}")
+            x = x.select("id", "news.*") if part == "cards" else x.select("id", "news_type", "classifier", "confidence")
+            x = x.withColumns({"folder": F.lit(name), "part": F.lit(part), "changed": F.lit(first[f"{path}/{part}"]).cast("long"), "changed_again": F.lit(again[f"{path}/{part}"])})
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("fetch_bodies", "one bodies", "SELECT id, md5(body) AS body, length(body) AS n FROM one JOIN bodies USING (id)")
+def _(t):
+    ids = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("id")
+    return t.bodies.join(ids, "id", "left_semi").select("id", F.md5("body").alias("body"), F.length("body").cast("long").alias("n"))
 
 
 @query("csv_tape_roundtrip", "valid", f"SELECT cod, d, {sr6('last')} FROM valid")
@@ -225,18 +259,34 @@ def _(t):
     return roundtrip_csv(tp.valid_quotes(t.quotes).select("cod", "d", "last")).select("cod", "d", *r6("last"))
 
 
-@query("json_card_scan", "stories", "SELECT id, cod, status FROM stories")
+@query("json_card_scan", "names members", """SELECT n.cod || '.json' AS file, n.cod, n.name, m.sector, CASE WHEN s.k % 5 = 4 THEN 'corrupt' ELSE 'good' END AS state FROM (SELECT *, cast(substr(cod, 2) as bigint) AS k FROM names) s JOIN names n USING (cod) JOIN members m USING (cod) WHERE s.k % 5 <> 4
+  UNION ALL SELECT cod || '.json', NULL, NULL, NULL, 'corrupt' FROM names WHERE cast(substr(cod, 2) as bigint) % 5 = 4""")
 def _(t):
-    from tidemark.sources.files import roundtrip_json
+    from tidemark.sources import cards as cd
+    from tidemark.sources.files import scratch
 
-    return roundtrip_json(stories_of(t).select("id", F.struct("cod", "status").alias("card"))).select("id", "card.cod", "card.status")
+    x = t.names.join(t.members, "cod")
+    doc = F.concat(F.lit('{\n "cod": "'), F.col("cod"), F.lit('",\n "card": {"name": "'), F.col("name"), F.lit('",\n  "sector": "'), F.col("sector"), F.lit('"}\n'))
+    whole = x.select(F.concat("cod", F.lit(".json")).alias("file"), F.concat(doc, F.when(F.substring("cod", 2, 9).cast("long") % 5 == 4, "").otherwise("}\n")).alias("text"))
+    path = scratch(x)
+    cd.write_documents(whole.unionByName(t.spark.range(1).select(F.lit("index.json").alias("file"), F.lit('{"cards": []}').alias("text"))), path)
+    good, bad = cd.scan_documents(t.spark, path, "cod string, card struct<name:string,sector:string>")
+    none = F.lit(None).cast("string")
+    return good.select("file", "cod", "card.name", "card.sector", F.lit("good").alias("state")).unionByName(bad.select("file", none.alias("cod"), none.alias("name"), none.alias("sector"), F.lit("corrupt").alias("state")))
 
 
-@query("write_story_bundle", "stories", "SELECT status, count(*) AS n FROM stories GROUP BY status")
+@query("write_story_bundle", "stories", """SELECT id, cod, status, strftime(pub_local, '%Y-%m-%d') AS day, peak_d, round(peak_z, 6) AS peak_z, status <> 'NO_REACTION' AS has_series FROM stories""")
 def _(t):
-    from tidemark.sources.files import roundtrip_json
-
-    return roundtrip_json(stories_of(t).select("id", "cod", "status"), "status").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    from tidemark.sources import cards as cd
+    from tidemark.sources.files import scratch, written
+
+    s = written(stories_of(t))
+    cards = s.select("id", "cod", "status", F.date_format("pub_local", "yyyy-MM-dd").alias("day"), F.struct("peak_d", F.round("peak_z", 6).alias("peak_z")).alias("peak"), (F.col("status") != "NO_REACTION").alias("has_series"))
+    path = scratch(s)
+    cd.write_bundle(cards, path, index_fields=["cod", "status", "day", "has_series"])
+    index = t.spark.read.schema("id string, cod string, status string, day string, has_series boolean, bucket int").json(f"{path}/index")
+    found = t.spark.read.schema("id string, peak struct<peak_d:date,peak_z:double>, bucket int").json(f"{path}/cards")
+    return index.join(found.select("id", "peak.*"), "id").select("id", "cod", "status", "day", "peak_d", "peak_z", "has_series")
 
 
 @query("document_ingest", "", "SELECT conv_id, turn, length(text) AS n FROM conversations")

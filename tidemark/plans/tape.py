@@ -50,6 +50,11 @@ def sr6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+def exact(x: str, places: int) -> str:
+    """A double rounded half up by its shortest decimal form, as Spark rounds, in DuckDB."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38, 14)), {places}) as double)"
+
+
 def names_of(t: Tables):
     return op.universe(t.names, t.quotes, stop=STOP)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -117,3 +117,43 @@ def company_columns(days: DataFrame) -> DataFrame:
     col = lambda f, name: F.transform("x", f).alias(name)
     return x.select(
         "cod", col(lambda r: F.date_format(r["d"], "yyyy-MM-dd"), "d"), col(lambda r: F.round(F.round(r["last"], 8), 4), "close"), col(lambda r: F.round(r["qty"], 0), "volume"), col(lambda r: F.round(r["ret"] * 100, 2), "move_pct"), col(lambda r: F.round(r["z"], 2), "z"))
+
+
+def integrity(stories: DataFrame, details: DataFrame, companies: DataFrame, statuses: list[str], manifest: dict[str, int] | None = None) -> DataFrame:
+    """(rule, id): every breach of a bundle's contract, from one pass over its stories and one over its companies.
+
+    stories has id, cod, status, has_series, z; details id, status, series (an array or null); companies cod, n_stories,
+    counts (status -> number), has_prices, prices (a struct of parallel arrays or null). The rules are an array of those
+    that a row breaks, which is taken apart. manifest holds the counts that it claims of stories and companies.
+    """
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))
+    known = lambda c: F.col(c).isin(*statuses)
+
+    def broken(rules: dict[str, Column]) -> Column:
+        return F.explode(F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(rule)) for rule, cond in rules.items()])))
+
+    s = stories.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cod", "status", "has_series", "z")).alias("s"))
+    d = details.groupBy("id").agg(F.min(F.struct("status", "series")).alias("d"), F.count(F.lit(1)).alias("n_d"))
+    c = companies.select(F.col("cod").alias("_cod"), F.lit(True).alias("_company"))
+    x = s.join(d, "id", "full").select("id", "n", "n_d", "s", "d", F.col("s.cod").alias("_cod")).join(c, "_cod", "left")
+    both = F.col("s").isNotNull() & F.col("d").isNotNull()
+    out = x.select("id", broken({
+        "duplicate_story": F.col("n") > 1, "duplicate_detail": F.col("n_d") > 1, "story_without_detail": F.col("d").isNull(), "detail_without_story": F.col("s").isNull(),
+        "story_without_company": F.col("s").isNotNull() & F.col("_company").isNull(), "unknown_status": F.col("s").isNotNull() & ~F.coalesce(known("s.status"), F.lit(False)), "status_differs": both & ~F.col("s.status").eqNullSafe(F.col("d.status")),
+        "series_flag": both & (F.col("s.has_series") != F.col("d.series").isNotNull()), "series_empty": F.size("d.series") == 0, "not_finite": ~finite(F.col("s.z")) | F.exists("d.series", lambda v: ~finite(v)),
+    }).alias("rule"))
+    told = stories.groupBy(F.col("cod").alias("_cod")).agg(F.count(F.lit(1)).alias("_n"))
+    arrays = [f.name for f in companies.schema["prices"].dataType]
+    y = companies.join(told, F.col("cod") == F.col("_cod"), "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    numbers = [f.name for f in companies.schema["prices"].dataType if f.dataType.elementType.typeName() == "double"]
+    out2 = y.select(F.col("cod").alias("id"), broken({
+        "company_count": F.col("n_stories") != F.col("_n"), "company_summary": F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, v: a + v) != F.col("n_stories"), "unknown_summary_status": F.exists(F.map_keys("counts"), lambda k: ~k.isin(*statuses)),
+        "price_flag": F.col("has_prices") != F.col("prices").isNotNull(), "array_lengths": F.size(F.array_distinct(F.array(*[F.size(f"prices.{a}") for a in arrays]))) > 1,
+        "not_finite": F.exists(F.flatten(F.array(*[F.col(f"prices.{a}") for a in numbers])), lambda v: ~finite(v)),
+    }).alias("rule"))
+    out = out.unionByName(out2)
+    for name, table in (("stories", stories), ("companies", companies)):
+        if manifest and name in manifest:
+            wrong = table.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != manifest[name])  # one row
+            out = out.unionByName(wrong.select(F.lit(name).alias("id"), F.lit("manifest_count").alias("rule")))
+    return out.select("rule", "id")

@@ -94,3 +94,25 @@ def lead_shares(judged: DataFrame) -> DataFrame:
         F.count_if((s != "NO_REACTION") & (F.col("peak.timing") == "day_before")).alias("n_day_before"),
     )
     return out.withColumns({f"share_{x}": F.try_divide(f"n_{x}", "n_unusual") for x in ("already", "before", "day_before")})
+
+
+def card_dates(cards: DataFrame) -> DataFrame:
+    """(id, d, z): the sessions a card tells of: its unusual ones, its largest and its peak, each day once. cards are `verdicts`."""
+    named = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.d").alias("d"), F.round(f"{c}.z", 6).alias("z"))) for c in ("largest", "peak")]))
+    told = F.concat(F.transform("sessions", lambda s: F.struct(s["d"].alias("d"), s["z"].alias("z"))), named)
+    return cards.select("id", F.inline(told)).groupBy("id", "d").agg(F.first("z").alias("z"))
+
+
+def reconcile(series: DataFrame, cards: DataFrame, told: DataFrame, *, rels: tuple[int, ...] = (-1, 0), places: int = 2) -> DataFrame:
+    """(id, rel, d, series_z, card_z, state) for every article that has a series or a card and each relative session.
+
+    no_card without a card; series_missing without the session; n/a where the card says nothing of its day; else OK or
+    MISMATCH as both values agree to `places`. series has id, rel, d, z; cards id; told (id, d, z) what cards say.
+    """
+    ids = series.select("id").union(cards.select("id")).distinct().withColumn("rel", F.explode(F.array(*map(F.lit, rels))))
+    s = series.where(F.col("rel").isin(*rels)).select("id", F.col("rel").cast("int").alias("rel"), "d", F.col("z").alias("series_z"), F.lit(True).alias("_series"))
+    c = cards.select("id", F.lit(True).alias("_card")).distinct()
+    x = ids.join(s, ["id", "rel"], "left").join(c, "id", "left").join(told.select("id", "d", F.col("z").alias("card_z")), ["id", "d"], "left")
+    same = F.round("series_z", places).eqNullSafe(F.round("card_z", places))
+    state = F.when(F.col("_card").isNull(), "no_card").when(F.col("_series").isNull(), "series_missing").when(F.col("card_z").isNull(), "n/a").when(same, "OK").otherwise("MISMATCH")
+    return x.select("id", "rel", "d", "series_z", "card_z", state.alias("state"))

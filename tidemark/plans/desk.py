@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import Tables, cte
 from tidemark.operators import desk as op
 from tidemark.operators import tape as tp
+from tidemark.operators.events import STATUSES
 from tidemark.operators.evidence import since
 from tidemark.plans.evidence import storied
 from tidemark.plans.study import stories_of
@@ -187,14 +188,38 @@ def _(t):
     return t.names.join(s, "cod", "left").select("cod", F.coalesce("p", F.lit(False)).alias("has_prices"))
 
 
-@query("integrity_checks", "stories names tape", """SELECT 'story_without_company' AS rule, count(*) AS n FROM stories WHERE cod NOT IN (SELECT cod FROM names) UNION ALL SELECT 'unknown_status', count(*) FROM stories WHERE status NOT IN ('NO_REACTION', 'ALREADY_IN_PRICE', 'PARTLY_IN_PRICE', 'MOSTLY_AT_OPEN', 'REACTED', 'DELAYED')
-  UNION ALL SELECT 'not_finite', count(*) FROM tape WHERE isnan(z) OR isinf(z)""")
+#: A bundle with faults of every kind planted by number: stories, their details and companies, in both engines' SQL.
+BUNDLE = {
+    "b_stories": """SELECT id, CASE WHEN k % 101 = 0 THEN 'NOWHERE' ELSE cod END AS cod, CASE WHEN k % 103 = 0 THEN 'ODD' ELSE status END AS status, (status <> 'NO_REACTION') <> (k % 107 = 0) AS has_series, CASE WHEN k % 109 = 0 THEN cast('NaN' as double) ELSE peak_z END AS z
+  FROM (SELECT *, cast(id as bigint) AS k FROM stories) AS s CROSS JOIN (VALUES (1), (2)) AS c(copy) WHERE copy = 1 OR k % 113 = 0""",
+    "b_details": """SELECT id, status, CASE WHEN status <> 'NO_REACTION' THEN array(peak_z, CASE WHEN k % 137 = 0 THEN cast('Infinity' as double) ELSE 0.0 END) END AS series FROM (SELECT *, cast(id as bigint) AS k FROM stories) AS s WHERE k % 127 <> 0
+  UNION ALL SELECT concat('x', id), status, array(1.5) FROM stories WHERE cast(id as bigint) % 131 = 0""",
+    "b_companies": """SELECT cod, n + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS n_stories, none, n - none - CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS moved, k % 13 <> 0 AS has_prices, k % 19 = 0 AS no_prices, k % 17 = 0 AS short, k % 5 = 0 AS unbounded
+  FROM (SELECT cod, cast(substr(cod, 2) as bigint) AS k, count(*) AS n, count(*) FILTER (WHERE status = 'NO_REACTION') AS none FROM stories GROUP BY cod) AS c""",
+}
+for _name, _text in BUNDLE.items():
+    cte(_name, _text.replace("array(", "list_value("))
+FINITE = "(isnan({0}) OR isinf({0}))"
+
+
+@query("integrity_checks", "b_stories b_details b_companies", f"""SELECT rule, id FROM (
+  SELECT 'duplicate_story' AS rule, id FROM b_stories GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'story_without_detail', id FROM b_stories WHERE id NOT IN (SELECT id FROM b_details) UNION ALL SELECT 'detail_without_story', id FROM b_details WHERE id NOT IN (SELECT id FROM b_stories)
+  UNION ALL SELECT DISTINCT 'story_without_company', id FROM b_stories WHERE cod NOT IN (SELECT cod FROM b_companies) UNION ALL SELECT DISTINCT 'unknown_status', id FROM b_stories WHERE status NOT IN ({', '.join(f"'{x}'" for x in STATUSES)})
+  UNION ALL SELECT DISTINCT 'status_differs', id FROM b_stories s JOIN b_details d USING (id) WHERE s.status <> d.status UNION ALL SELECT DISTINCT 'series_flag', id FROM b_stories s JOIN b_details d USING (id) WHERE s.has_series <> (d.series IS NOT NULL)
+  UNION ALL SELECT 'not_finite', id FROM (SELECT id FROM b_stories WHERE {FINITE.format('z')} UNION SELECT id FROM b_details WHERE len(list_filter(series, lambda v: {FINITE.format('v')})) > 0)
+  UNION ALL SELECT 'company_count', cod FROM b_companies c LEFT JOIN (SELECT cod, count(*) AS n FROM b_stories GROUP BY cod) s USING (cod) WHERE n_stories <> coalesce(n, 0) UNION ALL SELECT 'company_summary', cod FROM b_companies WHERE none + moved <> n_stories
+  UNION ALL SELECT 'price_flag', cod FROM b_companies WHERE has_prices = no_prices UNION ALL SELECT 'array_lengths', cod FROM b_companies WHERE short AND NOT no_prices UNION ALL SELECT 'not_finite', cod FROM b_companies WHERE unbounded AND NOT no_prices
+  UNION ALL SELECT 'manifest_count', 'companies')""")
 def _(t):
-    s = stories_of(t)
-    known = s.status.isin("NO_REACTION", "ALREADY_IN_PRICE", "PARTLY_IN_PRICE", "MOSTLY_AT_OPEN", "REACTED", "DELAYED")
-    bad = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
-    z = F.col("z")
-    return bad(s.join(t.names, "cod", "left_anti"), "story_without_company").union(bad(s.where(~known), "unknown_status")).union(bad(tape_of(t).where(F.isnan(z) | (F.abs(z) == float("inf"))), "not_finite"))
+    from tidemark.sources.files import written
+
+    stories = written(stories_of(t))
+    s, d, c = (t.spark.sql(text.replace("FROM stories", "FROM {stories}"), stories=stories) for text in BUNDLE.values())
+    prices = F.struct(F.array(F.lit("d1"), F.lit("d2")).alias("d"), F.when(F.col("short"), F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.when(F.col("unbounded"), float("inf")).otherwise(2.0))).alias("close"))
+    prices = F.when(~F.col("no_prices"), F.when(F.col("short") & F.col("unbounded"), F.struct(F.array(F.lit("d1"), F.lit("d2")).alias("d"), F.array(F.lit(float("inf"))).alias("close"))).otherwise(prices))
+    counts = F.create_map(F.lit("NO_REACTION"), F.col("none"), F.lit("REACTED"), F.col("moved"))
+    companies = c.select("cod", "n_stories", counts.alias("counts"), "has_prices", prices.alias("prices"))
+    return op.integrity(s, d, companies, list(STATUSES), {"stories": s.count(), "companies": companies.count() + 1})
 
 
 @query("write_company_columns", "sessions", f"SELECT cod, list(strftime(d, '%Y-%m-%d') ORDER BY d) AS d, list({exact(exact('last', 8), 4)} ORDER BY d) AS close, list(round(qty, 0) ORDER BY d) AS volume, list({exact('ret * 100', 2)} ORDER BY d) AS move_pct, list({exact('z', 2)} ORDER BY d) AS z FROM (SELECT *, CASE WHEN n = 20 THEN ret / nullif(sd, 0) END AS z FROM (SELECT *, count(ret) OVER w AS n, stddev_samp(ret) OVER w AS sd FROM sessions WINDOW w AS (PARTITION BY cod ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))) GROUP BY cod")

@@ -26,6 +26,18 @@ def _(t):
     return x.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
 
 
-@query("stream_daily_shock_counts", "", f"SELECT event_type, cast(ts as date) AS d, count(*) AS n, count(*) FILTER (abs(value) >= 50) AS large FROM events GROUP BY event_type, cast(ts as date) HAVING cast(ts as date) + INTERVAL 1 DAY {PASSED}")
+#: The baseline is made of the days before this one.
+BASE_UNTIL = "2024-01-21"
+
+
+@query("stream_daily_shock_counts", "", f"""WITH days AS (SELECT event_type, cast(ts as date) AS d, count(*) AS n, count(*) FILTER (abs(value) >= 50) AS large FROM events GROUP BY event_type, cast(ts as date)),
+  base AS (SELECT event_type, avg(large) AS m, stddev_samp(large) AS s FROM days WHERE d < date '{BASE_UNTIL}' GROUP BY event_type HAVING count(*) >= 2)
+  SELECT event_type, d, n, large, round((large - m) / nullif(s, 0), 6) AS z FROM days LEFT JOIN base USING (event_type) WHERE d + INTERVAL 1 DAY {PASSED}""")
 def _(t):
-    return jobs.run_available(jobs.daily_counts(events(t), key="event_type", at="at", value="value", cut=50.0, late="1 day"))
+    from tidemark.sources.files import scratch
+
+    e = t.base("events")
+    history = e.where(F.col("ts") < F.to_date(F.lit(BASE_UNTIL))).groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count_if(F.abs("value") >= 50).alias("large"))
+    days = jobs.daily_counts(events(t), key="event_type", at="at", value="value", cut=50.0, late="1 day")
+    out = jobs.run_scored(days, jobs.count_baseline(history, key="event_type", value="large"), scratch(e), key="event_type", value="large")
+    return out.select("event_type", "d", "n", "large", F.round("z", 6).alias("z"))

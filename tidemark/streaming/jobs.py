@@ -30,3 +30,32 @@ def run_available(out: DataFrame) -> DataFrame:
     q = out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return out.sparkSession.read.schema(out.schema).parquet(f"{path}/rows")
+
+
+def count_baseline(days: DataFrame, *, key: str, value: str) -> DataFrame:
+    """(key, base_n, base_mean, base_sd) of a value of closed days, from the batch side: a row for each key."""
+    return days.groupBy(key).agg(F.count(value).alias("base_n"), F.avg(value).alias("base_mean"), F.stddev_samp(value).alias("base_sd"))
+
+
+def scored(days: DataFrame, baseline: DataFrame, *, key: str, value: str, least: int = 2) -> DataFrame:
+    """days plus z of their value against the key's baseline; null without `least` baseline days or any spread."""
+    z = F.when(F.col("base_n") >= least, F.try_divide(F.col(value) - F.col("base_mean"), F.nullif("base_sd", F.lit(0.0))))
+    return days.join(baseline, key, "left").withColumn("z", z).drop("base_n", "base_mean", "base_sd")
+
+
+def run_scored(days: DataFrame, baseline: DataFrame, path: str, *, key: str, value: str) -> DataFrame:
+    """Drain what the source holds now: each micro-batch of closed days is scored against the static baseline and written to a folder of its batch id.
+
+    A batch that runs again, as after a failure between its write and its commit, overwrites its own folder, so no day
+    is written twice. The baseline is written once, so that every batch meets the same.
+    """
+    baseline.write.mode("overwrite").parquet(f"{path}/baseline")
+    static = days.sparkSession.read.schema(baseline.schema).parquet(f"{path}/baseline")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        scored(batch, static, key=key, value=value).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    q = days.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema = scored(days, static, key=key, value=value).schema
+    return days.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")

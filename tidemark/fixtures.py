@@ -99,7 +99,22 @@ SELECT concat('S', cast(s_suppkey as string)) AS cod, CASE s_suppkey % 5 WHEN 0
   CASE s_suppkey % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'open' WHEN 2 THEN 'hold' WHEN 3 THEN 'watch' WHEN 4 THEN 'reduce' ELSE 'sell' END AS action
 FROM supplier"""
 
-VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "theses_before": THESES_BEFORE, "overrides": OVERRIDES, "bodies": BODIES, "proposals": PROPOSALS, "recent": RECENT, "press": PRESS, "claims": CLAIMS, "overall": OVERALL}
+#: A model's answer for each article: the company it means and where it says so, its main topic and a summary, right and wrong.
+ANSWERS = """
+SELECT cast(o_orderkey as string) AS id, CASE WHEN o_orderkey % 8 = 0 THEN concat('s', cast(k as string)) ELSE concat('S', cast(CASE WHEN o_orderkey % 9 = 0 THEN k + 1 ELSE k END as string)) END AS ticker, concat('SUPPLIER#', lpad(cast(CASE WHEN o_orderkey % 11 = 0 THEN k + 1 ELSE k END as string), 9, '0')) AS company_name,
+  CASE WHEN o_orderkey % 13 = 0 THEN 'nowhere' WHEN o_orderkey % 14 = 0 THEN '' ELSE concat('supplier#', lpad(cast(k as string), 9, '0')) END AS company_evidence, CASE WHEN o_orderkey % 6 = 0 THEN 'rating' WHEN o_orderkey % 7 = 0 THEN 'gossip' END AS other_topic, CASE WHEN o_orderkey % 15 = 0 THEN '  ' ELSE 'In short' END AS summary
+FROM (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) AS k FROM orders) AS o"""
+#: Lists of tickers by sector in an order; some tickers are in two lists and some in none.
+SECTOR_LISTS = """
+SELECT r_regionkey AS pos, r_name AS sector, concat('S', cast(s_suppkey as string)) AS ticker FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT 99, 'WORLD', concat('S', cast(s_suppkey as string)) FROM supplier WHERE s_suppkey % 4 = 0"""
+#: What was concluded of each company before, by customers of the same number.
+CONCLUDED = """
+SELECT concat('S', cast(c_custkey as string)) AS cod, CASE c_nationkey % 3 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'weakened' ELSE 'strengthened' END AS status, CASE WHEN c_acctbal < 0 THEN NULL WHEN c_nationkey % 2 = 0 THEN 'open' ELSE 'add' END AS action, CASE WHEN c_nationkey % 4 = 0 THEN 'Thesis' ELSE concat(' Thesis in ', cast(s_nationkey as string), ' parts ') END AS summary,
+  CASE WHEN c_custkey % 2 = 0 THEN 'URGENT' ELSE 'MEDIUM' END AS indicator_1, CASE c_nationkey % 2 WHEN 0 THEN 'for' ELSE 'not_cited' END AS state_1, CASE WHEN c_custkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS indicator_2, CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'against' ELSE 'not_cited' END AS state_2
+FROM customer JOIN supplier ON c_custkey = s_suppkey"""
+
+VIEWS = {"quotes": QUOTES, "names": NAMES, "members": MEMBERS, "positions": POSITIONS, "watchlist": WATCHLIST, "quarters": QUARTERS, "theses": THESES, "rules": RULES, "priority": PRIORITY, "theses_before": THESES_BEFORE, "overrides": OVERRIDES, "bodies": BODIES, "proposals": PROPOSALS, "recent": RECENT, "press": PRESS, "claims": CLAIMS, "overall": OVERALL, "answers": ANSWERS, "sector_lists": SECTOR_LISTS, "concluded": CONCLUDED}
 
 
 class Tables:
@@ -179,6 +194,18 @@ class Tables:
     def rules(self) -> DataFrame:
         return self.spark.sql(RULES)
 
+    @cached_property
+    def answers(self) -> DataFrame:
+        return self._with(ANSWERS, ("supplier", "orders"))
+
+    @cached_property
+    def sector_lists(self) -> DataFrame:
+        return self._with(SECTOR_LISTS, ("supplier", "nation", "region"))
+
+    @cached_property
+    def concluded(self) -> DataFrame:
+        return self._with(CONCLUDED, ("customer", "supplier"))
+
     @cached_property
     def bodies(self) -> DataFrame:
         from pyspark.sql import functions as F
@@ -202,6 +229,8 @@ CTES["theses"], CTES["theses_before"] = THESES.replace("array(", "list_value("),
 
 
 def cte(name: str, body: str) -> None:
+    if CTES.get(name, body) != body:
+        raise ValueError(f"two twins define {name}")
     CTES[name] = body
 
 

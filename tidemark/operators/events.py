@@ -83,6 +83,13 @@ def status_table(judged: DataFrame, by: str) -> DataFrame:
     return judged.groupBy(by).pivot("status", STATUSES).count().fillna(0)
 
 
+def status_shares(judged: DataFrame, by: str) -> DataFrame:
+    """(by, status, n, n_type, share, place): counts of each status with their share of the group, groups placed by size, then name. Groups are types, a few."""
+    n = judged.groupBy(by, "status").agg(F.count(F.lit(1)).alias("n")).withColumn("n_type", F.sum("n").over(Window.partitionBy(by)))
+    place = F.dense_rank().over(Window.orderBy(F.desc("n_type"), by)).cast("long")
+    return n.select(by, "status", "n", "n_type", F.round(F.col("n") / F.greatest(F.lit(1), "n_type"), 6).alias("share"), place.alias("place"))
+
+
 def lead_shares(judged: DataFrame) -> DataFrame:
     """Among articles with an unusual session: already or at the open, anything before, peak on the day before."""
     s = F.col("status")

@@ -66,6 +66,38 @@ def news_rollup(stories: DataFrame, tags: DataFrame, indicators: DataFrame, *, n
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= newest, F.struct("k", "id")))), lambda x: x["id"]), ",").alias("newest"))
 
 
+def news_by_indicator(stories: DataFrame, tags: DataFrame, indicators: DataFrame) -> DataFrame:
+    """For every company and indicator of its thesis, and for what is outside it, stories and their verdict groups; those without a story too."""
+    known = indicators.select("cod", "indicator").distinct().withColumn("_in", F.lit(True))
+    rows = stories.join(tags, "id", "left").join(known, ["cod", "indicator"], "left").withColumn("bucket", F.when(F.col("_in"), F.col("indicator")).otherwise("outside"))
+    s, moved = F.col("status"), F.col("status") != "NO_REACTION"
+    n = rows.groupBy("cod", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(s.isin("REACTED", "DELAYED")).alias("n_reaction"), F.count_if(s.isin("ALREADY_IN_PRICE", "PARTLY_IN_PRICE", "MOSTLY_AT_OPEN")).alias("n_already"), F.count_if(~moved).alias("n_none"),
+        F.count_if(moved & (F.col("peak_ret") > 0)).alias("up"), F.count_if(moved & (F.col("peak_ret") < 0)).alias("down"))
+    wanted = known.select("cod", F.col("indicator").alias("bucket")).union(known.select("cod", F.lit("outside"))).distinct()
+    return wanted.join(n, ["cod", "bucket"], "left").na.fill(0)
+
+
+def results_score(title: str, name: str, own: str, words: str) -> Column:
+    """How much a title reads like a report of results: results words, two more if it opens with the company's name, one more from the company's own file."""
+    low = F.lower(title)
+    return (F.regexp_count(low, F.lit(rf"\b(?:{words})\b")) + F.when(low.startswith(F.lower(name)), 2).otherwise(0) + F.when(F.col(own), 1).otherwise(0)).cast("long")
+
+
+def recalc_diff(before: DataFrame, after: DataFrame, was: DataFrame, now: DataFrame) -> DataFrame:
+    """(cod, status, decision, indicators, summary_changed) for companies of both states: what a new run of a thesis changed.
+
+    before and after have cod, status, action, summary; was and now (cod, name, state) of indicators. Changes read
+    `old>new`, those of indicators `name:old>new` by name; null or empty where nothing changed. Indicators of now alone count.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    change = lambda a, b: F.when(blank(a) != blank(b), F.concat(F.coalesce(a, F.lit("-")), F.lit(">"), F.coalesce(b, F.lit("-"))))
+    i = now.join(was.select("cod", "name", F.col("state").alias("_old")), ["cod", "name"], "left").where(~F.col("state").eqNullSafe(F.col("_old")))
+    i = i.groupBy("cod").agg(F.array_join(F.sort_array(F.collect_list(F.concat("name", F.lit(":"), F.coalesce("_old", F.lit("-")), F.lit(">"), "state"))), ",").alias("indicators"))
+    x = after.join(before.select("cod", *[F.col(c).alias(f"_{c}") for c in ("status", "action", "summary")]), "cod").join(i, "cod", "left")
+    return x.select("cod", change("_status", "status").alias("status"), change("_action", "action").alias("decision"), blank("indicators").alias("indicators"), (F.trim(blank("_summary")) != F.trim(blank("summary"))).alias("summary_changed"))
+
+
 def thesis_hits(stories: DataFrame, theses: DataFrame, *, words: str = r"[0-9A-Za-z]{3,}") -> DataFrame:
     """(ticker, id, hits): distinct words that a thesis's indicators share with a title, by an equi-join on words."""
     t = theses.select("ticker", F.explode("indicators").alias("indicator"))

@@ -128,3 +128,9 @@ def membership_diff(now: DataFrame, before: DataFrame) -> DataFrame:
     n, b = now.withColumnRenamed("pos", "_now"), before.withColumnRenamed("pos", "_before")
     change = F.when(F.col("_before").isNull(), "added").when(F.col("_now").isNull(), "removed").when(F.col("_now") != F.col("_before"), "moved")
     return n.join(b, ["sector", "cod"], "full").withColumn("change", change).where("change is not null").select("sector", "cod", "change")
+
+
+def sector_of(tickers: DataFrame, lists: DataFrame) -> DataFrame:
+    """(cod, sector): the first sector, by pos, whose list of tickers holds each code; null without one. lists are taken apart and met by an equi-join."""
+    first = lists.select("pos", "sector", F.explode("tickers").alias("cod")).groupBy("cod").agg(F.min_by("sector", "pos").alias("sector"))
+    return tickers.join(first, "cod", "left").select("cod", "sector")

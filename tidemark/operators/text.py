@@ -158,6 +158,55 @@ def reports_move(texts: DataFrame, *, text: str = "title", near: str = r"\b(?:ma
     return texts.withColumn("_n", normalise(text)).mapInPandas(flag, texts.schema.simpleString()[7:-1] + ",reports_move boolean")
 
 
+def scheduled(news_type: str, text: str, *, always: list[str], never: list[str], dated: dict[str, str]) -> Column:
+    """Whether news is due by a calendar: always or never by its type, by a date pattern in the normalised text for the types of `dated`, else null."""
+    out = F.when(F.col(news_type).isin(always), F.lit(True)).when(F.col(news_type).isin(never), F.lit(False))
+    for kind, pattern in dated.items():
+        out = out.when(F.col(news_type) == kind, F.coalesce(normalise(text).rlike(pattern), F.lit(False)))
+    return out
+
+
+CHECKS = ["quote_ok", "figure_ok", "adjective_ok", "numbers_ok", "words_ok"]
+
+
+def output_checks(rows: DataFrame, *, vocabulary: list[str]) -> DataFrame:
+    """rows plus the five checks of a model's sentence and all_ok, their conjunction.
+
+    rows has sentence, quote, figure, adjective, title and source: the quote and the figure stand in the source but for
+    white space, the adjective in the title in any case, the sentence's numbers and its words of the vocabulary in the source.
+    An empty quote, figure or adjective fails.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    held = lambda a, b: (a != "") & b.contains(a)
+    checks = {
+        "quote_ok": held(plain("quote"), plain("source")), "figure_ok": held(plain("figure"), plain("source")), "adjective_ok": held(F.lower(F.coalesce("adjective", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))),
+        "numbers_ok": F.size(ungrounded_numbers("sentence", "source")) == 0, "words_ok": F.size(ungrounded_words("sentence", "source", vocabulary)) == 0,
+    }
+    return rows.withColumns(checks).withColumn("all_ok", F.expr(" and ".join(CHECKS)))
+
+
+def validated(articles: DataFrame, answers: DataFrame, proposals: DataFrame, candidates: DataFrame, *, topics: list[str], most: int = 3) -> DataFrame:
+    """(id, errors) of each answer, in this order: a company that is no candidate, its evidence, the number of topics, topics, confidences, evidence, repeats, the primary topic, its place, the summary.
+
+    answers has id, ticker, company_name, company_evidence, primary_topic, summary; proposals (id, pos, topic, confidence,
+    evidence); candidates (id, cod, name), of which ticker and name must be one, case and accents aside. Company evidence is
+    verbatim in title or body, that of topics in the body.
+    """
+    pair = candidates.select("id", F.lower("cod").alias("_ticker"), normalise("name").alias("_name"), F.lit(True).alias("_pair")).distinct()
+    x = answers.join(articles.select("id", "title", "body"), "id").withColumns({"_ticker": F.lower(F.trim("ticker")), "_name": normalise("company_name")}).join(pair, ["id", "_ticker", "_name"], "left")
+    controlled = lambda c: F.coalesce(c.isin(topics), F.lit(False))
+    by_id = proposals.join(articles.select("id", "body"), "id").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("_d"), F.min_by("topic", "pos").alias("_first"), F.bool_or(~controlled(F.col("topic"))).alias("_topic"),
+        F.bool_or(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("_confidence"), F.bool_or(~verbatim("body", "evidence")).alias("_evidence"))
+    x = x.join(by_id, "id", "left")
+    primary = F.col("primary_topic")
+    errors = {
+        "company is no candidate": F.col("_pair").isNull(), "company evidence": ~verbatim(F.concat_ws("\n", "title", "body"), "company_evidence"), "topic count": F.col("n").isNull() | (F.col("n") > most), "topic": F.col("_topic"), "confidence": F.col("_confidence"), "evidence": F.col("_evidence"),
+        "topics repeat": F.col("n") != F.col("_d"), "primary topic": ~controlled(primary), "primary is not first": F.col("n").isNotNull() & ~primary.eqNullSafe(F.col("_first")), "summary": F.coalesce(F.trim("summary"), F.lit("")) == "",
+    }
+    return x.select("id", F.array_compact(F.array(*[F.when(cond, F.lit(e)) for e, cond in errors.items()])).alias("errors"))
+
+
 def candidates(articles: DataFrame, names: DataFrame, *, text: str = "body", limit: int = 30) -> DataFrame:
     """Names found in title or body: title hits first, then body hits, longer names, code; the first `limit` of each article."""
     from tidemark.operators.tape import match_names

@@ -90,10 +90,10 @@ def _(t):
     return op.news_rollup(storied(t), tags_of(t), indicators_of(t))
 
 
-@query("news_by_indicator", "tagged", "SELECT bucket, status, count(*) AS n FROM tagged GROUP BY ALL")
+@query("news_by_indicator", "tagged theses", """SELECT g.cod, g.bucket, count(t.id) AS n, count(t.id) FILTER (status IN ('REACTED', 'DELAYED')) AS n_reaction, count(t.id) FILTER (status IN ('ALREADY_IN_PRICE', 'PARTLY_IN_PRICE', 'MOSTLY_AT_OPEN')) AS n_already, count(t.id) FILTER (status = 'NO_REACTION') AS n_none,
+  count(t.id) FILTER (status <> 'NO_REACTION' AND peak_ret > 0) AS up, count(t.id) FILTER (status <> 'NO_REACTION' AND peak_ret < 0) AS down FROM (SELECT ticker AS cod, unnest(list_append(indicators, 'outside')) AS bucket FROM theses) g LEFT JOIN tagged t USING (cod, bucket) GROUP BY g.cod, g.bucket""")
 def _(t):
-    x = storied(t).join(tags_of(t), "id", "left").withColumn("bucket", F.coalesce("indicator", F.lit("outside")))
-    return x.groupBy("bucket", "status").agg(F.count(F.lit(1)).alias("n"))
+    return op.news_by_indicator(storied(t), tags_of(t), indicators_of(t))
 
 
 cte("votes", """SELECT cod, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret > 0) AS pros, count(*) FILTER (status IN ('REACTED', 'DELAYED') AND peak_ret < 0) AS cons FROM stories GROUP BY cod""")
@@ -145,9 +145,12 @@ FIELDS = ["motive", "indicators", "horizon", "target_weight"]
 cte("old_new", "SELECT n.ticker, b.ticker IS NOT NULL AS known, n.motive IS NOT DISTINCT FROM b.motive AND n.indicators IS NOT DISTINCT FROM b.indicators AND n.horizon IS NOT DISTINCT FROM b.horizon AND n.target_weight IS NOT DISTINCT FROM b.target_weight AS same FROM theses n LEFT JOIN theses_before b USING (ticker)")
 
 
-@query("incremental_skip", "old_new", "SELECT ticker FROM old_new WHERE NOT known OR NOT same")
+@query("incremental_skip", "old_new", "SELECT ticker FROM old_new WHERE NOT known OR NOT same OR cast(substr(ticker, 2) as bigint) % 7 = 0")
 def _(t):
-    return op.changed_only(op.fingerprinted(t.theses, FIELDS, version="2"), op.fingerprinted(t.theses_before, FIELDS, version="2"), key="ticker", fingerprint="fp").select("ticker")
+    # a seventh of the state was built by the version before
+    old = F.substring("ticker", 2, 12).cast("long") % 7 == 0
+    built = op.fingerprinted(t.theses_before.where(~old), FIELDS, version="2").unionByName(op.fingerprinted(t.theses_before.where(old), FIELDS, version="1"))
+    return op.changed_only(op.fingerprinted(t.theses, FIELDS, version="2"), built, key="ticker", fingerprint="fp").select("ticker")
 
 
 @query("thesis_staleness", "old_new", "SELECT ticker, NOT same AS stale FROM old_new WHERE known")
@@ -164,11 +167,23 @@ def _(t):
     return op.overridden(t.theses, named, "ticker", ["motive", "horizon", "target_weight"]).select("ticker", "motive", "horizon", "target_weight")
 
 
-@query("recalc_diff", "votes", f"SELECT cod, {VOTE} AS vote, pros > 1 AS changed FROM votes")
+BEFORE = "SELECT cod, indicator_1 AS name, state_1 AS state FROM concluded UNION ALL SELECT cod, indicator_2, state_2 FROM concluded"
+cte("indicators_before", BEFORE)
+
+
+@query("recalc_diff", "overall concluded indicators_before best_claims thesis_names", """SELECT o.cod, CASE WHEN coalesce(c.status, '') <> coalesce(o.state, '') THEN concat(coalesce(c.status, '-'), '>', coalesce(o.state, '-')) END AS status, CASE WHEN coalesce(c.action, '') <> coalesce(o.action, '') THEN concat(coalesce(c.action, '-'), '>', o.action) END AS decision,
+  coalesce(i.indicators, '') AS indicators, trim(coalesce(c.summary, '')) <> trim(o.summary) AS summary_changed FROM overall o JOIN concluded c USING (cod) LEFT JOIN (
+    SELECT cod, string_agg(name || ':' || coalesce(before, '-') || '>' || state, ',' ORDER BY name) AS indicators FROM (SELECT n.cod, n.name, b.state AS before, coalesce(k.state, 'not_cited') AS state FROM thesis_names n LEFT JOIN indicators_before b USING (cod, name)
+      LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY cod, name ORDER BY no DESC) AS k FROM best_claims WHERE kind = 'indicator' AND ok AND state <> 'not_cited' AND quote IS NOT NULL) k ON k.k = 1 AND k.cod = n.cod AND k.name = n.name) WHERE before IS DISTINCT FROM state GROUP BY cod) i USING (cod)""")
 def _(t):
-    after = votes_of(t).withColumn("vote", overall())
-    before = after.select("cod", F.when(F.col("pros") > 1, F.lit(None)).otherwise(F.col("vote")).alias("old"))
-    return after.join(before, "cod", "left").select("cod", "vote", (~F.col("vote").eqNullSafe(F.col("old"))).alias("changed"))
+    from tidemark.operators.theses import latest_cited
+    from tidemark.plans.theses import best_of
+
+    after = t.overall.select("cod", F.col("state").alias("status"), "action", "summary")
+    states = F.array(*[F.struct(F.col(f"indicator_{i}").alias("name"), F.col(f"state_{i}").alias("state")) for i in (1, 2)])
+    was = t.concluded.select("cod", F.inline(states))
+    now = latest_cited(best_of(t), t.theses).select("cod", F.col("indicator").alias("name"), "state")
+    return op.recalc_diff(t.concluded.select("cod", "status", "action", "summary"), after, was, now)
 
 
 #: How the price since the last results reads against the thesis: state, direction, reading.
@@ -194,12 +209,17 @@ def _(t):
     return x.join(F.broadcast(grid), ["vote", "dir"], "left").select("cod", F.coalesce("reading", F.lit("insufficient")).alias("reading"))
 
 
-@query("preview_title", "quartered", "SELECT id, contains(title, 'LOW') AS preview FROM quartered")
+#: Words by which a title announces results, and words of results.
+PREVIEW = r"\b(?:attesi|attesa|attese|in vista dei conti|in attesa dei|prima dei conti|verso i conti|le stime|si aspettano|il [0-9]{1,2} [a-z]+ i conti|low)\b"
+RESULTS = "trimestre|semestre|conti|risultati|ricavi|utile|utili|bilancio|ebitda|guidance|trimestrale|urgent|high|medium"
+
+
+@query("preview_title", "quartered", f"SELECT id, regexp_matches(lower(title), '{PREVIEW}') AS preview FROM quartered")
 def _(t):
-    return quartered(t).select("id", F.col("title").contains("LOW").alias("preview"))
+    return quartered(t).select("id", F.lower("title").rlike(PREVIEW).alias("preview"))
 
 
-@query("results_score", "quartered", "SELECT id, len(regexp_extract_all(title, 'HIGH|URGENT|MEDIUM')) + CASE WHEN starts_with(title, 'Supplier') THEN 2 ELSE 0 END AS score FROM quartered")
+@query("results_score", "quartered names", f"SELECT q.id, len(regexp_extract_all(lower(q.title), '\\b(?:{RESULTS})\\b')) + CASE WHEN starts_with(lower(q.title), lower(n.name)) THEN 2 ELSE 0 END + CASE WHEN cast(q.id as bigint) % 5 = 0 THEN 1 ELSE 0 END AS score FROM quartered q JOIN names n USING (cod)")
 def _(t):
-    lead = F.when(F.col("title").startswith("Supplier"), 2).otherwise(0)
-    return quartered(t).select("id", (F.regexp_count("title", F.lit("HIGH|URGENT|MEDIUM")) + lead).cast("long").alias("score"))
+    x = quartered(t).join(t.names.select("cod", "name"), "cod").withColumn("own", F.col("id").cast("long") % 5 == 0)  # a fifth comes from the company's own file
+    return x.select("id", op.results_score("title", "name", "own", RESULTS).alias("score"))

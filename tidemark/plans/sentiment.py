@@ -180,11 +180,11 @@ def _(t):
     return narrative_of(t).select("sector", "d", *r6("narrative_raw"))
 
 
-@query("top3_headlines", "best", "SELECT sector, d, string_agg(id, ',' ORDER BY cosine DESC, id) AS headlines FROM (SELECT *, row_number() OVER (PARTITION BY sector, d ORDER BY cosine DESC, id) AS p FROM best) WHERE p <= 3 GROUP BY sector, d")
+@query("top3_headlines", "best", "SELECT sector, d, cast(to_json(list(id ORDER BY cosine DESC, id)) as varchar) AS headlines FROM (SELECT *, row_number() OVER (PARTITION BY sector, d ORDER BY cosine DESC, id) AS p FROM best) WHERE p <= 3 GROUP BY sector, d")
 def _(t):
     w = Window.partitionBy("sector", "d").orderBy(F.desc("cosine"), "id")
     top = best_of(t).withColumn("p", F.row_number().over(w)).where("p <= 3")
-    return top.groupBy("sector", "d").agg(F.sort_array(F.collect_list(F.struct("p", "id"))).alias("x")).select("sector", "d", F.array_join(F.transform("x", lambda x: x["id"]), ",").alias("headlines"))
+    return top.groupBy("sector", "d").agg(F.sort_array(F.collect_list(F.struct("p", "id"))).alias("x")).select("sector", "d", F.to_json(F.transform("x", lambda x: x["id"])).alias("headlines"))
 
 
 @query("sentiment_joined", "narrated", f"SELECT sector, d, round(ln(1 + momentum_raw), 6) AS log_momentum, {sr6('narrative_raw')}, narrative_raw IS NULL AS quiet FROM narrated")
@@ -246,6 +246,7 @@ def _(t):
     return op.membership_diff(listed(t.members), listed(t.members.join(t.names.where("kind = 'ORD'").select("cod"), "cod", "left_semi")))
 
 
-@query("sector_of_ticker", "members", "SELECT cod, sector FROM members")
+@query("sector_of_ticker", "names sector_lists", "SELECT n.cod, arg_min(l.sector, l.pos) AS sector FROM names n LEFT JOIN sector_lists l ON l.ticker = n.cod GROUP BY n.cod")
 def _(t):
-    return t.members.select("cod", "sector")
+    lists = t.sector_lists.groupBy("pos", "sector").agg(F.collect_list("ticker").alias("tickers"))
+    return op.sector_of(t.names.select("cod"), lists)

@@ -73,10 +73,9 @@ def _(t):
     return ev.status_table(typed(t), "news_type")
 
 
-@query("status_shares", "typed", "SELECT news_type, status, count(*) AS n, round(count(*) / greatest(1, sum(count(*)) OVER (PARTITION BY news_type)), 6) AS share FROM typed GROUP BY news_type, status")
+@query("status_shares", "typed", "SELECT *, dense_rank() OVER (ORDER BY n_type DESC, news_type) AS place FROM (SELECT news_type, status, count(*) AS n, cast(sum(count(*)) OVER (PARTITION BY news_type) as bigint) AS n_type, round(count(*) / greatest(1, sum(count(*)) OVER (PARTITION BY news_type)), 6) AS share FROM typed GROUP BY news_type, status)")
 def _(t):
-    n = typed(t).groupBy("news_type", "status").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.round(F.col("n") / F.greatest(F.lit(1), F.sum("n").over(Window.partitionBy("news_type"))), 6))
+    return ev.status_shares(typed(t), "news_type").orderBy("place", "status")
 
 
 @query("lead_shares", "verdict", """SELECT *, round(n_already / n_unusual, 6) AS share_already, round(n_before / n_unusual, 6) AS share_before, round(n_day_before / n_unusual, 6) AS share_day_before FROM (
@@ -145,10 +144,14 @@ def _(t):
     return tape.join(v, ["id", "d"]).select("id", "cod", "d", *r6("prev_ref", "last", "sd", "retained"))
 
 
-@query("percent_rounding", "stories", "SELECT id, round(peak_ret * 100, 2) AS move_pct, round(peak_z, 2) AS z, round(peak_retained * 100, 1) AS retained_pct FROM stories")
+def even(x: str, places: int) -> str:
+    """A double rounded half to even by its shortest decimal form, in DuckDB."""
+    return f"cast(round_even(cast(cast({x} as varchar) as decimal(38, 14)), {places}) as double)"
+
+
+@query("percent_rounding", "stories", lambda: f"SELECT id, {even('peak_ret * 100', 2)} AS move_pct, {even('peak_z', 2)} AS z, {even('peak_retained * 100', 0)} AS retained_pct FROM stories")
 def _(t):
-    pct = lambda c, k, name: F.round(F.col(c) * 100, k).alias(name)
-    return stories_of(t).select("id", pct("peak_ret", 2, "move_pct"), F.round("peak_z", 2).alias("z"), pct("peak_retained", 1, "retained_pct"))
+    return stories_of(t).select("id", F.bround(F.col("peak_ret") * 100, 2).alias("move_pct"), F.bround("peak_z", 2).alias("z"), F.bround(F.col("peak_retained") * 100, 0).alias("retained_pct"))
 
 
 @query("news_direction_strength", "stories", "SELECT id, CASE WHEN status = 'NO_REACTION' THEN 'flat' WHEN peak_ret > 0 THEN 'up' WHEN peak_ret < 0 THEN 'down' ELSE 'flat' END AS dir, round(CASE WHEN status = 'NO_REACTION' THEN 0.1 ELSE least(1.0, abs(peak_z) / 6) END, 5) AS strength FROM stories")
@@ -183,15 +186,18 @@ def _(t):
 
 
 cte("company", """SELECT cod, count(*) AS n_stories, count(*) FILTER (id IN (SELECT id FROM firsts)) AS n_first, count(*) FILTER (status <> 'NO_REACTION') AS n_unusual, """
-    + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + """, strftime(min(pub_local), '%Y-%m-%d %H:%M:%S') AS first_pub, strftime(max(pub_local), '%Y-%m-%d %H:%M:%S') AS last_pub FROM stories GROUP BY cod""")
+    + ", ".join(f"count(*) FILTER (status = '{s}') AS \"{s}\"" for s in ev.STATUSES) + """, strftime(min(pub_local), '%Y-%m-%d %H:%M:%S') AS first_pub, strftime(max(pub_local), '%Y-%m-%d %H:%M:%S') AS last_pub,
+  count(*) FILTER (status = 'REACTED') AS n_detail, arg_max(s.id, struct_pack(p := s.pub_local, i := s.id)) AS latest_id, arg_max(upper(a.title), struct_pack(p := s.pub_local, i := s.id)) AS latest_name FROM stories s JOIN articles a USING (id) GROUP BY cod""")
 
 
 def company_of(t: Tables):
-    s = stories_of(t).join(ev.first_articles(matched(t)).select("id", F.lit(True).alias("first")), "id", "left")
+    detail = F.col("status") == "REACTED"  # stories with a page of their own
+    s = stories_of(t).join(ev.first_articles(matched(t)).select("id", F.lit(True).alias("first")), "id", "left").join(t.articles.select("id", F.upper("title").alias("name")), "id")
+    latest = lambda c: F.max_by(c, F.struct("pub_local", "id"))
     when = lambda f, name: F.date_format(f("pub_local"), "yyyy-MM-dd HH:mm:ss").alias(name)
     return s.groupBy("cod").agg(
         F.count(F.lit(1)).alias("n_stories"), F.count_if(F.coalesce("first", F.lit(False))).alias("n_first"), F.count_if(F.col("status") != "NO_REACTION").alias("n_unusual"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in ev.STATUSES], when(F.min, "first_pub"), when(F.max, "last_pub"))
+        *[F.count_if(F.col("status") == s).alias(s) for s in ev.STATUSES], when(F.min, "first_pub"), when(F.max, "last_pub"), F.count_if(detail).alias("n_detail"), latest("id").alias("latest_id"), latest("name").alias("latest_name"))
 
 
 @query("company_summary", "company", "SELECT * FROM company")

@@ -90,15 +90,34 @@ def _(t):
     return op.kept_types(op.rule_hits(publication(t.articles), t.rules)).where("hard").select("id", "type")
 
 
-@query("classifier_distribution", "classified", "SELECT news_type, count(*) AS n FROM classified GROUP BY news_type")
+#: A headline tells of a move by this pattern, unless it speaks of a sale without a price cue and the hit holds the sale's verb.
+MOVE, SALE, VERB, CUE = "[0-9]-(?:urgent|high)", "and supplier", "urgent", "#0000000[0-4]"
+cte("moving", f"SELECT id, regexp_matches(t, '{MOVE}') AND NOT (regexp_matches(t, '{SALE}') AND NOT regexp_matches(t, '{CUE}') AND regexp_matches(regexp_extract(t, '{MOVE}'), '{VERB}')) AS reports_move FROM (SELECT id, {NORM.format('title')} AS t FROM published)")
+
+
+def moving(t: Tables):
+    return op.reports_move(publication(t.articles).select("id", "title"), moves=(MOVE,), deal=SALE, deal_verb=VERB, cue=CUE).select("id", "reports_move")
+
+
+@query("headline_reports_move", "moving", "SELECT id, reports_move FROM moving")
+def _(t):
+    return moving(t)
+
+
+@query("classifier_distribution", "classified moving", "SELECT news_type, count(*) AS n, count(*) FILTER (reports_move) AS n_moves FROM classified JOIN moving USING (id) GROUP BY news_type")
 def _(t):
-    return classified(t).groupBy("news_type").agg(F.count(F.lit(1)).alias("n"))
+    return classified(t).join(moving(t), "id").groupBy("news_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("reports_move").alias("n_moves"))
 
 
-@query("scheduled_flag", "classified", "SELECT id, CASE WHEN news_type = 'earnings' THEN true WHEN news_type IN ('capital', 'rating') THEN false END AS scheduled FROM classified")
+#: Types whose news is due by a calendar, those that never are, and the dates that make news of capital due.
+ALWAYS, NEVER, DUE = ["earnings", "guidance"], ["rating", "legal", "deal"], r"ex[- ]?dividend|coupon (?:on|from) [0-9]|payable on [0-9]|and supplier#0+[1-5]"
+
+
+@query("scheduled_flag", "classified published", f"SELECT c.id, CASE WHEN news_type IN ('earnings', 'guidance') THEN true WHEN news_type = 'capital' THEN regexp_matches({NORM.format('title')}, '{DUE}') WHEN news_type IN ('rating', 'legal', 'deal') THEN false END AS scheduled FROM classified c JOIN published p USING (id)")
 def _(t):
-    n = F.col("news_type")
-    return classified(t).select("id", F.when(n == "earnings", True).when(n.isin("capital", "rating"), False).alias("scheduled"))
+    p = publication(t.articles)
+    x = op.classify(p, t.rules, t.priority).join(p.select("id", "title"), "id")
+    return x.select("id", op.scheduled("news_type", "title", always=ALWAYS, never=NEVER, dated={"capital": DUE}).alias("scheduled"))
 
 
 @query("body_fallback", "final_types", "SELECT id, news_type AS final_type FROM final_types")
@@ -164,38 +183,45 @@ NO_WORDS = f"len(list_filter([{WORD_LIST}], lambda w: regexp_matches(lower(sente
 FIRST = "trim(regexp_extract(sentence, '^[^.!?]+'))"
 
 
-@query("model_output_checks", "turns", f"SELECT *, numbers_ok AND words_ok AND quote_ok AS all_ok FROM (SELECT conv_id, turn, len({missing('sentence', 'source')}) = 0 AS numbers_ok, {NO_WORDS} AS words_ok, {NORM.format(FIRST)} <> '' AND contains({NORM.format('source')}, {NORM.format(FIRST)}) AS quote_ok FROM turns)")
+FIGURE, ADJECTIVE, HEAD = "regexp_extract(sentence, '[0-9]+')", "regexp_extract(sentence, '[A-Za-z]{5,}')", "split_part(source, chr(10), 1)"
+PLAIN = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+@query("model_output_checks", "turns", f"""SELECT *, numbers_ok AND words_ok AND quote_ok AND figure_ok AND adjective_ok AS all_ok FROM (SELECT conv_id, turn, {PLAIN.format(FIRST)} <> '' AND contains({PLAIN.format('source')}, {PLAIN.format(FIRST)}) AS quote_ok, {FIGURE} <> '' AND contains({PLAIN.format('source')}, {FIGURE}) AS figure_ok,
+  {ADJECTIVE} <> '' AND contains(lower({HEAD}), lower({ADJECTIVE})) AS adjective_ok, len({missing('sentence', 'source')}) = 0 AS numbers_ok, {NO_WORDS} AS words_ok FROM turns)""")
 def _(t):
-    # the quote of an answer is its first sentence
-    x = turns_of(t)
-    quote = F.trim(F.regexp_extract("sentence", r"^[^.!?]+", 0))
-    checks = {"numbers_ok": F.size(op.ungrounded_numbers("sentence", "source")) == 0, "words_ok": F.size(op.ungrounded_words("sentence", "source", WORDS)) == 0, "quote_ok": op.verbatim("source", quote)}
-    return x.withColumns(checks).withColumn("all_ok", F.expr("numbers_ok and words_ok and quote_ok")).select("conv_id", "turn", *checks, "all_ok")
+    # an answer's quote is its first sentence, its figure the first number, its adjective the first long word; the title is the source's first line
+    x = turns_of(t).withColumns({"quote": F.trim(F.regexp_extract("sentence", r"^[^.!?]+", 0)), "figure": F.regexp_extract("sentence", "[0-9]+", 0), "adjective": F.regexp_extract("sentence", "[A-Za-z]{5,}", 0), "title": F.split_part("source", F.lit("\n"), F.lit(1))})
+    return op.output_checks(x, vocabulary=WORDS).select("conv_id", "turn", *op.CHECKS, "all_ok")
 
 
-@query("headline_reports_move")
+@query("body_reports_move")
 def _(t):
     moves = (r"(?:rises|falls|gains|loses) (?:by )?[0-9]+(?:[.,][0-9]+)?\s*%", r"closed? in (?:the )?(?:red|green)")
     return op.reports_move(t.base("documents").select("doc_id", "text"), text="text", moves=moves).select("doc_id", "reports_move")
 
 
 def stories(t: Tables):
-    """Articles whose body names their companies once more than the title does if their id is even."""
-    twice = F.when(F.col("id").cast("long") % 2 == 0, F.concat_ws(" and ", "title", "title")).otherwise(F.lit("no name here"))
-    return publication(t.articles).withColumn("body", twice).select("id", "title", "body")
+    """Articles whose body names their companies twice, or no one, or another company that the title does not name."""
+    n = t.base("supplier").agg(F.count(F.lit(1)).alias("n"))  # one row
+    k = F.col("id").cast("long")
+    body = F.when(k % 3 == 0, F.concat_ws(" and ", "title", "title")).when(k % 3 == 1, "no name here").otherwise(F.concat(F.lit("about Supplier#"), F.lpad((k * 7 % F.col("n")).cast("string"), 9, "0"), F.lit(" today")))
+    return publication(t.articles).crossJoin(F.broadcast(n)).withColumn("body", body).select("id", "title", "body")
 
 
-cte("candidate_hits", r"""SELECT m.id, m.cod, n.name, CASE WHEN cast(m.id as bigint) % 2 = 0 THEN 2 ELSE 0 END * ((length(p.title) - length(replace(p.title, n.name, ''))) // length(n.name)) AS hits FROM matches m JOIN universe n USING (cod) JOIN published p USING (id)""")
+cte("story_texts", """SELECT id, title, CASE k % 3 WHEN 0 THEN title || ' and ' || title WHEN 1 THEN 'no name here' ELSE 'about Supplier#' || lpad(cast(k * 7 % n as varchar), 9, '0') || ' today' END AS body FROM (SELECT *, cast(id as bigint) AS k FROM published) CROSS JOIN (SELECT count(*) AS n FROM supplier)""")
+cte("candidate_hits", """SELECT t.id, n.cod, n.name, bool_or(place = 'title') AS in_title, count(*) FILTER (place = 'body') AS hits FROM (
+  SELECT id, 'title' AS place, unnest(regexp_extract_all(title, '[0-9A-Za-z_#]+')) AS token FROM story_texts UNION ALL SELECT id, 'body', unnest(regexp_extract_all(body, '[0-9A-Za-z_#]+')) FROM story_texts) t JOIN universe n ON n.name = t.token GROUP BY t.id, n.cod, n.name""")
 
 
-@query("instrument_candidates", "candidate_hits", "SELECT id, cod, true AS in_title, cast(hits as bigint) AS hits FROM candidate_hits")
+@query("instrument_candidates", "candidate_hits", "SELECT id, cod, in_title, hits FROM candidate_hits")
 def _(t):
     return op.candidates(stories(t), names_of(t)).select("id", "cod", "in_title", "hits")
 
 
-@query("candidate_top30", "candidate_hits", "SELECT id, cod, place FROM (SELECT id, cod, row_number() OVER (PARTITION BY id ORDER BY hits DESC, length(name) DESC, cod) AS place FROM candidate_hits) WHERE place <= 30")
+@query("candidate_top30", "candidate_hits", "SELECT id, cod, in_title, place FROM (SELECT id, cod, in_title, row_number() OVER (PARTITION BY id ORDER BY in_title DESC, hits DESC, length(name) DESC, cod) AS place FROM candidate_hits) WHERE place <= 30")
 def _(t):
-    return op.candidates(stories(t), names_of(t)).select("id", "cod", F.col("place").cast("long").alias("place"))
+    return op.candidates(stories(t), names_of(t)).select("id", "cod", "in_title", F.col("place").cast("long").alias("place"))
 
 
 @query("examples_per_type", "classified", "SELECT news_type, id FROM (SELECT *, row_number() OVER (PARTITION BY news_type ORDER BY md5(id || ':7'), id) AS k FROM classified) WHERE k <= 12")
@@ -219,18 +245,21 @@ def _(t):
 CONTROLLED = ["capital", "earnings", "guidance", "legal", "rating", "deal", "market_report"]
 
 
-@query("classification_validation", "published proposals one", f"""SELECT a.id, trim(concat(CASE WHEN o.id IS NULL THEN 'company ' ELSE '' END, CASE WHEN p.n IS NULL OR p.n > 3 THEN 'topics ' ELSE '' END, CASE WHEN p.bad_topic THEN 'topic ' ELSE '' END,
-  CASE WHEN p.bad_confidence THEN 'confidence ' ELSE '' END, CASE WHEN p.bad_quote THEN 'evidence ' ELSE '' END, CASE WHEN p.n <> p.distinct_n THEN 'distinct' ELSE '' END)) AS errors
-  FROM published a LEFT JOIN one o USING (id) LEFT JOIN (SELECT p.id, count(*) AS n, count(DISTINCT p.topic) AS distinct_n, bool_or(p.topic NOT IN ({', '.join(f"'{c}'" for c in CONTROLLED)})) AS bad_topic, bool_or(NOT p.confidence BETWEEN 0 AND 1) AS bad_confidence,
+cte("named", "SELECT m.id, m.cod, n.name FROM matches m JOIN universe n USING (cod)")
+
+
+@query("classification_validation", "published proposals answers named", f"""SELECT a.id, concat_ws('; ', CASE WHEN NOT EXISTS (SELECT 1 FROM named m WHERE m.id = a.id AND lower(m.cod) = lower(w.ticker) AND {NORM.format('m.name')} = {NORM.format('w.company_name')}) THEN 'company is no candidate' END,
+    CASE WHEN {NORM.format('w.company_evidence')} = '' OR NOT contains({NORM.format('a.title')}, {NORM.format('w.company_evidence')}) THEN 'company evidence' END, CASE WHEN p.n IS NULL OR p.n > 3 THEN 'topic count' END, CASE WHEN p.bad_topic THEN 'topic' END, CASE WHEN p.bad_confidence THEN 'confidence' END, CASE WHEN p.bad_quote THEN 'evidence' END,
+    CASE WHEN p.n <> p.distinct_n THEN 'topics repeat' END, CASE WHEN coalesce(w.other_topic, p.first_topic, '') NOT IN ({', '.join(f"'{c}'" for c in CONTROLLED)}) THEN 'primary topic' END, CASE WHEN p.n > 0 AND w.other_topic <> p.first_topic THEN 'primary is not first' END, CASE WHEN trim(w.summary) = '' THEN 'summary' END) AS errors
+  FROM published a JOIN answers w USING (id) LEFT JOIN (SELECT p.id, count(*) AS n, count(DISTINCT p.topic) AS distinct_n, arg_min(p.topic, p.pos) AS first_topic, bool_or(p.topic NOT IN ({', '.join(f"'{c}'" for c in CONTROLLED)})) AS bad_topic, bool_or(NOT p.confidence BETWEEN 0 AND 1) AS bad_confidence,
     bool_or(NOT contains({NORM.format('a.title')}, {NORM.format('p.evidence')})) AS bad_quote FROM proposals p JOIN published a USING (id) GROUP BY p.id) p USING (id)""")
 def _(t):
-    p = publication(t.articles).select("id", "title")
-    topics = t.proposals.join(p, "id").groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("topic").alias("d"), F.bool_or(~F.col("topic").isin(CONTROLLED)).alias("bad_topic"), F.bool_or(~F.col("confidence").between(0, 1)).alias("bad_confidence"), F.bool_or(~op.verbatim("title", "evidence")).alias("bad_quote"))
-    one = one_company(match_names(p, names_of(t))).select("id", F.lit(True).alias("company"))
-    x = p.join(topics, "id", "left").join(one, "id", "left")
-    e = [F.when(F.col("company").isNull(), "company"), F.when(F.col("n").isNull() | (F.col("n") > 3), "topics"), F.when(F.col("bad_topic"), "topic"), F.when(F.col("bad_confidence"), "confidence"), F.when(F.col("bad_quote"), "evidence"), F.when(F.col("n") != F.col("d"), "distinct")]
-    return x.select("id", F.array_join(F.array_compact(F.array(*e)), " ").alias("errors"))
+    p = publication(t.articles).select("id", "title", F.col("title").alias("body"))
+    names = names_of(t)
+    candidates = match_names(p, names).join(names.select("cod", "name"), "cod")
+    first = t.proposals.groupBy("id").agg(F.min_by("topic", "pos").alias("first"))
+    answers = t.answers.join(first, "id", "left").withColumn("primary_topic", F.coalesce("other_topic", "first"))
+    return op.validated(p, answers, t.proposals, candidates, topics=CONTROLLED).select("id", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("review_rates", "", "SELECT quality, toxic, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS rate FROM labels GROUP BY ALL")

@@ -41,8 +41,8 @@ cte("attempts", f"""SELECT r.*, c.says AND n_facts > 0 AS relevant, list_concat(
   FROM reached GROUP BY cod, quarter, no, attempt) r JOIN (SELECT cod, quarter, attempt, bool_or(text = 'yes') AS says FROM claims WHERE kind = 'relevant' GROUP BY ALL) c USING (cod, quarter, attempt)""")
 cte("chosen", """SELECT cod, quarter, attempt FROM (SELECT a.cod, a.quarter, CASE WHEN len(a.failures) > 0 AND (a.dropped_facts + a.dropped_metrics + a.dropped_indicators + a.dropped_fields > 0 OR NOT a.relevant) AND b.n_facts >= a.n_facts THEN 2 ELSE 1 END AS attempt
   FROM attempts a JOIN attempts b ON b.cod = a.cod AND b.quarter = a.quarter AND b.attempt = 2 WHERE a.attempt = 1)""")
-cte("best", "SELECT a.* FROM attempts a JOIN chosen USING (cod, quarter, attempt)")
-cte("best_claims", "SELECT r.* FROM reached r JOIN best b USING (cod, quarter, attempt) WHERE b.relevant")
+cte("taken", "SELECT a.* FROM attempts a JOIN chosen USING (cod, quarter, attempt)")
+cte("best_claims", "SELECT r.* FROM reached r JOIN taken b USING (cod, quarter, attempt) WHERE b.relevant")
 
 
 # ---------------------------------------------------------------- the same in Spark
@@ -85,7 +85,7 @@ def _(t):
         joined("indicators", lambda i: F.concat_ws("=", i["name"], i["state"], i["quote"]), "|").alias("indicators"), "guidance", "changed", F.concat("impact.effect", F.lit("="), "impact.text").alias("impact"))
 
 
-@query("best_attempt", "best", "SELECT cod, quarter, attempt, relevant, CASE WHEN relevant THEN n_facts ELSE 0 END AS n_facts FROM best")
+@query("best_attempt", "taken", "SELECT cod, quarter, attempt, relevant, CASE WHEN relevant THEN n_facts ELSE 0 END AS n_facts FROM taken")
 def _(t):
     return best_of(t).select("cod", "quarter", "attempt", "relevant", F.size("facts").cast("long").alias("n_facts"))
 
@@ -97,8 +97,8 @@ def _(t):
     return op.latest_cited(best_of(t), t.theses)
 
 
-@query("coverage_sufficiency", "best recent theses", """SELECT cod, n, array_to_string(missing, ',') AS missing, CASE WHEN n < 2 OR NOT late THEN 'insufficient' ELSE 'ok' END AS coverage FROM (SELECT x.cod, count(b.cod) AS n, coalesce(list(x.quarter ORDER BY x.quarter) FILTER (b.cod IS NULL), []) AS missing, bool_or(b.cod IS NOT NULL AND x.k >= 2) AS late
-  FROM (SELECT ticker AS cod, r.* FROM theses CROSS JOIN recent r) x LEFT JOIN (SELECT * FROM best WHERE relevant) b ON b.cod = x.cod AND b.no = x.no GROUP BY x.cod)""")
+@query("coverage_sufficiency", "taken recent theses", """SELECT cod, n, array_to_string(missing, ',') AS missing, CASE WHEN n < 2 OR NOT late THEN 'insufficient' ELSE 'ok' END AS coverage FROM (SELECT x.cod, count(b.cod) AS n, coalesce(list(x.quarter ORDER BY x.quarter) FILTER (b.cod IS NULL), []) AS missing, bool_or(b.cod IS NOT NULL AND x.k >= 2) AS late
+  FROM (SELECT ticker AS cod, r.* FROM theses CROSS JOIN recent r) x LEFT JOIN (SELECT * FROM taken WHERE relevant) b ON b.cod = x.cod AND b.no = x.no GROUP BY x.cod)""")
 def _(t):
     return op.coverage(best_of(t), t.recent, t.theses.select(F.col("ticker").alias("cod"))).select("cod", "n", F.array_join("missing", ",").alias("missing"), "coverage")
 
@@ -121,7 +121,7 @@ KEY_SQL = "CASE " + " ".join(f"WHEN regexp_matches({NORM.format('name')}, '{p}')
 cte("metric_cells", f"""SELECT cod, no, metric, arg_min(concat_ws(' ', value, nullif(comparison, ''), CASE WHEN comparison <> '' THEN base END), pos) AS value FROM (SELECT *, {KEY_SQL} AS metric FROM best_claims WHERE kind = 'metric' AND ok AND value IS NOT NULL) WHERE metric IS NOT NULL GROUP BY cod, no, metric""")
 
 
-@query("quarter_metric_pivot", "metric_cells best recent", "SELECT m.cod, m.metric, " + ", ".join(f"CASE WHEN bool_or(r.k = {i}) THEN coalesce(max(m.value) FILTER (m.no = r.no AND r.k = {i}), 'n/a') END AS q{i}" for i in range(4)) + " FROM metric_cells m JOIN best b ON b.cod = m.cod AND b.relevant JOIN recent r ON r.no = b.no GROUP BY m.cod, m.metric")
+@query("quarter_metric_pivot", "metric_cells taken recent", "SELECT m.cod, m.metric, " + ", ".join(f"CASE WHEN bool_or(r.k = {i}) THEN coalesce(max(m.value) FILTER (m.no = r.no AND r.k = {i}), 'n/a') END AS q{i}" for i in range(4)) + " FROM metric_cells m JOIN taken b ON b.cod = m.cod AND b.relevant JOIN recent r ON r.no = b.no GROUP BY m.cod, m.metric")
 def _(t):
     return op.metric_table(best_of(t), t.recent, METRICS)
 

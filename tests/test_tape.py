@@ -179,3 +179,30 @@ def test_lists_differ_by_members_and_places(spark):
 
 def test_every_twin_has_a_query():
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 100
+
+
+def test_verdicts_scan_the_quotes_table_twice(spark, monkeypatch):
+    """Once for the universe's codes and once for the quotes; everything after reads what was written."""
+    import os
+
+    from tidemark import fixtures
+    from tidemark.operators import tape
+    from tidemark.registry import queries
+    from tidemark.sources import files
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    plans = []
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return files.written(df)
+
+    monkeypatch.setattr(fixtures, "written", counted)
+    monkeypatch.setattr(tape, "written", counted)
+    for name in ("verdict_status", "news_rollup", "slot_lift"):
+        plans.clear()
+        plans.append(queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+        scans = [line for p in plans for line in p.splitlines() if "FileScan parquet" in line and "lineitem.parquet" in line]
+        assert len(scans) == 2, name

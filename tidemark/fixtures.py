@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.sources.files import written
+
 QUOTES = """
 SELECT concat('S', cast(l_suppkey as string)) AS cod, cast(l_shipdate as date) AS d,
   CASE WHEN l_suppkey % 10 = 3 AND day(cast(l_shipdate as date)) = 1 THEN 0.0 ELSE sum(l_extendedprice) / sum(l_quantity) END AS last,
@@ -122,6 +125,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._once: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several parts of a query read: written to the shared folder on first use, then read."""
+        if name not in self._once:
+            self._once[name] = written(build())
+        return self._once[name]
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import written
+
 
 def valid_quotes(quotes: DataFrame) -> DataFrame:
     """Quotes with positive last and reference prices; always before any window, so that skipped rows leave no gap."""
@@ -162,14 +164,15 @@ def phase(articles: DataFrame, rows: DataFrame, *, opens: str = "09:00:00", clos
     return articles.join(days, ["cod", "pub_date"], "left").withColumn("phase", name).drop("_open")
 
 
-def tape(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, n: int = 20, later: int = 5, k: float = 2.0) -> DataFrame:
+def tape(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, one: DataFrame | None = None, n: int = 20, later: int = 5, k: float = 2.0) -> DataFrame:
     """One row for each (article, session) from the day before to the fifth later session, with its flags.
 
-    Sessions are dense by idx, so the range join is an equi-join on (cod, idx) of exploded positions.
+    Sessions are dense by idx, so the range join is an equi-join on (cod, idx) of exploded positions. The matches, given
+    as `one` if they are at hand, and the sessions are each read several times and so are written once.
     """
     published = publication(articles)
-    one = one_company(match_names(published, names))
-    rows = sessions(quotes, codes=one)
+    one = written(one_company(match_names(published, names))) if one is None else one
+    rows = written(sessions(quotes, codes=one))
     found = phase(baseline(anchor(published.join(one, "id"), rows), rows, n=n).where(F.col("n_base") == n), rows)
     span = found.withColumn("idx", F.explode(F.sequence(F.col("idx_before"), F.col("idx_before") + later + 1)))
     t = span.join(rows.select("cod", "idx", "d", "last", "ref", "prev_ref", "ret", "qty", "open", "low", "high"), ["cod", "idx"])
@@ -199,8 +202,8 @@ def tape(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, n: int = 2
 def event_peaks(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, n: int = 20, later: int = 5) -> DataFrame:
     """The session of largest |z| for each article, by UTC date and always the anchor and later + 1 sessions after it."""
     rows0 = articles.where(~F.col("title").rlike("^Live blog")).withColumn("pub_date", F.to_date("pub_utc"))
-    one = one_company(match_names(rows0, names))
-    rows = sessions(quotes, codes=one)
+    one = written(one_company(match_names(rows0, names)))
+    rows = written(sessions(quotes, codes=one))
     found = baseline(anchor(rows0.join(one, "id"), rows), rows, n=n).where(F.col("n_base") == n)
     span = found.withColumn("idx", F.explode(F.sequence(F.col("idx_before"), F.col("idx_before") + later + 1)))
     t = span.join(rows.select("cod", "idx", "d", "ret"), ["cod", "idx"]).withColumn("z", F.try_divide("ret", "sd"))
@@ -208,11 +211,11 @@ def event_peaks(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, n:
     return t.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def chart_series(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, before: int = 25, after: int = 40, n: int = 20, cutoff: str | None = None) -> DataFrame:
+def chart_series(articles: DataFrame, names: DataFrame, quotes: DataFrame, *, one: DataFrame | None = None, before: int = 25, after: int = 40, n: int = 20, cutoff: str | None = None) -> DataFrame:
     """Sessions around each article from before to after its anchor, indexed to 100 at the anchor."""
     published = publication(articles)
-    one = one_company(match_names(published, names))
-    rows = sessions(quotes, codes=one)
+    one = written(one_company(match_names(published, names))) if one is None else one
+    rows = written(sessions(quotes, codes=one))
     rows = rows if cutoff is None else rows.where(F.col("d") <= F.to_date(F.lit(cutoff)))
     found = baseline(anchor(published.join(one, "id"), rows), rows, n=n)
     start = rows.select("cod", F.col("idx").alias("idx_before"), F.col("last").alias("start_px"))

@@ -12,7 +12,7 @@ from tidemark.operators.events import STATUSES
 from tidemark.operators.evidence import since
 from tidemark.plans.evidence import storied
 from tidemark.plans.study import stories_of
-from tidemark.plans.tape import exact, names_of, r6, sr6, tape_of
+from tidemark.plans.tape import exact, one_of, quotes_of, r6, sr6
 from tidemark.registry import query
 
 cte("lastpx", "SELECT cod, d, last AS close, coalesce(ret, 0) AS move FROM (SELECT *, row_number() OVER (PARTITION BY cod ORDER BY idx DESC) AS k FROM sessions) WHERE k = 1")
@@ -166,20 +166,19 @@ def _(t):
 
 @query("codes_union", "one names", "SELECT cod FROM one UNION SELECT cod FROM names WHERE kind = 'ETF'")
 def _(t):
-    return tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
+    return one_of(t).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
 
 
 @query("price_extract_codes", "one names quotes", "SELECT cod, count(*) AS n FROM quotes WHERE cod IN (SELECT cod FROM one UNION SELECT cod FROM names WHERE kind = 'ETF') GROUP BY cod")
 def _(t):
-    codes = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
+    codes = one_of(t).select("cod").union(t.names.where("kind = 'ETF'").select("cod")).distinct()
     return t.quotes.join(codes, "cod", "left_semi").groupBy("cod").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("story_ids_union", "stories one anchored", "SELECT id FROM stories UNION SELECT id FROM anchored UNION SELECT id FROM one")
 def _(t):
-    p = tp.publication(t.articles)
-    one = tp.one_company(tp.match_names(p, names_of(t)))
-    return stories_of(t).select("id").union(tp.anchor(p.join(one, "id"), tp.sessions(t.quotes, codes=one)).select("id")).union(one.select("id")).distinct()
+    p, one = tp.publication(t.articles), one_of(t)
+    return stories_of(t).select("id").union(tp.anchor(p.join(one, "id"), tp.sessions(quotes_of(t), codes=one)).select("id")).union(one.select("id")).distinct()
 
 
 @query("last_quote_flag_exists", "names sessions", "SELECT cod, cod IN (SELECT cod FROM sessions) AS has_prices FROM names")
@@ -211,9 +210,7 @@ FINITE = "(isnan({0}) OR isinf({0}))"
   UNION ALL SELECT 'price_flag', cod FROM b_companies WHERE has_prices = no_prices UNION ALL SELECT 'array_lengths', cod FROM b_companies WHERE short AND NOT no_prices UNION ALL SELECT 'not_finite', cod FROM b_companies WHERE unbounded AND NOT no_prices
   UNION ALL SELECT 'manifest_count', 'companies')""")
 def _(t):
-    from tidemark.sources.files import written
-
-    stories = written(stories_of(t))
+    stories = stories_of(t)
     s, d, c = (t.spark.sql(text.replace("FROM stories", "FROM {stories}"), stories=stories) for text in BUNDLE.values())
     prices = F.struct(F.array(F.lit("d1"), F.lit("d2")).alias("d"), F.when(F.col("short"), F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.when(F.col("unbounded"), float("inf")).otherwise(2.0))).alias("close"))
     prices = F.when(~F.col("no_prices"), F.when(F.col("short") & F.col("unbounded"), F.struct(F.array(F.lit("d1"), F.lit("d2")).alias("d"), F.array(F.lit(float("inf"))).alias("close"))).otherwise(prices))
@@ -243,7 +240,7 @@ def cards_of(t: Tables):
     """A card for each matched article with the block that the rules for titles give it."""
     from tidemark.plans.text import classified
 
-    one = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t)))
+    one = one_of(t)
     return classified(t).join(one, "id").select("id", "cod", F.struct("news_type", F.lit("keyword").alias("classifier"), F.lit(None).cast("double").alias("confidence")).alias("news"))
 
 
@@ -273,7 +270,7 @@ def _(t):
 
 @query("fetch_bodies", "one bodies", "SELECT id, md5(body) AS body, length(body) AS n FROM one JOIN bodies USING (id)")
 def _(t):
-    ids = tp.one_company(tp.match_names(tp.publication(t.articles), names_of(t))).select("id")
+    ids = one_of(t).select("id")
     return t.bodies.join(ids, "id", "left_semi").select("id", F.md5("body").alias("body"), F.length("body").cast("long").alias("n"))
 
 
@@ -303,9 +300,9 @@ def _(t):
 @query("write_story_bundle", "stories", """SELECT id, cod, status, strftime(pub_local, '%Y-%m-%d') AS day, peak_d, round(peak_z, 6) AS peak_z, status <> 'NO_REACTION' AS has_series FROM stories""")
 def _(t):
     from tidemark.sources import cards as cd
-    from tidemark.sources.files import scratch, written
+    from tidemark.sources.files import scratch
 
-    s = written(stories_of(t))
+    s = stories_of(t)
     cards = s.select("id", "cod", "status", F.date_format("pub_local", "yyyy-MM-dd").alias("day"), F.struct("peak_d", F.round("peak_z", 6).alias("peak_z")).alias("peak"), (F.col("status") != "NO_REACTION").alias("has_series"))
     path = scratch(s)
     cd.write_bundle(cards, path, index_fields=["cod", "status", "day", "has_series"])

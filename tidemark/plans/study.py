@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.fixtures import Tables, cte
 from tidemark.operators import events as ev
 from tidemark.operators import tape as op
-from tidemark.plans.tape import names_of, r6, sr6, tape_of
+from tidemark.plans.tape import one_of, quotes_of, r6, sr6, tape_of
 from tidemark.registry import query
 
 cte("largest", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(z) DESC NULLS LAST, d) AS k FROM tape WHERE z IS NOT NULL) WHERE k = 1")
@@ -31,8 +31,7 @@ def verdicts_of(t: Tables):
 
 
 def matched(t: Tables):
-    p = op.publication(t.articles)
-    return p.join(op.one_company(op.match_names(p, names_of(t))), "id")
+    return op.publication(t.articles).join(one_of(t), "id")
 
 
 @query("verdict_status", "verdict", "SELECT status, count(*) AS n FROM verdict GROUP BY status")
@@ -91,7 +90,7 @@ def _(t):
     SELECT 'day_before' AS slot, unusual FROM tape WHERE timing = 'day_before' UNION ALL SELECT 'reaction', unusual FROM tape WHERE is_reaction
     UNION ALL SELECT 'same_day_' || phase, unusual FROM tape WHERE timing = 'same_day' AND phase <> 'non_trading_day' UNION ALL SELECT 'later_' || later_rank, unusual FROM tape WHERE timing = 'later') GROUP BY slot)""")
 def _(t):
-    x = ev.slot_lift(tape_of(t), op.base_rate(op.sessions(t.quotes), start="1996-01-01"))
+    x = ev.slot_lift(tape_of(t), op.base_rate(op.sessions(quotes_of(t)), start="1996-01-01"))
     return x.select("slot", "n", "n_unusual", *r6("share", "chance", "ratio"))
 
 
@@ -123,9 +122,8 @@ STORY = "id cod phase status".split()
 
 def stories_of(t: Tables):
     """One flat row for each article: its peak session, else its largest."""
-    v = verdicts_of(t)
     pick = lambda f: F.coalesce(F.col(f"peak.{f}"), F.col(f"largest.{f}")).alias(f"peak_{f}")
-    return v.select(*STORY, "pub_local", pick("d"), pick("timing"), pick("z"), pick("ret"), pick("retained"))
+    return t.once("stories", lambda: verdicts_of(t).select(*STORY, "pub_local", pick("d"), pick("timing"), pick("z"), pick("ret"), pick("retained")))
 
 
 cte("stories", """SELECT v.id, v.cod, v.phase, v.status, v.pub_local, coalesce(v.peak_d, l.d) AS peak_d, coalesce(v.peak_timing, l.timing) AS peak_timing, coalesce(v.peak_z, l.z) AS peak_z,

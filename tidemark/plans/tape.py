@@ -56,11 +56,21 @@ def exact(x: str, places: int) -> str:
 
 
 def names_of(t: Tables):
-    return op.universe(t.names, t.quotes, stop=STOP)
+    return t.once("universe", lambda: op.universe(t.names, t.quotes, stop=STOP))
+
+
+def quotes_of(t: Tables):
+    """Quotes for jobs that read them more than once."""
+    return t.once("quotes", lambda: t.quotes)
+
+
+def one_of(t: Tables):
+    """(id, cod) of articles that name one company."""
+    return t.once("one", lambda: op.one_company(op.match_names(op.publication(t.articles), names_of(t))))
 
 
 def tape_of(t: Tables):
-    return op.tape(t.articles, names_of(t), t.quotes)
+    return op.tape(t.articles, names_of(t), quotes_of(t), one=one_of(t))
 
 
 @query("scan_quotes_valid", "valid", f"SELECT cod, d, {sr6('last', 'ref')} FROM valid")
@@ -161,16 +171,14 @@ def _(t):
 
 @query("asof_anchor", "anchored", "SELECT id, cod, idx_before FROM anchored")
 def _(t):
-    p = op.publication(t.articles)
-    one = op.one_company(op.match_names(p, names_of(t)))
+    p, one = op.publication(t.articles), one_of(t)
     return op.anchor(p.join(one, "id"), op.sessions(t.quotes, codes=one)).select("id", "cod", F.col("idx_before").cast("long").alias("idx_before"))
 
 
 @query("baseline_stats", "based", f"SELECT id, cod, n_base, {sr6('sd', 'avg_qty')}, base_from, base_to FROM based")
 def _(t):
-    p = op.publication(t.articles)
-    one = op.one_company(op.match_names(p, names_of(t)))
-    s = op.sessions(t.quotes, codes=one)
+    p, one = op.publication(t.articles), one_of(t)
+    s = op.sessions(quotes_of(t), codes=one)
     return op.baseline(op.anchor(p.join(one, "id"), s), s).select("id", "cod", "n_base", *r6("sd", "avg_qty"), "base_from", "base_to")
 
 
@@ -241,7 +249,7 @@ cte("peaks", """SELECT id, cod, d, ret, sd, z FROM (SELECT b.id, b.cod, s.d, s.r
 
 @query("event_window_peak", "peaks", f"SELECT id, cod, d, {sr6('ret', 'z')} FROM peaks")
 def _(t):
-    return op.event_peaks(t.articles, names_of(t), t.quotes).select("id", "cod", "d", *r6("ret", "z"))
+    return op.event_peaks(t.articles, names_of(t), quotes_of(t)).select("id", "cod", "d", *r6("ret", "z"))
 
 
 @query("peak_rank", "tape", f"""SELECT id, cod, d, {sr6('z')}, k AS peak_rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(z) DESC NULLS LAST, d) AS k FROM tape) WHERE k <= 3""")
@@ -256,7 +264,7 @@ cte("series", """SELECT b.id, b.cod, s.d, s.last, s.ret, b.sd, s.idx - b.idx_bef
 
 
 def series_of(t: Tables):
-    return op.chart_series(t.articles, names_of(t), t.quotes)
+    return op.chart_series(t.articles, names_of(t), quotes_of(t), one=one_of(t))
 
 
 @query("chart_series", "series", f"SELECT id, cod, d, rel, in_baseline, {sr6('index_100', 'z')} FROM series")

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,13 @@ def text_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[dict[str, list]]:
+    """The columns of a few rows at a time as Python lists, so that no whole batch of texts stands twice in memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows).to_pydict()
+
+
 def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, pd.DataFrame]]:
     """Groups of equal key out of a partition that is sorted by it; a group may span batches."""
     kept: list[pd.DataFrame] = []

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import bloom_filter, passes
-from tidemark.llm.common import written
+from tidemark.llm.common import slices, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_set
 
@@ -94,9 +95,9 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema += ", class_id long" if classes is not None else ""
 
-    types = {"doc_id": "Int64", "class_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"}
+    kinds = {"n_chars": pa.int64(), "doc_id": pa.int64(), "class_id": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()} | {c: pa.string() for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # (part, doc_id, text, signature, class_id)
         moved = (None, None)  # the last id of `classes` and its class
 
@@ -106,21 +107,20 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
             out = (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(own, new), likeness(own, after), class_id)
             return out[: len(columns)]
 
-        for x in batches:
+        for x in slices(batches):
             out = []
-            # k is the id where there is one; ids with nulls among them would arrive as floats
-            ids = [None if none else k for k, none in zip(x["k"].tolist(), x["doc_id"].isna(), strict=True)]
-            for part, doc_id, text, th, more in zip(x["part"], ids, x["text"], x["th"], x["extra"], strict=True):
+            for part, doc_id, text, th, more in zip(x["part"], x["doc_id"], x["text"], x["th"], x["extra"], strict=True):
                 if more < 0:
-                    moved = (doc_id, int(th))
+                    moved = (doc_id, th)
                     continue
                 own = last[3] if last and last[2] == text else signature(text)
                 if last and last[0] == part:
                     out.append(row(*last[1:], text, own))
                 last = None if more else (part, doc_id, text, own, moved[1] if doc_id == moved[0] else doc_id)
-            yield pd.DataFrame(out, columns=columns, dtype=object).astype({c: t for c, t in types.items() if c in columns})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[name]) for name, c in zip(columns, zip(*out, strict=True), strict=True)], columns)
 
-    return dealt.mapInPandas(sweep, schema)
+    return dealt.mapInArrow(sweep, schema)
 
 
 #: Of 64 low halves of minima, how many two texts must share to be compared: five deviations below what a Jaccard of 0.8 gives.
@@ -131,8 +131,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     """(doc_id, class_id): classes of documents linked by a shared signature band and an exact Jaccard check.
 
     Every two documents of a bucket are compared or already in one class. Equal shingle sets are linked first and stand in
-    the buckets once. In the first rounds each bucket is a star around one of its documents, a new one each round, which
-    joins large groups without comparing all their pairs; then the pairs left across classes are compared. After the first stars,
+    the buckets once. In the first round each bucket is a star around one of its documents, and around a new one in
+    each further round while very many pairs are left, which
+    joins large groups without comparing all their pairs; then the pairs left across classes are compared. If there are many after the first stars,
     shingles that no other document of open buckets has are counted, and what cannot reach the similarity without them, a
     document with any other or a pair, leaves before it is compared. A comparison
     looks at the low halves of the minima first and, if these allow the similarity, at whole shingle sets; only documents
@@ -142,16 +143,18 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("doc_id", "text"))  # which of the rows that share an id has the text
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches):
             out = []
             for doc_id, t, k in zip(x["doc_id"], x["text"], x["k"], strict=True):
                 own = shingle_set(t)
                 if len(own):
                     out.append((doc_id, k, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), minima(own).astype("<u2").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "k", "n", "whole", "low"])
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k", "n", "whole", "low"])
 
-    signed = written(rows.mapInPandas(sign, "doc_id long, k long, n long, whole binary, low binary"), paths)
+    signed = written(rows.mapInArrow(sign, "doc_id long, k long, n long, whole binary, low binary"), paths)
     sets = signed.groupBy("whole").agg(F.min(F.struct("doc_id", "k", "n", "low")).alias("x")).select("x.*")
     width = 2 * PERMUTATIONS // bands
     keys = F.array(*[F.xxhash64(F.substring("low", 1 + b * width, width), F.lit(b)) for b in range(bands)])
@@ -175,41 +178,35 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
             a, b = (np.frombuffer(b"".join(x[c]), "<u2").reshape(-1, PERMUTATIONS) for c in ("low_ku", "low_kv"))
             yield x.loc[(a == b).sum(axis=1) >= ALIKE, ["u", "v", "ku", "kv"]]
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches):
             on = []
-            for a, b in zip(x["text_ku"], x["text_kv"], strict=True):
+            for u, v, a, b in zip(x["u"], x["v"], x["text_ku"], x["text_kv"], strict=True):
                 s, t = shingle_set(a), shingle_set(b)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                on.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield x.loc[on, ["u", "v"]]
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    on.append((u, v))
+            if on:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*on, strict=True)], ["u", "v"])
 
     def texts_of(keys: DataFrame, n: int | None = None) -> DataFrame:
         """(k, text) of the rows with these keys and of few others."""
         bloom = spark.sparkContext.broadcast(bloom_filter(keys, "k", n))
 
-        def called(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for x in batches:
-                yield x.loc[passes(bloom.value, x["h"].to_numpy()), ["k", "text"]]
+        def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(passes(bloom.value, b.column("h").to_numpy()))).select(["k", "text"])
 
-        return rows.select("k", "text", F.xxhash64("k").alias("h")).mapInPandas(called, "k long, text string")
+        return rows.select("k", "text", F.xxhash64("k").alias("h")).mapInArrow(called, "k long, text string")
 
-    def spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            ks, sets, total = [], [], 0
-            for k, t in zip(x["k"], x["text"], strict=True):
-                ks.append(k)
-                sets.append(shingle_set(t).view(np.int64))
-                total += len(sets[-1])
-                if total > 1 << 16:
-                    yield pd.DataFrame({"k": np.repeat(ks, [len(s) for s in sets]), "h": np.concatenate(sets)})
-                    ks, sets, total = [], [], 0
-            if total:
-                yield pd.DataFrame({"k": np.repeat(ks, [len(s) for s in sets]), "h": np.concatenate(sets)})
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices(batches, 20):
+            sets = [shingle_set(t).view(np.int64) for t in x["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x["k"], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["k", "h"])
 
     def alone_in(crowd: DataFrame) -> DataFrame:
         """(k, alone): how many shingles of a document no other of the crowd has."""
-        ends = texts_of(crowd).mapInPandas(spelt, "k long, h long").groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+        ends = texts_of(crowd).mapInArrow(spelt, "k long, h long").groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
         return ends.where("k = last").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -222,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         # equal rows share k and stand once
         texts = texts_of(near.select(F.explode(F.array("ku", "kv")).alias("k")).distinct(), 2 * near.count()).dropDuplicates(["k"])
         near = near.join(side(texts, "text", "ku").hint("merge"), "ku").join(side(texts, "text", "kv").hint("merge"), "kv")
-        return written(near.mapInPandas(verify, "u long, v long"), paths)
+        return written(near.mapInArrow(verify, "u long, v long"), paths)
 
     # buckets hold one document of each set, so links and classes are theirs until the copies follow at the end
     # rows that share an id link the sets that they have
@@ -240,15 +237,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
         pairs, members = mixed.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
         if not pairs:
             break
-        if turn and not peeled:
+        if turn and not peeled and pairs > 16 * members:
             crowd = written(at.join(mixed.select("band"), "band").select("k").distinct(), paths)
             left = crowd_of.drop("r").join(alone_in(crowd), "k", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
             crowd_of, peeled = written(left.where(F.col("r") * 100 >= F.col("n") * percent), paths), True
             continue
-        # stars while pairs far outnumber members and they gain much, or gain at all in place of very many pairs;
+        # stars first, and while pairs far outnumber members and they gain much, or gain at all in place of very many pairs;
         # once r is known, most pairs fall in the join itself
         many = 512 if peeled else 16
-        star = pairs > many * members and (gained * 10 > members or gained and pairs > 4 * many * members)
+        star = not turn or pairs > many * members and (gained * 10 > members or gained and pairs > 4 * many * members)
         other = lambda df: df.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("c").alias("d"))
         one = at.withColumnsRenamed({"doc_id": "u", "k": "ku"})
         if star:

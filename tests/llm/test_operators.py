@@ -5,6 +5,7 @@ import functools
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 
@@ -298,6 +299,58 @@ def test_packing(docs, empty, texts):
     assert sum(r.n_words for r in rows) == sum(len(words_of(t)) for t in texts) + 120 and packing.pack(empty).count() == 0
 
 
+def naive_best_fit(sizes, sources, clusters, capacity, per_source):
+    """Each piece in the tightest of all bins that take it, the first of equals."""
+    held, out = [], []
+    for size, s, c in zip(sizes, sources, clusters, strict=True):
+        left = lambda b: capacity - sum(x[0] for x in b)
+        fits = [(left(b), i) for i, b in enumerate(held) if left(b) and left(b) >= size and (s < 0 or sum(x[1] == s for x in b) < per_source) and (c < 0 or all(x[2] != c for x in b))]
+        i = min(fits)[1] if fits else len(held)
+        held.extend([[]] if i == len(held) else [])
+        out.append((i, capacity - left(held[i])))
+        held[i].append((size, s, c))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_best_fit_against_all_open_bins(seed):
+    r = random.Random(seed)
+    n = r.choice([0, 1, 60, 300])
+    sizes = sorted((r.choice([0, 1, r.randint(1, 30), r.randint(1, 100), 100]) for _ in range(n)), reverse=True)
+    sources, clusters = [r.choice([-1, 0, 0, 0, 1, 2]) for _ in sizes], [r.choice([-1, r.randint(0, 20)]) for _ in sizes]
+    per_source = r.choice([1, 2, 4])
+    bins, offsets = packing.best_fit(sizes, sources, clusters, 100, per_source)
+    assert list(zip(bins, offsets, strict=True)) == naive_best_fit(sizes, sources, clusters, 100, per_source)
+
+
+def test_letters_of_all_scripts_are_counted_as_they_are_decoded(spark):
+    text = "жук Ωmega — 漢字! été"
+    counts = toxicity.char_counts(spark.createDataFrame([(text,)], "text string"))
+    line = [toxicity.letter(c) if c.isalpha() else 0 for c in f"\n{text.lower()} "]
+    want = collections.Counter((a if b else 0) << 12 | b << 6 | d for a, b, d in zip(line, line[1:], line[2:], strict=False))
+    got = {int(k): int(counts[k]) for k in np.flatnonzero(counts)}
+    assert got == {k: n for k, n in want.items()}
+    assert toxicity.letter("ж") == 61 and got[61 << 6 | toxicity.letter("у")] == 1
+
+
+def test_pipeline_on_empty_null_and_clashing_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = lambda n: [(None if i % 2 else i, None, None, None, None) for i in range(n)]
+    tables = {"empty": [], "null": none(7), "ids": [(None, prose(40), "en", "s", 1), (None, prose(40), "en", None, 1), *none(2)]}
+    for name, rows in tables.items():
+        os.mkdir(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(out) == {"empty": 0, "null": 0, "ids": 2}[name], name  # texts without words fail the quality rules
+    extra = {c: F.lit("x") for c in ("q", "before", "slots", "row", "position", "n_words", "host_rate", "n_lines_removed", "slot", "kept", "shard", "component_id", "_s", "_h")}
+    docs = spark.createDataFrame([(i, prose(40), "en", f"s{i % 3}", 1) for i in range(30)], schema).withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 30, name
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins, offsets = packing.best_fit([7, 5, 4, 3, 3], [0, 1, 2, 0, 1], [0, 1, 2, 3, 1], 10, 1)
     # 7 | 5 4 | the first 3 may not join its source, the second neither its source nor its cluster

@@ -211,4 +211,5 @@ def one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", path
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """The query's table: `similar` with its defaults, whose docstring states the edge cases."""
     return similar(docs)

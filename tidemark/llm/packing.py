@@ -19,7 +19,11 @@ from tidemark.llm.common import n_words, runs, words
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, per_source: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each piece, in the given order. sources and clusters are small codes, -1 for none."""
+    """Bin and offset of each piece, in the given order. sources and clusters are small codes, -1 for none.
+
+    Of bins equally tight the first opened is taken; a piece of the whole capacity has a bin of its own, one of no words
+    goes into the fullest compatible bin that is not full; no pieces give no bins.
+    """
     open_: list[tuple[int, int]] = []  # (residual, bin), sorted
     source_map: list[list[int]] = []  # per bin: bitmaps of sources seen once, twice, ...
     cluster_map: list[int] = []

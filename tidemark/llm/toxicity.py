@@ -44,6 +44,14 @@ def letter(c: str) -> int:
     return o if 1 <= o <= 26 else 27 + ord(c) % 36
 
 
+def codes() -> np.ndarray:
+    """`letter` of every code point, 0 where none: up to U+024F all signs after z count as letters, beyond it letters alone."""
+    out = np.zeros(0x110000, np.uint8)
+    for o in [*range(97, 0x250), *(o for o in range(0x250, 0x110000) if chr(o).isalpha())]:
+        out[o] = letter(chr(o))
+    return out
+
+
 def channel(c: str, run: int) -> list[tuple[str, float]]:
     """What `run` times the character c may stand for, with the channel's cost; a blank is the end of a word."""
     options: list[tuple[str, float]] = []
@@ -230,16 +238,14 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     """Trigram counts of whole texts, in slices of a bounded size that overlap by two characters."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = np.zeros(0x250, np.uint8)
-        code[97:123] = np.arange(1, 27)
-        code[123:] = 27 + np.arange(123, 0x250) % 36
+        code = codes()
         total = np.zeros(1 << 18, np.int64)
         for x in batches:
             for text in x["text"]:
                 text = f"\n{text.lower()} "
                 for at in range(0, max(len(text) - 2, 1), SLICE):
                     chars = np.frombuffer(text[at : at + SLICE + 2].encode("utf-32-le", "replace"), np.uint32)
-                    c = code[np.where(chars < 0x250, chars, 0)].astype(np.int32)
+                    c = code[chars].astype(np.int32)
                     a, b, d = c[:-2], c[1:-1], c[2:]
                     cells, n = np.unique(np.where(b == 0, 0, a) << 12 | b << 6 | d, return_counts=True)  # a word starts from two edges
                     total[cells] += n

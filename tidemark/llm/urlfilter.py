@@ -98,6 +98,7 @@ RULES = [
 
 
 def op6(pages: DataFrame) -> DataFrame:
+    """The query's table: every page by the fixed rules; edge cases as stated at `judge_urls`."""
     return judge_urls(pages, RULES)
 
 

@@ -206,3 +206,47 @@ def test_verdicts_scan_the_quotes_table_twice(spark, monkeypatch):
         plans.append(queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
         scans = [line for p in plans for line in p.splitlines() if "FileScan parquet" in line and "lineitem.parquet" in line]
         assert len(scans) == 2, name
+
+
+def test_utc_peaks_and_local_tape_see_other_days(spark):
+    """The event query takes the UTC date and always seven sessions; the tape takes the local date and at most five later ones."""
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(40)]
+    quotes = spark.createDataFrame([("A", d, 100.0 + (i % 3) + (20 if i == 31 else 0), 100.0 + (i % 3), 0.0, 90.0, 200.0, 1.0) for i, d in enumerate(days)], "cod string, d date, last double, ref double, open double, low double, high double, qty double")
+    names = spark.createDataFrame([("A", "Alpha", "IT1", "ORD")], "cod string, name string, isin string, kind string")
+    # half past eleven at night of the 24th in UTC is the 25th in Rome
+    articles = spark.createDataFrame([("x", "Alpha up", datetime(2024, 1, 24, 23, 30))], "id string, title string, pub_utc timestamp")
+    local = tape.tape(articles, names, quotes).orderBy("d").collect()
+    assert [r.d for r in local] == days[23:30] and [r.timing for r in local] == ["day_before", "same_day", *["later"] * 5]
+    assert tape.event_peaks(articles, names, quotes).first().d in days[22:29]
+    # on a day without a session the event query sees six later ones, the tape five
+    gap = quotes.where(F.col("d") != days[24])
+    late = tape.tape(articles, names, gap).orderBy("d").collect()
+    assert [r.d for r in late] == [days[23], *days[25:30]] and {r.phase for r in late} == {"non_trading_day"}
+
+
+def test_final_day_is_that_of_the_raw_table(spark):
+    """A later row without a valid price makes the final day, on which retained moves are null."""
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(30)]
+    rows = [("A", d, 100.0 + (i % 4), 100.0 + (i % 4), 0.0, 90.0, 200.0, 1.0) for i, d in enumerate(days)]
+    names = spark.createDataFrame([("A", "Alpha", "IT1", "ORD")], "cod string, name string, isin string, kind string")
+    articles = spark.createDataFrame([("x", "Alpha up", datetime(2024, 1, 24, 8, 0))], "id string, title string, pub_utc timestamp")
+    schema = "cod string, d date, last double, ref double, open double, low double, high double, qty double"
+    known = tape.tape(articles, names, spark.createDataFrame(rows, schema)).collect()
+    assert {r.final_d for r in known} == {days[-1]} and all(r.final_px == 101.0 for r in known)
+    later = [*rows, ("B", date(2024, 2, 9), 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)]
+    null = tape.tape(articles, names, spark.createDataFrame(later, schema)).collect()
+    assert {r.final_d for r in null} == {date(2024, 2, 9)} and all(r.final_px is None and r.retained is None for r in null)
+
+
+def test_one_row_feeds_two_slots(spark):
+    rows = [("a", "same_day", "in_session", True, True, None), ("b", "later", "after_close", True, False, 1), ("c", "day_before", "pre_open", False, True, None), ("d", "same_day", "after_close", False, False, None)]
+    t = spark.createDataFrame(rows, "id string, timing string, phase string, is_reaction boolean, unusual boolean, later_rank int")
+    rates = spark.createDataFrame([(0.1, 0.2)], "share_a double, share_b double")
+    got = {r.slot: (r.n, r.n_unusual) for r in events.slot_lift(t, rates).collect()}
+    assert got == {"reaction": (2, 1), "same_day_in_session": (1, 1), "later_1": (1, 0), "day_before": (1, 1), "same_day_after_close": (1, 0)}
+
+
+def test_supports_by_type_alone(spark, rules):
+    rows = [("earnings", "big Profit"), ("capital", "big profit"), ("other", "profit"), ("market_report", "chart talk"), ("nothing", "profit"), (None, "profit"), ("earnings", None), ("earnings", "")]
+    got = [r.supports for r in text.supported(spark.createDataFrame(rows, "t string, s string"), rules, label="t", text="s", chart="chart talk").collect()]
+    assert got == [True, False, False, True, False, False, False, False]

@@ -217,12 +217,17 @@ class Tables:
         return self._with(CONCLUDED, ("customer", "supplier"))
 
     @cached_property
-    def bodies(self) -> DataFrame:
+    def body_keys(self) -> DataFrame:
+        """(id, doc_id): the document that is each article's body."""
         from pyspark.sql import functions as F
 
-        d = self.base("documents").select("doc_id", F.col("text").alias("body"))
-        o = self.base("orders").select("o_orderkey").crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("n"))))  # one row
-        return o.withColumn("doc_id", F.col("o_orderkey") % F.col("n")).join(d, "doc_id").select(F.col("o_orderkey").cast("string").alias("id"), "body")
+        n = self.base("documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+        o = self.base("orders").select("o_orderkey").crossJoin(F.broadcast(n))
+        return o.select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderkey") % F.col("n")).alias("doc_id"))
+
+    @cached_property
+    def bodies(self) -> DataFrame:
+        return self.body_keys.join(self.base("documents").select("doc_id", "text"), "doc_id").selectExpr("id", "text AS body")
 
     @cached_property
     def proposals(self) -> DataFrame:

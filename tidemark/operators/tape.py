@@ -121,8 +121,10 @@ def publication(articles: DataFrame, *, zone: str = "Europe/Rome", live: str = "
     return articles.where(~F.col("title").rlike(live)).withColumn("pub_local", local).withColumn("pub_date", F.to_date("pub_local"))
 
 
-def articles_in(articles: DataFrame, *, ids: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """The articles of a list of ids if there is one, else those of a range of local dates."""
+def articles_in(articles: DataFrame, *, ids: list[str] | DataFrame | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The articles of a list or table of ids if there is one, else those of a range of local dates."""
+    if isinstance(ids, DataFrame):
+        return articles.join(ids.select("id"), "id", "left_semi")
     if ids:
         return articles.where(F.col("id").isin(ids))
     return articles.where(F.col("pub_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))

@@ -50,6 +50,11 @@ def classify(texts: DataFrame, rules: DataFrame, priority: DataFrame, *, text: s
     return picked(texts, rule_hits(texts, rules, text=text), priority)
 
 
+def openings(texts: DataFrame, *, key: str, text: str, reach: int = 600) -> DataFrame:
+    """(key, body): the first `reach` normalised characters of each text, for texts that many articles share."""
+    return texts.select(key, F.substring(normalise(text), 1, reach).alias("body"))
+
+
 def with_body(titled: DataFrame, bodies: DataFrame, rules: DataFrame, priority: DataFrame, *, weak: tuple[str, ...] = ("other", "market_report"), reach: int = 600) -> DataFrame:
     """(id, news_type): a weak type gives way to what the first `reach` normalised characters of the body say, tape talk aside."""
     open_ = bodies.join(titled.where(F.col("news_type").isin(*weak)).select("id"), "id", "left_semi").select("id", F.substring(normalise("body"), 1, reach).alias("body"))
@@ -59,11 +64,17 @@ def with_body(titled: DataFrame, bodies: DataFrame, rules: DataFrame, priority:
 
 
 def supported(rows: DataFrame, rules: DataFrame, *, label: str, text: str, chart: str) -> DataFrame:
-    """rows plus supports: whether a rule of the label fires on the text, or it is chart talk under market_report; never for other."""
-    by_type = rules.groupBy(F.col("type").alias("_type")).agg(F.concat_ws("|", F.transform(F.collect_list("pattern"), lambda p: F.concat(F.lit("(?:"), p, F.lit(")")))).alias("_any"))
-    out = rows.withColumn("_n", normalise(text)).join(F.broadcast(by_type), F.col(label) == F.col("_type"), "left")  # a row for each type
-    on = F.expr("_n rlike _any") | ((F.col(label) == "market_report") & F.col("_n").rlike(chart))
-    return out.withColumn("supports", F.coalesce((F.col(label) != "other") & (F.col("_n") != "") & on, F.lit(False))).drop("_n", "_type", "_any")
+    """rows plus supports: whether a rule of the label fires on the text, or it is chart talk under market_report; never for other.
+
+    rules is the caller's table of patterns, some hundreds at most: each type's patterns become one literal, compiled once.
+    """
+    n = F.col("_n")
+    by_type = {r["type"]: "|".join(f"(?:{p})" for p in r["patterns"]) for r in rules.groupBy("type").agg(F.sort_array(F.collect_list("pattern")).alias("patterns")).collect()}
+    on = F.lit(False)
+    for kind in sorted(by_type.keys() | {"market_report"}):
+        fires = [n.rlike(p) for p in ([by_type[kind]] if kind in by_type else []) + ([chart] if kind == "market_report" else [])]
+        on = F.when(F.col(label) == kind, fires[0] if len(fires) == 1 else fires[0] | fires[1]).otherwise(on)
+    return rows.withColumn("_n", normalise(text)).withColumn("supports", F.coalesce((F.col(label) != "other") & (n != "") & on, F.lit(False))).drop("_n")
 
 
 def choose_type(titled: DataFrame, proposals: DataFrame, rules: DataFrame, *, chart: str) -> DataFrame:
@@ -106,13 +117,17 @@ def ungrounded_numbers(sentence: Column | str, source: Column | str) -> Column:
 
 
 def shingle_pairs(quotes: DataFrame, bodies: DataFrame, *, width: int = 5) -> DataFrame:
-    """(item_id, doc_id) that share a run of `width` normalised words: an equi-join on runs, not on all pairs. quotes has item_id and quote, bodies doc_id and body."""
-    def runs(w: Column) -> Column:
-        return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.array_join(F.slice(w, i, width), " ")))
+    """(item_id, doc_id) that share a run of `width` normalised words: an equi-join on runs, not on all pairs. quotes has item_id and quote, bodies doc_id and body.
+
+    Runs are 64-bit hashes of the hashes of their words, so that no run is ever spelt out.
+    """
+    def runs(h: Column) -> Column:
+        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(width)])))
 
     def all_runs(text: str) -> Column:
-        # the words are bound once, not split anew for every run
-        return F.array_distinct(F.get(F.transform(F.array(F.split(normalise(text), " ")), runs), F.lit(0)))
+        # the words are bound once, not split and hashed anew for every run
+        words = F.transform(F.split(normalise(text), " "), lambda w: F.xxhash64(w))
+        return F.array_distinct(F.get(F.transform(F.array(words), runs), F.lit(0)))
 
     q = quotes.select("item_id", F.explode(all_runs("quote")).alias("run"))
     d = bodies.select("doc_id", F.explode(all_runs("body")).alias("run"))

@@ -282,9 +282,12 @@ def _(t):
     return series_of(t).groupBy(F.col("rel").cast("long").alias("rel"), "in_baseline").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_articles_by_range_or_ids", "published", "SELECT id, title, pub_date FROM published WHERE id IN ('1', '2', '3', '33', '100')")
+@query("scan_articles_by_range_or_ids", "published", """SELECT 'ids' AS scan, id, title, pub_date FROM published WHERE id IN (SELECT cast(o_orderkey as varchar) FROM orders WHERE o_totalprice > 400000) UNION ALL SELECT 'range', id, title, pub_date FROM published WHERE pub_date BETWEEN date '1997-01-01' AND date '1997-06-30'""")
 def _(t):
-    return op.articles_in(op.publication(t.articles), ids=["1", "2", "3", "33", "100"], start="1997-01-01", end="1997-06-30").select("id", "title", "pub_date")
+    p = op.publication(t.articles)
+    ids = t.base("orders").where("o_totalprice > 400000").select(F.col("o_orderkey").cast("string").alias("id"))
+    scan = lambda how, x: x.select(F.lit(how).alias("scan"), "id", "title", "pub_date")
+    return scan("ids", op.articles_in(p, ids=ids, start="1997-01-01", end="1997-06-30")).unionByName(scan("range", op.articles_in(p, start="1997-01-01", end="1997-06-30")))
 
 
 @query("session_index", "sessions", "SELECT cod, max(idx) AS sessions, min(d) AS first_d FROM sessions GROUP BY cod")

@@ -122,7 +122,10 @@ def _(t):
 
 @query("body_fallback", "final_types", "SELECT id, news_type AS final_type FROM final_types")
 def _(t):
-    return op.with_body(classified(t), t.bodies, t.rules, t.priority).select("id", F.col("news_type").alias("final_type"))
+    # documents are normalised once, then go to the articles that share them
+    opening = op.openings(t.base("documents"), key="doc_id", text="text")
+    bodies = t.body_keys.join(opening, "doc_id").select("id", "body")
+    return op.with_body(classified(t), bodies, t.rules, t.priority).select("id", F.col("news_type").alias("final_type"))
 
 
 @query("normalise_text", "", f"SELECT doc_id, md5({NORM.format('text')}) AS h FROM documents")

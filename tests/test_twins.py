@@ -12,7 +12,8 @@ from tidemark.registry import oracle_sql, queries
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: One or two of each family; the driver compares all of them.
 NAMES = ["base_rate", "tape_window", "verdicts", "slot_lift", "first_article_7d", "sector_day", "composite_index", "pole_vectors", "news_type_priority", "news_rollup", "results_articles_top2", "largest_remainder_weights", "calendar_align", "card_overlay", "stream_first_article", "stream_daily_shock_counts",
-    "results_reaction", "since_last_results", "price_vs_thesis", "body_fallback", "choose_type", "extract_numbers", "fact_verification", "classification_validation", "membership_diff", "status_shares"]
+    "results_reaction", "since_last_results", "price_vs_thesis", "body_fallback", "choose_type", "extract_numbers", "fact_verification", "classification_validation", "membership_diff", "status_shares",
+    "portfolio_value_series", "upsert_news_block", "json_card_scan", "integrity_checks", "series_card_reconcile", "quarter_entry_join", "quarter_metric_pivot", "decision_verification", "recalc_diff", "candidate_top30", "classifier_distribution", "news_by_indicator", "headline_reports_move"]
 
 
 def plain(v):

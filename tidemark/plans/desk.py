@@ -85,10 +85,10 @@ def _(t):
 
 #: Ranges of the value series, in days; all of them for MAX.
 RANGES = {"1M": 21, "3M": 63, "1Y": 252, "MAX": None}
-cte("worth", "SELECT d, sum(p.qty * coalesce(a.close, a.ahead)) AS value, row_number() OVER (ORDER BY d DESC) AS back FROM aligned a JOIN positions p ON p.ticker = a.cod GROUP BY d")
+cte("worth", "SELECT d, sum(cast(cast(p.qty * coalesce(a.close, a.ahead) as varchar) as decimal(28, 8))) AS value, row_number() OVER (ORDER BY d DESC) AS back FROM aligned a JOIN positions p ON p.ticker = a.cod GROUP BY d")
 
 
-@query("portfolio_value_series", "worth", f"""SELECT range, d, {exact("value", 2)} AS value, {exact("z - a", 2)} AS change, round(coalesce((z / nullif(a, 0) - 1) * 100, 0), 6) AS pct FROM (
+@query("portfolio_value_series", "worth", f"""SELECT range, d, cast(round(value, 2) as double) AS value, cast(round(z - a, 2) as double) AS change, round(coalesce((cast(z as double) / nullif(cast(a as double), 0) - 1) * 100, 0), 6) AS pct FROM (
   SELECT r.range, w.d, w.value, first_value(value) OVER (PARTITION BY r.range ORDER BY d) AS a, first_value(value) OVER (PARTITION BY r.range ORDER BY d DESC) AS z FROM worth w JOIN (VALUES {', '.join(f"('{k}', {n or 2**31 - 1})" for k, n in RANGES.items())}) AS r(range, n) ON w.back <= r.n)""")
 def _(t):
     x = op.value_series(t.positions, tp.sessions(t.quotes), RANGES)

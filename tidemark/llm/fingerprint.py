@@ -189,24 +189,25 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
             if on:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*on, strict=True)], ["u", "v"])
 
-    def texts_of(keys: DataFrame, n: int | None = None) -> DataFrame:
-        """(k, text) of the rows with these keys and of few others."""
+    def texts_of(keys: DataFrame, n: int | None = None, *, shingles: bool = False) -> DataFrame:
+        """(k, text) of the rows with these keys and of few others, or (k, h) of their shingles, in one pass."""
         bloom = spark.sparkContext.broadcast(bloom_filter(keys, "k", n))
 
         def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array(passes(bloom.value, b.column("h").to_numpy()))).select(["k", "text"])
 
-        return rows.select("k", "text", F.xxhash64("k").alias("h")).mapInArrow(called, "k long, text string")
+        def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in slices(called(batches), 20):
+                sets = [shingle_set(t).view(np.int64) for t in x["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x["k"], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["k", "h"])
 
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in slices(batches, 20):
-            sets = [shingle_set(t).view(np.int64) for t in x["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x["k"], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["k", "h"])
+        hashed = rows.select("k", "text", F.xxhash64("k").alias("h"))
+        return hashed.mapInArrow(spelt, "k long, h long") if shingles else hashed.mapInArrow(called, "k long, text string")
 
     def alone_in(crowd: DataFrame) -> DataFrame:
         """(k, alone): how many shingles of a document no other of the crowd has."""
-        ends = texts_of(crowd).mapInArrow(spelt, "k long, h long").groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
+        ends = texts_of(crowd, shingles=True).groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
         return ends.where("k = last").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -299,6 +299,16 @@ def test_packing(docs, empty, texts):
     assert sum(r.n_words for r in rows) == sum(len(words_of(t)) for t in texts) + 120 and packing.pack(empty).count() == 0
 
 
+def test_signatures_of_edited_texts_share_what_is_kept():
+    r = random.Random(3)
+    texts = ["", "a", "a b", "a b c d", "a b c d e", "ab cd ef gh ij kl", *("".join(r.choice("ab é\nCD") for _ in range(r.randint(0, 200))) for _ in range(300)), prose(900, r)]
+    for text in texts:
+        for after in (r.choice(texts), "", "x" * 300, text):
+            own, changed = fingerprint.card(text), fingerprint.edited(text, after)
+            assert (own[0] == fingerprint.minima(shingle_set(text))).all() and (own[0] == fingerprint.signature(text)).all()
+            assert (fingerprint.edited_signature(changed, own) == fingerprint.minima(shingle_set(changed))).all()
+
+
 def naive_best_fit(sizes, sources, clusters, capacity, per_source):
     """Each piece in the tightest of all bins that take it, the first of equals."""
     held, out = [], []

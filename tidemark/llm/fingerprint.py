@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import bloom_filter, passes
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import slices, text_words, written
 from tidemark.llm.components import components
-from tidemark.llm.shingles import mix, shingle_set
+from tidemark.llm.shingles import WIDTH, mix, shingle_set, window_hashes
 
 PERMUTATIONS = 64
 #: The multipliers and offsets of the universal hash family h -> (a h + b) mod 2^64, top half taken.
@@ -24,15 +24,41 @@ _B = mix(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64))
 
 def minima(s: np.ndarray) -> np.ndarray:
     """64 minima of 32 bits over a set of hashes; all ones for an empty one."""
-    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(s), 4096):  # bounded memory for very long texts
-        low = np.minimum(low, ((_A[:, None] * s[None, i : i + 4096] + _B[:, None]) >> np.uint64(32)).min(axis=1))
-    return low.astype(np.uint32)
+    low = np.full(PERMUTATIONS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(s), 1024):  # bounded memory for very long texts
+        x = _A[:, None] * s[None, i : i + 1024]
+        x += _B[:, None]
+        np.minimum(low, x.min(axis=1), out=low)
+    return (low >> np.uint64(32)).astype(np.uint32)  # the top half of the least is the least of the top halves
 
 
 def signature(text: str | None) -> np.ndarray:
-    """The minima over the text's five-word shingles."""
-    return minima(shingle_set(text))
+    """The minima over the text's five-word shingles; repeats do not matter."""
+    return minima(window_hashes(text_words(text)))
+
+
+def kept(text: str) -> str:
+    """What `edited` leaves of a text."""
+    return text[: len(text) - len(text) // 3]
+
+
+def card(text: str) -> tuple[np.ndarray, int, np.ndarray]:
+    """The signature of a text, how many of its first shingles its edited text is sure to share, and the minima over those."""
+    words = text_words(text)
+    hashes = window_hashes(words)
+    # the last word of what is kept may be cut in two
+    shared = max(0, len(text_words(kept(text))) - 1 - (WIDTH - 1)) if len(words) >= WIDTH else 0
+    first = minima(hashes[:shared])
+    return np.minimum(first, minima(hashes[shared:])), shared, first
+
+
+def edited_signature(changed: str, own: tuple[np.ndarray, int, np.ndarray]) -> np.ndarray:
+    """`signature` of the edited text of a text with this card, from the shingles that it does not share."""
+    _, shared, first = own
+    rest = text_words(changed)[shared:]
+    if not shared:
+        return minima(window_hashes(rest))
+    return np.minimum(first, minima(window_hashes(rest))) if len(rest) >= WIDTH else first
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -41,8 +67,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def edited(text: str, following: str) -> str:
     """text with its last third replaced by as many of the first code points of the following text, or all of it."""
-    n = len(text) // 3
-    return text[: len(text) - n] + following[:n]
+    return kept(text) + following[: len(text) // 3]
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ranges: int | None = None, classes: DataFrame | None = None) -> DataFrame:
@@ -98,12 +123,12 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
     kinds = {"n_chars": pa.int64(), "doc_id": pa.int64(), "class_id": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()} | {c: pa.string() for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (part, doc_id, text, signature, class_id)
+        last = None  # (part, doc_id, text, card, class_id)
         moved = (None, None)  # the last id of `classes` and its class
 
-        def row(doc_id, text, own, class_id, after_text, after):
-            changed = edited(text, after_text)
-            new = own if changed == text else signature(changed)
+        def row(doc_id, text, own_card, class_id, after_text, after):
+            changed, own = edited(text, after_text), own_card[0]
+            new = own if changed == text else edited_signature(changed, own_card)
             out = (doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), own.astype(">u4").tobytes().hex(), new.astype(">u4").tobytes().hex(), likeness(own, new), likeness(own, after), class_id)
             return out[: len(columns)]
 
@@ -113,9 +138,9 @@ def fingerprints(docs: DataFrame, *, text: str = "text", id: str = "doc_id", ran
                 if more < 0:
                     moved = (doc_id, th)
                     continue
-                own = last[3] if last and last[2] == text else signature(text)
+                own = last[3] if last and last[2] == text else card(text)
                 if last and last[0] == part:
-                    out.append(row(*last[1:], text, own))
+                    out.append(row(*last[1:], text, own[0]))
                 last = None if more else (part, doc_id, text, own, moved[1] if doc_id == moved[0] else doc_id)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[name]) for name, c in zip(columns, zip(*out, strict=True), strict=True)], columns)

@@ -591,6 +591,21 @@ def test_toxicity_edges_and_a_joined_lexicon(spark):
     assert {x.score for x in none} == {0.5} and all(x.held_out == (zlib.crc32(str(x.doc_id).encode() if x.doc_id is not None else b"") % 5 == 0) for x in none)
 
 
+def test_labels_that_disagree_count_as_toxic(spark):
+    r = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(15, r) + (" idiot" if i % 3 == 0 else "")) for i in range(60)], "doc_id long, text string")
+    marks = [(i, int(i % 3 == 0)) for i in range(60)]
+    score = lambda m: {x.doc_id: x.score for x in toxicity.op10(docs, spark.createDataFrame(m, "doc_id long, toxic int")).collect()}
+    assert score([*marks, *marks, (3, 0), (6, None)]) == score(marks)
+
+
+def test_urls_of_any_length_with_clashing_columns(spark):
+    long = "https://a.example.org/es/" + "x" * 500_000 + "?q"
+    pages = spark.createDataFrame([(1, long, "h", "p", "r", "v", 7, "k"), (1, long, "h", "p", "r", "v", 7, "k"), (2, None, *"hprv", 7, "k"), (None, "http://ORG/", *"hprv", 7, "k")], "page_id long, url string, host string, path string, rule string, verdict string, range int, key string")
+    got = sorted(((x.page_id or 0, x.host, len(x.path), x.rule, x.verdict) for x in urlfilter.op6(pages).collect()), key=repr)
+    assert got == [(0, "org", 1, "org/", "allow"), (1, "a.example.org", 500_004, "example.org/es/", "block"), (1, "a.example.org", 500_004, "example.org/es/", "block"), (2, "", 0, None, "allow")]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

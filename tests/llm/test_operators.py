@@ -397,13 +397,30 @@ def test_url_rules_match_brute_force(spark):
 def test_wavelet_queries():
     ids = np.random.default_rng(3).integers(0, 300, 3000).astype(np.uint16)
     m, docs, lengths = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 9).to_bytes([4, 7], [1000, 2000]))
-    assert (m.decode() == ids).all() and docs.tolist() == [4, 7] and lengths.tolist() == [1000, 2000]
+    assert docs.tolist() == [4, 7] and lengths.tolist() == [1000, 2000]
     for i in range(0, 3000, 97):
         assert m.access(i) == ids[i]
     for t in (0, 7, 299, 301):
         at = np.flatnonzero(ids == t)
         assert m.count(t, 500, 2500) == ((at >= 500) & (at < 2500)).sum()
         assert [m.occurrence(t, k) for k in range(len(at) + 1)] == [*at, -1]
+    assert m._planes is None  # look-ups have unpacked pieces alone
+    bounds = np.array([0, 1, 512, 513, 513, 2999, 3000])
+    assert m.counts(7, bounds).tolist() == [int((ids[a:b] == 7).sum()) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert (m.decode() == ids).all()
+
+
+def test_wavelet_pieces_and_blocks():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 7, 8, 511, 512, 513, 32768, 32769, 100_001):  # around blocks and pieces
+        ids = np.minimum(r.geometric(0.01, n), 60_000).astype(np.uint16)
+        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes([1], [n]))[0]
+        assert all(m.access(int(i)) == ids[i] for i in r.integers(0, n, min(n, 30)))
+        for t in (1, 50, 59_999):
+            at = np.flatnonzero(ids == t)
+            assert m.count(t, n // 3, n) == (at >= n // 3).sum()
+            assert all(m.occurrence(t, k) == (at[k] if k < len(at) else -1) for k in {0, len(at) // 2, max(0, len(at) - 1), len(at)})
+        assert (m.decode() == ids).all()
 
 
 def test_token_shards_round_trip(docs, empty, texts):
@@ -416,7 +433,7 @@ def test_token_shards_round_trip(docs, empty, texts):
     at = 0
     for r, (i, t) in zip(got, rows, strict=True):
         ids = [*full.encode(t or "", add_special_tokens=False).ids, 1]
-        assert (r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32, r.n_ends) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids.count(1))
         at += len(ids)
     assert wavelet.op7(empty).count() == 0
 

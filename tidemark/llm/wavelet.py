@@ -1,9 +1,10 @@
 """Token ids in wavelet-matrix shards: one compressed file image per shard, with access, counting and occurrence lookup.
 
 Documents are dealt to ranges of ids, encoded in order and cut into shards. A shard keeps its ids as bit-planes, most
-significant first, each plane after a stable partition by the plane before; a directory of set bits per 512 positions
-answers rank by one look and select by binary search. Shards are rows of a table that Spark writes and reads, so any
-store that Spark reaches will do, and a lost executor's shards are written again.
+significant first, each plane after a stable partition by the plane before; a directory of set bits per 512 positions,
+which is part of the file, answers rank by one look and select by binary search; planes are packed in pieces, of which a
+look-up unpacks one of each plane. Shards are rows of a table that Spark writes and reads, so any store that Spark reaches
+will do, and a lost executor's shards are written again.
 """
 
 from __future__ import annotations
@@ -23,105 +24,140 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 BLOCK = 512
+#: Bytes of a plane that are packed together: a look-up unpacks one such piece of each plane.
+PIECE = 4096
 END = 1
 
 
 class WaveletMatrix:
-    """A sequence of ids below 2^bits."""
+    """A sequence of ids below 2^bits: bit-planes, and for each the number of set bits before every block of 512 positions.
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray]):
-        self.n, self.bits, self.planes = n, bits, planes  # planes: packed bits
-        self.directory: list[np.ndarray] | None = None
+    Planes are whole (`planes`) or lie in packed pieces that are unpacked when they are asked for.
+    """
+
+    def __init__(self, n: int, bits: int, directory: np.ndarray, planes: list[np.ndarray] | None = None, packed: list[list[bytes]] | None = None):
+        self.n, self.bits, self.directory, self._planes, self._packed = n, bits, directory, planes, packed
+        self._pieces: dict[tuple[int, int], np.ndarray] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        planes = []
-        for b in range(bits - 1, -1, -1):
-            bit = (ids >> np.asarray(b, ids.dtype)) & np.asarray(1, ids.dtype)
-            planes.append(np.packbits(bit.astype(bool), bitorder="little"))
-            one = bit.astype(bool)
+        planes, directory = [], np.zeros((bits, -(-len(ids) // BLOCK) + 1), np.uint32)
+        for level, b in enumerate(range(bits - 1, -1, -1)):
+            one = ((ids >> np.asarray(b, ids.dtype)) & np.asarray(1, ids.dtype)).astype(bool)
+            planes.append(np.packbits(one, bitorder="little"))
+            if len(ids):
+                directory[level, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(planes[-1]).astype(np.uint32), np.arange(0, len(planes[-1]), BLOCK // 8)))
             ids = np.concatenate([ids[~one], ids[one]])
-        return cls(len(ids), bits, planes)
-
-    def bit_array(self, level: int) -> np.ndarray:
-        return np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+        return cls(len(ids), bits, directory, planes)
+
+    @property
+    def planes(self) -> list[np.ndarray]:
+        """All planes unpacked."""
+        if self._planes is None:
+            self._planes = [np.frombuffer(b"".join(self._unpacked(p) for p in pieces), np.uint8) for pieces in self._packed]
+        return self._planes
+
+    @staticmethod
+    def _unpacked(piece: bytes) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(piece, max_output_size=PIECE)
+
+    def _bytes(self, level: int, lo: int, hi: int) -> np.ndarray:
+        """Bytes lo to hi - 1 of a plane, within one piece."""
+        if self._planes is not None:
+            return self._planes[level][lo:hi]
+        at = level, lo // PIECE
+        if at not in self._pieces:
+            self._pieces[at] = np.frombuffer(self._unpacked(self._packed[level][at[1]]), np.uint8)
+        return self._pieces[at][lo - at[1] * PIECE : hi - at[1] * PIECE]
 
     def decode(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane up."""
         out = np.zeros(self.n, np.uint32 if self.bits > 16 else np.uint16)
         for level in range(self.bits - 1, -1, -1):
-            one = self.bit_array(level)
-            zeros = self.n - int(one.sum())
+            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            zeros = self._zeros(level)
             before = np.empty_like(out)
             before[~one] = out[:zeros]
             before[one] = out[zeros:] | out.dtype.type(1 << (self.bits - 1 - level))
             out = before
         return out
 
-    def _ranks(self) -> list[np.ndarray]:
-        if self.directory is None:
-            counts = [np.add.reduceat(np.bitwise_count(np.r_[p, np.zeros(-len(p) % (BLOCK // 8), np.uint8)]).astype(np.int64), np.arange(0, max(len(p), 1), BLOCK // 8)) if len(p) else np.zeros(1, np.int64) for p in self.planes]
-            self.directory = [np.r_[0, np.cumsum(c)] for c in counts]
-        return self.directory
+    def _zeros(self, level: int) -> int:
+        return self.n - int(self.directory[level, -1])
 
     def _rank1(self, level: int, i: int) -> int:
         block = i // BLOCK
-        part = np.unpackbits(self.planes[level][block * (BLOCK // 8) : -(-i // 8)], bitorder="little")
-        return int(self._ranks()[level][block]) + int(part[: i - block * BLOCK].sum())
+        if i % BLOCK == 0:
+            return int(self.directory[level, block])
+        part = np.unpackbits(self._bytes(level, block * (BLOCK // 8), -(-i // 8)), bitorder="little")
+        return int(self.directory[level, block]) + int(part[: i - block * BLOCK].sum())
+
+    def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Set bits before each of many positions."""
+        plane = self.planes[level]
+        before = np.zeros(len(plane) + 1, np.int64)
+        np.cumsum(np.bitwise_count(plane), out=before[1:])
+        byte = at >> 3
+        last = np.append(plane, np.uint8(0))[byte]
+        return before[byte] + np.bitwise_count(last & ((1 << (at & 7)) - 1).astype(np.uint8))
 
     def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) such bit, by binary search over ranks."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank1(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        """Position of the k-th (from 0) such bit: a binary search over the directory, then one block."""
+        ones = self.directory[level].astype(np.int64)
+        upto = ones if bit else np.minimum(np.arange(len(ones), dtype=np.int64) * BLOCK, self.n) - ones
+        block = int(np.searchsorted(upto, k, "right")) - 1
+        part = np.unpackbits(self._bytes(level, block * (BLOCK // 8), (block + 1) * (BLOCK // 8)), bitorder="little")[: self.n - block * BLOCK]
+        return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(upto[block])])
 
     def access(self, i: int) -> int:
         out = 0
         for level in range(self.bits):
-            bit = self.planes[level][i // 8] >> (i % 8) & 1
+            bit = int(self._bytes(level, i // 8, i // 8 + 1)[0]) >> (i % 8) & 1
             ones = self._rank1(level, i)
-            i = self.n - self._rank1(level, self.n) + ones if bit else i - ones
-            out = out << 1 | int(bit)
+            i = self._zeros(level) + ones if bit else i - ones
+            out = out << 1 | bit
         return out
 
     def count(self, token: int, lo: int, hi: int) -> int:
         """How often the token stands in positions lo to hi - 1."""
-        a, b, _ = self._interval(token, lo, hi)
+        a, b = self._interval(token, lo, hi)
         return b - a
 
-    def _interval(self, token: int, lo: int, hi: int) -> tuple[int, int, list[int]]:
-        zeros = []
+    def counts(self, token: int, bounds: np.ndarray) -> np.ndarray:
+        """How often the token stands between each of ascending positions and the next."""
+        at = np.asarray(bounds, np.int64)
+        for level in range(self.bits):
+            ones = self._ranks(level, at)
+            at = self._zeros(level) + ones if token >> (self.bits - 1 - level) & 1 else at - ones
+        return np.diff(at)
+
+    def _interval(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         for level in range(self.bits):
-            zeros.append(self.n - self._rank1(level, self.n))
             a, b = self._rank1(level, lo), self._rank1(level, hi)
-            lo, hi = (zeros[-1] + a, zeros[-1] + b) if token >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
-        return lo, hi, zeros
+            zeros = self._zeros(level)
+            lo, hi = (zeros + a, zeros + b) if token >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
+        return lo, hi
 
     def occurrence(self, token: int, k: int) -> int:
         """Position of the token's k-th occurrence (from 0), -1 if there are fewer."""
-        lo, hi, zeros = self._interval(token, 0, self.n)
+        lo, hi = self._interval(token, 0, self.n)
         if k >= hi - lo:
             return -1
         i = lo + k
         for level in range(self.bits - 1, -1, -1):
             bit = token >> (self.bits - 1 - level) & 1
-            i = self._select(level, bit, i - zeros[level] if bit else i)
+            i = self._select(level, bit, i - self._zeros(level) if bit else i)
         return i
 
     def to_bytes(self, doc_ids: list[int], lengths: list[int]) -> bytes:
+        """Head, ids and lengths of documents, the directory, sizes of the packed pieces, and the pieces, plane by plane."""
         packer = zstandard.ZstdCompressor(level=1)
-        parts = [packer.compress(p.tobytes()) for p in self.planes]
+        pieces = [packer.compress(p[at : at + PIECE].tobytes()) for p in self.planes for at in range(0, len(p), PIECE)]
         head = struct.pack("<4sQIB", MAGIC, self.n, len(doc_ids), self.bits)
-        meta = np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes() + np.asarray([len(p) for p in parts], "<u4").tobytes()
-        return head + meta + b"".join(parts)
+        meta = np.asarray(doc_ids, "<i8").tobytes() + np.asarray(lengths, "<u4").tobytes() + self.directory.astype("<u4").tobytes() + np.asarray([len(p) for p in pieces], "<u4").tobytes()
+        return head + meta + b"".join(pieces)
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
@@ -129,15 +165,19 @@ class WaveletMatrix:
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
         at = struct.calcsize("<4sQIB")
-        ids = np.frombuffer(blob, "<i8", docs, at)
-        lengths = np.frombuffer(blob, "<u4", docs, at + 8 * docs)
-        sizes = np.frombuffer(blob, "<u4", bits, at + 12 * docs)
-        at += 12 * docs + 4 * bits
-        planes, reader = [], zstandard.ZstdDecompressor()
-        for s in sizes:
-            planes.append(np.frombuffer(reader.decompress(blob[at : at + int(s)], max_output_size=max(1, -(-n // 8))), np.uint8))
-            at += int(s)
-        return cls(n, bits, planes), ids, lengths
+
+        def array_of(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(blob, kind, count, at)
+            at += out.nbytes
+            return out
+
+        ids, lengths = array_of("<i8", docs), array_of("<u4", docs)
+        blocks, many = -(-n // BLOCK) + 1, -(-(-(-n // 8)) // PIECE)
+        directory = array_of("<u4", bits * blocks).reshape(bits, blocks)
+        ends = at + 4 * bits * many + np.cumsum(np.r_[0, array_of("<u4", bits * many)].astype(np.int64))
+        pieces = [blob[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return cls(n, bits, directory, packed=[pieces[k * many : (k + 1) * many] for k in range(bits)]), ids, lengths
 
 
 #: Marks that never join a letter before them in one piece.
@@ -260,7 +300,7 @@ def write_shards(docs: DataFrame, *, text: str = "text", id: str = "doc_id", pat
 
 
 def read_documents(shards: DataFrame, paths: list[str] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) for each document, decoded from its shard."""
+    """(doc_id, start, n_tokens, ids_crc32, n_ends) for each document of the shards: its ids decoded, and how many of them are the end id, counted by rank."""
     sizes = shards.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row for each range of ids
@@ -275,9 +315,9 @@ def read_documents(shards: DataFrame, paths: list[str] | None = None) -> DataFra
                 data = matrix.decode().astype("<u4")
                 stop = np.cumsum(lengths.astype(np.int64))
                 crc = [zlib.crc32(data[b - n : b].tobytes()) for b, n in zip(stop, lengths, strict=True)]
-                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": base + stop - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc}).astype({"ids_crc32": np.int64})
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": base + stop - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc, "n_ends": matrix.counts(END, np.r_[0, stop])}).astype({"ids_crc32": np.int64})
 
-    out = shards.join(starts, ["part", "seq"]).select("base", "shard").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = shards.join(starts, ["part", "seq"]).select("base", "shard").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, n_ends long")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
 
 

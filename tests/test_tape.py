@@ -250,3 +250,44 @@ def test_supports_by_type_alone(spark, rules):
     rows = [("earnings", "big Profit"), ("capital", "big profit"), ("other", "profit"), ("market_report", "chart talk"), ("nothing", "profit"), (None, "profit"), ("earnings", None), ("earnings", "")]
     got = [r.supports for r in text.supported(spark.createDataFrame(rows, "t string, s string"), rules, label="t", text="s", chart="chart talk").collect()]
     assert got == [True, False, False, True, False, False, False, False]
+
+
+def test_sessions_of_a_span_are_those_of_a_loop(spark):
+    """Spans that begin and end within blocks, run past both ends of the history or hold one session."""
+    rows = tape.sessions(quotes(spark, [10 + i % 7 for i in range(150)]).unionByName(quotes(spark, [5 + i % 3 for i in range(3)], cod="B")))
+    at = [(c, b) for c in "AB" for b in (1, 2, 15, 16, 31, 32, 33, 64, 100, 149, 150)]
+    found = spark.createDataFrame([(f"{c}{b}", c, b) for c, b in at], "id string, cod string, idx_before int")
+    for lo, hi in ((-25, 40), (0, 6), (0, 0)):
+        got = sorted((r.id, r.idx) for r in tape.spread(found, rows, ["d"], F.col("idx_before") + lo, F.col("idx_before") + hi).collect())
+        assert got == sorted((f"{c}{b}", i) for c, b in at for i in range(max(b + lo, 1), b + hi + 1) if i <= {"A": 150, "B": 3}[c])
+
+
+def test_rows_of_tape_and_series_are_not_shuffled(spark):
+    """Quotes and articles go to their instrument once; verdicts on what is spread from them need no further shuffle."""
+    names = spark.createDataFrame([("A", "Alpha")], "cod string, name string")
+    articles = spark.createDataFrame([("x", "Alpha up", datetime(2024, 1, 24, 8, 0))], "id string, title string, pub_utc timestamp")
+    one = spark.createDataFrame([("x", "A")], "id string, cod string")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        table = quotes(spark, [10 + i % 7 for i in range(60)])
+        for df in (events.verdicts(tape.tape(articles, names, table, one=one)), tape.chart_series(articles, names, table, one=one).groupBy("cod", "id").count()):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            # both sides of the join by id, articles by instrument, the codes and the quotes, the latter two once each for statistics and for blocks
+            assert plan.count("Exchange hashpartitioning") <= 7 and plan.count("hashpartitioning(id") == 2, plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_series_of_some_relative_numbers_keeps_each_first_session(spark):
+    table = quotes(spark, [10 + i % 7 for i in range(60)])
+    names = spark.createDataFrame([("A", "Alpha")], "cod string, name string")
+    articles = spark.createDataFrame([("x", "Alpha up", datetime(2024, 2, 10, 8, 0)), ("y", "Alpha up", datetime(2024, 1, 5, 8, 0))], "id string, title string, pub_utc timestamp")
+    one = spark.createDataFrame([("x", "A"), ("y", "A")], "id string, cod string")
+    whole = {(r.id, r.rel, r.d, r.z) for r in tape.chart_series(articles, names, table, one=one).collect()}
+    some = {(r.id, r.rel, r.d, r.z) for r in tape.chart_series(articles, names, table, one=one, rels=(-1, 0)).collect()}
+    first = {i: min(r for k, r, *_ in whole if k == i) for i in "xy"}
+    assert some == {w for w in whole if w[1] in (-1, 0, first[w[0]])} and len(some) == 6

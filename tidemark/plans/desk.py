@@ -113,7 +113,7 @@ def _(t):
 @query("since_last_results", "storied sessions lastpx", """SELECT r.cod, round(l.close / nullif(s.last, 0) - 1, 6) AS change FROM (SELECT cod, max(cast(pub_local as date)) AS day FROM storied WHERE contains(title, 'HIGH') GROUP BY cod) r
   ASOF JOIN sessions s ON s.cod = r.cod AND s.d < r.day JOIN lastpx l ON l.cod = r.cod""")
 def _(t):
-    s = tp.sessions(t.quotes)
+    s = tp.sessions(quotes_of(t))
     r = storied(t).where(F.col("title").contains("HIGH")).groupBy("cod").agg(F.max(F.to_date("pub_local")).alias("pub_date"))
     return since(r, s).select("cod", *r6("change"))
 

@@ -98,3 +98,26 @@ def test_aggregates_and_decisions(spark, articles):
     x = x.withColumns({"reason": F.col("summary"), "pros": F.col("views"), "risk": F.lit("buy"), "change": F.lit("")})
     d = {r.cod: (r.action, r.failures, r.n_news) for r in op.verify_decision(x, articles, allowed, news, vocabulary=VOCABULARY).collect()}
     assert d == {"A": ("add", ["action not allowed", "reason: numbers", "pros[2]: words"], 3), "B": ("open", ["pros[0]: words", "risk: words"], 0), "C": ("open", ["action not allowed", "risk: words"], 0)}
+
+
+def test_documents_are_not_shuffled_by_quarter(spark):
+    """Four quarters meet the documents where these are, however large a table Spark takes them for."""
+    import os
+
+    from tidemark.fixtures import PRESS, CLAIMS, PRESS_SPARK, Tables
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    assert PRESS_SPARK != PRESS and CLAIMS.count(PRESS) > 2
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "-1")
+        spark.conf.set(keys[1], "false")
+        for df in (Tables(spark, sf).press, Tables(spark, sf).claims):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

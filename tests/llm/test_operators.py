@@ -167,6 +167,14 @@ def test_jaccard_matches_all_pairs(spark, chunk):
     assert len(set(want.values())) < len(want)
 
 
+def test_intermediate_tables_go_once_the_decision_is_written(spark, docs):
+    edits, stay = [], []
+    out = linededup.dedup_lines(docs, paths=edits)
+    one = jaccard.one_of_each(docs, paths=stay)
+    assert len(edits) == len(stay) == 1
+    assert out.count() == docs.count() and one.count() <= docs.count()
+
+
 def test_jaccard_edges(docs, empty, texts):
     got = jaccard.similar(docs).collect()
     assert len(got) == len(texts) + 1 and jaccard.similar(empty).count() == 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import bloom_filter, passes
-from tidemark.llm.common import runs, written
+from tidemark.llm.common import release, runs, written
 from tidemark.llm.components import components
 from tidemark.llm.shingles import shingle_set
 
@@ -204,8 +204,10 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
 
 def one_of_each(docs: DataFrame, *, text: str = "text", id: str = "doc_id", paths: list[str] | None = None) -> DataFrame:
     """docs with one row of each group of linked documents, that of the smallest id; rows without an id all stay."""
-    found = similar(docs, text=text, id=id, paths=paths)
+    used: list[str] = []
+    found = similar(docs, text=text, id=id, paths=used)
     stay = written(found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), paths)
+    release(docs.sparkSession, used)  # the written ids are all that is read from here on
     kept = docs.join(stay.hint("merge"), docs[id].cast("long") == stay["_id"], "left_semi").dropDuplicates([id])
     return kept.unionByName(docs.where(F.col(id).isNull()))
 

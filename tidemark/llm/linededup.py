@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, boxed, n_words, unboxed, written
+from tidemark.llm.common import SPACES, boxed, n_words, release, unboxed, written
 
 KEY = ["id", "th"]
 
@@ -120,7 +120,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id: str = "doc_id", min_
     """
     rows = boxed(docs, F.col(text).alias("t"), F.col(id).alias("i"))
     rows = keyed(rows, "t", "i")
-    edits = written(deletions(rows.select("id", "th", "t"), "t", min_words=min_words, paths=paths), paths)
+    used: list[str] = []
+    edits = written(deletions(rows.select("id", "th", "t"), "t", min_words=min_words, paths=used), paths)
+    release(docs.sparkSession, used)  # the written edits are all that is read from here on
     gone = F.array_distinct(F.flatten(F.transform("ranges", lambda r: F.sequence(r["line"], r["last"]))))
     # edits grow with the corpus, so the plan is the same shuffle join at any size
     out = rows.join(edits.hint("merge"), KEY, "left").withColumn("gone", gone)

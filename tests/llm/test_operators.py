@@ -537,6 +537,25 @@ def char_model():
     return toxicity.CharModel(counts.ravel())
 
 
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_crowded_buckets_give_all_links_without_a_table_of_pairs(spark, chunk):
+    # a group of near copies, and as many texts that share buckets with it without reaching all of it
+    r = random.Random(11)
+    base = prose(120, r).split()
+    swap = lambda at: " ".join(f"q{r.randrange(10**6)}" if i in at else w for i, w in enumerate(base))
+    rows = [(i, swap({r.randrange(120)})) for i in range(30)] + [(100 + i, swap(set(range(10 + i % 5, 110, 20 + i % 9)))) for i in range(30)]
+    sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
+    low = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((low[a], low[b]))
+            low = {i: x if c == y else c for i, c in low.items()}
+    assert len(set(low.values())) > 5
+    found = fingerprint.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk)
+    assert {x.doc_id: x.class_id for x in found.collect()} == low
+
+
+
 def test_restoring(char_model):
     m = char_model
     for w, plain in zip(("1d10t", "id!ot", "i.d.i.o.t", "idiooooot", "m0ron", "p@th3tic", "the"), ("idiot", "idiot", "idiot", "idiot", "moron", "pathetic", "the"), strict=True):

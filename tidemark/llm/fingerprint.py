@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bloom import bloom_filter, passes
 from tidemark.llm.common import slices, text_words, written
 from tidemark.llm.components import components
+from tidemark.llm.jaccard import search_blocks
 from tidemark.llm.shingles import WIDTH, mix, shingle_set, window_hashes
 
 PERMUTATIONS = 64
@@ -156,17 +157,16 @@ BANDS = [np.random.default_rng(b).permutation(PERMUTATIONS)[:6].tolist() for b i
 ALIKE = 36
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", bands: list[list[int]] = BANDS, percent: int = 80, paths: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id", bands: list[list[int]] = BANDS, percent: int = 80, chunk: int = 4096, paths: list[str] | None = None) -> DataFrame:
     """(doc_id, class_id): classes of documents linked by a shared signature band and an exact Jaccard check.
 
     Every two documents of a bucket are compared or already in one class. Equal shingle sets are linked first and stand in
-    the buckets once. In the first round each bucket is a star around one of its documents, and around a new one in
-    each further round while very many pairs are left, which
-    joins large groups without comparing all their pairs; then the pairs left across classes are compared. If there are many after the first stars,
-    shingles that no other document of open buckets has are counted, and what cannot reach the similarity without them, a
-    document with any other or a pair, leaves before it is compared. A comparison
+    the buckets once. First each bucket is a star around one of its documents, which
+    joins large groups without comparing all their pairs. A star's comparison
     looks at the low halves of the minima first and, if these allow the similarity, at whole shingle sets; only documents
-    that come so far have their texts read again. Null ids are left out; wordless texts stay alone.
+    that come so far have their texts read again. Then buckets that still hold several classes are connected to blocks, whose shingle
+    sets are searched for all links across classes as `jaccard.search_blocks` does, in pairs of chunks if a block is large, so that no
+    table of pairs is made. Null ids are left out; wordless texts stay alone.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
@@ -198,7 +198,6 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     banded = written(some.join(shared, "band"), paths)
     # a text that many others were copied from has the fullest buckets, so it leads the first stars
     cards = written(sets.join(banded.groupBy("k").agg(F.sum("size").alias("degree")), "k"), paths)
-    crowd_of = cards.select("k", "doc_id", "n", "degree", F.col("n").alias("r"))  # r: shingles that others may share
     low = cards.select("k", "low")
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,8 +216,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
             if on:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*on, strict=True)], ["u", "v"])
 
-    def texts_of(keys: DataFrame, n: int | None = None, *, shingles: bool = False) -> DataFrame:
-        """(k, text) of the rows with these keys and of few others, or (k, h) of their shingles, in one pass."""
+    def texts_of(keys: DataFrame, n: int | None = None, *, sets: bool = False) -> DataFrame:
+        """(k, text) of the rows with these keys and of few others, or (k, items) with their shingle sets, in one pass."""
         bloom = spark.sparkContext.broadcast(bloom_filter(keys, "k", n))
 
         def called(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,20 +226,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
 
         def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in slices(called(batches), 20):
-                sets = [shingle_set(t).view(np.int64) for t in x["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(x["k"], np.int64), [len(s) for s in sets])), pa.array(np.concatenate(sets))], ["k", "h"])
+                own = [shingle_set(t).view(np.int64) for t in x["text"]]
+                yield pa.RecordBatch.from_arrays([pa.array(x["k"], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["k", "items"])
 
         hashed = rows.select("k", "text", F.xxhash64("k").alias("h"))
-        return hashed.mapInArrow(spelt, "k long, h long") if shingles else hashed.mapInArrow(called, "k long, text string")
-
-    def alone_in(crowd: DataFrame) -> DataFrame:
-        """(k, alone): how many shingles of a document no other of the crowd has."""
-        ends = texts_of(crowd, shingles=True).groupBy("h").agg(F.min("k").alias("k"), F.max("k").alias("last"))
-        return ends.where("k = last").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
+        return hashed.mapInArrow(spelt, "k long, items array<long>") if sets else hashed.mapInArrow(called, "k long, text string")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        # sets too unlike in size, or with too many shingles of their own, cannot pass
-        both = F.least("r", "s")
+        # sets too unlike in size cannot pass
+        both = F.least("n", "m")
         near = pairs.where(both * 100 >= (F.col("n") + F.col("m") - both) * percent).select("u", "v", "ku", "kv").distinct()
         side = lambda df, name, c: df.select(F.col("k").alias(c), F.col(name).alias(f"{name}_{c}"))
         near = near.join(side(low, "low", "ku"), "ku").join(side(low, "low", "kv"), "kv")
@@ -257,47 +251,26 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id: str = "doc_id",
     least = owners.groupBy("doc_id").agg(F.min("first").alias("v"), F.max("first").alias("w"))
     links = owners.join(least.where("v <> w"), "doc_id").where("first <> v").select(F.col("first").alias("u"), "v")
     nobody = spark.createDataFrame([], "id long, component long")
-    turn, gained, classes, peeled = 0, float("inf"), nobody, False
-    while True:
-        named = crowd_of.join(classes, F.col("doc_id") == F.col("id"), "left")
-        at = written(banded.select("band", "k").join(named.withColumn("c", F.coalesce("component", "doc_id")).drop("id", "component"), "k"), paths)
-        parts = written(at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("many")), paths)
-        mixed = parts.groupBy("band").agg(F.sum("many").cast("double").alias("size"), F.sum(F.col("many").cast("double") * F.col("many")).alias("same")).where("size * size > same")
-        pairs, members = mixed.agg(F.coalesce(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0.0))).first()
-        if not pairs:
-            break
-        if turn and not peeled and pairs > 16 * members:
-            crowd = written(at.join(mixed.select("band"), "band").select("k").distinct(), paths)
-            left = crowd_of.drop("r").join(alone_in(crowd), "k", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-            crowd_of, peeled = written(left.where(F.col("r") * 100 >= F.col("n") * percent), paths), True
-            continue
-        # stars first, and while pairs far outnumber members and they gain much, or gain at all in place of very many pairs;
-        # once r is known, most pairs fall in the join itself
-        many = 512 if peeled else 16
-        star = not turn or pairs > many * members and (gained * 10 > members or gained and pairs > 4 * many * members)
-        other = lambda df: df.select("band", F.col("doc_id").alias("v"), F.col("k").alias("kv"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("c").alias("d"))
-        one = at.withColumnsRenamed({"doc_id": "u", "k": "ku"})
-        if star:
-            lead = F.struct(F.lit(0) if turn else -F.col("degree"), F.xxhash64("k", F.lit(turn)))
-            mates = at.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n", "r", "c"), lead).alias("x")).select("band", "x.*")
-            across = one.join(other(mates), "band").where("c <> d")
-        else:
-            # classes of a bucket meet first, then their members, so that no pair within a class is made
-            met = parts.select("band", "c").join(parts.select("band", F.col("c").alias("d")), "band").where("c < d")
-            across = one.join(met, ["band", "c"]).join(other(at), ["band", "d"])
-        new = linked(across)
-        gained, turn = new.count(), turn + 1
-        links = links.unionByName(new)
-        if not star:
-            break
-        if turn == 1:
-            # after the first stars each document goes with the fullest lead it is linked to, which is in its class
-            leads = cards.groupBy(F.col("doc_id").alias("v")).agg(F.max("degree").alias("degree"))
-            led = new.join(leads, "v").select("u", "v", "degree")
-            led = led.unionByName(led.select(F.col("v").alias("u"), "v", "degree"))
-            classes = written(led.groupBy(F.col("u").alias("id")).agg(F.max_by("v", F.struct("degree", "v")).alias("component")), paths)
-        elif gained:
-            classes = written(components(links, paths), paths)
+    at = written(banded.select("band", "k").join(cards.select("k", "doc_id", "n", "degree"), "k"), paths)
+    mates = at.groupBy("band").agg(F.min_by(F.struct("doc_id", "k", "n"), F.struct(-F.col("degree"), F.xxhash64("k"))).alias("x"))
+    mates = mates.select("band", F.col("x.doc_id").alias("v"), F.col("x.k").alias("kv"), F.col("x.n").alias("m"))
+    new = linked(at.withColumnsRenamed({"doc_id": "u", "k": "ku"}).join(mates, "band").where("u <> v"))
+    links = links.unionByName(new)
+    # each document goes with the fullest lead it is linked to, which is in its class
+    leads = cards.groupBy(F.col("doc_id").alias("v")).agg(F.max("degree").alias("degree"))
+    led = new.join(leads, "v").select("u", "v", "degree")
+    led = led.unionByName(led.select(F.col("v").alias("u"), "v", "degree"))
+    classes = led.groupBy(F.col("u").alias("id")).agg(F.max_by("v", F.struct("degree", "v")).alias("component"))
+    named = written(cards.join(classes, F.col("doc_id") == F.col("id"), "left").select("k", F.coalesce("component", "doc_id").alias("label")), paths)
+    # buckets across classes connect what may still link; a document is in one block, however many buckets it shares
+    inside = banded.select("band", "k").join(named, "k")
+    mixed = inside.groupBy("band").agg(F.min("k").alias("lead"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    near = written(inside.join(mixed.select("band", "lead"), "band").where("k <> lead").select(F.col("k").alias("u"), F.col("lead").alias("v")).distinct(), paths)
+    if near.take(1):
+        blocks = written(components(near, paths), paths)
+        sets = texts_of(blocks.select(F.col("id").alias("k")), sets=True).dropDuplicates(["k"]).join(named, "k")
+        found = search_blocks(sets.withColumnRenamed("k", "node"), blocks, percent=percent, chunk=chunk, paths=paths)
+        links = links.unionByName(found.select("u", "v"))
     links = written(links, paths)
     classes = components(links, paths) if links.take(1) else nobody
     least = least.select("doc_id", F.col("v").alias("first"))

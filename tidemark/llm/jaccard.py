@@ -116,6 +116,32 @@ class Block:
         return ids.u.to_numpy()[grouped], ids.v.to_numpy()[grouped]
 
 
+def search_blocks(sets: DataFrame, blocks: DataFrame, *, percent: int, chunk: int = 4096, paths: list[str] | None = None) -> DataFrame:
+    """(u, v, split): labels that sets of one block link, v the smallest of u's class; split where u's block is dealt out as pairs of chunks.
+
+    sets has node, label and the items of a set, blocks (id, component) the block of each node. Sets of one label are linked already.
+    """
+    large = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    parts = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
+    routed = blocks.join(large.withColumn("parts", parts), "component").select(F.col("id").alias("node"), "component", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+
+    full = sets.join(routed.hint("merge"), "node")
+    meets = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = meets.withColumn("block", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
+    # a pair of different chunks compares across only; a chunk with itself compares inside
+    meets = meets.select("block", "label", "items", F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("parts") > 1).alias("split"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, x in runs(batches, "block"):
+            if len(x) > 1:
+                items = [np.asarray(a, np.int64).view(np.uint64) for a in x["items"]]
+                u, v = Block(x["label"].to_numpy(), items, x["side"].to_numpy(), percent).labels()
+                if len(u):
+                    yield pd.DataFrame({"u": u, "v": v, "split": bool(x["split"].iloc[0])})
+
+    return written(meets.repartition("block").sortWithinPartitions("block").mapInPandas(search, "u long, v long, split boolean"), paths)
+
+
 def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent: int = 80, chunk: int = 4096, paths: list[str] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs: links are 100 |A n B| >= percent |A u B|.
 
@@ -175,25 +201,7 @@ def similar(docs: DataFrame, *, text: str = "text", id: str = "doc_id", percent:
     groups = rows.groupBy("h").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     stars = written(rows.join(groups.hint("merge"), "h").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v")).distinct(), paths)
     blocks = written(components(stars, paths), paths)
-    large = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
-    routed = blocks.join(large.withColumn("parts", parts), "component").select(F.col("id").alias("doc_id"), "component", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
-
-    full = left.select("doc_id", "items").join(routed.hint("merge"), "doc_id")
-    meets = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meets = meets.withColumn("block", F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other")))
-    # a pair of different chunks compares across only; a chunk with itself compares inside
-    meets = meets.select("block", "doc_id", "items", F.when(F.col("part") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("parts") > 1).alias("split"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, x in runs(batches, "block"):
-            if len(x) > 1:
-                items = [np.asarray(a, np.int64).view(np.uint64) for a in x["items"]]
-                u, v = Block(x["doc_id"].to_numpy(), items, x["side"].to_numpy(), percent).labels()
-                if len(u):
-                    yield pd.DataFrame({"u": u, "v": v, "split": bool(x["split"].iloc[0])})
-
-    found = written(meets.repartition("block").sortWithinPartitions("block").mapInPandas(search, "u long, v long, split boolean"), paths)
+    found = search_blocks(left.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"), "items"), blocks, percent=percent, chunk=chunk, paths=paths)
     labels = found.where("not split").select(F.col("u").alias("id"), F.col("v").alias("component"))
     split = found.where("split").select("u", "v")
     if not split.isEmpty():

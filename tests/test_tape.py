@@ -291,3 +291,15 @@ def test_series_of_some_relative_numbers_keeps_each_first_session(spark):
     some = {(r.id, r.rel, r.d, r.z) for r in tape.chart_series(articles, names, table, one=one, rels=(-1, 0)).collect()}
     first = {i: min(r for k, r, *_ in whole if k == i) for i in "xy"}
     assert some == {w for w in whole if w[1] in (-1, 0, first[w[0]])} and len(some) == 6
+
+
+def test_written_quotes_keep_instruments_and_days_in_order(spark):
+    """Rows of one instrument lie together in every file, so that they take less room there and when they are shuffled again."""
+    from tidemark.fixtures import Tables
+    from tidemark.plans.tape import quotes_of
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    files = {}
+    for r in quotes_of(t).select(F.input_file_name().alias("file"), "cod", "d").collect():
+        files.setdefault(r.file, []).append((r.cod, r.d))
+    assert sum(map(len, files.values())) == t.quotes.count() and all(rows == sorted(rows) for rows in files.values())

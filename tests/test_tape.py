@@ -303,3 +303,37 @@ def test_written_quotes_keep_instruments_and_days_in_order(spark):
     for r in quotes_of(t).select(F.input_file_name().alias("file"), "cod", "d").collect():
         files.setdefault(r.file, []).append((r.cod, r.d))
     assert sum(map(len, files.values())) == t.quotes.count() and all(rows == sorted(rows) for rows in files.values())
+
+
+def test_sessions_that_an_article_takes_along_are_those_of_a_loop(spark):
+    """Articles before, within and after blocks of sessions, and past the end of the history, in the tape's way and by hand."""
+    days = [date(2024, 1, 1) + timedelta(days=i) for i in range(45)]
+    rows = tape.sessions(quotes(spark, [10 + i % 7 for i in range(40)]).unionByName(quotes(spark, [5 + i % 3 for i in range(3)], cod="B")))
+    articles = spark.createDataFrame([(f"{c}{i}", c, d) for c in "AB" for i, d in enumerate(days)], "id string, cod string, pub_date date")
+    count = {"A": 40, "B": 3}
+    for n, block in ((6, 8), (0, 1), (2, 1), (9, 3)):
+        found = tape.anchor(articles, tape.ahead(rows, ["d"], n, block=block), latest=["_ahead"])
+        got = sorted((r.id, r.idx, r.d) for r in tape.onward(found, n).collect())
+        before = {(c, i): min(i, count[c]) for c in "AB" for i in range(1, len(days))}  # article i is of day i + 1
+        assert got == sorted((f"{c}{i}", j, days[j - 1]) for (c, i), b in before.items() for j in range(b, b + n + 1) if j <= count[c]), (n, block)
+
+
+@pytest.mark.parametrize("name", ["company_summary", "integrity_checks", "facts_top4", "company_index_sorted", "news_rollup", "news_by_indicator", "tape_window", "thesis_title_match"])
+def test_quotes_are_summed_once_and_not_written(spark, monkeypatch, name):
+    """The tape takes quotes from the table in one pass: no plan writes them and only one sums them."""
+    from tidemark import fixtures
+    from tidemark.registry import queries
+    from tidemark.sources import files
+
+    plans, columns = [], []
+
+    def counted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        columns.append(set(df.columns))
+        return files.written(df)
+
+    monkeypatch.setattr(fixtures, "written", counted)
+    monkeypatch.setattr(tape, "written", counted)
+    plans.append(queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString())
+    scans = [line for p in plans for line in p.splitlines() if "FileScan parquet" in line and "lineitem.parquet" in line and "l_extendedprice" in line]
+    assert len(scans) == 1 and not any({"last", "ref", "open"} <= c for c in columns)
